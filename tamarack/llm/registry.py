@@ -1,9 +1,11 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
+from .jaccard import op5_ngram_jaccard_join
 from .quality import op9_quality_rules
 from .substring import op7_substring_dedup
 
 QUERIES = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
