@@ -1,10 +1,12 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
 from .jaccard import op5_ngram_jaccard_join
+from .packing import op3_nnls_packing
 from .quality import op9_quality_rules
 from .substring import op7_substring_dedup
 
 QUERIES = {
+    "op3_nnls_packing": op3_nnls_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
