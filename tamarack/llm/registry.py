@@ -4,11 +4,13 @@ from .jaccard import op5_ngram_jaccard_join
 from .packing import op3_nnls_packing
 from .quality import op9_quality_rules
 from .substring import op7_substring_dedup
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_nnls_packing": op3_nnls_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
