@@ -101,3 +101,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The needed columns only, whatever else the table carries."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+
+
+def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """About `bound` rows of df, at most 5/4 of it, chosen by a hash of `key`: the same rows whatever the partitioning."""
+    n = df.count()
+    if n <= bound:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(bound / n * (1 << 30))).limit(bound + bound // 4)

@@ -1,16 +1,27 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
+from .chat import OP6_SQL, op6_chat_format
 from .jaccard import op5_ngram_jaccard_join
+from .langid import op10_language_id
 from .packing import op3_nnls_packing
 from .quality import op9_quality_rules
+from .secrets import op4_secret_scan
 from .substring import op7_substring_dedup
+from .toxicity import op8_toxicity
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_nnls_packing": op3_nnls_packing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_chat_format": op6_chat_format,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op6_chat_format": OP6_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}

@@ -59,10 +59,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a run of texts. first[d]:first[d + 1] are the words of text d."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, breaks: np.ndarray = WS):
+        """breaks: which bytes separate words."""
         self.data, self.offsets = text_buffer(column)
         data, n = self.data, len(self.data)
-        inside = ~WS[data]
+        inside = ~breaks[data]
         edge = self.offsets[self.offsets < n]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
