@@ -94,9 +94,9 @@ def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFra
             at += len(s)
             p = len(s) - needed(len(s), pct) + 1 if len(s) else 0
             prefix.append(s[order[:p]].view(np.int64))
-        return {"doc_id": _col(batch, "doc_id"), "n": [len(s) for s in sets], "node": [digest(s) for s in sets], "prefix": prefix}
+        return {"doc_id": _col(batch, "doc_id"), "th": _col(batch, "th"), "n": [len(s) for s in sets], "node": [digest(s) for s in sets], "prefix": prefix}
 
-    return arrow_map(docs, fn, "doc_id long, n long, node binary, prefix array<long>")
+    return arrow_map(docs, fn, "doc_id long, th long, n long, node binary, prefix array<long>")
 
 
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -213,9 +213,9 @@ def _meet(pct: int):
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, and node, the digest of the document's set (equal for equal sets)."""
+    """doc_id, n_shingles, component_id, th (a hash of the text), and node, the digest of the document's set (equal for equal sets)."""
     spark = docs.sparkSession
-    d = documents(docs)
+    d = documents(docs).withColumn("th", F.xxhash64("text"))
     words = (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     width = cms.width_for(words / 2)
     filt = cms.build(d, lambda b: (lambda x: x[x < _HALF])(np.concatenate(shingle_sets(_col(b, "text"), k) or [np.zeros(0, np.uint64)])), width)
@@ -254,9 +254,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     comp = materialize(least.join(least.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id"), "jaccard-components")
     for t in (posts, alive, sets, leaders, main, place, pairs, least):
         remove(t)
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    out = sigs.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th", "node")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("node")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("node", "th")

@@ -168,9 +168,9 @@ def judge(stats: DataFrame, cutoffs: dict[tuple[str, str], float], stratum: str)
     return stats.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """One row per document: doc_id, the stratum, the statistics, base_failed, failed_rules and kept."""
-    stats = materialize(with_stats(docs, stratum), "quality")
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05, th: bool = False) -> DataFrame:
+    """One row per document: doc_id, the stratum, the statistics, base_failed, failed_rules and kept; with `th` also a hash of its text."""
+    stats = materialize(with_stats(docs, stratum, *[F.xxhash64(F.col("text").cast("string")).alias("th")] * th), "quality")
     return judge(stats, learn_cutoffs(stats, labels, stratum, risk, delta), stratum)
 
 

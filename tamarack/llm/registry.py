@@ -1,6 +1,7 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
 from .chat import OP6_SQL, op6_chat_format
+from .decontaminate import OP2_SQL, op2_decontamination
 from .jaccard import op5_ngram_jaccard_join
 from .langid import op10_language_id
 from .packing import op3_nnls_packing
@@ -12,6 +13,7 @@ from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_decontamination": op2_decontamination,
     "op3_nnls_packing": op3_nnls_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op2_decontamination": OP2_SQL,
     "op6_chat_format": OP6_SQL,
 }
