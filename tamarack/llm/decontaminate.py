@@ -34,9 +34,13 @@ def _words(text: str) -> Column:
 
 
 def _with_hashes(df: DataFrame, key: str, k: int) -> DataFrame:
-    """key, words and hashes, one for each run of k words; rows without any are dropped."""
-    w = df.select(F.col(key).cast("long").alias(key), _words("text").alias("words")).where(F.col(key).isNotNull() & (F.size("words") >= k))
-    at = F.sequence(F.lit(0), F.size("words") - k)
+    """key, words and hashes, one for each run of k words.
+
+    No filter refers to words or hashes, here or later: it would be pushed below and compute them twice. For the same
+    reason their callers use explode_outer, for which no filter is inferred.
+    """
+    w = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _words("text").alias("words"))
+    at = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))
     return w.withColumn("hashes", F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(k)])))
 
 
@@ -47,7 +51,7 @@ def _shingle(i: Column, k: int) -> Column:
 def item_shingles(items: DataFrame, k: int, threshold: float) -> DataFrame:
     """item_id, h, shingle, n (distinct shingles), signature (whether h is one of its bottom MinHash values)."""
     rows = _with_hashes(items, "item_id", k)
-    each = rows.select("item_id", F.explode(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), _shingle(i, k).alias("shingle")))).alias("x")).select("item_id", "x.h", "x.shingle").distinct()
+    each = rows.select("item_id", F.explode_outer(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), _shingle(i, k).alias("shingle")))).alias("x")).select("item_id", "x.h", "x.shingle").where("h is not null").distinct()
     item = Window.partitionBy("item_id")
     each = each.withColumn("n", F.count("*").over(item)).withColumn("rank", F.row_number().over(item.orderBy("h", "shingle")))
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
@@ -73,9 +77,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = K, threshold: fl
     d = _with_hashes(docs, "doc_id", k)
     is_set = lambda h: F.getbit(F.get(bits, F.shiftright(h, 6).bitwiseAND(words - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
     at = F.filter(F.transform("hashes", lambda h, i: F.when(is_set(h), i)), lambda i: i.isNotNull())
-    d = d.withColumn("at", at).where(F.size("at") > 0)
-    hit = F.array_distinct(F.transform("at", lambda i: F.struct(F.get("hashes", i).alias("h"), _shingle(i, k).alias("shingle"))))
-    hits = materialize(d.select("doc_id", F.explode(hit).alias("x")).select("doc_id", "x.h", "x.shingle"), "leak-hits")
+    hit = F.array_distinct(F.transform(at, lambda i: F.struct(F.get("hashes", i).alias("h"), _shingle(i, k).alias("shingle"))))
+    hits = materialize(d.select("doc_id", F.explode_outer(hit).alias("x")).select("doc_id", "x.h", "x.shingle").where("h is not null"), "leak-hits")
     found = materialize(hits.select("doc_id", "h").join(shingles.where("signature").select("h", "item_id"), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
     same = hits.select("doc_id", "shingle").distinct().join(shingles.select("item_id", "shingle", "n"), "shingle").join(found, ["doc_id", "item_id"], "left_semi")
     out = materialize(same.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.max("n").alias("item_shingles")).where(F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9)), "leaks")
