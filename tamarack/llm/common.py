@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,11 +52,14 @@ def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame
     return back
 
 
-def remove(df: DataFrame) -> None:
-    """Delete a materialized table that no later plan reads."""
-    path = getattr(df, "tamarack_path", None)
-    if path:
-        remove_path(df.sparkSession, path)
+def remove(*frames: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads, and let Spark's cleaner drop shuffle files of plans that are gone."""
+    for df in frames:
+        path = getattr(df, "tamarack_path", None)
+        if path:
+            remove_path(df.sparkSession, path)
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -82,8 +82,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = K, threshold: fl
     found = materialize(hits.select("doc_id", "h").join(shingles.where("signature").select("h", "item_id"), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
     same = hits.select("doc_id", "shingle").distinct().join(shingles.select("item_id", "shingle", "n"), "shingle").join(found, ["doc_id", "item_id"], "left_semi")
     out = materialize(same.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.max("n").alias("item_shingles")).where(F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9)), "leaks")
-    for t in (shingles, hits, found):
-        remove(t)
+    remove(shingles, hits, found)
     return out.withColumn("containment", F.col("matched") / F.col("item_shingles"))
 
 

@@ -23,8 +23,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = materialize(hooked.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "old"), "labels")
         changed = new.where("label != old").limit(1).count()
-        remove(hooked)
-        remove(labels)
+        remove(hooked, labels)
         labels = new.drop("old")
         labels.tamarack_path = new.tamarack_path
         if not changed:

@@ -6,8 +6,7 @@ sequence as one; without words, empty and linked with nothing. Two documents lin
 
 1. Equal sets are one node, named by a 128-bit digest of the set.
 2. A node can only link with one that shares a token of its prefix, the first n - ceil(pct * n / 100) + 1 tokens of its
-   set in a common order: tokens of the lower half of the hashes first, rare before frequent ones, then the others, then
-   the very frequent ones. Frequency comes from a count-min sketch over all documents (of the lower half of the
+   set in a common order: rare ones first, then those of the upper half of the hashes, then frequent ones. Frequency comes from a count-min sketch over all documents (of the lower half of the
    hashes); it steers the order only, so errors cost time, not links.
    Nodes whose prefix tokens occur in no other node's prefix are done.
 3. The rest is partitioned into groups: nodes with the same most frequent prefix token form a family. Each is compared to
@@ -39,8 +38,7 @@ from .graph import components
 from .textkit import Words, mix
 
 GROUP = 256
-#: Level of a token whose frequency is not sketched, and of very frequent ones.
-_UNKNOWN, _HOT = 5, 6
+#: Tokens below it are sketched.
 _HALF = np.uint64(1 << 63)
 
 
@@ -78,10 +76,12 @@ def needed(n: int, pct: int) -> int:
 
 
 def levels(tokens: np.ndarray, filt: cms.Sketch, load: float) -> np.ndarray:
-    """The rank of each token's frequency in the common order, 0 (rare) to _HOT."""
-    above = filt.estimate(tokens).astype(np.float64) / (2 * load + 1)
-    level = np.minimum(np.floor(np.log2(above + 1)), _HOT - 1)
-    return np.where(tokens >= _HALF, _UNKNOWN, np.where(level >= _UNKNOWN, _HOT, level)).astype(np.int8)
+    """The rank of each token in the common order, less its hash: estimated frequency, the unsketched half between rare and frequent."""
+    rare = int(4 + 3 * load)
+    level = filt.estimate(tokens).astype(np.int16)
+    level[level > rare] += 1
+    level[tokens >= _HALF] = rare + 1
+    return level
 
 
 def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFrame:
@@ -102,11 +102,9 @@ def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFra
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(_col(batch, "text"), k)
-        same = [digest(s) == node for s, node in zip(sets, _col(batch, "node").to_pylist(), strict=True)]
-        keep = pa.array(np.flatnonzero(same))
-        return {"node": _col(batch, "node").take(keep), "family": _col(batch, "family").take(keep), "n": [len(s) for s, ok in zip(sets, same, strict=True) if ok], "tokens": [s.tobytes() for s, ok in zip(sets, same, strict=True) if ok]}
+        return {"node": [digest(s) for s in sets], "family": _col(batch, "family"), "popular": _col(batch, "popular"), "tokens": [s.tobytes() for s in sets]}
 
-    return arrow_map(docs, fn, "node binary, family long, n long, tokens binary").dropDuplicates(["node"])
+    return arrow_map(docs, fn, "node binary, family long, popular double, tokens binary")
 
 
 def jaccard_at_least(a: bytes, b: bytes, pct: int) -> bool:
@@ -219,29 +217,31 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     words = (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     width = cms.width_for(words / 2)
     filt = cms.build(d, lambda b: (lambda x: x[x < _HALF])(np.concatenate(shingle_sets(_col(b, "text"), k) or [np.zeros(0, np.uint64)])), width)
-    sigs = materialize(_signatures(d, k, pct, spark.sparkContext.broadcast(filt), words / 2 / width), "jaccard-signatures")
-
-    nodes = sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    posts = materialize(nodes.where("rep is not null").select("node", "rep", F.explode("prefix").alias("token")), "jaccard-prefixes")
-    shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    posts = materialize(posts.join(shared, "token"), "jaccard-shared")
-    alive = materialize(posts.groupBy("node", "rep").agg(F.max(F.struct("df", "token")).getField("token").alias("family"), F.avg("df").alias("popular")), "jaccard-alive")
-
-    text = d.join(alive.select("node", "family", F.col("rep").alias("doc_id")), "doc_id")
-    sets = materialize(_token_sets(text, k), "jaccard-sets")
-    lead = alive.groupBy("family").agg(F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    both = materialize(_signatures(d, k, pct, spark.sparkContext.broadcast(filt), words / 2 / width), "jaccard-prefixes")
+    sigs = materialize(both.drop("prefix"), "jaccard-signatures")
+
+    nodes = both.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"))
+    each = materialize(nodes.select("rep", F.explode("prefix").alias("token")), "jaccard-tokens")
+    remove(both)
+    shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    posts = materialize(each.join(shared, "token"), "jaccard-shared")
+    remove(each)
+    alive = materialize(posts.groupBy("rep").agg(F.max(F.struct("df", "token")).getField("token").alias("family"), F.avg("df").alias("popular")), "jaccard-alive")
+
+    sets = materialize(_token_sets(d.join(alive.withColumnRenamed("rep", "doc_id"), "doc_id"), k), "jaccard-sets")
+    lead = sets.groupBy("family").agg(F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     leaders = materialize(lead.join(sets.select(F.col("node").alias("leader"), F.col("tokens").alias("lead")), "leader").select("family", "leader", "lead"), "jaccard-leaders")
-    checked = sets.join(leaders, "family").select("node", "tokens", "lead").mapInArrow(_typical(pct), "node binary, main boolean")
-    main = materialize(checked.where("main"), "jaccard-main")
-    star = main.join(alive.select("node", "family"), "node").join(leaders.select("family", "leader"), "family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    checked = sets.select("node", "family", "tokens").join(leaders.select("family", "lead"), "family").select("node", "tokens", "lead").mapInArrow(_typical(pct), "node binary, main boolean")
+    main = materialize(checked.where("main").distinct(), "jaccard-main")
+    star = main.join(sets.select("node", "family"), "node").join(leaders.select("family", "leader"), "family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
-    place = alive.select("node", "family").join(main, "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    place = sets.select("node", "family").join(main, "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
     sizes = place.groupBy("family", "main").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     place = materialize(place.join(sizes, ["family", "main"]).withColumn("gid", F.xxhash64("family", "main", F.pmod(F.xxhash64("node"), "groups"))), "jaccard-places")
     groups = place.groupBy("gid", "family", "main").agg(F.count("*").alias("members"))
     x, y = groups.alias("x"), groups.alias("y")
     inner = x.join(y, F.expr("x.family = y.family and not (x.main and y.main) and (x.gid < y.gid or x.gid = y.gid and x.members > 1)"))
-    kin = posts.join(alive.select("node", "family"), "node").select("token", "family").distinct()
+    kin = posts.select("token", "rep").join(alive.select("rep", "family"), "rep").select("token", "family").distinct()
     kin = kin.alias("p").join(kin.alias("q"), F.expr("p.token = q.token and p.family < q.family")).select(F.col("p.family").alias("f"), F.col("q.family").alias("g")).distinct()
     outer = kin.join(groups.select(F.col("family").alias("f"), F.col("gid").alias("l")), "f").join(groups.select(F.col("family").alias("g"), F.col("gid").alias("r")), "g").select("l", "r")
     pairs = materialize(inner.select(F.col("x.gid").alias("l"), F.col("y.gid").alias("r")).union(outer).distinct(), "jaccard-pairs")
@@ -252,8 +252,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     label = components(links.union(star))
     least = materialize(sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "jaccard-labels")
     comp = materialize(least.join(least.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id"), "jaccard-components")
-    for t in (posts, alive, sets, leaders, main, place, pairs, least):
-        remove(t)
+    remove(posts, alive, sets, leaders, main, place, pairs, least)
     out = sigs.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th", "node")
 
