@@ -11,8 +11,8 @@ sequence as one; without words, empty and linked with nothing. Two documents lin
    Nodes whose prefix tokens occur in no other node's prefix are done.
 3. The rest is partitioned into groups: nodes with the same most frequent prefix token form a family. Each is compared to
    the family's most typical node; those that link with it are its main part and need no comparison among themselves.
-   Main part and rest are dealt by hash into groups of about GROUP nodes.
-4. Pairs of groups of one family, or of families that share a prefix token, meet in one task of at most two groups: each
+   Main part and rest are dealt by size and hash into groups of about GROUP nodes.
+4. Pairs of groups of one family, or of families that share a prefix token, and whose sizes allow a link, meet in one task of at most two groups: each
    group's token union bounds the overlap of each node of the other, and only nodes whose bound reaches
    pct / 100 of their size are opened, that is, compared exactly with the group's members. Tasks send on only a spanning
    forest of the links they find.
@@ -25,6 +25,7 @@ but name no component unless it has no other id; extra columns are ignored; an e
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from .graph import components
 from .textkit import Words, mix
 
 GROUP = 256
+#: Rows (24 bytes each) of remaining nodes up to which they are broadcast to find their texts.
+BROADCAST_ROWS = 1_000_000
 #: Tokens below it are sketched.
 _HALF = np.uint64(1 << 63)
 
@@ -102,9 +105,9 @@ def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFra
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(_col(batch, "text"), k)
-        return {"node": [digest(s) for s in sets], "family": _col(batch, "family"), "popular": _col(batch, "popular"), "tokens": [s.tobytes() for s in sets]}
+        return {"node": [digest(s) for s in sets], "family": _col(batch, "family"), "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
 
-    return arrow_map(docs, fn, "node binary, family long, popular double, tokens binary")
+    return arrow_map(docs, fn, "node binary, family long, popular double, n long, tokens binary")
 
 
 def jaccard_at_least(a: bytes, b: bytes, pct: int) -> bool:
@@ -220,30 +223,33 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     both = materialize(_signatures(d, k, pct, spark.sparkContext.broadcast(filt), words / 2 / width), "jaccard-prefixes")
     sigs = materialize(both.drop("prefix"), "jaccard-signatures")
 
-    nodes = both.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"))
-    each = materialize(nodes.select("rep", F.explode("prefix").alias("token")), "jaccard-tokens")
+    nodes = both.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    each = materialize(nodes.select("rep", "n", F.explode("prefix").alias("token")), "jaccard-tokens")
     remove(both)
-    shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    posts = materialize(each.join(shared, "token"), "jaccard-shared")
+    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"df > 1 and (df > 2 or 100 * low >= {pct} * high)")
+    posts = materialize(each.join(shared.select("token", "df"), "token").select("token", "rep", "df"), "jaccard-shared")
     remove(each)
     alive = materialize(posts.groupBy("rep").agg(F.max(F.struct("df", "token")).getField("token").alias("family"), F.avg("df").alias("popular")), "jaccard-alive")
 
-    sets = materialize(_token_sets(d.join(alive.withColumnRenamed("rep", "doc_id"), "doc_id"), k), "jaccard-sets")
+    few = F.broadcast if alive.count() <= BROADCAST_ROWS else (lambda x: x)
+    sets = materialize(_token_sets(d.join(few(alive.withColumnRenamed("rep", "doc_id")), "doc_id"), k), "jaccard-sets")
     lead = sets.groupBy("family").agg(F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     leaders = materialize(lead.join(sets.select(F.col("node").alias("leader"), F.col("tokens").alias("lead")), "leader").select("family", "leader", "lead"), "jaccard-leaders")
     checked = sets.select("node", "family", "tokens").join(leaders.select("family", "lead"), "family").select("node", "tokens", "lead").mapInArrow(_typical(pct), "node binary, main boolean")
     main = materialize(checked.where("main").distinct(), "jaccard-main")
     star = main.join(sets.select("node", "family"), "node").join(leaders.select("family", "leader"), "family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
-    place = sets.select("node", "family").join(main, "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
-    sizes = place.groupBy("family", "main").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    place = materialize(place.join(sizes, ["family", "main"]).withColumn("gid", F.xxhash64("family", "main", F.pmod(F.xxhash64("node"), "groups"))), "jaccard-places")
-    groups = place.groupBy("gid", "family", "main").agg(F.count("*").alias("members"))
+    size = F.col("n").cast("double")
+    place = sets.select("node", "family", "n", F.floor(F.log(size) / -math.log(pct / 100 if pct < 100 else 0.99)).alias("scale")).join(main, "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    sizes = place.groupBy("family", "main", "scale").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    place = materialize(place.join(sizes, ["family", "main", "scale"]).withColumn("gid", F.xxhash64("family", "main", "scale", F.pmod(F.xxhash64("node"), "groups"))), "jaccard-places")
+    groups = place.groupBy("gid", "family", "main").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = groups.alias("x"), groups.alias("y")
-    inner = x.join(y, F.expr("x.family = y.family and not (x.main and y.main) and (x.gid < y.gid or x.gid = y.gid and x.members > 1)"))
+    inner = x.join(y, F.expr(f"x.family = y.family and not (x.main and y.main) and (x.gid < y.gid or x.gid = y.gid and x.members > 1) and 100 * y.high >= {pct} * x.low and 100 * x.high >= {pct} * y.low"))
     kin = posts.select("token", "rep").join(alive.select("rep", "family"), "rep").select("token", "family").distinct()
     kin = kin.alias("p").join(kin.alias("q"), F.expr("p.token = q.token and p.family < q.family")).select(F.col("p.family").alias("f"), F.col("q.family").alias("g")).distinct()
-    outer = kin.join(groups.select(F.col("family").alias("f"), F.col("gid").alias("l")), "f").join(groups.select(F.col("family").alias("g"), F.col("gid").alias("r")), "g").select("l", "r")
+    side = lambda f, gid, low, high: groups.select(F.col("family").alias(f), F.col("gid").alias(gid), F.col("low").alias(low), F.col("high").alias(high))
+    outer = kin.join(side("f", "l", "low1", "high1"), "f").join(side("g", "r", "low2", "high2"), "g").where(f"100 * high2 >= {pct} * low1 and 100 * high1 >= {pct} * low2").select("l", "r")
     pairs = materialize(inner.select(F.col("x.gid").alias("l"), F.col("y.gid").alias("r")).union(outer).distinct(), "jaccard-pairs")
     members = sets.select("node", "tokens").join(place.select("node", "gid"), "node")
     meet = members.join(pairs.withColumn("gid", F.col("l")), "gid").withColumn("side", F.lit(0)).union(members.join(pairs.where("l != r").withColumn("gid", F.col("r")), "gid").withColumn("side", F.lit(1)))
