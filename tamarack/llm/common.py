@@ -113,3 +113,12 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     if n <= bound:
         return df
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(bound / n * (1 << 30))).limit(bound + bound // 4)
+
+
+#: Rows of narrow tables (a few numbers each) up to which they are broadcast: tens of MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (counted), to be joined by shuffles otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -34,13 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as cms
-from .common import arrow_map, documents, materialize, remove, table
+from .common import arrow_map, documents, materialize, remove, small, table
 from .graph import components
 from .textkit import Words, mix
 
-GROUP = 256
-#: Rows (24 bytes each) of remaining nodes up to which they are broadcast to find their texts.
-BROADCAST_ROWS = 1_000_000
+GROUP = 512
 #: Tokens below it are sketched.
 _HALF = np.uint64(1 << 63)
 
@@ -231,13 +229,14 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     remove(each)
     alive = materialize(posts.groupBy("rep").agg(F.max(F.struct("df", "token")).getField("token").alias("family"), F.avg("df").alias("popular")), "jaccard-alive")
 
-    few = F.broadcast if alive.count() <= BROADCAST_ROWS else (lambda x: x)
-    sets = materialize(_token_sets(d.join(few(alive.withColumnRenamed("rep", "doc_id")), "doc_id"), k), "jaccard-sets")
+    sets = materialize(_token_sets(d.join(small(alive.withColumnRenamed("rep", "doc_id")), "doc_id"), k), "jaccard-sets")
     lead = sets.groupBy("family").agg(F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    leaders = materialize(lead.join(sets.select(F.col("node").alias("leader"), F.col("tokens").alias("lead")), "leader").select("family", "leader", "lead"), "jaccard-leaders")
-    checked = sets.select("node", "family", "tokens").join(leaders.select("family", "lead"), "family").select("node", "tokens", "lead").mapInArrow(_typical(pct), "node binary, main boolean")
-    main = materialize(checked.where("main").distinct(), "jaccard-main")
-    star = main.join(sets.select("node", "family"), "node").join(leaders.select("family", "leader"), "family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    lead = small(materialize(lead.select("family", "leader"), "jaccard-lead"))
+    led = sets.select("node", "family", "tokens").join(lead, "family")
+    leaders = led.where("node = leader").dropDuplicates(["family"]).select("family", F.col("tokens").alias("lead"))
+    checked = led.where("node != leader").join(leaders, "family").select("node", "tokens", "lead").mapInArrow(_typical(pct), "node binary, main boolean")
+    main = materialize(checked.where("main").select("node", "main").union(led.select("node", (F.col("node") == F.col("leader")).alias("main")).where("main")).distinct(), "jaccard-main")
+    star = main.join(sets.select("node", "family"), "node").join(lead, "family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
     size = F.col("n").cast("double")
     place = sets.select("node", "family", "n", F.floor(F.log(size) / -math.log(pct / 100 if pct < 100 else 0.99)).alias("scale")).join(main, "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
@@ -251,14 +250,14 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     side = lambda f, gid, low, high: groups.select(F.col("family").alias(f), F.col("gid").alias(gid), F.col("low").alias(low), F.col("high").alias(high))
     outer = kin.join(side("f", "l", "low1", "high1"), "f").join(side("g", "r", "low2", "high2"), "g").where(f"100 * high2 >= {pct} * low1 and 100 * high1 >= {pct} * low2").select("l", "r")
     pairs = materialize(inner.select(F.col("x.gid").alias("l"), F.col("y.gid").alias("r")).union(outer).distinct(), "jaccard-pairs")
-    members = sets.select("node", "tokens").join(place.select("node", "gid"), "node")
-    meet = members.join(pairs.withColumn("gid", F.col("l")), "gid").withColumn("side", F.lit(0)).union(members.join(pairs.where("l != r").withColumn("gid", F.col("r")), "gid").withColumn("side", F.lit(1)))
-    links = meet.select("l", "r", "side", "node", "tokens").repartition("l", "r").sortWithinPartitions("l", "r", "side").mapInArrow(_meet(pct), "a binary, b binary")
+    meets = pairs.withColumn("side", F.lit(0)).withColumn("gid", F.col("l")).union(pairs.where("l != r").withColumn("side", F.lit(1)).withColumn("gid", F.col("r")))
+    called = materialize(place.select("node", "gid").distinct().join(meets, "gid").select("node", "l", "r", "side"), "jaccard-calls")
+    links = sets.select("node", "tokens").join(small(called), "node").select("l", "r", "side", "node", "tokens").repartition("l", "r").sortWithinPartitions("l", "r", "side").mapInArrow(_meet(pct), "a binary, b binary")
 
     label = components(links.union(star))
     least = materialize(sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "jaccard-labels")
     comp = materialize(least.join(least.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id"), "jaccard-components")
-    remove(posts, alive, sets, leaders, main, place, pairs, least)
+    remove(posts, alive, sets, main, place, pairs, called, least)
     out = sigs.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th", "node")
 
