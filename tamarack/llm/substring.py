@@ -5,7 +5,7 @@ document with a smaller doc_id. Passes:
 
 1. Each document's words are digested (SHA-256). Of documents with equal words only the smallest doc_id is searched
    further: all windows of the others start there too.
-2. Every window is named by its minimizer, the smallest hash of its 25-word grams: equal windows have equal minimizers,
+2. Every window is named by its minimizer, the smallest hash of its 8-word grams: equal windows have equal minimizers,
    and neighbouring windows mostly share one, so the sketch holds a small part of the windows' number. Task sketches of
    the minimizers of each document are merged; a window whose minimizer is estimated in one document only is unique.
 3. Only windows that are estimated repeated are grouped exactly, by 128 bits of hash over all their words. Nothing is
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as cms
-from .common import arrow_map, documents, materialize, remove, table
+from .common import arrow_map, documents, materialize, remove, small, table
 from .textkit import Words, sliding_min
 
 WINDOW = 50
+#: Words of the grams whose least hash names a window.
+GRAM = 8
 _Q1, _Q2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -43,7 +45,7 @@ def _col(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def _minimizers(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(minimizer of each window, the window's first word)."""
-    half = max(1, window // 2)
+    half = min(GRAM, window)
     h = w.hash
     m = len(h) - window + 1
     if m <= 0:
@@ -126,16 +128,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     long_enough = base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = materialize(long_enough.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"), "substring-copies")
     marked = materialize(base.join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False))).drop("rep"), "substring-marked")
-    remove(base)
-    searched = d.where(F.col("doc_id").isNotNull()).join(marked.where("copy").select("doc_id", "th").distinct(), ["doc_id", "th"], "left_anti")
+    remove(base, first)
+    copies = materialize(marked.where("copy").select("doc_id", "th").distinct(), "substring-gone")
+    searched = d.where(F.col("doc_id").isNotNull()).join(small(copies), ["doc_id", "th"], "left_anti")
     words = marked.agg(F.sum("n_words")).first()[0] or 0
-    filt = cms.build(searched, _distinct_minimizers(window), cms.width_for(4 * words * 2 / (window / 2 + 2)))
+    filt = cms.build(searched, _distinct_minimizers(window), cms.width_for(4 * words * 2 / (window - GRAM + 2)), depth=2)
     shared = d.sparkSession.sparkContext.broadcast(filt)
     found = materialize(_suspects(searched, shared, window), "substring-suspects")
     rows = found.select("doc_id", "th", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "th", "w.*")
     least = materialize(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "substring-windows")
     starts = rows.join(least, ["h1", "h2"]).where("least < doc_id").groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"))
     part = _rebuild(found.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"]).join(starts, ["doc_id", "th"]), window)
+    part = materialize(part, "substring-parts")
+    remove(found, least, copies)
     out = marked.join(part, ["doc_id", "th"], "left")
     n = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return out.select("doc_id", "n_words", n.cast("long").alias("n_removed"), "digest", "kept_text")
