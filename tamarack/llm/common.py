@@ -58,8 +58,13 @@ def remove(*frames: DataFrame) -> None:
         path = getattr(df, "tamarack_path", None)
         if path:
             remove_path(df.sparkSession, path)
+    release(frames[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of plans that are gone."""
     gc.collect()
-    frames[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as cms
-from .common import arrow_map, documents, materialize, remove, small, table
+from .common import arrow_map, documents, materialize, release, remove, small, table
 from .textkit import Words, sliding_min
 
 WINDOW = 50
@@ -137,6 +137,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = materialize(_suspects(searched, shared, window), "substring-suspects")
     rows = found.select("doc_id", "th", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "th", "w.*")
     least = materialize(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "substring-windows")
+    release(d.sparkSession)
     starts = rows.join(least, ["h1", "h2"]).where("least < doc_id").groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"))
     part = _rebuild(found.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"]).join(starts, ["doc_id", "th"]), window)
     part = materialize(part, "substring-parts")
