@@ -11,6 +11,7 @@ sequence as one; without words, empty and linked with nothing. Two documents lin
    Nodes whose prefix tokens occur in no other node's prefix are done.
 3. The rest is partitioned into groups: nodes with the same most frequent prefix token form a family. Each is compared to
    the family's most typical node; those that link with it are its main part and need no comparison among themselves.
+   Families that share prefix tokens with a larger one then join it (not its main part).
    Main part and rest are dealt by size and hash into groups of about GROUP nodes.
 4. Pairs of groups of one family, or of families that share a prefix token, and whose sizes allow a link, meet in one task of at most two groups: each
    group's token union bounds the overlap of each node of the other, and only nodes whose bound reaches
@@ -211,6 +212,15 @@ def _meet(pct: int):
     return run
 
 
+def _absorbed(sets: DataFrame, kin: DataFrame) -> DataFrame:
+    """family, into: families that join their largest kin, so that its groups needn't meet each of them on its own."""
+    size = sets.groupBy("family").agg(F.count("*").alias("c"))
+    both = kin.union(kin.select(F.col("g").alias("f"), F.col("f").alias("g")))
+    both = both.join(size.select(F.col("family").alias("f"), F.struct("c", F.col("family").alias("id")).alias("x")), "f").join(size.select(F.col("family").alias("g"), F.struct("c", F.col("family").alias("id")).alias("y")), "g")
+    best = both.where("y > x").groupBy(F.col("f").alias("family")).agg(F.max("y").getField("id").alias("into"))
+    return best.join(best.select(F.col("family").alias("into")), "into", "left_anti").select("family", "into")
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, th (a hash of the text), and node, the digest of the document's set (equal for equal sets)."""
     spark = docs.sparkSession
@@ -238,15 +248,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     main = materialize(checked.where("main").select("node", "main").union(led.select("node", (F.col("node") == F.col("leader")).alias("main")).where("main")).distinct(), "jaccard-main")
     star = main.join(sets.select("node", "family"), "node").join(lead, "family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
-    size = F.col("n").cast("double")
-    place = sets.select("node", "family", "n", F.floor(F.log(size) / -math.log(pct / 100 if pct < 100 else 0.99)).alias("scale")).join(main, "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    kin = posts.select("token", "rep").join(alive.select("rep", "family"), "rep").select("token", "family").distinct()
+    kin = kin_of = materialize(kin.alias("p").join(kin.alias("q"), F.expr("p.token = q.token and p.family < q.family")).select(F.col("p.family").alias("f"), F.col("q.family").alias("g")).distinct(), "jaccard-kin")
+    joined = materialize(_absorbed(sets, kin), "jaccard-absorbed")
+    scale = F.floor(F.log(F.col("n").cast("double")) / -math.log(pct / 100 if pct < 100 else 0.99))
+    place = sets.select("node", "family", "n", scale.alias("scale")).join(main, "node", "left").join(joined, "family", "left")
+    place = place.select("node", F.coalesce("into", "family").alias("family"), "n", "scale", (F.coalesce("main", F.lit(False)) & F.col("into").isNull()).alias("main"))
     sizes = place.groupBy("family", "main", "scale").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     place = materialize(place.join(sizes, ["family", "main", "scale"]).withColumn("gid", F.xxhash64("family", "main", "scale", F.pmod(F.xxhash64("node"), "groups"))), "jaccard-places")
     groups = place.groupBy("gid", "family", "main").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = groups.alias("x"), groups.alias("y")
     inner = x.join(y, F.expr(f"x.family = y.family and not (x.main and y.main) and (x.gid < y.gid or x.gid = y.gid and x.members > 1) and 100 * y.high >= {pct} * x.low and 100 * x.high >= {pct} * y.low"))
-    kin = posts.select("token", "rep").join(alive.select("rep", "family"), "rep").select("token", "family").distinct()
-    kin = kin.alias("p").join(kin.alias("q"), F.expr("p.token = q.token and p.family < q.family")).select(F.col("p.family").alias("f"), F.col("q.family").alias("g")).distinct()
+    kin = kin.join(joined.select(F.col("family").alias("f"), F.col("into").alias("fi")), "f", "left").join(joined.select(F.col("family").alias("g"), F.col("into").alias("gi")), "g", "left").select(F.coalesce("fi", "f").alias("f"), F.coalesce("gi", "g").alias("g"))
+    kin = kin.where("f != g").select(F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g")).distinct()
     side = lambda f, gid, low, high: groups.select(F.col("family").alias(f), F.col("gid").alias(gid), F.col("low").alias(low), F.col("high").alias(high))
     outer = kin.join(side("f", "l", "low1", "high1"), "f").join(side("g", "r", "low2", "high2"), "g").where(f"100 * high2 >= {pct} * low1 and 100 * high1 >= {pct} * low2").select("l", "r")
     pairs = materialize(inner.select(F.col("x.gid").alias("l"), F.col("y.gid").alias("r")).union(outer).distinct(), "jaccard-pairs")
@@ -257,7 +271,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     label = components(links.union(star))
     least = materialize(sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "jaccard-labels")
     comp = materialize(least.join(least.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id"), "jaccard-components")
-    remove(posts, alive, sets, main, place, pairs, called, least)
+    remove(posts, alive, sets, main, kin_of, joined, place, pairs, called, least)
     out = sigs.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th", "node")
 
