@@ -32,6 +32,8 @@ from .textkit import Words
 
 TRAIN_DOCS = 6000
 LEXICON = 64
+#: Training documents whose words are looked up at once.
+STEP = 128
 #: Letters, and all bytes of characters beyond ASCII, make up words here.
 BREAKS = np.ones(256, bool)
 BREAKS[65:91] = BREAKS[97:123] = BREAKS[128:] = False
@@ -46,15 +48,16 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, size: int = LEXICON) -> l
     """Words that stand in at least three toxic documents, ranked by the log-likelihood ratio of their raised share."""
     hits, total = Counter(), Counter()
     for t, y in zip(texts, toxic, strict=True):
-        words = set(_WORD.findall(_lower(t)))
-        total.update(words)
         if y:
-            hits.update(words)
+            hits.update(set(_WORD.findall(_lower(t))))
+    hits = Counter({w: k for w, k in hits.items() if k >= 3})
+    for t in texts:
+        total.update(hits.keys() & set(_WORD.findall(_lower(t))))
     prior = (toxic.sum() + 1) / (len(toxic) + 2)
     ranked = []
     for w, k in hits.items():
         n, share = total[w], k / total[w]
-        if k >= 3 and share > 2 * prior:
+        if share > 2 * prior:
             gain = k * math.log(share / prior) + (n - k) * (math.log((1 - share) / (1 - prior)) if k < n else 0)
             if gain > 8:
                 ranked.append((-gain, w))
@@ -159,7 +162,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     if not lexicon:
         return Model(np.zeros(0, np.uint64), None, share)
     hashes = Words(pa.array(lexicon), lower=True, breaks=BREAKS).hash
-    got = counts(pa.array(texts, pa.large_string()), hashes)
+    steps = [counts(pa.array(texts[i : i + STEP], pa.large_string()), hashes) for i in range(0, len(texts), STEP)]
+    got = tuple(np.concatenate(x) for x in zip(*steps, strict=True))
     v = votes(*got)
     posterior = LabelModel.fit(v, min(0.95, max(0.05, share))).posterior(v)
     return Model(hashes, logistic(features(*got), posterior), share)
