@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import materialize, table
+from tamarack.llm.common import materialize, small, table
 from tamarack.llm.decontaminate import contained_items
 from tamarack.llm.jaccard import ngram_jaccard_join
 from tamarack.llm.packing import pack
@@ -22,6 +22,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows (doc_id, th), a null doc_id equal to a null."""
     d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
     g = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    g = small(materialize(g, "pipeline-gone"))
     return d.join(g, (d["_th"] == g["_gone_th"]) & d["doc_id"].eqNullSafe(g["_gone_id"]), "left_anti").select(*docs.columns)
 
 
@@ -46,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    leaks = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    leaks = small(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
