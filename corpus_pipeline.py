@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each component of 5-word Jaccard similarity of at least 0.8 stays: the smallest doc_id. Documents without words, or of a component without doc_id, stay."""
     rows = materialize(ngram_jaccard_join(docs, k=5, pct=80), "pipeline-groups")
     grouped = rows.where("n_shingles > 0 and component_id is not null")
-    first = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("component_id", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
+    first = grouped.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("component_id", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
     first = materialize(first, "pipeline-first")
     gone = grouped.join(first, "component_id").where("doc_id is null or doc_id != first_id or th != first_th")
     out = _without(docs, gone)
