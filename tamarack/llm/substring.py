@@ -86,22 +86,37 @@ def _distinct_minimizers(window: int):
 
 
 def _suspects(docs: DataFrame, filt, window: int) -> DataFrame:
-    """Documents with windows that may be repeated: their text, and position and hashes of those windows."""
+    """Documents with windows that may be repeated: their text, and the positions of those windows."""
 
     def fn(batch: pa.RecordBatch) -> dict:
         w = Words(_col(batch, "text"))
         m, at = _minimizers(w, window)
         hit = filt.value.estimate(m) >= 2
-        h1, _ = w.windows(window, _Q1)
-        h2, _ = w.windows(window, _Q2)
-        at, h1, h2 = at[hit], h1[hit].view(np.int64), h2[hit].view(np.int64)
+        at = at[hit]
         edge = np.searchsorted(at, w.first)
         rows = np.flatnonzero(np.diff(edge))
         keep = pa.array(rows)
         base = w.first
-        return {"doc_id": _col(batch, "doc_id").take(keep), "th": _col(batch, "th").take(keep), "text": _col(batch, "text").take(keep), "at": [at[edge[d] : edge[d + 1]] - base[d] for d in rows], "h1": [h1[edge[d] : edge[d + 1]] for d in rows], "h2": [h2[edge[d] : edge[d + 1]] for d in rows]}
+        return {"doc_id": _col(batch, "doc_id").take(keep), "th": _col(batch, "th").take(keep), "text": _col(batch, "text").take(keep), "at": [at[edge[d] : edge[d + 1]] - base[d] for d in rows]}
+
+    return arrow_map(docs, fn, "doc_id long, th long, text string, at array<int>")
+
+
+def _hashed(found: DataFrame, window: int) -> DataFrame:
+    """One row per suspected window. Its 128 bits of hash do not compress, so they are computed anew for each use, not written."""
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        w = Words(_col(batch, "text"))
+        h1, at = w.windows(window, _Q1)
+        h2, _ = w.windows(window, _Q2)
+        positions = _col(batch, "at")
+        n = np.diff(positions.offsets.to_numpy())
+        doc = np.repeat(np.arange(len(n)), n)
+        start = positions.flatten().to_numpy()
+        i = np.searchsorted(at, start + w.first[doc])
+        return {"doc_id": _col(batch, "doc_id").take(pa.array(doc)), "th": _col(batch, "th").take(pa.array(doc)), "at": start, "h1": h1[i].view(np.int64), "h2": h2[i].view(np.int64)}
 
-    return arrow_map(docs, fn, "doc_id long, th long, text string, at array<int>, h1 array<long>, h2 array<long>")
+    return arrow_map(found, fn, "doc_id long, th long, at int, h1 long, h2 long")
 
 
 def _rebuild(docs: DataFrame, window: int) -> DataFrame:
@@ -135,7 +150,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     filt = cms.build(searched, _distinct_minimizers(window), cms.width_for(4 * words * 2 / (window - GRAM + 2)), depth=2)
     shared = d.sparkSession.sparkContext.broadcast(filt)
     found = materialize(_suspects(searched, shared, window), "substring-suspects")
-    rows = found.select("doc_id", "th", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "th", "w.*")
+    rows = _hashed(found, window)
     least = materialize(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "substring-windows")
     release(d.sparkSession)
     starts = rows.join(least, ["h1", "h2"]).where("least < doc_id").groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"))
