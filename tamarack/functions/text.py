@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Key formats that scrubbing replaces.
-SECRET_PATTERN = r"(sk-[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})"
+#: Secret formats that scrubbing replaces, in this order.
+SECRET_PATTERNS = (
+    r"sk-ant-[A-Za-z0-9_\-]{20,}",
+    r"sk-[A-Za-z0-9_\-]{20,}",
+    r"gh[posru]_[A-Za-z0-9]{20,}",
+    r"AKIA[0-9A-Z]{16}",
+    r"AIza[0-9A-Za-z_\-]{30,}",
+    r"xox[baprs]-[A-Za-z0-9-]{10,}",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}",
+    r"(?i)(api[\s_-]?key|access[\s_-]?token|token|secret|password|passwd|pwd|bearer)\s*[:=]\s*\S+",
+)
+REDACTED = "[REDACTED_SECRET]"
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -34,4 +45,110 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def scrub(text: Column) -> Column:
-    return F.regexp_replace(text, SECRET_PATTERN, "[REDACTED]")
+    """Secrets replaced, pattern by pattern."""
+    for p in SECRET_PATTERNS:
+        text = F.regexp_replace(text, p, REDACTED)
+    return text
+
+
+def has_secret(text: Column) -> Column:
+    return scrub(text) != text
+
+
+def fold(text: Column) -> Column:
+    """Null as empty, the Turkish forms of I as i, trimmed, lower case."""
+    return F.lower(F.trim(F.translate(F.coalesce(text, F.lit("")), "İIı", "iii")))
+
+
+def predicate_name(text: Column) -> Column:
+    """Folded, white space as one underscore."""
+    return F.regexp_replace(F.regexp_replace(fold(text), r"\s+", "_"), "^_+|_+$", "")
+
+
+def word_tokens(text: Column) -> Column:
+    """Unicode word tokens of more than two characters, folded."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    return F.transform(F.filter(found, lambda t: F.length(t) > 2), fold)
+
+
+def term_matches(q: Column, d: Column) -> Column:
+    """Equal, or one a prefix of the other with at least four characters each."""
+    return (q == d) | ((F.least(F.length(q), F.length(d)) >= 4) & (d.startswith(q) | q.startswith(d)))
+
+
+def lexical_roots(text: Column) -> Column:
+    """Distinct first four characters of the tokens."""
+    return F.array_distinct(F.transform(F.filter(word_tokens(text), lambda t: F.length(t) >= 3), lambda t: F.substring(t, 1, 4)))
+
+
+def hmac_sha256(key: str, message: Column) -> Column:
+    """Hex HMAC (RFC 2104) from nested SHA-256; the key is a plan constant."""
+    import hashlib
+
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in raw).hex()))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def blind(key: str, token: Column) -> Column:
+    return F.substring(hmac_sha256(key, token), 1, 16)
+
+
+def slug(text: Column) -> Column:
+    """Lower-case ASCII letters and digits, others as one hyphen, at most 40 characters."""
+    return F.regexp_replace(F.substring(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), 1, 40), "^-+|-+$", "")
+
+
+def rule_id(project: Column, rule_type: Column, message: Column) -> Column:
+    base = F.replace(fold(F.coalesce(F.when(project != "", project), F.lit("global"))), F.lit(" "), F.lit("-"))
+    s = slug(message)
+    return F.concat_ws("-", base, F.when(s == "", "rule").otherwise(s), F.substring(F.sha1(F.concat_ws("|", base, rule_type, normalized(message))), 1, 8))
+
+
+#: Severities from low to high.
+SEVERITIES = ("low", "medium", "high", "critical")
+#: Names of a project that stand for none.
+PROJECT_PLACEHOLDERS = ("", "null", "none", "-", "yok", "ad veya null", "proje adı veya null")
+
+
+def severity(value: Column, unknown: str) -> Column:
+    v = F.lower(F.trim(value))
+    return F.when(v.isin(*SEVERITIES), v).otherwise(F.lit(unknown))
+
+
+def severity_rank(value: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), value).cast("int")
+
+
+def clean_project(value: Column) -> Column:
+    return F.when(~F.lower(F.trim(value)).isin(*PROJECT_PLACEHOLDERS), F.trim(value))
+
+
+def clean_terms(values: Column) -> Column:
+    """Terms that hold a space or at least five characters, quoted for use in a pattern."""
+    trimmed = F.transform(values, F.trim)
+    return F.transform(F.filter(trimmed, lambda t: t.contains(" ") | (F.length(t) >= 5)), lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
+
+
+def path_template(path: Column) -> Column:
+    return F.regexp_replace(path, r"^/v1/(rules|memories|keys)/[^/]+", "/v1/$1/{id}")
+
+
+def safe_salience(value: Column) -> Column:
+    """0 to 5; what is no finite number counts as 1."""
+    v = value.try_cast("double")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(bad, 1.0).otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(5.0)))
+
+
+def safe_embedding(value: Column) -> Column:
+    """Null where empty or where an element isn't finite."""
+    bad = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when((F.size(value) > 0) & ~bad, value)
+
+
+def first_json(text: Column, schema: str) -> Column:
+    """The first {...} block, parsed; null if there is none."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema)

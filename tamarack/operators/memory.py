@@ -48,3 +48,72 @@ def quota(usage: DataFrame, limit: int) -> DataFrame:
     """usage: tenant_id, period, ops."""
     u = usage.groupBy("tenant_id", "period").agg(F.sum("ops").alias("used"))
     return u.withColumn("remaining", F.greatest(F.lit(0), limit - F.col("used"))).withColumn("allowed", F.col("used") < limit)
+
+
+SALIENCE_STEP, SAME_FACT = 0.5, 0.95
+
+
+def active(memories: DataFrame, user_id: str | None = None, exclude_third: bool = False) -> DataFrame:
+    """Rows without an end; a null subject_party is the user's own."""
+    out = memories.where("invalid_at is null")
+    out = out.where(F.col("user_id") == user_id) if user_id is not None else out
+    return out.where("coalesce(subject_party, 'self') != 'third_party'") if exclude_third else out
+
+
+def reinforce(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Each id raises its row's salience, as often as it comes, and refreshes its time; ended rows stay as they are."""
+    n = ids.groupBy("id").agg(F.count("*").alias("_n"))
+    hit = F.col("_n").isNotNull() & F.col("invalid_at").isNull()
+    m = memories.join(n, "id", "left")
+    return m.withColumn("salience", F.when(hit, F.least(F.lit(MOST_SALIENCE), F.col("salience") + SALIENCE_STEP * F.col("_n"))).otherwise(F.col("salience"))).withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).drop("_n")
+
+
+def forget(memories: DataFrame, doomed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(memories with content and embedding of the doomed ids erased and ended, tombstones of those that were active)."""
+    gone = memories.where("invalid_at is null").join(doomed.select("id").distinct(), "id", "left_semi")
+    hit = doomed.select("id", F.lit(True).alias("_hit")).distinct()
+    m = memories.join(hit, "id", "left")
+    hit = F.col("_hit").isNotNull() & F.col("invalid_at").isNull()
+    out = m.withColumn("content", F.when(hit, "").otherwise(F.col("content"))).withColumn("embedding", F.when(~hit, F.col("embedding"))).withColumn("invalid_at", F.when(hit, now).otherwise(F.col("invalid_at"))).drop("_hit")
+    return out, gone.select(content_hash(F.col("content")).alias("content_hash"), "embedding")
+
+
+def of_subject(memories: DataFrame, party: str) -> DataFrame:
+    """Active rows of a subject party, as forget() takes them."""
+    return active(memories).where(F.coalesce("subject_party", F.lit("self")) == party)
+
+
+def blocked(facts: DataFrame, tombstones: DataFrame, threshold: float = SAME_FACT) -> DataFrame:
+    """facts (content, embedding) that tombstones bar: the same content, a vector at or above the threshold, or no vector while a
+    tombstone has one. Vectors are compared in a semi join after the cheap tests."""
+    from ..functions.vectors import cosine
+
+    f = facts.withColumn("content_hash", content_hash(F.col("content")))
+    hashes = tombstones.select("content_hash").distinct()
+    vectors = tombstones.where("embedding is not null").select(F.col("embedding").alias("_t"))
+    by_hash = f.join(hashes, "content_hash", "left_semi")
+    rest = f.join(hashes, "content_hash", "left_anti")
+    unknown = rest.where("embedding is null").join(vectors.limit(1), how="left_semi")
+    near = rest.where("embedding is not null").join(vectors, cosine(F.col("embedding"), F.col("_t")) >= threshold, "left_semi")
+    return by_hash.unionByName(unknown).unionByName(near)
+
+
+def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """What becomes of each fact (key, user_id, content, embedding): skipped (no content), blocked, reinforced (the user has it) or added."""
+    f = facts.withColumn("content_hash", content_hash(F.col("content")))
+    barred = blocked(facts, tombstones).select("key", F.lit(True).alias("_barred")).distinct()
+    have = active(memories).select("user_id", content_hash(F.col("content")).alias("content_hash"), F.lit(True).alias("_have")).distinct()
+    first = Window.partitionBy("user_id", "content_hash").orderBy("key")
+    f = f.join(barred, "key", "left").join(have, ["user_id", "content_hash"], "left").withColumn("_n", F.row_number().over(first))
+    state = F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "skipped").when(F.col("_barred"), "blocked").when(F.col("_have") | (F.col("_n") > 1), "reinforced").otherwise("added")
+    return f.select("key", state.alias("outcome"))
+
+
+def personal_summary(memories: DataFrame) -> DataFrame:
+    return memories.agg(F.count_if(F.coalesce("subject_party", F.lit("self")) == "self").alias("own"), F.count_if(F.col("subject_party") == "third_party").alias("third_party"), F.count_if(F.size("pii_flags") > 0).alias("with_personal_data"))
+
+
+def assign_labels(rows: DataFrame, least: int = 3) -> DataFrame:
+    """rows: id, label. Labels with fewer than `least` members lose them (null)."""
+    big = rows.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") >= least)
+    return rows.join(big, "label", "left").select("id", F.when(F.col("members").isNotNull(), F.col("label")).alias("label"), "members")

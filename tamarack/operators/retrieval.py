@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import lexical_roots, terms
 from ..functions.vectors import cosine, norm
 
 RRF_K = 60
@@ -59,3 +59,23 @@ def within_budget(items: DataFrame, partition: str, order: list[Column], cost: s
     w = Window.partitionBy(partition).orderBy(*order)
     running = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return items.withColumn("running", running).withColumn("position", F.row_number().over(w)).where((F.col("running") <= budget) | (F.col("position") == 1))
+
+
+def lexical_candidates(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """docs: id, text; queries: query_id, text. The k documents that share most token roots with each query; only roots of queries reach the join."""
+    q = queries.select("query_id", F.explode(lexical_roots(F.col("text"))).alias("root"))
+    w = docs.select("id", F.explode(lexical_roots(F.col("text"))).alias("root"))
+    hits = w.join(q, "root").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
+    return top_k(hits, "query_id", "overlap", "id", k)
+
+
+TAU_DAYS, WEIGHTS = 30.0, {"dense": 1.0, "sparse": 1.0, "recency": 0.2, "salience": 0.1}
+
+
+def hybrid(dense: DataFrame, sparse: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+    """dense and sparse: query_id, id, score of the candidates; memories: id, age_days, salience. Candidates of either kind, ranked by
+    weighted reciprocal ranks of both scores, recency and salience."""
+    signal = lambda d, n: d.select("query_id", "id", F.greatest("score", F.lit(0.0)).alias(n))
+    both = signal(dense, "dense").join(signal(sparse, "sparse"), ["query_id", "id"], "full").na.fill(0.0, ["dense", "sparse"])
+    m = memories.select("id", F.exp(-F.greatest("age_days", F.lit(0.0)) / TAU_DAYS).alias("recency"), F.least(F.coalesce(F.nullif("salience", F.lit(0.0)), F.lit(1.0)) / 5, F.lit(1.0)).alias("salience"))
+    return top_k(reciprocal_rank(both.join(m, "id"), "query_id", "id", WEIGHTS), "query_id", "rrf", "id", k)

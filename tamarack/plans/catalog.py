@@ -182,3 +182,6 @@ def context_pack(spark, d):
 @query(f"with {_CHECKS} select rule_id, count(*) as pruned from checks where day < date '2024-01-10' group by 1")
 def prune_telemetry(spark, d):
     return _checks(spark, d).where("day < date '2024-01-10'").groupBy("rule_id").agg(F.count("*").alias("pruned"))
+
+
+from . import extended  # noqa: E402, F401  (registers its queries)
