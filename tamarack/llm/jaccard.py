@@ -12,8 +12,9 @@ sequence as one; without words, empty and linked with nothing. Two documents lin
 3. The rest is partitioned into groups: nodes with the same most frequent prefix token form a family. Each is compared to
    the family's most typical node; those that link with it are its main part and need no comparison among themselves.
    Families that share prefix tokens with a larger one then join it (not its main part).
-   Main part and rest are dealt by size and hash into groups of about GROUP nodes.
-4. Pairs of groups of one family, or of families that share a prefix token, and whose sizes allow a link, meet in one task of at most two groups: each
+   Main part and rest are dealt by size and hash into groups of about GROUP nodes or GROUP_TOKENS tokens.
+4. Pairs of groups of one family, or of families that share a prefix token, and whose sizes allow a link, meet in one task of at most two groups; to a
+   meeting of two families come only nodes that share a prefix token with the other family. Each
    group's token union bounds the overlap of each node of the other, and only nodes whose bound reaches
    pct / 100 of their size are opened, that is, compared exactly with the group's members. Tasks send on only a spanning
    forest of the links they find.
@@ -39,7 +40,8 @@ from .common import arrow_map, documents, materialize, remove, small, table
 from .graph import components
 from .textkit import Words, mix
 
-GROUP = 512
+#: Most nodes of a group, and about the most tokens (32 MB).
+GROUP, GROUP_TOKENS = 2048, 1 << 22
 #: Tokens below it are sketched.
 _HALF = np.uint64(1 << 63)
 
@@ -104,9 +106,9 @@ def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFra
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(_col(batch, "text"), k)
-        return {"node": [digest(s) for s in sets], "family": _col(batch, "family"), "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
+        return {"node": [digest(s) for s in sets], "rep": _col(batch, "doc_id"), "family": _col(batch, "family"), "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
 
-    return arrow_map(docs, fn, "node binary, family long, popular double, n long, tokens binary")
+    return arrow_map(docs, fn, "node binary, rep long, family long, popular double, n long, tokens binary")
 
 
 def jaccard_at_least(a: bytes, b: bytes, pct: int) -> bool:
@@ -155,7 +157,7 @@ def link_groups(left: list[np.ndarray], right: list[np.ndarray], pct: int) -> li
         return []
     (ra, ca), (rb, cb) = matrix(a), matrix(b)
     both = np.zeros((len(a), len(b)), np.float32)
-    step = 8192
+    step = max(1024, (1 << 22) // max(len(a), len(b)))
     for lo in range(0, len(common), step):
         x, y = np.zeros((len(a), step), np.float32), np.zeros((len(b), step), np.float32)
         s, t = (ca >= lo) & (ca < lo + step), (cb >= lo) & (cb < lo + step)
@@ -191,7 +193,7 @@ def _meet(pct: int):
 
     def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
         left = [x for x in rows if x[2] == 0]
-        right = [x for x in rows if x[2] == 1] or left  # a group that meets itself
+        right = left if rows[0][0] == rows[0][1] else [x for x in rows if x[2] == 1]
         sets = [[np.frombuffer(x[4], np.uint64) for x in side] for side in (left, right)]
         return _forest([(left[i][3], right[j][3]) for i, j in link_groups(*sets, pct) if left[i][3] != right[j][3]])
 
@@ -252,9 +254,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     kin = kin_of = materialize(kin.alias("p").join(kin.alias("q"), F.expr("p.token = q.token and p.family < q.family")).select(F.col("p.family").alias("f"), F.col("q.family").alias("g")).distinct(), "jaccard-kin")
     joined = materialize(_absorbed(sets, kin), "jaccard-absorbed")
     scale = F.floor(F.log(F.col("n").cast("double")) / -math.log(pct / 100 if pct < 100 else 0.99))
-    place = sets.select("node", "family", "n", scale.alias("scale")).join(main, "node", "left").join(joined, "family", "left")
-    place = place.select("node", F.coalesce("into", "family").alias("family"), "n", "scale", (F.coalesce("main", F.lit(False)) & F.col("into").isNull()).alias("main"))
-    sizes = place.groupBy("family", "main", "scale").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    place = sets.select("node", "rep", "family", "n", scale.alias("scale")).join(main, "node", "left").join(joined, "family", "left")
+    place = place.select("node", "rep", F.coalesce("into", "family").alias("family"), "n", "scale", (F.coalesce("main", F.lit(False)) & F.col("into").isNull()).alias("main"))
+    sizes = place.groupBy("family", "main", "scale").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("groups"))
     place = materialize(place.join(sizes, ["family", "main", "scale"]).withColumn("gid", F.xxhash64("family", "main", "scale", F.pmod(F.xxhash64("node"), "groups"))), "jaccard-places")
     groups = place.groupBy("gid", "family", "main").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = groups.alias("x"), groups.alias("y")
@@ -262,16 +264,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     kin = kin.join(joined.select(F.col("family").alias("f"), F.col("into").alias("fi")), "f", "left").join(joined.select(F.col("family").alias("g"), F.col("into").alias("gi")), "g", "left").select(F.coalesce("fi", "f").alias("f"), F.coalesce("gi", "g").alias("g"))
     kin = kin.where("f != g").select(F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g")).distinct()
     side = lambda f, gid, low, high: groups.select(F.col("family").alias(f), F.col("gid").alias(gid), F.col("low").alias(low), F.col("high").alias(high))
-    outer = kin.join(side("f", "l", "low1", "high1"), "f").join(side("g", "r", "low2", "high2"), "g").where(f"100 * high2 >= {pct} * low1 and 100 * high1 >= {pct} * low2").select("l", "r")
-    pairs = materialize(inner.select(F.col("x.gid").alias("l"), F.col("y.gid").alias("r")).union(outer).distinct(), "jaccard-pairs")
+    outer = kin.join(side("f", "l", "low1", "high1"), "f").join(side("g", "r", "low2", "high2"), "g").where(f"100 * high2 >= {pct} * low1 and 100 * high1 >= {pct} * low2").select("f", "g", "l", "r")
+    pairs = materialize(inner.select(F.col("x.gid").alias("l"), F.col("y.gid").alias("r")).distinct(), "jaccard-pairs")
     meets = pairs.withColumn("side", F.lit(0)).withColumn("gid", F.col("l")).union(pairs.where("l != r").withColumn("side", F.lit(1)).withColumn("gid", F.col("r")))
-    called = materialize(place.select("node", "gid").distinct().join(meets, "gid").select("node", "l", "r", "side"), "jaccard-calls")
+    within = place.select("node", "gid").join(meets, "gid").select("node", "l", "r", "side")
+    held = posts.select("token", "rep").join(place.select("rep", "node", "gid", "family"), "rep").select("token", "node", "gid", "family")
+    other = held.select("token", F.col("family").alias("other")).distinct()
+    wants = held.join(other, "token").where("family != other").select("node", "gid", "other").distinct()
+    outer = materialize(outer, "jaccard-outer")
+    ends = outer.select("l", "r", F.lit(0).alias("side"), F.col("l").alias("gid"), F.col("g").alias("other")).union(outer.select("l", "r", F.lit(1), "r", "f"))
+    across = wants.join(ends, ["gid", "other"]).select("node", "l", "r", "side")
+    called = materialize(within.union(across).distinct(), "jaccard-calls")
     links = sets.select("node", "tokens").join(small(called), "node").select("l", "r", "side", "node", "tokens").repartition("l", "r").sortWithinPartitions("l", "r", "side").mapInArrow(_meet(pct), "a binary, b binary")
 
     label = components(links.union(star))
     least = materialize(sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "jaccard-labels")
     comp = materialize(least.join(least.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id"), "jaccard-components")
-    remove(posts, alive, sets, main, kin_of, joined, place, pairs, called, least)
+    remove(posts, alive, sets, main, kin_of, joined, place, pairs, outer, called, least)
     out = sigs.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th", "node")
 
