@@ -57,3 +57,39 @@ def jaccard(a: Column, b: Column) -> Column:
 def carry_forward(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
+
+
+ANCHOR_COSINE, EDGE_CANDIDATES = 0.6, 256
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0), lambda t: F.length(t) > 2))
+
+
+def anchors(queries: DataFrame, entities: DataFrame, threshold: float = ANCHOR_COSINE) -> DataFrame:
+    """query_id, entity_id: entities that a query names, or whose vector is near its own. The queries are a stated set."""
+    from .retrieval import MAX_QUERIES
+
+    q = queries.select("query_id", fold(F.col("text")).alias("_q"), "query_vec", norm(F.col("query_vec")).alias("_nq"))
+    e = entities.select(F.col("id").alias("entity_id"), fold(F.col("name")).alias("_n"), "embedding", norm(F.col("embedding")).alias("_ne"))
+    near = cosine(F.col("embedding"), F.col("query_vec"), F.col("_ne"), F.col("_nq")) >= threshold
+    named = (F.col("_n") != "") & F.contains("_q", "_n")
+    return e.join(F.broadcast(q) if q.count() <= MAX_QUERIES else q, named | near).select("query_id", "entity_id").distinct()
+
+
+def search_edges(edges: DataFrame, entities: DataFrame, queries: DataFrame, k: int, candidates: int = EDGE_CANDIDATES) -> DataFrame:
+    """edges: id, subject_id, object_id, fact, embedding; entities: id, name, embedding; queries: query_id, text, query_vec.
+    Each query's dense candidates, ranked by reciprocal ranks of cosine and word overlap, with a small boost beside an anchor."""
+    from .retrieval import dense_candidates, reciprocal_rank, top_k
+
+    c = dense_candidates(edges.select("id", "embedding"), queries, candidates).select("query_id", "id", F.greatest("score", F.lit(0.0)).alias("dense"))
+    c = c.join(edges.select("id", "subject_id", "object_id", "fact"), "id").join(queries.select("query_id", _words(F.col("text")).alias("_q")), "query_id")
+    c = c.withColumn("sparse", F.round(jaccard(_words(F.col("fact")), F.col("_q")), 9)).drop("_q", "fact")
+    a = anchors(queries, entities).withColumn("_hit", F.lit(True))
+    for end in ("subject_id", "object_id"):
+        c = c.join(a.select("query_id", F.col("entity_id").alias(end), F.col("_hit").alias(f"_a_{end}")), ["query_id", end], "left")
+    graph = F.coalesce("_a_subject_id", "_a_object_id", F.lit(False))
+    fused = reciprocal_rank(c.withColumn("anchored", graph), "query_id", "id", {"dense": 1.0, "sparse": 1.0})
+    scored = fused.withColumn("score", F.round(F.col("rrf") + F.when(F.col("anchored"), ANCHOR_BOOST).otherwise(0.0), 9))
+    return top_k(scored, "query_id", "score", "id", k).select("query_id", "id", "subject_id", "object_id", "dense", "sparse", "anchored", "score", "rank")
+

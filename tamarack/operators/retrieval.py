@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_roots, terms
+from ..functions.text import lexical_roots, term_matches, terms, word_tokens
 from ..functions.vectors import cosine, norm
 
 RRF_K = 60
@@ -79,3 +79,20 @@ def hybrid(dense: DataFrame, sparse: DataFrame, memories: DataFrame, k: int) ->
     both = signal(dense, "dense").join(signal(sparse, "sparse"), ["query_id", "id"], "full").na.fill(0.0, ["dense", "sparse"])
     m = memories.select("id", F.exp(-F.greatest("age_days", F.lit(0.0)) / TAU_DAYS).alias("recency"), F.least(F.coalesce(F.nullif("salience", F.lit(0.0)), F.lit(1.0)) / 5, F.lit(1.0)).alias("salience"))
     return top_k(reciprocal_rank(both.join(m, "id"), "query_id", "id", WEIGHTS), "query_id", "rrf", "id", k)
+
+
+def bm25_candidates(candidates: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """candidates: query_id, id, text; queries: query_id, text. BM25 whose statistics are those of each query's candidates, and whose
+    terms match by prefix (term_matches). Terms meet by their first four characters, within a query. Candidates without a match score 0."""
+    root = lambda t: F.substring(t, 1, 4)
+    q = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("q")).withColumn("root", root(F.col("q")))
+    c = candidates.select("query_id", "id", word_tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
+    stats = c.groupBy("query_id").agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    w = c.select("query_id", "id", F.explode("words").alias("w")).withColumn("root", root(F.col("w")))
+    tf = w.join(q, ["query_id", "root"]).where(term_matches(F.col("q"), F.col("w"))).groupBy("query_id", "q", "id").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("query_id", "q").agg(F.count("*").alias("df"))
+    hit = tf.join(df, ["query_id", "q"]).join(stats, "query_id").join(c.select("query_id", "id", F.greatest("dl", F.lit(1)).alias("dl")), ["query_id", "id"])
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return candidates.select("query_id", "id").join(scored, ["query_id", "id"], "left").na.fill(0.0, ["score"])
