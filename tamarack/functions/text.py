@@ -26,6 +26,11 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends (trim takes spaces only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def content_hash(text: Column) -> Column:
     return F.sha1(normalized(text))
 
@@ -128,7 +133,7 @@ def clean_project(value: Column) -> Column:
 
 def clean_terms(values: Column) -> Column:
     """Terms that hold a space or at least five characters, quoted for use in a pattern."""
-    trimmed = F.transform(values, F.trim)
+    trimmed = F.transform(values, stripped)
     return F.transform(F.filter(trimmed, lambda t: t.contains(" ") | (F.length(t) >= 5)), lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
 
 

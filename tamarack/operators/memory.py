@@ -98,15 +98,36 @@ def blocked(facts: DataFrame, tombstones: DataFrame, threshold: float = SAME_FAC
     return by_hash.unionByName(unknown).unionByName(near)
 
 
+def nearest(facts: DataFrame, memories: DataFrame, threshold: float = SAME_FACT) -> DataFrame:
+    """key, id: the user's active memory most similar to each fact, at or above the threshold (ties: the smallest id). Facts are a
+    batch, met with each memory of their user; the best is kept by a map-side aggregate, so pairs are not shuffled."""
+    from ..functions.vectors import cosine, norm
+
+    f = facts.where("embedding is not null").select("key", "user_id", F.col("embedding").alias("_f"), norm(F.col("embedding")).alias("_nf"))
+    m = active(memories).where("embedding is not null").select("id", "user_id", F.col("embedding").alias("_m"), norm(F.col("embedding")).alias("_nm"))
+    score = F.round(cosine(F.col("_m"), F.col("_f"), F.col("_nm"), F.col("_nf")), 6)
+    near = m.join(F.broadcast(f) if facts.count() <= BATCH else f, "user_id").withColumn("_s", score).where(F.col("_s") >= threshold)
+    return near.groupBy("key").agg(F.max("_s").alias("_s"), F.min_by("id", F.struct(-F.col("_s"), "id")).alias("id")).drop("_s")
+
+
+#: Facts of a batch that is broadcast to the memories.
+BATCH = 10_000
+
+
 def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """What becomes of each fact (key, user_id, content, embedding): skipped (no content), blocked, reinforced (the user has it) or added."""
+    """What becomes of each fact (key, user_id, content, embedding): skipped (no content), blocked, reinforced (the user has it, by
+    content or by a vector at or above 0.95, or an earlier fact of the batch has its content) or added. id: the memory reinforced,
+    null where that is one added in this batch. Facts of one batch are not compared with each other by vector."""
     f = facts.withColumn("content_hash", content_hash(F.col("content")))
     barred = blocked(facts, tombstones).select("key", F.lit(True).alias("_barred")).distinct()
-    have = active(memories).select("user_id", content_hash(F.col("content")).alias("content_hash"), F.lit(True).alias("_have")).distinct()
+    have = active(memories).groupBy("user_id", content_hash(F.col("content")).alias("content_hash")).agg(F.min("id").alias("_have"))
     first = Window.partitionBy("user_id", "content_hash").orderBy("key")
     f = f.join(barred, "key", "left").join(have, ["user_id", "content_hash"], "left").withColumn("_n", F.row_number().over(first))
-    state = F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "skipped").when(F.col("_barred"), "blocked").when(F.col("_have") | (F.col("_n") > 1), "reinforced").otherwise("added")
-    return f.select("key", state.alias("outcome"))
+    if "embedding" in memories.columns:
+        f = f.join(nearest(facts, memories).withColumnRenamed("id", "_near"), "key", "left").withColumn("_have", F.coalesce("_near", "_have"))
+    state = F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "skipped").when(F.col("_barred"), "blocked").when(F.col("_have").isNotNull() | (F.col("_n") > 1), "reinforced").otherwise("added")
+    out = f.withColumn("outcome", state)
+    return out.select("key", "outcome", F.when(F.col("outcome") == "reinforced", F.col("_have")).alias("id"))
 
 
 def personal_summary(memories: DataFrame) -> DataFrame:

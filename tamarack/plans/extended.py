@@ -177,4 +177,5 @@ def memory_ingest(spark, d):
     facts = m.where("id % 2 = 1").select(F.col("id").alias("key"), "user_id", "content").join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), "key", "left")
     toxic = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     dead = m.join(toxic, "id").select(text.content_hash(F.col("content")).alias("content_hash"), F.lit(None).cast("array<float>").alias("embedding"))
+    old = old.join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
     return memory.ingest(old, facts, dead)

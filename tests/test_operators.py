@@ -8,7 +8,7 @@ from collections import defaultdict, deque
 from pyspark.sql import functions as F
 
 from tamarack.functions import pii, text
-from tamarack.operators import graph, memory, rules, usage
+from tamarack.operators import enforcement, graph, memory, retrieval, rules, usage
 
 
 def one(spark, column, **values):
@@ -23,7 +23,7 @@ def test_scalars(spark):
     assert one(spark, text.scrub(c), s="x token: abc y") == "x [REDACTED_SECRET] y"
     assert one(spark, text.lexical_roots(c), s="The theory of the cats") == ["the", "theo", "cats"]
     assert one(spark, text.path_template(c), s="/v1/rules/abc") == "/v1/rules/{id}"
-    assert one(spark, text.clean_terms(F.array(c, F.lit("a b"), F.lit("abc"))), s="a.bcd") == [r"a\.bcd", r"a\ b"]
+    assert one(spark, text.clean_terms(F.array(c, F.lit(" a b0"), F.lit("abc"))), s="a.bcd") == [r"a\.bcd", r"a\ b0"]
     assert [one(spark, text.safe_salience(c), s=s) for s in ("7", "-1", "x", "NaN", "2.5")] == [5.0, 0.0, 1.0, 1.0, 2.5]
     assert one(spark, text.clean_project(c), s=" Null ") is None
     assert one(spark, text.first_json(c, "a int").getField("a"), s="```json\n{\"a\": 3}\n```") == 3
@@ -61,6 +61,8 @@ def test_ingest_and_forget(spark):
     facts = spark.createDataFrame([(1, "u", " a  B", [0.0, 1.0]), (2, "u", "new", [0.0, 1.0]), (3, "u", "NEW", [0.0, 1.0]), (4, "u", "near", [1.0, 0.01]), (5, "u", "plain", None), (6, "u", " ", [0.0, 1.0]), (7, "u", "dead", [0.0, 1.0])], "key int, user_id string, content string, embedding array<double>")
     dead = spark.createDataFrame([(hashlib.sha1(b"dead").hexdigest(), None), ("x", [1.0, 0.0])], "content_hash string, embedding array<double>")
     got = {r.key: r.outcome for r in memory.ingest(m, facts, dead).collect()}
+    close = facts.where("key = 4")
+    assert [tuple(r) for r in memory.ingest(m, close, dead.where("content_hash is null")).collect()] == [(4, "reinforced", 1)]
     assert got == {1: "reinforced", 2: "added", 3: "reinforced", 4: "blocked", 5: "blocked", 6: "skipped", 7: "blocked"}
     left, stones = memory.forget(m, spark.createDataFrame([(1,), (2,)], "id int"), F.lit(9.0))
     assert {(r.id, r.content, r.invalid_at) for r in left.collect()} == {(1, "", 9.0), (2, "old", 5.0), (3, "c", None)}
@@ -79,3 +81,40 @@ def test_rules_and_graph(spark):
     assert {x.edge_id: x.invalid_at for x in graph.bound(e, b).collect()} == {1: 5.0, 2: 3.0, 3: 5.0, 4: None}
     c = spark.createDataFrame([("never show a TCKN", "", "", None, [], ["x"]), ("be kind", "", "", "LOW", [], ["two words"])], "reusable_rule string, what_was_wrong string, correct_behavior string, severity string, tags array<string>, forbid_terms array<string>")
     assert [(x.rule_type, x.severity, len(x.forbid)) for x in rules.compile_corrections(c).collect()] == [("hard", "high", 4), ("soft", "low", 1)]
+
+
+def test_enforcement(spark):
+    R = enforcement.PolicyRule
+    texts = spark.createDataFrame([(1, "a DIL b"), (2, "clean"), (3, None)], "id int, text string")
+    allowed = lambda rules, **k: {r.id: r.allow for r in enforcement.enforce(texts, rules, **k).collect()}
+    assert allowed([R("r", "hard", "low", forbid=("dil",))]) == {1: False, 2: True, 3: False}
+    assert allowed([R("r", "hard", "high", forbid=("(a+)+",))]) == {1: False, 2: False, 3: False}
+    assert allowed([R("r", "hard", "low", forbid=("(a+)+",))]) == {1: True, 2: True, 3: False}
+    assert allowed([R("r", "hard", "high", forbid=("(a+)+",))], fail_open=True) == {1: True, 2: True, 3: False}
+    assert allowed([R("r", "soft", "high")], run_soft=False)[2] is False and allowed([R("r", "soft", "low")], run_soft=False)[2] is True
+    must = [R(f"m{i}", "soft", "high") for i in range(3)] + [R("low", "soft", "low", "zebra")]
+    (r,) = enforcement.enforce(texts.where("id = 2"), must, lambda t, rule: F.lit(False), max_blocking=2).collect()
+    assert [(u.rule_id, u.reason) for u in r.unevaluated] == [("m2", "blocking_budget_exceeded")] and not r.allow and not r.deferred
+    (r,) = enforcement.enforce(texts.where("id = 2"), must, lambda t, rule: F.lit(False), max_soft=3).collect()
+    assert r.deferred == ["low"] and r.allow and r.checked == 3
+    (r,) = enforcement.enforce(texts.where("id = 2"), [], None).collect()
+    assert r.allow and r.checked == 0
+    checks, found = enforcement.check_rows(enforcement.enforce(texts, [R("r", "hard", "low", forbid=("dil",))]))
+    assert checks.count() == 3 and [x.evidence for x in found.collect()] == ["DIL"]
+    votes = spark.createDataFrame([(1, "r", True), (1, "r", False), (2, "r", False)], "id int, rule_id string, violated boolean")
+    assert {x.id: x.violated for x in enforcement.panel(votes).collect()} == {1: True, 2: False}
+
+
+def test_prefix_bm25(spark):
+    c = spark.createDataFrame([(1, 1, "raporlar hazır"), (1, 2, "başka bir şey"), (1, 3, None), (2, 1, "x")], "query_id int, id int, text string")
+    q = spark.createDataFrame([(1, "rapor"), (2, "")], "query_id int, text string")
+    got = {(r.query_id, r.id): r.score for r in retrieval.bm25_candidates(c, q).collect()}
+    assert got[1, 1] > 0 and [got[k] for k in ((1, 2), (1, 3), (2, 1))] == [0, 0, 0]
+
+
+def test_edge_search_names_anchors(spark):
+    e = spark.createDataFrame([(1, 10, 11, "works at acme", [1.0, 0.0]), (2, 12, 11, "lives there", None)], "id int, subject_id int, object_id int, fact string, embedding array<double>")
+    n = spark.createDataFrame([(10, "Ada", None), (11, "acme", [0.0, 1.0]), (12, "", None)], "id int, name string, embedding array<double>")
+    q = spark.createDataFrame([(1, "Where does ADA work", [1.0, 0.1])], "query_id int, text string, query_vec array<double>")
+    assert {tuple(r) for r in graph.anchors(q, n).collect()} == {(1, 10)}
+    assert [(r.id, r.anchored, r.rank) for r in graph.search_edges(e, n, q, 5).orderBy("rank").collect()] == [(1, True, 1), (2, False, 2)]
