@@ -184,4 +184,4 @@ def prune_telemetry(spark, d):
     return _checks(spark, d).where("day < date '2024-01-10'").groupBy("rule_id").agg(F.count("*").alias("pruned"))
 
 
-from . import extended, search  # noqa: E402, F401  (they register their queries)
+from . import extended, lookups, search  # noqa: E402, F401  (they register their queries)
