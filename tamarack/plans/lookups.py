@@ -157,7 +157,11 @@ def bundle_export(spark, d):
     return bundles.export(m, none, none, none)["memories"].select("id", F.sha1("content").alias("content"))
 
 
-@query(f"with h as (select source as user_id, {_HASH} as k, doc_id as id from documents), t as (select {_HASH} as k from documents join labels using (doc_id) where toxic = 1), a as (select user_id, k, min(id) filter (id % 2 = 0) as old, max(id) filter (id % 2 = 1 and k not in (select k from t)) as new from h group by 1, 2) select user_id, k as content_hash, coalesce(old, new) as id from a where coalesce(old, new) is not null")
+#: An import masks secrets before contents are compared; tables already stored are compared as they are.
+_IMPORTED = _HASH.replace("lower(text)", f"lower({_SCRUBBED})")
+
+
+@query(f"with h as (select source as user_id, case when doc_id % 2 = 1 then {_IMPORTED} else {_HASH} end as k, doc_id as id from documents), t as (select {_HASH} as k from documents join labels using (doc_id) where toxic = 1), a as (select user_id, k, min(id) filter (id % 2 = 0) as old, max(id) filter (id % 2 = 1 and k not in (select k from t)) as new from h group by 1, 2) select user_id, k as content_hash, coalesce(old, new) as id from a where coalesce(old, new) is not null")
 def bundle_import(spark, d):
     m = _memories(spark, d).withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("salience", F.lit(1.0))
     old = m.where("id % 2 = 0").groupBy("user_id", content_hash(F.col("content")).alias("_h")).agg(F.min_by(F.struct(*m.columns), "id").alias("m")).select("m.*")
