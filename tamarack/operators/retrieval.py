@@ -83,16 +83,17 @@ def hybrid(dense: DataFrame, sparse: DataFrame, memories: DataFrame, k: int) ->
 
 def bm25_candidates(candidates: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """candidates: query_id, id, text; queries: query_id, text. BM25 whose statistics are those of each query's candidates, and whose
-    terms match by prefix (term_matches). Terms meet by their first four characters, within a query. Candidates without a match score 0."""
+    terms match by prefix (term_matches). Terms meet by their first four characters, within a query. Candidates without a match score 0.
+    Candidates are read once and dealt by query; a query's are bounded by how many it was given."""
     root = lambda t: F.substring(t, 1, 4)
     q = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("q")).withColumn("root", root(F.col("q")))
+    of_query = Window.partitionBy("query_id")
     c = candidates.select("query_id", "id", word_tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    stats = c.groupBy("query_id").agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    w = c.select("query_id", "id", F.explode("words").alias("w")).withColumn("root", root(F.col("w")))
-    tf = w.join(q, ["query_id", "root"]).where(term_matches(F.col("q"), F.col("w"))).groupBy("query_id", "q", "id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("query_id", "q").agg(F.count("*").alias("df"))
-    hit = tf.join(df, ["query_id", "q"]).join(stats, "query_id").join(c.select("query_id", "id", F.greatest("dl", F.lit(1)).alias("dl")), ["query_id", "id"])
+    c = c.withColumn("n", F.count("*").over(of_query)).withColumn("avgdl", F.coalesce(F.nullif(F.avg("dl").over(of_query), F.lit(0.0)), F.lit(1.0)))
+    w = c.select("query_id", "id", "n", "avgdl", F.greatest("dl", F.lit(1)).alias("dl"), F.explode_outer("words").alias("w")).withColumn("root", root(F.col("w")))
+    meet = (w["query_id"] == q["query_id"]) & (w["root"] == q["root"]) & term_matches(q["q"], w["w"])
+    tf = w.join(q, meet, "left").groupBy(w["query_id"], "id", "n", "avgdl", "dl", "q").agg(F.count("q").alias("tf"))
+    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("query_id", "q")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return candidates.select("query_id", "id").join(scored, ["query_id", "id"], "left").na.fill(0.0, ["score"])
+    return tf.groupBy("query_id", "id").agg(F.coalesce(F.round(F.sum(F.when(F.col("q").isNotNull(), part)), 6), F.lit(0.0)).alias("score"))
