@@ -118,3 +118,10 @@ def test_edge_search_names_anchors(spark):
     q = spark.createDataFrame([(1, "Where does ADA work", [1.0, 0.1])], "query_id int, text string, query_vec array<double>")
     assert {tuple(r) for r in graph.anchors(q, n).collect()} == {(1, 10)}
     assert [(r.id, r.anchored, r.rank) for r in graph.search_edges(e, n, q, 5).orderBy("rank").collect()] == [(1, True, 1), (2, False, 2)]
+
+
+def test_packs(spark):
+    p = spark.createDataFrame([("u", 2, "b\n c"), ("u", 1, "a"), ("v", 1, None)], "user_id string, position int, text string")
+    assert {r.user_id: r.markdown for r in retrieval.render_pack(p, "user_id", "position", "text", "Memory").collect()} == {"u": "## Memory\n- a\n- b c", "v": "## Memory\n- "}
+    h = {r.user_id: (r.items, r.hash) for r in retrieval.pack_hash(p.repartition(3), "user_id", "position", ["position", "text"]).collect()}
+    assert h["u"] == (2, hashlib.sha256(b'[{"position":1,"text":"a"},{"position":2,"text":"b\\n c"}]').hexdigest()[:16])
