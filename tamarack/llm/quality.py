@@ -10,7 +10,8 @@ one with the largest share of bad documents rejected, less GOOD_WEIGHT times the
 lenient at a tie, and none if that is not positive.
 
 Labelled counts come from an aggregation over all labelled rows to a table of at most
-strata x signals x (GRID + 1) rows; a stratum column with more than MAX_STRATA values shares the stratum "*".
+2 x strata x signals x (GRID + 1) rows. Each stratum's cutoffs are chosen from it by a task and joined back, at any
+number of strata; a stratum with too few labels for the bound gets no cutoff.
 
 Defined cases: null text has no words, so it fails the base rules; a null stratum value is a stratum of its own; labels
 rows with null doc_id or quality are ignored, and conflicting labels of one document count as good; repeated rows are
@@ -20,19 +21,19 @@ judged one by one; an empty table gives an empty result; without labels only the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, materialize, table
+from .common import arrow_map, documents, materialize, small, table
 from .textkit import Words, mix
 
 SYMBOLS = b"#*$%&|<>"
 #: Cutoffs that are tried per signal: i / GRID.
 GRID = 64
-MAX_STRATA = 64
 #: What rejecting a good document costs against missing a bad one.
 GOOD_WEIGHT = 10
 #: Each lies in 0..1, higher is worse.
@@ -128,11 +129,11 @@ def allowed_rejections(n: int, risk: float, alpha: float) -> int:
     return lo
 
 
-def choose_cutoffs(counts: dict[tuple[str, str], np.ndarray], risk: float, delta: float) -> dict[tuple[str, str], float]:
-    """counts[stratum, signal]: (2, GRID + 1) documents by label and bin. Reject where the signal is >= the cutoff."""
+def choose_cutoffs(counts: dict[tuple[str, str], np.ndarray], risk: float, delta: float, tests: int | None = None) -> dict[tuple[str, str], float]:
+    """counts[stratum, signal]: (2, GRID + 1) documents by label and bin. Reject where the signal is >= the cutoff. `tests`: among how many `delta` is divided, if not only these."""
     if not counts:
         return {}
-    each, alpha = risk / len(SIGNALS), delta / len(counts)
+    each, alpha = risk / len(SIGNALS), delta / (tests or len(counts))
     out = {}
     for key, c in sorted(counts.items()):
         bad, good = c[0][::-1].cumsum()[::-1], c[1][::-1].cumsum()[::-1]
@@ -146,26 +147,39 @@ def choose_cutoffs(counts: dict[tuple[str, str], np.ndarray], risk: float, delta
     return out
 
 
-def learn_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> dict[tuple[str, str], float]:
+def _stratum(stratum: str) -> F.Column:
+    return F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+
+
+def learn_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> DataFrame:
+    """s, and for each signal the bin from which on documents of that stratum are rejected (null: none)."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).where("doc_id is not null and q in (0, 1)").groupBy("doc_id").agg(F.max("q").alias("q"))
-    rows = stats.where(~base_failed()).join(lab, "doc_id").select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), "q", F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.floor(v * GRID).cast("int").alias("bin")) for k, v in signals().items()])).alias("x"))
-    got = rows.groupBy("s", "q", "x.signal", "x.bin").count()
-    strata = [r.s for r in stats.select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s")).distinct().limit(MAX_STRATA + 1).collect()]
-    if len(strata) > MAX_STRATA:
-        got = got.groupBy(F.lit("*").alias("s"), "q", "signal", "bin").agg(F.sum("count").alias("count"))
-    counts: dict[tuple[str, str], np.ndarray] = {}
-    for r in got.collect():
-        counts.setdefault((r.s, r.signal), np.zeros((2, GRID + 1), np.int64))[r.q, min(GRID, r.bin)] += r["count"]
-    return choose_cutoffs(counts, risk, delta)
-
-
-def judge(stats: DataFrame, cutoffs: dict[tuple[str, str], float], stratum: str) -> DataFrame:
+    rows = stats.where(~base_failed()).join(lab, "doc_id").select(_stratum(stratum).alias("s"), "q", F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.floor(v * GRID).cast("int").alias("bin")) for k, v in signals().items()])).alias("x"))
+    got = materialize(rows.groupBy("s", "q", "x.signal", "x.bin").count(), "quality-counts")
+    tests = got.select("s", "signal").distinct().count()
+    each = got.groupBy("s", "signal").agg(F.collect_list(F.struct("q", "bin", "count")).alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: dict[tuple[str, str], np.ndarray] = {}
+            for s, signal, listed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                c = counts[s, signal] = np.zeros((2, GRID + 1), np.int64)
+                for x in listed:
+                    c[x["q"], min(GRID, x["bin"])] += x["count"]
+            found = choose_cutoffs(counts, risk, delta, tests)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array([round(c * GRID) for c in found.values()], pa.int32())], names=["s", "signal", "cut"])
+
+    cuts = each.select("s", "signal", "counts").mapInArrow(run, "s string, signal string, cut int")
+    return materialize(cuts.groupBy("s").agg(*[F.max(F.when(F.col("signal") == k, F.col("cut"))).alias(f"_cut_{k}") for k in SIGNALS]), "quality-cutoffs")
+
+
+def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     """Adds base_failed, failed_rules and kept."""
     sig = signals()
-    s = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    fails = [F.when(((s == k[0]) | F.lit(k[0] == "*")) & (F.floor(sig[k[1]] * GRID) >= round(c * GRID)), F.lit(k[1])) for k, c in sorted(cutoffs.items())]
-    failed = F.array_compact(F.array(*fails)) if fails else F.array().cast("array<string>")
-    return stats.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    both = stats.withColumn("_s", _stratum(stratum)).join(small(cutoffs.withColumnRenamed("s", "_s")), "_s", "left")
+    failed = F.array_compact(F.array(*[F.when(F.floor(sig[k] * GRID) >= F.col(f"_cut_{k}"), F.lit(k)) for k in sorted(SIGNALS)]))
+    both = both.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return both.select(*stats.columns, "base_failed", "failed_rules", "kept")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05, th: bool = False) -> DataFrame:
