@@ -1,8 +1,9 @@
 """Toxicity by weak supervision (operator 8).
 
-1. From at most TRAIN_DOCS labelled training documents (chosen by a hash of doc_id) a lexicon is taken: words whose share
-   of toxic documents is significantly raised. Each lexicon word is a voter for toxic; further voters are its families
-   (any, two, or many hits, density) and patterns (shouting, symbols), and an empty-handed voter for not toxic.
+1. From at most TRAIN_DOCS labelled training documents (chosen by a hash of doc_id) a lexicon is taken: words with which
+   the odds of toxic are over twice as high, significantly. Each lexicon word is a voter for toxic; further voters are its
+   families (any, two, or many hits, density) and patterns (shouting, symbols), and an empty-handed voter for not toxic.
+   With an empty lexicon the patterns that pass the words' test vote alone.
 2. A generative label model over the votes, fitted by expectation-maximization without labels but for the class prior:
    each voter's propensities and accuracy given the class, and the voters' correlations given the class, by which the
    evidence of voters that repeat each other is discounted.
@@ -10,8 +11,8 @@
    scores every whole text.
 
 A document's label, lang, source and doc_id are no inputs of its score. Defined cases: null text is empty; an empty text
-gets the score of one without any hit; without training labels of both classes the score is the share of toxic labels
-(0 without labels); repeated rows and null doc_id are scored alike (a null is not held out); an empty table gives an
+gets the score of one without any hit; without training labels of both classes, or with neither a word nor a pattern
+that passes, the score is the share of toxic labels (0 without labels); repeated rows and null doc_id are scored alike (a null is not held out); an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -44,6 +45,15 @@ def _lower(text: str) -> str:
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
+def raised(k: int, n: int, prior: float) -> float:
+    """The log-likelihood ratio of k toxic ones among n, or 0 if the odds are not over twice the prior's or the ratio is not significant."""
+    share = k / n if n else 0.0
+    if k < 3 or share * (1 - prior) <= 2 * prior * (1 - share):
+        return 0.0
+    gain = k * math.log(share / prior) + (n - k) * (math.log((1 - share) / (1 - prior)) if k < n else 0)
+    return gain if gain > 8 else 0.0
+
+
 def learn_lexicon(texts: list[str], toxic: np.ndarray, size: int = LEXICON) -> list[str]:
     """Words that stand in at least three toxic documents, ranked by the log-likelihood ratio of their raised share."""
     hits, total = Counter(), Counter()
@@ -54,13 +64,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, size: int = LEXICON) -> l
     for t in texts:
         total.update(hits.keys() & set(_WORD.findall(_lower(t))))
     prior = (toxic.sum() + 1) / (len(toxic) + 2)
-    ranked = []
-    for w, k in hits.items():
-        n, share = total[w], k / total[w]
-        if share > 2 * prior:
-            gain = k * math.log(share / prior) + (n - k) * (math.log((1 - share) / (1 - prior)) if k < n else 0)
-            if gain > 8:
-                ranked.append((-gain, w))
+    ranked = [(-gain, w) for w, k in hits.items() if (gain := raised(k, total[w], prior))]
     return [w for _, w in sorted(ranked)[:size]]
 
 
@@ -80,12 +84,20 @@ def counts(column: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, w.counts, np.stack([upper / size, bang / size], 1)
 
 
-def votes(hits: np.ndarray, words: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """1 toxic, -1 not toxic, 0 abstains; one column per voter."""
+def patterns(other: np.ndarray) -> np.ndarray:
+    """Shouting, symbols."""
+    return np.stack([other[:, 0] > 0.5, other[:, 1] > 0.02], 1)
+
+
+def votes(hits: np.ndarray, words: np.ndarray, other: np.ndarray, alone: list[int]) -> np.ndarray:
+    """1 toxic, -1 not toxic, 0 abstains; one column per voter. `alone`: the patterns that vote if there is no lexicon."""
+    if not hits.shape[1]:
+        plus = patterns(other)[:, alone].astype(np.int8)
+        return np.concatenate([plus, -(plus.sum(1, keepdims=True) == 0).astype(np.int8)], 1)
     per = (hits > 0).astype(np.int8)
     kinds, n = per.sum(1), hits.sum(1)
     density = n / np.maximum(1, words)
-    plus = [kinds >= 1, kinds >= 2, n >= 3, density > 0.005, density > 0.02, (other[:, 0] > 0.5) & (n > 0), (other[:, 1] > 0.02) & (n > 0)]
+    plus = [kinds >= 1, kinds >= 2, n >= 3, density > 0.005, density > 0.02, *(patterns(other) & (n > 0)[:, None]).T]
     minus = [n == 0, density < 0.0005, (kinds <= 1) & (words > 500)]
     return np.concatenate([per, np.stack(plus, 1).astype(np.int8), -np.stack(minus, 1).astype(np.int8)], 1)
 
@@ -124,6 +136,8 @@ class LabelModel:
 
 
 def features(hits: np.ndarray, words: np.ndarray, other: np.ndarray) -> np.ndarray:
+    if not hits.shape[1]:
+        return np.concatenate([patterns(other), other], 1)
     n, kinds = hits.sum(1), (hits > 0).sum(1)
     return np.concatenate([np.minimum(hits, 3), np.stack([np.log1p(n), np.log1p(kinds), np.minimum(1, 20 * n / np.maximum(1, words)), n == 0], 1), other], 1)
 
@@ -158,13 +172,17 @@ class Model:
 
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     share = float(toxic.mean()) if len(toxic) else 0.0
-    lexicon = learn_lexicon(texts, toxic) if 0 < share < 1 else []
-    if not lexicon:
+    if not 0 < share < 1:
         return Model(np.zeros(0, np.uint64), None, share)
-    hashes = Words(pa.array(lexicon), lower=True, breaks=BREAKS).hash
+    lexicon = learn_lexicon(texts, toxic)
+    hashes = Words(pa.array(lexicon, pa.string()), lower=True, breaks=BREAKS).hash if lexicon else np.zeros(0, np.uint64)
     steps = [counts(pa.array(texts[i : i + STEP], pa.large_string()), hashes) for i in range(0, len(texts), STEP)]
     got = tuple(np.concatenate(x) for x in zip(*steps, strict=True))
-    v = votes(*got)
+    prior, found = (toxic.sum() + 1) / (len(toxic) + 2), patterns(got[2])
+    alone = [j for j in range(found.shape[1]) if raised(int(found[toxic, j].sum()), int(found[:, j].sum()), prior)]
+    if not lexicon and not alone:
+        return Model(hashes, None, share)
+    v = votes(*got, alone)
     posterior = LabelModel.fit(v, min(0.95, max(0.05, share))).posterior(v)
     return Model(hashes, logistic(features(*got), posterior), share)
 

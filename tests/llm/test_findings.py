@@ -21,3 +21,19 @@ def test_quality_keeps_strata_apart_beyond_64(spark):
         assert len(got) == len(rows)
         assert all(got[i].kept == (q != 0) for i, _, _, q in rows)
         assert "symbol_ratio" in got[1000].failed_rules
+
+
+def test_toxicity_at_every_prior(spark):
+    from tamarack.llm.toxicity import toxicity
+
+    rng = np.random.default_rng(12)
+    for share in (0.5, 0.7):
+        for mark in (" you awful moron", None):
+            # With a mark, toxic documents have its words; without, they say the same in capitals.
+            y = rng.random(800) < share
+            text = [" ".join(rng.choice(W, 60)) for _ in y]
+            text = [(t + mark if mark else "SO " + t.replace("w", "WORDS")) if bad else (t if mark else "so " + t.replace("w", "words")) for t, bad in zip(text, y, strict=True)]
+            docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+            labels = spark.createDataFrame([(i, int(bad)) for i, bad in enumerate(y)], "doc_id long, toxic int")
+            got = {r.doc_id: r for r in toxicity(docs, labels).collect()}
+            assert sum(got[i].predicted != bad for i, bad in enumerate(y)) <= 16
