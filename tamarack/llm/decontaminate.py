@@ -33,13 +33,13 @@ def _words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.col(text).cast("string")), r"[\x20\x09-\x0D]+"), "")
 
 
-def _with_hashes(df: DataFrame, key: str, k: int) -> DataFrame:
+def _with_hashes(df: DataFrame, key: str, k: int, kind: str = "long") -> DataFrame:
     """key, words and hashes, one for each run of k words.
 
     No filter refers to words or hashes, here or later: it would be pushed below and compute them twice. For the same
     reason their callers use explode_outer, for which no filter is inferred.
     """
-    w = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _words("text").alias("words"))
+    w = df.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias(key), _words("text").alias("words"))
     at = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))
     return w.withColumn("hashes", F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(k)])))
 
@@ -70,18 +70,18 @@ def _bit_table(hashes: DataFrame) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>"), words
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and item that it contains: doc_id, item_id, matched, item_shingles, containment."""
+def contained_items(docs: DataFrame, items: DataFrame, k: int = K, threshold: float = THRESHOLD, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """One row per document and item that it contains: `key`, item_id, matched, item_shingles, containment. `key` (of type `kind`) tells documents apart."""
     shingles = materialize(item_shingles(items, k, threshold), "leak-items")
     bits, words = _bit_table(shingles.select("h").distinct())
-    d = _with_hashes(docs, "doc_id", k)
+    d = _with_hashes(docs, key, k, kind)
     is_set = lambda h: F.getbit(F.get(bits, F.shiftright(h, 6).bitwiseAND(words - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
     at = F.filter(F.transform("hashes", lambda h, i: F.when(is_set(h), i)), lambda i: i.isNotNull())
     hit = F.array_distinct(F.transform(at, lambda i: F.struct(F.get("hashes", i).alias("h"), _shingle(i, k).alias("shingle"))))
-    hits = materialize(d.select("doc_id", F.explode_outer(hit).alias("x")).select("doc_id", "x.h", "x.shingle").where("h is not null"), "leak-hits")
-    found = materialize(hits.select("doc_id", "h").join(shingles.where("signature").select("h", "item_id"), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
-    same = hits.select("doc_id", "shingle").distinct().join(shingles.select("item_id", "shingle", "n"), "shingle").join(found, ["doc_id", "item_id"], "left_semi")
-    out = materialize(same.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.max("n").alias("item_shingles")).where(F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9)), "leaks")
+    hits = materialize(d.select(key, F.explode_outer(hit).alias("x")).select(key, "x.h", "x.shingle").where("h is not null"), "leak-hits")
+    found = materialize(hits.select(key, "h").join(shingles.where("signature").select("h", "item_id"), "h").select(key, "item_id").distinct(), "leak-candidates")
+    same = hits.select(key, "shingle").distinct().join(shingles.select("item_id", "shingle", "n"), "shingle").join(found, [key, "item_id"], "left_semi")
+    out = materialize(same.groupBy(key, "item_id").agg(F.count("*").alias("matched"), F.max("n").alias("item_shingles")).where(F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9)), "leaks")
     remove(shingles, hits, found)
     return out.withColumn("containment", F.col("matched") / F.col("item_shingles"))
 

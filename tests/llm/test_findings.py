@@ -37,3 +37,15 @@ def test_toxicity_at_every_prior(spark):
             labels = spark.createDataFrame([(i, int(bad)) for i, bad in enumerate(y)], "doc_id long, toxic int")
             got = {r.doc_id: r for r in toxicity(docs, labels).collect()}
             assert sum(got[i].predicted != bad for i, bad in enumerate(y)) <= 16
+
+
+def test_pipeline_decontaminates_each_row_on_its_own(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(W[60:90])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    half, rest = " ".join(W[60:76]), " ".join(W[71:90])
+    rows = [(None, f"so {item} there"), (None, "clean"), (None, None), (1, f"a {item}"), (1, "clean namesake"), (2, half), (2, rest), (3, item), (3, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([rows[1], rows[2], rows[4], rows[5], rows[6]], key=str)
