@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import materialize, small, table
+from tamarack.llm.common import WORD_RE, materialize, small, table
 from tamarack.llm.decontaminate import contained_items
 from tamarack.llm.jaccard import ngram_jaccard_join
 from tamarack.llm.packing import pack
@@ -33,15 +33,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of 5-word Jaccard similarity of at least 0.8 stays: the smallest doc_id. Documents without words, or of a component without doc_id, stay."""
+    """One document of each component of 5-word Jaccard similarity of at least 0.8 stays: the smallest doc_id, or of a component without doc_id any one. Documents without words stay."""
     rows = materialize(ngram_jaccard_join(docs, k=5, pct=80), "pipeline-groups")
-    grouped = rows.where("n_shingles > 0 and component_id is not null")
-    first = grouped.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("component_id", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
+    grouped = rows.where("n_shingles > 0")
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")).alias("first")).select("component", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
     first = materialize(first, "pipeline-first")
-    gone = grouped.join(first, "component_id").where("doc_id is null or doc_id != first_id or th != first_th")
+    gone = grouped.join(first, "component").where("not (doc_id <=> first_id) or th != first_th")
     out = _without(docs, gone)
     if grouped.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
+        worded = F.coalesce(F.col("text").cast("string").rlike(WORD_RE), F.lit(False))
+        out = out.where(worded).dropDuplicates(["doc_id", "text"]).union(out.where(~worded))
     return out
 
 

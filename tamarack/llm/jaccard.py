@@ -21,7 +21,9 @@ sequence as one; without words, empty and linked with nothing. Two documents lin
 5. Components of these links by min-label joins.
 
 Defined cases: null text is empty; repeated rows each appear with their class; rows with a null doc_id count as nodes
-but name no component unless it has no other id; extra columns are ignored; an empty table gives an empty result.
+and link like others, but name no component: one without any doc_id has a null component_id. Posts name a node by a
+64-bit hash of its digest; should two nodes share one, they are only compared more often. Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,7 +108,7 @@ def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFra
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(_col(batch, "text"), k)
-        return {"node": [digest(s) for s in sets], "rep": _col(batch, "doc_id"), "family": _col(batch, "family"), "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
+        return {"node": [digest(s) for s in sets], "rep": _col(batch, "rep"), "family": _col(batch, "family"), "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
 
     return arrow_map(docs, fn, "node binary, rep long, family long, popular double, n long, tokens binary")
 
@@ -224,7 +226,7 @@ def _absorbed(sets: DataFrame, kin: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, th (a hash of the text), and node, the digest of the document's set (equal for equal sets)."""
+    """doc_id, n_shingles, component_id, th (a hash of the text), node, the digest of the document's set (equal for equal sets), and component, which all of a component share (null without words)."""
     spark = docs.sparkSession
     d = documents(docs).withColumn("th", F.xxhash64("text"))
     words = (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
@@ -233,7 +235,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     both = materialize(_signatures(d, k, pct, spark.sparkContext.broadcast(filt), words / 2 / width), "jaccard-prefixes")
     sigs = materialize(both.drop("prefix"), "jaccard-signatures")
 
-    nodes = both.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    nodes = both.where("n > 0").groupBy(F.xxhash64("node").alias("rep"), "node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     each = materialize(nodes.select("rep", "n", F.explode("prefix").alias("token")), "jaccard-tokens")
     remove(both)
     shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"df > 1 and (df > 2 or 100 * low >= {pct} * high)")
@@ -241,7 +243,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     remove(each)
     alive = materialize(posts.groupBy("rep").agg(F.max(F.struct("df", "token")).getField("token").alias("family"), F.avg("df").alias("popular")), "jaccard-alive")
 
-    sets = materialize(_token_sets(d.join(small(alive.withColumnRenamed("rep", "doc_id")), "doc_id"), k), "jaccard-sets")
+    # A node's text is that of its first row; rows equal to it in doc_id and text are met once.
+    first = sigs.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")).alias("x"), F.count("*").alias("copies"))
+    first = materialize(first.select(F.xxhash64("node").alias("rep"), F.col("x.doc_id").alias("first_id"), F.col("x.th").alias("first_th"), (F.col("copies") > 1).alias("copied")).join(alive, "rep"), "jaccard-first")
+    texts = [d.join(small(first.where(cond)), (F.col("th") == F.col("first_th")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "th", "text", "rep", "family", "popular") for cond in ("not copied", "copied")]
+    texts = texts[0].union(texts[1].dropDuplicates(["doc_id", "th", "rep"]))
+    sets = materialize(_token_sets(texts, k), "jaccard-sets")
     lead = sets.groupBy("family").agg(F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     lead = small(materialize(lead.select("family", "leader"), "jaccard-lead"))
     led = sets.select("node", "family", "tokens").join(lead, "family")
@@ -279,11 +286,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
 
     label = components(links.union(star))
     least = materialize(sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "jaccard-labels")
-    comp = materialize(least.join(least.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id"), "jaccard-components")
-    remove(posts, alive, sets, main, kin_of, joined, place, pairs, outer, called, least)
+    comp = materialize(least.join(least.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id", F.col("label").alias("component")), "jaccard-components")
+    remove(posts, alive, first, sets, main, kin_of, joined, place, pairs, outer, called, least)
     out = sigs.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th", "node")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th", "node", "component")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("node", "th")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("node", "th", "component")

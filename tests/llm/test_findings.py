@@ -49,3 +49,64 @@ def test_pipeline_decontaminates_each_row_on_its_own(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     left = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
     assert sorted(left, key=str) == sorted([rows[1], rows[2], rows[4], rows[5], rows[6]], key=str)
+
+
+def shingles(text, k):
+    w = (text or "").lower().encode().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def all_pairs(rows, k, pct):
+    """The component of each row, by comparing every two of them."""
+    sets, up = [shingles(t, k) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= pct * len(x | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return sets, [root(i) for i in range(len(rows))]
+
+
+def families():
+    """Rows of several families of near copies, some without doc_id, with repeats and rows without words."""
+    rng = np.random.default_rng(13)
+    rows, n = [(None, ""), (None, ""), (None, None), (5000, " "), (5000, " "), (5001, None), (None, "lone words of a null id"), (5002, "w1 w2"), (5003, "W1 w2")], 0
+    for f, size in enumerate((60, 90, 200, 30, 120, 64)):
+        base = [f"f{f}x{i}" for i in range(size)]
+        for c in range(25):
+            w = list(base)
+            for at in rng.choice(size, rng.integers(0, max(2, size // 20)), replace=False):
+                w[at] = f"c{c}y{at}"
+            if f == 1 and c % 3 == 0:
+                w = w[: size // 2] + [f"f2x{i}" for i in range(100)]
+            n += 1
+            rows.append((None if f == 0 or (f < 4 and c % 4 == 1) else n, " ".join(w)))
+    return rows + [rows[20], rows[20], rows[70], rows[70]]
+
+
+def test_jaccard_query_and_stage_against_all_pairs(spark, tmp_path):
+    import corpus_pipeline
+
+    from __spark_entry__ import queries
+
+    rows = families()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sets, root = all_pairs(rows, 4, 85)
+    least = {r: min((i for (i, _), q in zip(rows, root, strict=True) if q == r and i is not None), default=None) for r in root}
+    want = [(i, len(s), least[r] if s else i) for (i, _), s, r in zip(rows, sets, root, strict=True)]
+    got = [tuple(r) for r in queries()["op5_ngram_jaccard_join"](spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(set(root)) > 10
+
+    sets, root = all_pairs(rows, 5, 80)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    kept = {r: [x for x in left if x in {y for y, q in zip(rows, root, strict=True) if q == r}] for r, s in zip(root, sets, strict=True) if s}
+    for r, some in kept.items():
+        ids = [i for (i, _), q in zip(rows, root, strict=True) if q == r and i is not None]
+        assert len(some) == 1 and some[0][0] == min(ids, default=None)
+    assert sorted([x for x in left if not shingles(x[1], 5)], key=str) == sorted([x for x in rows if not shingles(x[1], 5)], key=str)
