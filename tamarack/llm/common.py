@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of characters other than these (space, \t \n \v \f \r).
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step holds at once (a longer single text is one step).
-STEP_BYTES = 4 << 20
-#: Rows per Arrow batch: a batch of the longest ordinary texts stays far below a worker's memory.
-ARROW_ROWS = 512
+STEP_BYTES = 2 << 20
+#: Rows and bytes per Arrow batch (a row of more bytes is a batch of its own).
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Session settings that the Python stages rely on; they bound a worker's memory."""
+    """Session settings that the Python stages rely on; they bound a worker's memory and stay set, since plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as set in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The cluster's shared folder, as set in spark.checkpoint.dir; a temporary one only where it is unset in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tamarack-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

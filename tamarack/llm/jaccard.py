@@ -4,7 +4,9 @@ A document's set: its distinct `k`-word shingles (64-bit hashes) of lower-cased
 sequence as one; without words, empty and linked with nothing. Two documents link when
 100 * |intersection| >= pct * |union|; the result has every document with the smallest doc_id of its component.
 
-1. Equal sets are one node, named by a 128-bit digest of the set.
+1. Equal sets are one node, named by a digest of the set's shingles and of a second, independent hash of each, so that
+   128 bits decide. Among linked sets a shingle counts by its 64-bit hash: two of 10,000 shingles each have a wrong
+   match with a chance of about 10**-11.
 2. A node can only link with one that shares a token of its prefix, the first n - ceil(pct * n / 100) + 1 tokens of its
    set in a common order: rare ones first, then those of the upper half of the hashes, then frequent ones. Frequency comes from a count-min sketch over all documents (of the lower half of the
    hashes); it steers the order only, so errors cost time, not links.
@@ -40,10 +42,10 @@ from pyspark.sql import functions as F
 from . import sketch as cms
 from .common import arrow_map, documents, materialize, remove, small, table
 from .graph import components
-from .textkit import Words, mix
+from .textkit import Words, hash_runs, mix
 
-#: Most nodes of a group, and about the most tokens (32 MB).
-GROUP, GROUP_TOKENS = 2048, 1 << 22
+#: Most nodes of a group, and about the most tokens (8 MB): a task holds two groups and some ten arrays of their size.
+GROUP, GROUP_TOKENS = 1024, 1 << 20
 #: Tokens below it are sketched.
 _HALF = np.uint64(1 << 63)
 
@@ -54,27 +56,33 @@ def _col(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    return [x for x, _ in _sets(Words(column, lower=True), k, ())]
+
+
+def named_sets(column: pa.Array, k: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """The sorted distinct shingle hashes of each text, and the name of that set."""
     w = Words(column, lower=True)
+    sets = list(_sets(w, k, w.grams(k, seed=1)[0]))
+    return [x for x, _ in sets], [hashlib.blake2b(x.tobytes() + int(y).to_bytes(8, "little"), digest_size=16).digest() for x, y in sets]
+
+
+def _sets(w: Words, k: int, second: np.ndarray | tuple) -> Iterator[tuple[np.ndarray, int]]:
+    """Each text's set and, where second hashes of all shingles are given, the sum of its shingles' second hashes."""
     g, at = w.grams(k)
-    edge, h = np.searchsorted(at, w.first), None
-    out = []
+    edge = np.searchsorted(at, w.first)
     for d in range(len(w)):
-        n = w.first[d + 1] - w.first[d]
-        if n >= k:
-            out.append(np.unique(g[edge[d] : edge[d + 1]]))
-        elif n == 0:
-            out.append(np.zeros(0, np.uint64))
+        lo, hi = w.first[d], w.first[d + 1]
+        if hi - lo >= k:
+            if len(second):
+                x, one = np.unique(g[edge[d] : edge[d + 1]], return_index=True)
+                yield x, int(second[edge[d] + one].sum())
+            else:
+                yield np.unique(g[edge[d] : edge[d + 1]]), 0
+        elif hi == lo:
+            yield np.zeros(0, np.uint64), 0
         else:
-            h = w.hash if h is None else h
-            x = np.array([n], np.uint64)
-            for j in range(w.first[d], w.first[d + 1]):
-                x = mix(x * np.uint64(0x9FB21C651E98DF25) + h[j : j + 1])
-            out.append(x)
-    return out
-
-
-def digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+            few = [hash_runs(w.hashes(seed)[lo:hi], hi - lo) ^ np.uint64(hi - lo) for seed in (0, 1)]
+            yield mix(few[0]), int(few[1][0])
 
 
 def needed(n: int, pct: int) -> int:
@@ -92,7 +100,7 @@ def levels(tokens: np.ndarray, filt: cms.Sketch, load: float) -> np.ndarray:
 
 def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(_col(batch, "text"), k)
+        sets, names = named_sets(_col(batch, "text"), k)
         level = levels(np.concatenate(sets) if sets else np.zeros(0, np.uint64), filt.value, load)
         prefix, at = [], 0
         for s in sets:
@@ -100,15 +108,15 @@ def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFra
             at += len(s)
             p = len(s) - needed(len(s), pct) + 1 if len(s) else 0
             prefix.append(s[order[:p]].view(np.int64))
-        return {"doc_id": _col(batch, "doc_id"), "th": _col(batch, "th"), "n": [len(s) for s in sets], "node": [digest(s) for s in sets], "prefix": prefix}
+        return {"doc_id": _col(batch, "doc_id"), "th": _col(batch, "th"), "n": [len(s) for s in sets], "node": names, "prefix": prefix}
 
     return arrow_map(docs, fn, "doc_id long, th long, n long, node binary, prefix array<long>")
 
 
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(_col(batch, "text"), k)
-        return {"node": [digest(s) for s in sets], "rep": _col(batch, "rep"), "family": _col(batch, "family"), "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
+        sets, names = named_sets(_col(batch, "text"), k)
+        return {"node": names, "rep": _col(batch, "rep"), "family": _col(batch, "family"), "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
 
     return arrow_map(docs, fn, "node binary, rep long, family long, popular double, n long, tokens binary")
 
@@ -216,81 +224,155 @@ def _meet(pct: int):
     return run
 
 
-def _absorbed(sets: DataFrame, kin: DataFrame) -> DataFrame:
-    """family, into: families that join their largest kin, so that its groups needn't meet each of them on its own."""
-    size = sets.groupBy("family").agg(F.count("*").alias("c"))
-    both = kin.union(kin.select(F.col("g").alias("f"), F.col("f").alias("g")))
-    both = both.join(size.select(F.col("family").alias("f"), F.struct("c", F.col("family").alias("id")).alias("x")), "f").join(size.select(F.col("family").alias("g"), F.struct("c", F.col("family").alias("id")).alias("y")), "g")
-    best = both.where("y > x").groupBy(F.col("f").alias("family")).agg(F.max("y").getField("id").alias("into"))
-    return best.join(best.select(F.col("family").alias("into")), "into", "left_anti").select("family", "into")
-
-
-def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, th (a hash of the text), node, the digest of the document's set (equal for equal sets), and component, which all of a component share (null without words)."""
-    spark = docs.sparkSession
-    d = documents(docs).withColumn("th", F.xxhash64("text"))
-    words = (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+def _frequencies(docs: DataFrame, k: int) -> tuple[cms.Sketch, float]:
+    """A sketch of the shingles of the hashes' lower half over all documents, and how many there are a cell."""
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     width = cms.width_for(words / 2)
-    filt = cms.build(d, lambda b: (lambda x: x[x < _HALF])(np.concatenate(shingle_sets(_col(b, "text"), k) or [np.zeros(0, np.uint64)])), width)
-    both = materialize(_signatures(d, k, pct, spark.sparkContext.broadcast(filt), words / 2 / width), "jaccard-prefixes")
-    sigs = materialize(both.drop("prefix"), "jaccard-signatures")
+    sketched = lambda b: (lambda x: x[x < _HALF])(np.concatenate(shingle_sets(_col(b, "text"), k) or [np.zeros(0, np.uint64)]))
+    return cms.build(docs, sketched, width), words / 2 / width
 
-    nodes = both.where("n > 0").groupBy(F.xxhash64("node").alias("rep"), "node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+
+def _postings(signed: DataFrame, pct: int) -> DataFrame:
+    """token, rep, df of the prefix tokens that stand in other nodes' prefixes of a fitting size."""
+    nodes = signed.where("n > 0").groupBy(F.xxhash64("node").alias("rep"), "node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     each = materialize(nodes.select("rep", "n", F.explode("prefix").alias("token")), "jaccard-tokens")
-    remove(both)
-    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"df > 1 and (df > 2 or 100 * low >= {pct} * high)")
-    posts = materialize(each.join(shared.select("token", "df"), "token").select("token", "rep", "df"), "jaccard-shared")
+    remove(signed)
+    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = shared.where(f"df > 1 and (df > 2 or 100 * low >= {pct} * high)").select("token", "df")
+    posts = materialize(each.join(shared, "token").select("token", "rep", "df"), "jaccard-shared")
     remove(each)
-    alive = materialize(posts.groupBy("rep").agg(F.max(F.struct("df", "token")).getField("token").alias("family"), F.avg("df").alias("popular")), "jaccard-alive")
-
-    # A node's text is that of its first row; rows equal to it in doc_id and text are met once.
-    first = sigs.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")).alias("x"), F.count("*").alias("copies"))
-    first = materialize(first.select(F.xxhash64("node").alias("rep"), F.col("x.doc_id").alias("first_id"), F.col("x.th").alias("first_th"), (F.col("copies") > 1).alias("copied")).join(alive, "rep"), "jaccard-first")
-    texts = [d.join(small(first.where(cond)), (F.col("th") == F.col("first_th")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "th", "text", "rep", "family", "popular") for cond in ("not copied", "copied")]
-    texts = texts[0].union(texts[1].dropDuplicates(["doc_id", "th", "rep"]))
-    sets = materialize(_token_sets(texts, k), "jaccard-sets")
+    return posts
+
+
+def _node_sets(docs: DataFrame, sigs: DataFrame, alive: DataFrame, k: int) -> DataFrame:
+    """The set of each node that can link, from its first row's text; rows equal to that in doc_id and text count once."""
+    ident = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")
+    first = sigs.where("n > 0").groupBy("node").agg(F.min(ident).alias("x"), F.count("*").alias("copies"))
+    first = first.select(F.xxhash64("node").alias("rep"), F.col("x.doc_id").alias("first_id"), F.col("x.th").alias("first_th"), (F.col("copies") > 1).alias("copied"))
+    first = materialize(first.join(alive, "rep"), "jaccard-first")
+    same = (F.col("th") == F.col("first_th")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = [docs.join(small(first.where(cond)), same).select("doc_id", "th", "text", "rep", "family", "popular") for cond in ("not copied", "copied")]
+    sets = materialize(_token_sets(texts[0].union(texts[1].dropDuplicates(["doc_id", "th", "rep"])), k), "jaccard-sets")
+    remove(first)
+    return sets
+
+
+def _main_parts(sets: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
+    """node, main: the nodes that link with their family's most typical one; and these links."""
     lead = sets.groupBy("family").agg(F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     lead = small(materialize(lead.select("family", "leader"), "jaccard-lead"))
     led = sets.select("node", "family", "tokens").join(lead, "family")
     leaders = led.where("node = leader").dropDuplicates(["family"]).select("family", F.col("tokens").alias("lead"))
     checked = led.where("node != leader").join(leaders, "family").select("node", "tokens", "lead").mapInArrow(_typical(pct), "node binary, main boolean")
-    main = materialize(checked.where("main").select("node", "main").union(led.select("node", (F.col("node") == F.col("leader")).alias("main")).where("main")).distinct(), "jaccard-main")
+    leading = led.select("node", (F.col("node") == F.col("leader")).alias("main"))
+    main = materialize(checked.union(leading).where("main").distinct(), "jaccard-main")
     star = main.join(sets.select("node", "family"), "node").join(lead, "family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-
-    kin = posts.select("token", "rep").join(alive.select("rep", "family"), "rep").select("token", "family").distinct()
-    kin = kin_of = materialize(kin.alias("p").join(kin.alias("q"), F.expr("p.token = q.token and p.family < q.family")).select(F.col("p.family").alias("f"), F.col("q.family").alias("g")).distinct(), "jaccard-kin")
-    joined = materialize(_absorbed(sets, kin), "jaccard-absorbed")
+    return main, star
+
+
+def _kin(posts: DataFrame, alive: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Families that share a prefix token are kin. family, into: families that join their largest kin, so that its groups
+    needn't meet each of them on its own; and f, g: the pairs of kin that are left.
+
+    The largest kin comes from each token's largest family, so only families that are left are paired.
+    """
+    size = sets.groupBy("family").agg(F.count("*").alias("c")).select("family", F.struct("c", "family").alias("x"))
+    holds = posts.select("token", "rep").join(alive.select("rep", "family"), "rep").select("token", "family").distinct()
+    holds = materialize(holds.join(size, "family").select("token", "family", "x"), "jaccard-families")
+    top = holds.groupBy("token").agg(F.max("x").alias("top"), F.min("x").alias("low")).where("top > low").drop("low")
+    best = holds.join(top, "token").where("top > x").groupBy("family").agg(F.max("top").getField("family").alias("into"))
+    best = materialize(best, "jaccard-best")
+    joined = materialize(best.join(best.select(F.col("family").alias("into")), "into", "left_anti").select("family", "into"), "jaccard-absorbed")
+    left = holds.select("token", "family").join(joined, "family", "left").select("token", F.coalesce("into", "family").alias("family")).distinct()
+    left = materialize(left.join(top.select("token"), "token", "left_semi"), "jaccard-left")
+    pair = left.alias("p").join(left.alias("q"), F.expr("p.token = q.token and p.family < q.family"))
+    kin = materialize(pair.select(F.col("p.family").alias("f"), F.col("q.family").alias("g")).distinct(), "jaccard-kin")
+    remove(holds, best, left)
+    return joined, kin
+
+
+def _places(sets: DataFrame, main: DataFrame, joined: DataFrame, pct: int) -> DataFrame:
+    """node, rep, family, n, main and gid, its group: families are dealt by size and hash."""
     scale = F.floor(F.log(F.col("n").cast("double")) / -math.log(pct / 100 if pct < 100 else 0.99))
     place = sets.select("node", "rep", "family", "n", scale.alias("scale")).join(main, "node", "left").join(joined, "family", "left")
-    place = place.select("node", "rep", F.coalesce("into", "family").alias("family"), "n", "scale", (F.coalesce("main", F.lit(False)) & F.col("into").isNull()).alias("main"))
-    sizes = place.groupBy("family", "main", "scale").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("groups"))
-    place = materialize(place.join(sizes, ["family", "main", "scale"]).withColumn("gid", F.xxhash64("family", "main", "scale", F.pmod(F.xxhash64("node"), "groups"))), "jaccard-places")
+    stays = F.coalesce("main", F.lit(False)) & F.col("into").isNull()
+    place = place.select("node", "rep", F.coalesce("into", "family").alias("family"), "n", "scale", stays.alias("main"))
+    room = F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)
+    sizes = place.groupBy("family", "main", "scale").agg(F.ceil(room).alias("groups"))
+    gid = F.xxhash64("family", "main", "scale", F.pmod(F.xxhash64("node"), "groups"))
+    return materialize(place.join(sizes, ["family", "main", "scale"]).withColumn("gid", gid), "jaccard-places")
+
+
+def _calls(posts: DataFrame, place: DataFrame, kin: DataFrame, pct: int) -> DataFrame:
+    """node, l, r, side: which node takes part in which meeting of two groups."""
     groups = place.groupBy("gid", "family", "main").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = groups.alias("x"), groups.alias("y")
-    inner = x.join(y, F.expr(f"x.family = y.family and not (x.main and y.main) and (x.gid < y.gid or x.gid = y.gid and x.members > 1) and 100 * y.high >= {pct} * x.low and 100 * x.high >= {pct} * y.low"))
-    kin = kin.join(joined.select(F.col("family").alias("f"), F.col("into").alias("fi")), "f", "left").join(joined.select(F.col("family").alias("g"), F.col("into").alias("gi")), "g", "left").select(F.coalesce("fi", "f").alias("f"), F.coalesce("gi", "g").alias("g"))
-    kin = kin.where("f != g").select(F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g")).distinct()
-    side = lambda f, gid, low, high: groups.select(F.col("family").alias(f), F.col("gid").alias(gid), F.col("low").alias(low), F.col("high").alias(high))
-    outer = kin.join(side("f", "l", "low1", "high1"), "f").join(side("g", "r", "low2", "high2"), "g").where(f"100 * high2 >= {pct} * low1 and 100 * high1 >= {pct} * low2").select("f", "g", "l", "r")
+    fits = f"100 * y.high >= {pct} * x.low and 100 * x.high >= {pct} * y.low"
+    inner = groups.alias("x").join(groups.alias("y"), F.expr(f"x.family = y.family and not (x.main and y.main) and (x.gid < y.gid or x.gid = y.gid and x.members > 1) and {fits}"))
     pairs = materialize(inner.select(F.col("x.gid").alias("l"), F.col("y.gid").alias("r")).distinct(), "jaccard-pairs")
-    meets = pairs.withColumn("side", F.lit(0)).withColumn("gid", F.col("l")).union(pairs.where("l != r").withColumn("side", F.lit(1)).withColumn("gid", F.col("r")))
+    meets = pairs.withColumn("side", F.lit(0)).withColumn("gid", F.col("l"))
+    meets = meets.union(pairs.where("l != r").withColumn("side", F.lit(1)).withColumn("gid", F.col("r")))
     within = place.select("node", "gid").join(meets, "gid").select("node", "l", "r", "side")
+
+    end = lambda f, gid, no: groups.select(F.col("family").alias(f), F.col("gid").alias(gid), F.col("low").alias(f"low{no}"), F.col("high").alias(f"high{no}"))
+    outer = kin.join(end("f", "l", 1), "f").join(end("g", "r", 2), "g").where(f"100 * high2 >= {pct} * low1 and 100 * high1 >= {pct} * low2")
+    outer = materialize(outer.select("f", "g", "l", "r"), "jaccard-outer")
     held = posts.select("token", "rep").join(place.select("rep", "node", "gid", "family"), "rep").select("token", "node", "gid", "family")
     other = held.select("token", F.col("family").alias("other")).distinct()
     wants = held.join(other, "token").where("family != other").select("node", "gid", "other").distinct()
-    outer = materialize(outer, "jaccard-outer")
-    ends = outer.select("l", "r", F.lit(0).alias("side"), F.col("l").alias("gid"), F.col("g").alias("other")).union(outer.select("l", "r", F.lit(1), "r", "f"))
+    ends = outer.select("l", "r", F.lit(0).alias("side"), F.col("l").alias("gid"), F.col("g").alias("other"))
+    ends = ends.union(outer.select("l", "r", F.lit(1), "r", "f"))
     across = wants.join(ends, ["gid", "other"]).select("node", "l", "r", "side")
     called = materialize(within.union(across).distinct(), "jaccard-calls")
-    links = sets.select("node", "tokens").join(small(called), "node").select("l", "r", "side", "node", "tokens").repartition("l", "r").sortWithinPartitions("l", "r", "side").mapInArrow(_meet(pct), "a binary, b binary")
+    remove(pairs, outer)
+    return called
+
 
+def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, th (a hash of the text), node, the digest of the document's set (equal for equal sets), and component, which all of a component share (null without words)."""
+    spark = docs.sparkSession
+    d = documents(docs).withColumn("th", F.xxhash64("text"))
+    filt, load = _frequencies(d, k)
+    both = materialize(_signatures(d, k, pct, spark.sparkContext.broadcast(filt), load), "jaccard-prefixes")
+    sigs = materialize(both.drop("prefix"), "jaccard-signatures")
+    posts = _postings(both, pct)
+    family = F.max(F.struct("df", "token")).getField("token")
+    alive = materialize(posts.groupBy("rep").agg(family.alias("family"), F.avg("df").alias("popular")), "jaccard-alive")
+    sets = _node_sets(d, sigs, alive, k)
+    main, star = _main_parts(sets, pct)
+    joined, kin = _kin(posts, alive, sets)
+    place = _places(sets, main, joined, pct)
+    called = _calls(posts, place, kin, pct)
+    remove(joined, kin, place, posts, alive)
+
+    met = sets.select("node", "tokens").join(small(called), "node").select("l", "r", "side", "node", "tokens")
+    links = met.repartition("l", "r").sortWithinPartitions("l", "r", "side").mapInArrow(_meet(pct), "a binary, b binary")
     label = components(links.union(star))
-    least = materialize(sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "jaccard-labels")
-    comp = materialize(least.join(least.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id", F.col("label").alias("component")), "jaccard-components")
-    remove(posts, alive, first, sets, main, kin_of, joined, place, pairs, outer, called, least)
+    least = sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left")
+    least = materialize(least.select("node", "rep", F.coalesce("label", "node").alias("label")), "jaccard-labels")
+    named = least.groupBy("label").agg(F.min("rep").alias("component_id"))
+    comp = materialize(least.join(named, "label").select("node", "component_id", F.col("label").alias("component")), "jaccard-components")
+    remove(sets, main, called, least)
     out = sigs.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th", "node", "component")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("node", "th", "component")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+OP5_SQL = f"""
+with recursive w as (select doc_id, {_WORDS} as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
+sized as (select doc_id, len(s) as n, list_sort(s) as s from s),
+node as (select min(doc_id) as rep, any_value(n) as n, s from sized where n > 0 group by s),
+each as (select rep, n, unnest(s) as x from node),
+near as (select a.rep as a, b.rep as b from each a join each b on a.x = b.x and a.rep < b.rep
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e as (select a, b from near union all select b, a from near),
+reach as (select rep, rep as root from node union select e.b, r.root from reach r join e on e.a = r.rep),
+least as (select rep, min(root) as root from reach group by rep)
+select d.doc_id, cast(d.n as bigint) as n_shingles, coalesce(l.root, d.doc_id) as component_id
+from sized d left join node on node.s = d.s left join least l on l.rep = node.rep
+"""

@@ -1,9 +1,9 @@
 """Count-min sketches that are built per task, merged by blocks and broadcast.
 
 Cells saturate at 255 and only ever overestimate, so `estimate(h) < 2` proves that a value was seen at most once. A task
-sends a block sparsely (3 bytes a cell in use) or densely (1 byte a cell), whichever is smaller. The merged sketch has
-depth x width bytes with width at most MAX_WIDTH: that, and so the broadcast, is bounded whatever the input. Beyond the
-width's capacity more values look repeated, which costs time in the exact pass but loses nothing.
+sends a block sparsely (3 bytes a cell in use) or densely (1 byte a cell), whichever is smaller. A merged sketch has
+depth x width bytes; callers build one of at most MAX_WIDTH cells a row, so that the broadcast is bounded whatever the
+input, and have another way beyond it.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ MAX_WIDTH = 1 << 25
 _SALTS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
 
-def width_for(values: float) -> int:
-    """Cells for about so many values: a power of two from BLOCK to MAX_WIDTH."""
-    return min(MAX_WIDTH, max(BLOCK, 1 << int(np.ceil(np.log2(max(2.0, values))))))
+def width_for(values: float, most: int | None = MAX_WIDTH) -> int:
+    """Cells for about so many values: a power of two from BLOCK to `most`."""
+    wanted = max(BLOCK, 1 << int(np.ceil(np.log2(max(2.0, values)))))
+    return wanted if most is None else min(most, wanted)
 
 
 def cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
     x = h if row == 0 else mix(h ^ np.uint64(_SALTS[row]))
-    return (x >> np.uint64(20)) & np.uint64(width - 1)
+    return (x >> np.uint64(8)) & np.uint64(width - 1)
 
 
 class Sketch:

@@ -8,8 +8,11 @@ document with a smaller doc_id. Passes:
 2. Every window is named by its minimizer, the smallest hash of its 8-word grams: equal windows have equal minimizers,
    and neighbouring windows mostly share one, so the sketch holds a small part of the windows' number. Task sketches of
    the minimizers of each document are merged; a window whose minimizer is estimated in one document only is unique.
-3. Only windows that are estimated repeated are grouped exactly, by 128 bits of hash over all their words. Nothing is
-   lost, since the estimate never falls below the count.
+   Up to MOST_CELLS cells the merged sketch is broadcast. A wider one is partitioned by cells: its counts and the
+   documents' cells are shuffled (about 0.2 bytes a byte of text) and meet there, with the same windows as the result.
+3. Only windows that are estimated repeated are grouped exactly, by two independent 64-bit hashes over all their words
+   (a wrong match among 10**12 windows has a chance of about 10**-15). Nothing is lost, since the estimate never falls
+   below the count.
 4. Documents with a removed window are rebuilt from their texts.
 
 Hot windows are aggregated map-side to their smallest doc_id and joined back from written tables, so a skewed join can
@@ -30,12 +33,13 @@ from pyspark.sql import functions as F
 
 from . import sketch as cms
 from .common import arrow_map, documents, materialize, release, remove, small, table
-from .textkit import Words, sliding_min
+from .textkit import Words, hash_runs, sliding_min
 
 WINDOW = 50
 #: Words of the grams whose least hash names a window.
 GRAM = 8
-_Q1, _Q2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+#: Cells of a sketch that is broadcast (a byte each, two rows).
+MOST_CELLS = cms.MAX_WIDTH
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -45,19 +49,13 @@ def _col(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def _minimizers(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(minimizer of each window, the window's first word)."""
-    half = min(GRAM, window)
-    h = w.hash
-    m = len(h) - window + 1
+    gram = min(GRAM, window)
+    m = len(w.hash) - window + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    from .textkit import mix, powers
-
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(_Q1, len(h)), out=total[1:])
-    g = mix((total[half:] - total[:-half]) * powers(pow(_Q1, -1, 1 << 64), len(h))[: len(h) - half + 1])
     doc = w.doc_of()
     ok = np.flatnonzero(doc[:m] == doc[window - 1 :])
-    return sliding_min(g, window - half + 1)[ok], ok
+    return sliding_min(hash_runs(w.hash, gram), window - gram + 1)[ok], ok
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -69,37 +67,68 @@ def _digests(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, fn, "doc_id long, th long, n_words long, digest string")
 
 
-def _distinct_minimizers(window: int):
-    def fn(batch: pa.RecordBatch) -> np.ndarray:
+def _distinct(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, minimizer), each once, by document."""
+    m, at = _minimizers(w, window)
+    if not len(m):
+        return np.zeros(0, np.int64), m
+    doc = w.doc_of()[at]
+    order = np.lexsort((m, doc))
+    m, doc = m[order], doc[order]
+    first = np.ones(len(m), bool)
+    first[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
+    return doc[first], m[first]
+
+
+def _chosen(batch: pa.RecordBatch, w: Words, at: np.ndarray) -> dict:
+    """The texts that have chosen windows (first words at), and these windows' positions."""
+    edge = np.searchsorted(at, w.first)
+    rows = np.flatnonzero(np.diff(edge))
+    keep = pa.array(rows)
+    return {c: _col(batch, c).take(keep) for c in ("doc_id", "th", "text")} | {"at": [at[edge[d] : edge[d + 1]] - w.first[d] for d in rows]}
+
+
+_SUSPECTS = "doc_id long, th long, text string, at array<int>"
+
+
+def _suspects(docs: DataFrame, window: int, cells: int) -> DataFrame:
+    """Documents with windows that may be repeated, by a broadcast sketch: their text, and the positions of those windows."""
+    filt = docs.sparkSession.sparkContext.broadcast(cms.build(docs, lambda b: _distinct(Words(_col(b, "text")), window)[1], cells, depth=2))
+
+    def fn(batch: pa.RecordBatch) -> dict:
         w = Words(_col(batch, "text"))
         m, at = _minimizers(w, window)
-        if not len(m):
-            return m
-        doc = w.doc_of()[at]
-        order = np.lexsort((m, doc))
-        m, doc = m[order], doc[order]
-        first = np.ones(len(m), bool)
-        first[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
-        return m[first]
+        return _chosen(batch, w, at[filt.value.estimate(m) >= 2])
 
-    return fn
+    return arrow_map(docs, fn, _SUSPECTS)
 
 
-def _suspects(docs: DataFrame, filt, window: int) -> DataFrame:
-    """Documents with windows that may be repeated: their text, and the positions of those windows."""
+def _suspects_by_cells(docs: DataFrame, window: int, cells: int) -> DataFrame:
+    """As _suspects, by a sketch that is partitioned by its cells."""
+
+    def used(batch: pa.RecordBatch) -> dict:
+        w = Words(_col(batch, "text"))
+        doc, m = _distinct(w, window)
+        cell = cms.cells(m, 0, cells).view(np.int64)
+        edge = np.searchsorted(doc, np.arange(len(w) + 1))
+        return {"doc_id": _col(batch, "doc_id"), "th": _col(batch, "th"), "cells": [cell[edge[d] : edge[d + 1]] for d in range(len(w))]}
+
+    each = arrow_map(docs, used, "doc_id long, th long, cells array<long>").select("doc_id", "th", F.explode("cells").alias("cell"))
+    each = materialize(each, "substring-cells")
+    counts = materialize(each.groupBy("cell").count().where("count > 1").select("cell"), "substring-counts")
+    hits = each.join(counts, "cell").groupBy("doc_id", "th").agg(F.collect_set("cell").alias("cells"))
 
     def fn(batch: pa.RecordBatch) -> dict:
         w = Words(_col(batch, "text"))
         m, at = _minimizers(w, window)
-        hit = filt.value.estimate(m) >= 2
-        at = at[hit]
-        edge = np.searchsorted(at, w.first)
-        rows = np.flatnonzero(np.diff(edge))
-        keep = pa.array(rows)
-        base = w.first
-        return {"doc_id": _col(batch, "doc_id").take(keep), "th": _col(batch, "th").take(keep), "text": _col(batch, "text").take(keep), "at": [at[edge[d] : edge[d + 1]] - base[d] for d in rows]}
+        cell, doc, listed = cms.cells(m, 0, cells), w.doc_of()[at], _col(batch, "cells")
+        edge = np.searchsorted(doc, np.arange(len(w) + 1))
+        hit = [np.isin(cell[edge[d] : edge[d + 1]], listed[d].values.to_numpy().view(np.uint64)) for d in range(len(w))]
+        return _chosen(batch, w, at[np.concatenate(hit)] if hit else at)
 
-    return arrow_map(docs, fn, "doc_id long, th long, text string, at array<int>")
+    found = materialize(arrow_map(docs.join(hits, ["doc_id", "th"]), fn, _SUSPECTS), "substring-suspects")
+    remove(each, counts)
+    return found
 
 
 def _hashed(found: DataFrame, window: int) -> DataFrame:
@@ -107,8 +136,8 @@ def _hashed(found: DataFrame, window: int) -> DataFrame:
 
     def fn(batch: pa.RecordBatch) -> dict:
         w = Words(_col(batch, "text"))
-        h1, at = w.windows(window, _Q1)
-        h2, _ = w.windows(window, _Q2)
+        h1, at = w.grams(window)
+        h2, _ = w.grams(window, seed=1)
         positions = _col(batch, "at")
         n = np.diff(positions.offsets.to_numpy())
         doc = np.repeat(np.arange(len(n)), n)
@@ -136,7 +165,7 @@ def _rebuild(docs: DataFrame, window: int) -> DataFrame:
     return arrow_map(docs, fn, "doc_id long, th long, n_removed long, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, most_cells: int = MOST_CELLS) -> DataFrame:
     """doc_id, n_words, n_removed, digest (SHA-256 of all words) and kept_text (null: nothing, or everything, was removed)."""
     d = documents(docs).withColumn("th", F.xxhash64("text"))
     base = materialize(_digests(d), "substring-base")
@@ -147,9 +176,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copies = materialize(marked.where("copy").select("doc_id", "th").distinct(), "substring-gone")
     searched = d.where(F.col("doc_id").isNotNull()).join(small(copies), ["doc_id", "th"], "left_anti")
     words = marked.agg(F.sum("n_words")).first()[0] or 0
-    filt = cms.build(searched, _distinct_minimizers(window), cms.width_for(4 * words * 2 / (window - GRAM + 2)), depth=2)
-    shared = d.sparkSession.sparkContext.broadcast(filt)
-    found = materialize(_suspects(searched, shared, window), "substring-suspects")
+    cells = cms.width_for(4 * words * 2 / (window - GRAM + 2), most=None)
+    found = materialize(_suspects(searched, window, cells), "substring-suspects") if cells <= most_cells else _suspects_by_cells(searched, window, cells)
     rows = _hashed(found, window)
     least = materialize(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "substring-windows")
     release(d.sparkSession)

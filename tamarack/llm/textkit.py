@@ -1,12 +1,15 @@
 """Vectorised words, word hashes and shingles of a run of texts, straight from Arrow's buffers.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit: a polynomial over the word's bytes
-modulo 2**64, then a bijective mixer, so equal words always hash equally on every machine and in every process.
-Memory follows the bytes of the run (about 40 bytes for each), so callers pass runs of a few MB (see common.slices).
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Its 64-bit hash takes its bytes in lanes of eight and
+mixes each into the whole so far, with no linear structure that patterned words could exploit; runs of words are hashed
+alike from their words' hashes. Equal words hash equally on every machine and in every process. A seed gives another,
+independent hash: two of them make 128 bits where a hash alone decides.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,22 +18,12 @@ WS = np.zeros(256, bool)
 WS[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = U(0x9E3779B97F4A7C15 | 1)
-BASE_INV = U(pow(int(BASE), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
-        have = np.full(size, U(base), U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
-            _powers[int(base)] = have
-    return have[:n]
+#: Starting points of the independent hashes.
+SEEDS = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
+#: The low k bytes of a lane.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Bytes of a word beyond which it is hashed by BLAKE2b on its own.
+LONG_WORD = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,6 +35,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what a stands for followed by what b stands for."""
+    return mix((a ^ (a >> U(29))) * U(0x9FB21C651E98DF25) + b)
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    size = ends - starts
+    h = mix(size.astype(U) * U(0xD1342543DE82EF95) ^ SEEDS[seed])
+    if not len(h):
+        return h
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=raw.data, strides=(1,))
+    todo, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(todo):
+        left = size[todo] - at
+        h[todo] = join(h[todo], lanes[starts[todo] + at] & _LOW[np.minimum(left, 8)])
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        word = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([seed]))
+        h[i] = U(int.from_bytes(word.digest(), "little"))
+    return h
+
+
+def hash_runs(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k consecutive ones, by doubling."""
+    run, width, out, have = h, 1, None, 0
+    while True:
+        if k & 1:
+            n = len(run) - have
+            out = run if out is None else join(out[: max(0, n)], run[have:])
+            have += width
+        k >>= 1
+        if not k:
+            return out
+        run = join(run[: max(0, len(run) - width)], run[width:])
+        width *= 2
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if column.null_count:
@@ -77,7 +108,7 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
         self._lower = lower
-        self._hash = None
+        self._hashes: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -86,53 +117,32 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        if seed not in self._hashes:
+            data = LOWER[self.data] if self._lower else self.data
+            self._hashes[seed] = hash_words(data, self.starts, self.ends, seed)
+        return self._hashes[seed]
+
     @property
     def hash(self) -> np.ndarray:
-        if self._hash is None:
-            n = len(self.data)
-            raw = (LOWER[self.data] if self._lower else self.data).astype(U)
-            raw += U(1)
-            raw *= powers(BASE, n)
-            total = np.zeros(n + 1, U)
-            np.cumsum(raw, out=total[1:])
-            h = total[self.ends] - total[self.starts]
-            if n:
-                h *= powers(BASE_INV, n)[self.starts]
-            self._hash = mix(h + (self.ends - self.starts).astype(U) * U(0xD1342543DE82EF95))
-        return self._hash
+        return self.hashes()
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), self.counts)
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each k consecutive words, its first word's index), windows within one text only."""
-        h = self.hash
+        h = self.hashes(seed)
         m = len(h) - k + 1
         if m <= 0:
             return np.zeros(0, U), np.zeros(0, np.int64)
-        g = h[:m].copy()
-        for j in range(1, k):
-            g = mix(g * U(0x9FB21C651E98DF25) + h[j : j + m])
         doc = self.doc_of()
         ok = np.flatnonzero(doc[:m] == doc[k - 1 :])
-        return g[ok], ok
+        return hash_runs(h, k)[ok], ok
 
     def bytes_of(self, d: int) -> bytes:
         return self.data[self.offsets[d] : self.offsets[d + 1]].tobytes()
 
-    def windows(self, k: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """As grams(), by prefix sums: for long windows."""
-        h = self.hash
-        m = len(h) - k + 1
-        if m <= 0:
-            return np.zeros(0, U), np.zeros(0, np.int64)
-        total = np.zeros(len(h) + 1, U)
-        np.cumsum(h * powers(base, len(h)), out=total[1:])
-        w = (total[k:] - total[:-k]) * powers(pow(base, -1, 1 << 64), len(h))[:m]
-        doc = self.doc_of()
-        ok = np.flatnonzero(doc[:m] == doc[k - 1 :])
-        return mix(w[ok]), ok
-
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     """Minimum of each k consecutive values."""
