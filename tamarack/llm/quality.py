@@ -190,4 +190,38 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+OP9_SQL = r"""
+with d as (select doc_id, coalesce(lang, '') as s, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+line as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as pos, unnest(w) as word from d),
+gram as (select doc_id, pos, word, lead(word) over o as b, lead(word, 2) over o as c from word window o as (partition by doc_id order by pos)),
+often as (select doc_id, pos, case when c is not null and count(*) over (partition by doc_id, word, b, c) > 1 then 1 else 0 end as hit from gram),
+cover as (select doc_id, max(hit) over (partition by doc_id order by pos rows between 2 preceding and current row) as hit from often),
+rep as (select doc_id, sum(hit) as n from cover group by doc_id),
+t as (select doc_id, s, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+  cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
+  cast(coalesce(rep.n, 0) as bigint) as n_repeat_words, len(l) as n_lines, len(regexp_extract_all(text, '[A-Z]')) as n_upper, len(regexp_extract_all(text, '[A-Za-z]')) as n_alpha
+  from d join line using (doc_id) left join rep using (doc_id)),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  [{'k': 'symbol_ratio', 'a': n_symbols, 'b': word_chars}, {'k': 'dup_line_ratio', 'a': n_dup_lines, 'b': n_lines},
+   {'k': 'repeat_ratio', 'a': n_repeat_words, 'b': n_words}, {'k': 'upper_ratio', 'a': n_upper, 'b': n_alpha}] as x from t),
+bin as (select doc_id, s, base_failed, x.k as k, case when x.b > 0 then floor(least(1.0::double, x.a / x.b) * 64) else 0 end as bin
+  from (select doc_id, s, base_failed, unnest(x) as x from v)),
+lab as (select doc_id, max(quality) as q from labels where quality in (0, 1) group by doc_id),
+c as (select s, k, q, bin, count(*) as n from bin join lab using (doc_id) where not base_failed group by all),
+tot as (select s, k, coalesce(sum(n) filter (where q = 1), 0) as good0, coalesce(sum(n) filter (where q = 0), 0) as bad0 from c group by s, k),
+cut as (select s, k, i, good0, bad0, (select coalesce(sum(n), 0) from c where c.s = tot.s and c.k = tot.k and q = 1 and bin >= i) as good,
+  (select coalesce(sum(n), 0) from c where c.s = tot.s and c.k = tot.k and q = 0 and bin >= i) as bad
+  from tot, (select unnest(range(1, 65)) as i)),
+term as (select s, k, i, sum(exp(lgamma(good0 + 1) - lgamma(j + 1) - lgamma(good0 - j + 1) + j * ln(0.05 / 4) + (good0 - j) * ln(1 - 0.05 / 4))) as cdf
+  from (select *, unnest(range(0, cast(good as bigint) + 1)) as j from cut where good <= floor(good0 * 0.05 / 4)) group by s, k, i),
+gain as (select s, k, i, bad / greatest(1, bad0) - 10 * good / greatest(1, good0) as gain from cut join term using (s, k, i)
+  where good0 > 0 and cdf <= 0.05 / (select count(*) from tot)),
+best as (select s, k, max(struct_pack(gain := gain, i := i)).i as i from gain where gain > 0 group by s, k),
+bad as (select doc_id, array_to_string(list_sort(list(bin.k)), ',') as failed_rules from bin join best on bin.s = best.s and bin.k = best.k and bin >= best.i group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed_rules is null as kept, coalesce(failed_rules, '') as failed_rules
+from v left join bad using (doc_id)
+"""

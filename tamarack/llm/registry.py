@@ -2,12 +2,12 @@
 
 from .chat import OP6_SQL, op6_chat_format
 from .decontaminate import OP2_SQL, op2_decontamination
-from .jaccard import op5_ngram_jaccard_join
+from .jaccard import OP5_SQL, op5_ngram_jaccard_join
 from .langid import op10_language_id
 from .packing import op3_nnls_packing
-from .quality import op9_quality_rules
-from .secrets import op4_secret_scan
-from .substring import op7_substring_dedup
+from .quality import OP9_SQL, op9_quality_rules
+from .secrets import OP4_SQL, op4_secret_scan
+from .substring import OP7_SQL, op7_substring_dedup
 from .toxicity import op8_toxicity
 from .warc import OP1_SQL, op1_warc
 
@@ -26,5 +26,9 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_decontamination": OP2_SQL,
+    "op4_secret_scan": OP4_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
     "op6_chat_format": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op9_quality_rules": OP9_SQL,
 }

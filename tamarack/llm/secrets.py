@@ -250,3 +250,29 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"].isin([b.kind for b in BASE_RULES]))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return r.select("doc_id", *[count(b.kind) for b in BASE_RULES], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _folded(pattern: str) -> str:
+    """The pattern with each lower-case literal letter as a class of both cases."""
+    return re.sub(r"\[[^]]*\]|\\x..|[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]" if len(m[0]) == 1 else m[0], pattern)
+
+
+def _rule_sql(rule: Rule) -> str:
+    p = (_folded(rule.pattern) if rule.flags & re.IGNORECASE else rule.pattern).replace("'", "''")
+    return f"""select doc_id, '{rule.kind}' as kind, {RULES.index(rule)} as no, {rule.least} as least, string_split_regex(text, '{p}') as gap,
+  regexp_extract_all(text, '{p}') as hit, regexp_extract_all(text, '{p}', {rule.group}) as part from d"""
+
+
+OP4_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+found as ({" union all ".join(_rule_sql(r) for r in RULES)}),
+each as (select doc_id, kind, no, least, gap, hit, unnest(part) as part, unnest(range(1, len(hit) + 1)) as i from found),
+span as (select doc_id, kind, no, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) as s, length(hit[i]) as n
+  from each where length(part) >= least),
+line as (select doc_id, kind, no, s, concat(kind, ':', s::bigint, ':', (s + n)::bigint) as line from span),
+out as (select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+  string_agg(line, ',' order by s, no) filter (where no < {len(BASE_RULES)}) as base, string_agg(line, ',' order by s, no) as spans from line group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join out using (doc_id)
+"""

@@ -194,3 +194,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = substring_dedup(table(spark, sf_dir, "documents"))
     sha = F.when(F.col("n_removed") == 0, F.col("digest")).when(F.col("n_removed") == F.col("n_words"), F.lit(EMPTY)).otherwise(F.sha2(F.col("kept_text").cast("binary"), 256))
     return r.select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i as pos, array_to_string(w[i:i + 49], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+least as (select win, min(doc_id) as rep from win group by win),
+hit as (select distinct doc_id, pos from win join least using (win) where rep < doc_id),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as pos, unnest(w) as word from d),
+gone as (select doc_id, pos, word, max(case when hit.pos is null then 0 else 1 end) over (partition by doc_id order by pos rows between 49 preceding and current row) as gone
+  from word left join hit using (doc_id, pos)),
+kept as (select doc_id, sum(gone) as n_removed, string_agg(word, ' ' order by pos) filter (where gone = 0) as kept from gone group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
