@@ -85,6 +85,12 @@ def lexical_roots(text: Column) -> Column:
     return F.array_distinct(F.transform(word_tokens(text), lambda t: F.substring(t, 1, 4)))
 
 
+def listed(value: Column) -> Column:
+    """Trimmed parts between commas and line ends, without empty ones; null: none."""
+    parts = F.filter(F.transform(F.split(value, r"[,\n]"), stripped), lambda x: x != "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
+
+
 def hmac_sha256(key: str, message: Column) -> Column:
     """Hex HMAC (RFC 2104) from nested SHA-256; the key is a plan constant."""
     import hashlib
@@ -96,6 +102,17 @@ def hmac_sha256(key: str, message: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), inner), 256)
 
 
+def hmac_column(key: Column, message: Column) -> Column:
+    """As hmac_sha256(), under a key of each row's own."""
+    raw = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key.cast("binary"))
+    # Hex digits of the key, filled up to 64 bytes, each byte combined with the pad.
+    padded = F.rpad(F.hex(raw), 128, "0")
+    byte = lambda i: F.conv(F.substring(padded, 2 * i + 1, 2), 16, 10).cast("int")
+    pad = lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(x))), 2, "0")), ""))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
 def blind(key: str, token: Column) -> Column:
     return F.substring(hmac_sha256(key, token), 1, 16)
 
@@ -153,6 +170,55 @@ def safe_embedding(value: Column) -> Column:
     return F.when((F.size(value) > 0) & ~bad, value)
 
 
+def decimal_text(value: Column) -> Column:
+    """A double of at most six decimals without an exponent, with one decimal at least: 1700000000.0."""
+    digits = F.regexp_replace(F.round(value, 6).cast("decimal(24,6)").cast("string"), "0+$", "")
+    return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+
+SEALED = "enc:v1:"
+
+
+def encrypt(text: Column, key: str | None) -> Column:
+    """AES-GCM under the SHA-256 of the key, in Base64 behind a mark; without a key, or if marked already, unchanged."""
+    if not key:
+        return text
+    sealed = F.concat(F.lit(SEALED), F.base64(F.aes_encrypt(text.cast("binary"), F.unhex(F.sha2(F.lit(key), 256)))))
+    return F.when(text.startswith(SEALED), text).otherwise(sealed)
+
+
+def decrypt(text: Column, key: str | None) -> Column:
+    """What encrypt() took; a text without the mark, or that the key doesn't open, is unchanged."""
+    if not key:
+        return text
+    raw = F.try_aes_decrypt(F.unbase64(F.substring(text, len(SEALED) + 1, 1 << 30)), F.unhex(F.sha2(F.lit(key), 256)))
+    return F.when(text.startswith(SEALED), F.coalesce(raw.cast("string"), text)).otherwise(text)
+
+
+#: Addresses that are not public: this host, private, link-local, documentation, benchmarks, multicast, reserved.
+CLOSED_V4 = r"^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
+CLOSED_V6 = r"^::1?$|^f[cd]|^fe[89ab]|^ff|^2001:0?db8:"
+
+
+def safe_url(url: Column, addresses: Column) -> Column:
+    """http or https, with a host, and every address that it resolves to (an array; a host that is an address is its own) public."""
+    host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^https?://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/:?#]+)", 1)
+    bare = F.regexp_replace(host, r"^\[|\]$", "")
+    literal = bare.rlike(r"^[0-9.]+$") | bare.contains(":")
+    known = F.when(literal, F.array(bare)).otherwise(addresses)
+    closed = lambda a: (lambda x: x.rlike(CLOSED_V4) | x.rlike(CLOSED_V6))(F.regexp_replace(F.lower(a), r"^::ffff:(?=[0-9.]+$)", ""))
+    return (host != "") & F.coalesce((F.size(known) > 0) & ~F.exists(known, closed), F.lit(False))
+
+
+def scrub_json(text: Column) -> Column:
+    """Secrets masked in a JSON text's strings, keys included: a name and its value never share a string, so the patterns that span
+    both can't match across them."""
+    quoted = r'"(?:[^"\\]|\\.)*"'
+    strings, gaps = F.regexp_extract_all(text, F.lit(quoted), 0), F.split(text, quoted)
+    pairs = F.zip_with(gaps, F.transform(strings, lambda s: F.concat(F.lit('"'), scrub(F.substring(s, F.lit(2), F.length(s) - 2)), F.lit('"'))), lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit(""))))
+    return F.array_join(pairs, "")
+
+
 def first_json(text: Column, schema: str) -> Column:
     """The first {...} block, parsed; null if there is none."""
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_id, fold
+from ..functions.text import content_id, decimal_text, fold
 from ..functions.vectors import cosine, norm
+from ..sources.tables import in_blocks, keep
+from .folds import in_order
 
 SAME_ENTITY, ENTITY_CAP, ANCHOR_BOOST = 0.92, 50_000, 0.00015
 
@@ -15,18 +19,60 @@ def entity_id(tenant: Column, name: Column) -> Column:
     return content_id("ent-", tenant, fold(name))
 
 
-def resolve(mentions: DataFrame, entities: DataFrame, threshold: float = SAME_ENTITY) -> DataFrame:
-    """mentions: key, name, kind, embedding; entities: id, name, kind, embedding. The entity of the same folded name (smallest id), else
-    the most similar one of the same kind at or above the threshold, else null (a new node). Similarity is computed only for
-    mentions without a name match, within a kind, and the best is kept by a map-side aggregate."""
-    names = entities.groupBy(fold(F.col("name")).alias("_n")).agg(F.min("id").alias("by_name"))
-    m = mentions.withColumn("_n", fold(F.col("name"))).join(names, "_n", "left")
-    e = entities.select("id", "kind", F.col("embedding").alias("_e"), norm(F.col("embedding")).alias("_ne"))
-    open_ = m.where("by_name is null").select("key", "kind", "embedding", norm(F.col("embedding")).alias("_nm"))
+def _near(left: DataFrame, right: DataFrame, threshold: float, also: Column | None = None) -> DataFrame:
+    """Rows of `left` (in blocks) with rows of `right` (id) of compatible kind and a similarity of at least the threshold:
+    key, id, score. Kinds differ only if both are named; names are compared trimmed, in lower case."""
+    kind = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    e = right.select("id", kind("kind").alias("_k2"), F.col("embedding").alias("_e"), norm(F.col("embedding")).alias("_ne"))
+    m = left.where("embedding is not null").select("key", kind("kind").alias("_k1"), "embedding", norm(F.col("embedding")).alias("_nm"))
+    fits = (F.col("_k1") == "") | (F.col("_k2") == "") | (F.col("_k1") == F.col("_k2"))
     score = F.round(cosine(F.col("embedding"), F.col("_e"), F.col("_nm"), F.col("_ne")), 6)
-    best = open_.join(e, "kind").withColumn("score", score).where(F.col("score") >= threshold)
-    best = best.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("by_vector"))
-    return m.join(best, "key", "left").select("key", F.coalesce("by_name", "by_vector").alias("entity_id"), F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_vector").isNotNull(), "vector").otherwise("new").alias("how"))
+    test = fits if also is None else fits & also
+    each = [e.where("_e is not null").join(b, test).select("key", "id", score.alias("score")).where(F.col("score") >= threshold) for b in in_blocks(m, "key")]
+    return reduce(DataFrame.union, each)
+
+
+def resolve(mentions: DataFrame, entities: DataFrame, threshold: float = SAME_ENTITY, tenant: str = "", cap: int = ENTITY_CAP) -> DataFrame:
+    """mentions: key (their order), name, kind, embedding; entities: id, name, kind, embedding. key, entity_id and how:
+
+    name: the entity of the same folded name (smallest id); vector: the most similar one of a compatible kind at or above
+    the threshold (ties: smallest id); batch: an earlier new one of this batch, by name or vector; new: a node of its own,
+    named by its folded name; none: a blank name, or no room below `cap` entities. Mentions are a batch, met in blocks.
+    """
+    names = entities.groupBy(fold(F.col("name")).alias("_n")).agg(F.min(F.col("id").cast("string")).alias("by_name"))
+    m = keep(mentions.withColumn("_n", fold(F.col("name"))).join(names, "_n", "left"), "mentions")
+    best = _near(m.where("by_name is null and _n != ''"), entities, threshold)
+    best = best.groupBy("key").agg(F.min_by(F.col("id").cast("string"), F.struct(-F.col("score"), F.col("id"))).alias("by_vector"))
+    m = keep(m.join(best, "key", "left"), "mentions-met")
+    fresh = m.where("by_name is null and by_vector is null and _n != ''")
+    first = fresh.groupBy("_n").agg(F.min_by(F.struct("key", "kind", "embedding"), "key").alias("x")).select("_n", "x.*")
+    pairs = _near(first, first.withColumnRenamed("key", "id"), threshold, F.col("id") < F.col("key"))
+    led = leaders(keep(pairs.select(F.col("key").alias("later"), F.col("id").alias("earlier"), "score"), "mentions-near"))
+    first = first.join(led, F.col("key") == F.col("later"), "left").select("_n", F.coalesce("leader", "key").alias("leader"))
+    opened, space = first.select("leader").distinct(), max(0, cap - entities.count())
+    opened = (opened if opened.count() <= space else opened.orderBy("leader").limit(space)).withColumn("_room", F.lit(True))
+    named = m.select(F.col("key").alias("leader"), entity_id(F.lit(tenant), F.col("name")).alias("_new"))
+    out = m.join(first.join(opened, "leader", "left").join(named, "leader"), "_n", "left")
+    how = F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_vector").isNotNull(), "vector").when(~F.coalesce("_room", F.lit(False)), "none")
+    how = how.when(F.col("leader") < F.col("key"), "batch").otherwise("new")
+    new = F.when(F.col("_room"), F.col("_new"))
+    return out.select("key", F.coalesce("by_name", "by_vector", new).alias("entity_id"), how.alias("how"))
+
+
+def leaders(pairs: DataFrame) -> DataFrame:
+    """pairs: later, earlier, score, of rows that are taken in order. A row with an earlier leader near it follows the nearest
+    such (ties: the earliest); others lead. later, leader of the followers. Each round settles all rows whose earlier ones are
+    settled, so the rounds grow with the longest chain of near rows."""
+    open_, lead = keep(pairs.select("later").distinct(), "undecided"), keep(pairs.select(F.col("earlier").alias("leader")).distinct().join(pairs.select(F.col("later").alias("leader")), "leader", "left_anti"), "leaders")
+    while open_.limit(1).count():
+        following = pairs.join(lead, F.col("earlier") == F.col("leader"), "left_semi").select("later").distinct()
+        rest = open_.join(following, "later", "left_anti")
+        waits = pairs.join(rest.select(F.col("later").alias("earlier")), "earlier", "left_semi").select("later").distinct()
+        settled = rest.join(waits, "later", "left_anti")
+        lead = keep(lead.union(settled.select("later")), "leaders")
+        open_ = keep(rest.join(lead, F.col("later") == F.col("leader"), "left_anti"), "undecided")
+    near = pairs.join(lead, F.col("earlier") == F.col("leader")).join(lead.select(F.col("leader").alias("later")), "later", "left_anti")
+    return near.groupBy("later").agg(F.min_by("leader", F.struct(-F.col("score"), F.col("leader"))).alias("leader"))
 
 
 def insert_new(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -34,6 +80,14 @@ def insert_new(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return table.unionByName(rows.dropDuplicates(key).join(table.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
+def upsert_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """entities (id, name, kind, embedding) after the new ones: name and kind are replaced, a vector stays where the new one is null."""
+    o = entities.select("id", F.col("name").alias("_n"), F.col("kind").alias("_k"), F.col("embedding").alias("_e"))
+    both = o.join(new.select("id", "name", "kind", "embedding", F.lit(True).alias("_new")), "id", "full")
+    pick = lambda a, b: F.when(F.col("_new"), F.col(a)).otherwise(F.col(b)).alias(a)
+    return both.select("id", pick("name", "_n"), pick("kind", "_k"), F.coalesce("embedding", "_e").alias("embedding"))
+
+
 def bound(edges: DataFrame, bounds: DataFrame) -> DataFrame:
     """bounds: edge_id, at. An edge that isn't retracted and is open past `at` ends there."""
     b = bounds.groupBy("edge_id").agg(F.min("at").alias("_at"))
@@ -41,6 +95,23 @@ def bound(edges: DataFrame, bounds: DataFrame) -> DataFrame:
     return edges.join(b, "edge_id", "left").withColumn("invalid_at", F.when(cut, F.col("_at")).otherwise(F.col("invalid_at"))).drop("_at")
 
 
+def expire(edges: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
+    """Retracts the edges of these ids that are not retracted yet."""
+    hit = ids.select("id", F.lit(True).alias("_hit")).distinct()
+    now = F.when(F.col("_hit") & F.col("expired_at").isNull(), at).otherwise(F.col("expired_at"))
+    return edges.join(hit, "id", "left").withColumn("expired_at", now).drop("_hit")
+
+
+def bound_and_add(edges: DataFrame, bounds: DataFrame, new: DataFrame) -> DataFrame:
+    """edges (edge_id) with the bounds set and the new ones added that it lacks, as one table."""
+    return insert_new(bound(edges, bounds), new, ["edge_id"])
+
+
+def edge_id(tenant: Column, subject: Column, predicate: Column, target: Column, valid_at: Column) -> Column:
+    """target: an entity id, or lit: and the folded literal; valid_at: epoch seconds, to the microsecond."""
+    return content_id("edg-", tenant, subject, predicate, target, decimal_text(valid_at))
+
+
 def neighbours(edges: DataFrame, entities: DataFrame, names: DataFrame) -> DataFrame:
     """Edges of the entities so named, with the object's name or literal."""
     wanted = entities.withColumn("_n", fold(F.col("name"))).join(names.select(fold(F.col("name")).alias("_n")).distinct(), "_n", "left_semi")
@@ -49,6 +120,51 @@ def neighbours(edges: DataFrame, entities: DataFrame, names: DataFrame) -> DataF
     return out.withColumn("object_name", F.coalesce("_object", "object_value")).drop("_object")
 
 
+#: Predicates of which a subject has several objects at once (compared folded).
+MULTI_VALUED = ("likes", "knows", "owns", "has", "related_to", "mentions", "met", "visited", "uses", "sever", "biliyor", "kullanir", "kullanıyor", "links_to", "links", "references", "tagged")
+
+
+def many_valued(predicate: Column) -> Column:
+    return predicate.isin(*sorted({p.replace("ı", "i") for p in MULTI_VALUED}))
+
+
+def assert_facts(facts: DataFrame, now: float) -> DataFrame:
+    """facts: arrival (their order), subject, predicate (folded), object, valid_at, in any order of valid_at. The edges they
+    leave (with invalid_at): a fact whose object is current at `now` already adds nothing, nor does one of the same object and
+    valid_at as another; of a single-valued predicate a fact ends when one with another object begins, even if that came
+    first (backfill), and at once if another object began at the same time and came first. Multi-valued ones never end.
+
+    What a fact meets on arrival depends on the current object alone, so facts stream past that one value, key by key;
+    the ends are windows over what is kept.
+    """
+    key = ["subject", "predicate"]
+    many = many_valued(F.col("predicate"))
+
+    def step(row, current):
+        at, obj = current or (None, None)
+        if row["object"] == obj:
+            return False, current
+        begun = row["valid_at"] <= now and (at is None or row["valid_at"] > at)
+        return True, (row["valid_at"], row["object"]) if begun else current
+
+    single = in_order(facts.where(~many), key, ["arrival"], step).where("accepted").drop("accepted")
+    same = Window.partitionBy(*key, "object")
+    begun = F.min(F.when(F.col("valid_at") <= now, F.col("arrival"))).over(same)
+    several = facts.where(many).withColumn("_b", begun).where("_b is null or arrival <= _b").drop("_b")
+    once = lambda d: d.groupBy(*key, "object", "valid_at").agg(F.min("arrival").alias("arrival"))
+    single, several = once(single), once(several)
+
+    at = single.groupBy(*key, "valid_at").agg(F.min_by("object", "arrival").alias("_first"), F.count("*").alias("_c"))
+    line = Window.partitionBy(*key).orderBy("valid_at")
+    breaks = F.lag("_first").over(line).isNull() | (F.col("_c") > 1) | (F.col("_first") != F.lag("_first").over(line))
+    at = at.withColumn("_break", breaks.cast("int")).withColumn("_run", F.sum("_break").over(line))
+    later = Window.partitionBy(*key).orderBy("_run").rangeBetween(1, Window.unboundedFollowing)
+    at = at.withColumn("_end", F.min("valid_at").over(later)).select(*key, "valid_at", "_first", "_end")
+    ended = single.join(at, [*key, "valid_at"]).withColumn("invalid_at", F.when(F.col("object") == F.col("_first"), F.col("_end")).otherwise(F.col("valid_at")))
+    columns = ["arrival", *key, "object", "valid_at", "invalid_at"]
+    return ended.select(*columns).unionByName(several.withColumn("invalid_at", F.lit(None).cast(ended.schema["invalid_at"].dataType)).select(*columns))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays; 0 if either is empty."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
@@ -67,19 +183,17 @@ def _words(text: Column) -> Column:
 
 
 def anchors(queries: DataFrame, entities: DataFrame, threshold: float = ANCHOR_COSINE) -> DataFrame:
-    """query_id, entity_id: entities that a query names, or whose vector is near its own. The queries are a stated set."""
-    from .retrieval import MAX_QUERIES
-
+    """query_id, entity_id: entities that a query names, or whose vector is near its own. The queries are a stated set, met in blocks."""
     q = queries.select("query_id", fold(F.col("text")).alias("_q"), "query_vec", norm(F.col("query_vec")).alias("_nq"))
     e = entities.select(F.col("id").alias("entity_id"), fold(F.col("name")).alias("_n"), "embedding", norm(F.col("embedding")).alias("_ne"))
     near = cosine(F.col("embedding"), F.col("query_vec"), F.col("_ne"), F.col("_nq")) >= threshold
     named = (F.col("_n") != "") & F.contains("_q", "_n")
-    return e.join(F.broadcast(q) if q.count() <= MAX_QUERIES else q, named | near).select("query_id", "entity_id").distinct()
+    return reduce(DataFrame.union, [e.join(b, named | near).select("query_id", "entity_id") for b in in_blocks(q, "query_id")]).distinct()
 
 
-def search_edges(edges: DataFrame, entities: DataFrame, queries: DataFrame, k: int, candidates: int = EDGE_CANDIDATES) -> DataFrame:
+def search_edges(edges: DataFrame, entities: DataFrame, queries: DataFrame, k: int, candidates: int | None = EDGE_CANDIDATES) -> DataFrame:
     """edges: id, subject_id, object_id, fact, embedding; entities: id, name, embedding; queries: query_id, text, query_vec.
-    Each query's dense candidates, ranked by reciprocal ranks of cosine and word overlap, with a small boost beside an anchor."""
+    Each query's dense candidates (None: all edges, as for a search of a point in time), ranked by reciprocal ranks of cosine and word overlap, with a small boost beside an anchor."""
     from .retrieval import dense_candidates, reciprocal_rank, top_k
 
     c = dense_candidates(edges.select("id", "embedding"), queries, candidates).select("query_id", "id", F.greatest("score", F.lit(0.0)).alias("dense"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, content_id, normalized, scrub, stripped
+from ..functions.vectors import cosine, norm
+from ..sources.tables import in_blocks, keep
+from .graph import leaders
 
 MOST_SALIENCE = 5.0
 
@@ -22,7 +27,22 @@ def without_tombstones(memories: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def users(memories: DataFrame) -> DataFrame:
-    return memories.groupBy("user_id").agg(F.count("*").alias("n"), F.max("id").alias("last_id"), F.sum("size").alias("total_size"))
+    """Per user of active memories: how many, the last and first time, and the salience."""
+    last, first = F.coalesce("updated_at", "valid_at", "created_at"), F.coalesce("created_at", "valid_at")
+    return active(memories).groupBy("user_id").agg(F.count("*").alias("n"), F.max(last).alias("last"), F.min(first).alias("first"), F.sum("salience").alias("salience"))
+
+
+def add(memories: DataFrame, new: DataFrame, now: Column, raised: bool = True) -> DataFrame:
+    """memories (id, content, embedding, salience, valid_at, updated_at, invalid_at) after the new ones (id, content, embedding).
+
+    A known id takes the new content and vector and the time, and its salience rises (not if `raised` is false, as in bulk
+    loads); one that ended stays ended. A new id starts with salience 1."""
+    columns = memories.columns
+    o = memories.select("id", *[F.col(c).alias(f"_o_{c}") for c in columns if c != "id"], F.lit(True).alias("_old"))
+    both = o.join(new.select("id", "content", "embedding", F.lit(True).alias("_new")), "id", "full")
+    step = F.least(F.lit(MOST_SALIENCE), F.col("_o_salience") + (SALIENCE_STEP if raised else 0.0))
+    taken = {"content": F.col("content"), "embedding": F.col("embedding"), "salience": F.when(F.col("_old"), step).otherwise(1.0), "valid_at": now, "updated_at": now}
+    return both.select("id", *[F.when(F.col("_new"), taken.get(c, F.col(f"_o_{c}"))).otherwise(F.col(f"_o_{c}")).alias(c) for c in columns if c != "id"])
 
 
 def supersede(facts: DataFrame, order: list[Column]) -> DataFrame:
@@ -68,6 +88,14 @@ def reinforce(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return m.withColumn("salience", F.when(hit, F.least(F.lit(MOST_SALIENCE), F.col("salience") + SALIENCE_STEP * F.col("_n"))).otherwise(F.col("salience"))).withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).drop("_n")
 
 
+def touch(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Each id adds to its row's access_count, as often as it comes, and sets last_accessed."""
+    n = ids.groupBy("id").agg(F.count("*").alias("_n"))
+    m = memories.join(n, "id", "left")
+    count = F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))
+    return m.withColumn("access_count", count).withColumn("last_accessed", F.when(F.col("_n").isNotNull(), now).otherwise(F.col("last_accessed"))).drop("_n")
+
+
 def forget(memories: DataFrame, doomed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(memories with content and embedding of the doomed ids erased and ended, tombstones of those that were active)."""
     gone = memories.where("invalid_at is null").join(doomed.select("id").distinct(), "id", "left_semi")
@@ -85,49 +113,65 @@ def of_subject(memories: DataFrame, party: str) -> DataFrame:
 
 def blocked(facts: DataFrame, tombstones: DataFrame, threshold: float = SAME_FACT) -> DataFrame:
     """facts (content, embedding) that tombstones bar: the same content, a vector at or above the threshold, or no vector while a
-    tombstone has one. Vectors are compared in a semi join after the cheap tests."""
-    from ..functions.vectors import cosine
-
+    tombstone has one. Vectors are compared in blocks of tombstones, after the cheap tests."""
     f = facts.withColumn("content_hash", content_hash(F.col("content")))
     hashes = tombstones.select("content_hash").distinct()
-    vectors = tombstones.where("embedding is not null").select(F.col("embedding").alias("_t"))
+    vectors = tombstones.where("embedding is not null").select("content_hash", F.col("embedding").alias("_t"))
     by_hash = f.join(hashes, "content_hash", "left_semi")
     rest = f.join(hashes, "content_hash", "left_anti")
-    unknown = rest.where("embedding is null").join(vectors.limit(1), how="left_semi")
-    near = rest.where("embedding is not null").join(vectors, cosine(F.col("embedding"), F.col("_t")) >= threshold, "left_semi")
-    return by_hash.unionByName(unknown).unionByName(near)
-
+    unknown = rest.where("embedding is null").join(vectors.select("_t").limit(1), how="left_semi")
+    rest, out = rest.where("embedding is not null"), by_hash.unionByName(unknown)
+    for block in in_blocks(vectors, "content_hash"):
+        near = cosine(F.col("embedding"), F.col("_t")) >= threshold
+        out = out.unionByName(rest.join(block.select("_t"), near, "left_semi"))
+        rest = rest.join(block.select("_t"), near, "left_anti")
+    return out
 
-def nearest(facts: DataFrame, memories: DataFrame, threshold: float = SAME_FACT) -> DataFrame:
-    """key, id: the user's active memory most similar to each fact, at or above the threshold (ties: the smallest id). Facts are a
-    batch, met with each memory of their user; the best is kept by a map-side aggregate, so pairs are not shuffled."""
-    from ..functions.vectors import cosine, norm
 
+def _near(facts: DataFrame, others: DataFrame, threshold: float, also: str = "true") -> DataFrame:
+    """key, id, score of facts and other rows (id) of the same user at or above the threshold. The facts are a batch in blocks."""
     f = facts.where("embedding is not null").select("key", "user_id", F.col("embedding").alias("_f"), norm(F.col("embedding")).alias("_nf"))
-    m = active(memories).where("embedding is not null").select("id", "user_id", F.col("embedding").alias("_m"), norm(F.col("embedding")).alias("_nm"))
+    m = others.where("embedding is not null").select("id", "user_id", F.col("embedding").alias("_m"), norm(F.col("embedding")).alias("_nm"))
     score = F.round(cosine(F.col("_m"), F.col("_f"), F.col("_nm"), F.col("_nf")), 6)
-    near = m.join(F.broadcast(f) if facts.count() <= BATCH else f, "user_id").withColumn("_s", score).where(F.col("_s") >= threshold)
-    return near.groupBy("key").agg(F.max("_s").alias("_s"), F.min_by("id", F.struct(-F.col("_s"), "id")).alias("id")).drop("_s")
+    each = [m.join(b, "user_id").where(also).select("key", "id", score.alias("score")).where(F.col("score") >= threshold) for b in in_blocks(f, "key", BATCH)]
+    return reduce(DataFrame.union, each)
+
+
+def nearest(facts: DataFrame, memories: DataFrame, threshold: float = SAME_FACT) -> DataFrame:
+    """key, id: the user's active memory most similar to each fact, at or above the threshold (ties: the smallest id). The best is
+    kept by a map-side aggregate, so pairs are not shuffled."""
+    near = _near(facts, active(memories), threshold)
+    return near.groupBy("key").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
 
 
-#: Facts of a batch that is broadcast to the memories.
+#: Facts of a block that is broadcast to the memories.
 BATCH = 10_000
 
 
-def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """What becomes of each fact (key, user_id, content, embedding): skipped (no content), blocked, reinforced (the user has it, by
-    content or by a vector at or above 0.95, or an earlier fact of the batch has its content) or added. id: the memory reinforced,
-    null where that is one added in this batch. Facts of one batch are not compared with each other by vector."""
-    f = facts.withColumn("content_hash", content_hash(F.col("content")))
-    barred = blocked(facts, tombstones).select("key", F.lit(True).alias("_barred")).distinct()
+def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame, tenant: str = "") -> DataFrame:
+    """key, outcome and id of each fact (key: their order, user_id, content, embedding), whose secrets are masked first.
+
+    skipped: no content; blocked: by a tombstone; reinforced: the user's active memory `id` has a vector at or above 0.95 or the
+    content, or a memory that an earlier fact of the batch added does; added: what is left, as the memory `id`.
+    """
+    f = keep(facts.withColumn("content", stripped(scrub(F.coalesce("content", F.lit(""))))).withColumn("content_hash", content_hash(F.col("content"))), "facts")
+    said = f.where("content != ''")
+    barred = blocked(said.drop("content_hash"), tombstones).select("key").distinct().withColumn("_barred", F.lit(True))
     have = active(memories).groupBy("user_id", content_hash(F.col("content")).alias("content_hash")).agg(F.min("id").alias("_have"))
-    first = Window.partitionBy("user_id", "content_hash").orderBy("key")
-    f = f.join(barred, "key", "left").join(have, ["user_id", "content_hash"], "left").withColumn("_n", F.row_number().over(first))
-    if "embedding" in memories.columns:
-        f = f.join(nearest(facts, memories).withColumnRenamed("id", "_near"), "key", "left").withColumn("_have", F.coalesce("_near", "_have"))
-    state = F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "skipped").when(F.col("_barred"), "blocked").when(F.col("_have").isNotNull() | (F.col("_n") > 1), "reinforced").otherwise("added")
-    out = f.withColumn("outcome", state)
-    return out.select("key", "outcome", F.when(F.col("outcome") == "reinforced", F.col("_have")).alias("id"))
+    near = nearest(said, memories).withColumnRenamed("id", "_near")
+    f = f.join(barred, "key", "left").join(have, ["user_id", "content_hash"], "left").join(near, "key", "left")
+    f = keep(f.withColumn("id", F.coalesce("_near", "_have")), "facts-met")
+    fresh = f.where("content != '' and _barred is null and id is null")
+    first = fresh.groupBy("user_id", "content_hash").agg(F.min_by(F.struct("key", "embedding"), "key").alias("x")).select("user_id", "content_hash", "x.*")
+    pairs = _near(first, first.withColumnRenamed("key", "id"), SAME_FACT, "id < key")
+    led = leaders(keep(pairs.select(F.col("key").alias("later"), F.col("id").alias("earlier"), "score"), "facts-near"))
+    first = first.join(led, F.col("key") == F.col("later"), "left").select("user_id", "content_hash", F.coalesce("leader", "key").alias("_lead"))
+    named = f.select(F.col("key").alias("_lead"), content_id("mem-", F.lit(tenant), F.col("user_id"), normalized(F.col("content"))).alias("_new"))
+    out = f.join(first.join(named, "_lead"), ["user_id", "content_hash"], "left")
+    state = F.when(F.col("content") == "", "skipped").when(F.col("_barred"), "blocked")
+    state = state.when(F.col("id").isNotNull() | (F.col("_lead") < F.col("key")), "reinforced").otherwise("added")
+    out = out.withColumn("outcome", state)
+    return out.select("key", "outcome", F.when(F.col("outcome").isin("added", "reinforced"), F.coalesce(F.col("id").cast("string"), "_new")).alias("id"))
 
 
 def personal_summary(memories: DataFrame) -> DataFrame:

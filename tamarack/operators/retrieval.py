@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_roots, term_matches, terms, word_tokens
+from ..functions.text import blind, lexical_roots, term_matches, terms, word_tokens
 from ..functions.vectors import cosine, norm
+from ..sources.tables import in_blocks, keep, small
 
 RRF_K = 60
 
@@ -17,30 +21,39 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """vectors: id, embedding; queries: query_id, query_vec (a stated query set, streamed against all vectors)."""
+def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int | None, by: str | None = None) -> DataFrame:
+    """vectors: id, embedding; queries: query_id, query_vec (a stated query set, streamed in blocks against all vectors, or those of equal `by`). k None: all rows."""
     v = vectors.withColumn("nv", norm(F.col("embedding")))
-    q = queries.withColumn("nq", norm(F.col("query_vec")))
-    pairs = v.join(F.broadcast(q) if q.count() <= MAX_QUERIES else q)
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vec"), F.col("nv"), F.col("nq")), 6).alias("score"))
-    return top_k(scored, "query_id", "score", "id", k)
+    score = F.round(cosine(F.col("embedding"), F.col("query_vec"), F.col("nv"), F.col("nq")), 6).alias("score")
+    best = lambda scored: scored if k is None else top_k(scored, "query_id", "score", "id", k)
+    each = [best((v.join(q, by) if by else v.join(q)).select("query_id", "id", score)) for q in in_blocks(queries.withColumn("nq", norm(F.col("query_vec"))), "query_id")]
+    return reduce(DataFrame.unionByName, each)
 
 
-#: Queries of a block that is broadcast against all vectors.
-MAX_QUERIES = 1000
+def _token_counts(docs: DataFrame, tokens: Column, wanted: DataFrame, key: Column) -> DataFrame:
+    """id, size (all its tokens), token and tf of those tokens whose key is wanted (column key), and per document one row of
+    null token for the others: every text is cut into tokens once, and only a few narrow rows of it are kept."""
+    d = docs.select("id", tokens.alias("_all")).select("id", F.size("_all").alias("size"), F.explode_outer("_all").alias("token"))
+    marked = d.withColumn("key", key).join(small(wanted.select("key").distinct().withColumn("_w", F.lit(True))), "key", "left")
+    counted = marked.groupBy("id", "size", F.when(F.col("_w"), F.col("token")).alias("token")).agg(F.count("*").alias("tf"))
+    return keep(counted, "token-counts")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs: id, text; queries: query_id, text. Scores over all documents; only query terms are exploded into the join."""
-    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    d = docs.select("id", terms(F.col("text")).alias("terms")).withColumn("dl", F.greatest(F.lit(1), F.size("terms")))
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = d.select("id", "dl", F.explode("terms").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hit = q.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))
+def _bm25_part(k1: float, b: float) -> Column:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """docs: id, text; queries: query_id, text. Scores over all documents; only query terms reach the join."""
+    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("token"))
+    counts = _token_counts(docs, terms(F.col("text")), q.select(F.col("token").alias("key")), F.col("token"))
+    length = F.greatest(F.lit(1), F.col("size"))
+    stats = counts.select("id", length.alias("dl")).distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    tf = counts.where("token is not null").withColumn("dl", length)
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    hit = tf.join(small(q.join(df, "token")), "token").withColumns({"n": F.lit(stats.n), "avgdl": F.lit(stats.avgdl)})
+    scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(_bm25_part(k1, b)), 6).alias("score"))
     return top_k(scored, "query_id", "score", "id", k)
 
 
@@ -58,15 +71,29 @@ def within_budget(items: DataFrame, partition: str, order: list[Column], cost: s
     """The greedy prefix whose running cost stays within the budget, at least one item each."""
     w = Window.partitionBy(partition).orderBy(*order)
     running = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("running", running).withColumn("position", F.row_number().over(w)).where((F.col("running") <= budget) | (F.col("position") == 1))
+    # Each item costs at least 1, so rows beyond the budget's number are pruned before the shuffle.
+    first = items.withColumn("position", F.row_number().over(w)).where(F.col("position") <= max(1, budget))
+    return first.withColumn("running", running).where((F.col("running") <= budget) | (F.col("position") == 1))
+
+
+def lexical_candidates(docs: DataFrame, queries: DataFrame, k: int, by: list[str] | None = None, index: Callable[[Column], Column] = lexical_roots) -> DataFrame:
+    """docs: id, text; queries: query_id, text. The k documents (of equal `by`) that share most token roots with each query;
+    only roots of queries reach the join. `index` may be blind_roots, so that no root is seen."""
+    by = by or []
+    q = queries.select("query_id", *by, F.explode(index(F.col("text"))).alias("root"))
+    w = docs.select("id", *by, F.explode(F.col("term_hashes") if "term_hashes" in docs.columns else index(F.col("text"))).alias("root"))
+    hits = w.join(small(q), ["root", *by]).groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
+    return top_k(hits, "query_id", "overlap", "id", k)
 
 
-def lexical_candidates(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """docs: id, text; queries: query_id, text. The k documents that share most token roots with each query; only roots of queries reach the join."""
-    q = queries.select("query_id", F.explode(lexical_roots(F.col("text"))).alias("root"))
-    w = docs.select("id", F.explode(lexical_roots(F.col("text"))).alias("root"))
-    hits = w.join(q, "root").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
-    return top_k(hits, "query_id", "overlap", "id", k)
+def blind_roots(key: str) -> Callable[[Column], Column]:
+    """Token roots as keyed hashes."""
+    return lambda text: F.transform(lexical_roots(text), lambda t: blind(key, t))
+
+
+def backfill(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """rows with term_hashes where they had none."""
+    return rows.withColumn("term_hashes", F.coalesce("term_hashes", blind_roots(key)(F.col(text))))
 
 
 TAU_DAYS, WEIGHTS = 30.0, {"dense": 1.0, "sparse": 1.0, "recency": 0.2, "salience": 0.1}
@@ -81,22 +108,53 @@ def hybrid(dense: DataFrame, sparse: DataFrame, memories: DataFrame, k: int) ->
     return top_k(reciprocal_rank(both.join(m, "id"), "query_id", "id", WEIGHTS), "query_id", "rrf", "id", k)
 
 
-def bm25_candidates(candidates: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """candidates: query_id, id, text; queries: query_id, text. BM25 whose statistics are those of each query's candidates, and whose
-    terms match by prefix (term_matches). Terms meet by their first four characters, within a query. Candidates without a match score 0.
-    Candidates are read once and dealt by query; a query's are bounded by how many it was given."""
+def bm25_candidates(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """candidates: query_id, id; docs: id, text; queries: query_id, text. BM25 whose statistics are those of each query's
+    candidates, and whose terms match by prefix (term_matches), so that terms meet by their first four characters.
+    Candidates without a match score 0."""
     root = lambda t: F.substring(t, 1, 4)
-    q = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("q")).withColumn("root", root(F.col("q")))
-    of_query = Window.partitionBy("query_id")
-    c = candidates.select("query_id", "id", word_tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    c = c.withColumn("n", F.count("*").over(of_query)).withColumn("avgdl", F.coalesce(F.nullif(F.avg("dl").over(of_query), F.lit(0.0)), F.lit(1.0)))
-    w = c.select("query_id", "id", "n", "avgdl", F.greatest("dl", F.lit(1)).alias("dl"), F.explode_outer("words").alias("w")).withColumn("root", root(F.col("w")))
-    meet = (w["query_id"] == q["query_id"]) & (w["root"] == q["root"]) & term_matches(q["q"], w["w"])
-    tf = w.join(q, meet, "left").groupBy(w["query_id"], "id", "n", "avgdl", "dl", "q").agg(F.count("q").alias("tf"))
-    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("query_id", "q")))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.groupBy("query_id", "id").agg(F.coalesce(F.round(F.sum(F.when(F.col("q").isNotNull(), part)), 6), F.lit(0.0)).alias("score"))
+    q = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("q")).withColumn("key", root(F.col("q")))
+    some = docs.join(small(candidates.select("id").distinct()), "id", "left_semi")
+    counts = _token_counts(some, word_tokens(F.col("text")), q, root(F.col("token")))
+    sized = candidates.select("query_id", "id").join(counts.select("id", "size").distinct(), "id")
+    stats = sized.groupBy("query_id").agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("size"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    words = counts.where("token is not null").withColumn("key", root(F.col("token")))
+    met = words.join(small(q), "key").where(term_matches(F.col("q"), F.col("token"))).join(candidates.select("query_id", "id"), ["query_id", "id"])
+    tf = met.groupBy("query_id", "id", "q").agg(F.sum("tf").alias("tf"), F.greatest(F.lit(1), F.first("size")).alias("dl"))
+    df = tf.groupBy("query_id", "q").agg(F.count("*").alias("df"))
+    scored = tf.join(df, ["query_id", "q"]).join(stats, "query_id").groupBy("query_id", "id").agg(F.round(F.sum(_bm25_part(k1, b)), 6).alias("score"))
+    return sized.select("query_id", "id").join(scored, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def recall(memories: DataFrame, queries: DataFrame, k: int, now: float, candidates: int = 256, include_third: bool = False) -> DataFrame:
+    """memories: id, user_id, content, embedding, salience, valid_at, invalid_at, subject_party; queries: query_id, user_id, text,
+    query_vec. The k best of the user's active memories (without a third party's, unless asked for): dense candidates (those
+    without a vector last; all of the user's, for a query without one) and lexical ones, ranked by weighted reciprocal ranks. score, semantic (the cosine, or whether a word was hit) and sparse."""
+    from .memory import active
+
+    own = active(memories, exclude_third=not include_third)
+    dense = dense_candidates(own.select("id", "user_id", "embedding"), queries.where("query_vec is not null").select("query_id", "user_id", "query_vec"), candidates, by="user_id")
+    every = own.select("id", "user_id").join(small(queries.where("query_vec is null").select("query_id", "user_id")), "user_id")
+    docs = own.select("id", "user_id", F.col("content").alias("text"))
+    lexical = lexical_candidates(docs, queries, candidates, ["user_id"])
+    both = dense.select("query_id", "id").union(lexical.select("query_id", "id")).union(every.select("query_id", "id"))
+    both = keep(both.distinct(), "recall-candidates")
+    sparse = bm25_candidates(both, docs.select("id", "text"), queries.select("query_id", "text")).withColumnRenamed("score", "sparse")
+    near = both.join(own.select("id", "embedding"), "id").join(small(queries.select("query_id", "query_vec")), "query_id")
+    dense = F.when(F.col("embedding").isNotNull() & F.col("query_vec").isNotNull(), F.greatest(F.lit(0.0), F.round(cosine(F.col("embedding"), F.col("query_vec")), 6)))
+    near = near.select("query_id", "id", dense.alias("_dense"))
+    age = F.greatest(F.lit(0.0), (now - F.coalesce("valid_at", F.lit(now))) / 86400)
+    weight = F.least(F.coalesce(F.nullif("salience", F.lit(0.0)), F.lit(1.0)) / 5, F.lit(1.0))
+    items = near.join(sparse, ["query_id", "id"]).join(own.select("id", F.exp(-age / TAU_DAYS).alias("recency"), weight.alias("salience")), "id").withColumn("dense", F.coalesce("_dense", F.lit(0.0)))
+    best = top_k(reciprocal_rank(items, "query_id", "id", WEIGHTS), "query_id", "rrf", "id", k)
+    semantic = F.coalesce("_dense", F.when(F.col("sparse") > 0, 1.0).otherwise(0.0))
+    return best.select("query_id", "id", F.round("rrf", 4).alias("score"), F.round(semantic, 4).alias("semantic"), F.round("sparse", 3).alias("sparse"), "rank")
+
+
+def vector_index(vectors: DataFrame, bits: int = 8) -> DataFrame:
+    """id and bucket of each vector: the signs of its first `bits` components. A table to write out by bucket."""
+    signs = F.transform(F.slice("embedding", 1, bits), lambda x: F.when(x > 0, "1").otherwise("0"))
+    return vectors.select("id", F.array_join(signs, "").alias("bucket"))
 
 
 def pack_hash(items: DataFrame, partition: str, order: str, columns: list[str]) -> DataFrame:

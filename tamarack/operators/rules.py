@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pii
-from ..functions.text import SEVERITIES, clean_terms, fold, normalized, severity, severity_rank
+from ..functions.text import SEVERITIES, clean_project, clean_terms, fold, normalized, rule_id, severity, severity_rank
+from ..functions.yaml import load_yaml
 
 #: Words that mark a correction as one about personal data.
 PII_HINT = r"(?iu)(kimlik\s*num|\btckn\b|t\.?\s?c\.?\s*kimlik|kart\s*num|kredi\s*kart|\biban\b|telefon\s*num|hassas\s*(kişisel|kisisel)|(kişisel|kisisel)\s*ver|\bpii\b)"
@@ -18,6 +19,38 @@ def in_scope(rules: DataFrame, project: str | None, active_only: bool = True) ->
     return out.where(F.col("project").isNull() | (fold(F.col("project")) == fold(F.lit(project)))) if project else out
 
 
+def learn(rules: DataFrame, corrections: DataFrame, tenant: str) -> tuple[DataFrame, DataFrame]:
+    """corrections: key, project, category, reusable_rule, what_was_wrong, correct_behavior, severity, tags, forbid_terms.
+
+    (correction rows with a content-addressed id, rule rows to be written by merge_writes): a rule has the id of an active one
+    that says the same, else one of its own content. A correction of category skill-fix writes no rule.
+    """
+    c = compile_corrections(corrections).withColumn("project", clean_project(F.col("project"))).withColumn("message", F.coalesce("reusable_rule", F.lit("")))
+    corr_id = F.concat(F.lit("corr-"), F.substring(F.sha1(F.concat_ws("|", F.lit(tenant), "message", F.coalesce("what_was_wrong", F.lit("")))), 1, 12))
+    c = c.withColumn("correction_id", corr_id)
+    have = existing(rules, c.select("key", "project", "rule_type", "message")).withColumnRenamed("rule_id", "_have")
+    own = rule_id(F.col("project"), F.col("rule_type"), F.col("message"))
+    out = c.where(~F.col("category").eqNullSafe("skill-fix")).join(have, "key", "left")
+    written = out.select("key", F.coalesce("_have", own).alias("rule_id"), "project", "rule_type", "severity", "message", F.col("forbid").alias("patterns"), F.lit("active").alias("status"), "correction_id")
+    return c.select("key", F.col("correction_id").alias("id"), "project", F.coalesce("category", F.lit("procedure")).alias("category"), "reusable_rule", "what_was_wrong", "correct_behavior", "tags"), written
+
+
+def from_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a YAML file (key `rules`), as rule_id, project, rule_type, severity, message, rule, forbid, require."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    loaded = load_yaml(text)
+    listed = loaded.get("rules", []) if isinstance(loaded, dict) else loaded or []
+    rows = [(str(r["id"]), r.get("project"), r.get("type"), r.get("severity"), r.get("message"), r.get("rule"), [str(x) for x in r.get("forbid_patterns") or []], [str(x) for x in r.get("require_patterns") or []]) for r in listed if isinstance(r, dict) and r.get("id")]
+    return spark.createDataFrame(rows, "rule_id string, project string, rule_type string, severity string, message string, rule string, forbid array<string>, require array<string>")
+
+
+def seed(rules: DataFrame, loaded: DataFrame) -> DataFrame:
+    """rules (as merge_writes gives them) after those of a file are written."""
+    new = loaded.select("rule_id", "rule_type", "severity", F.concat("forbid", "require").alias("patterns"), F.lit("active").alias("status"), "message", F.lit(1).alias("_at"))
+    old = rules.select("rule_id", "rule_type", "severity", "patterns", "status", "message", F.lit(0).alias("_at"))
+    return merge_writes(old.union(new), F.col("_at"))
+
+
 def existing(rules: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (key, project, rule_type, message) with the first id of an active rule that says the same."""
     keys = lambda d: (fold(d["project"]).alias("_p"), d["rule_type"].alias("_t"), normalized(d["message"]).alias("_m"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.model import Model, ask, confirms
+from ..functions.text import scrub
+
 #: Wording of negation, of directives and of repeated complaints.
 NEGATION = r"\b(hay[ıi]r|yanl[ıi][şs]|öyle de[ğg]il|olmaz|demedim|de[ğg]il mi|no|wrong|incorrect|not right|that'?s not)\b"
 DIRECTIVE = r"(şöyle olmal[ıi]|böyle yap|yapma\b|kald[ıi]r\b|tekrar yap|düzelt|bir daha|asla|her zaman|lütfen .* yapma|should (be|have)|don'?t\b|instead\b|actually\b|next time|always|never)\b"
@@ -13,10 +16,32 @@ THRESHOLD = 0.5
 
 
 def signals(text: Column) -> Column:
-    found = [F.when(text.rlike("(?iu)" + p), n) for n, p in (("negation", NEGATION), ("directive", DIRECTIVE), ("repeat", REPEAT))]
+    found = [F.when(text.rlike("(?iuU)" + p), n) for n, p in (("negation", NEGATION), ("directive", DIRECTIVE), ("repeat", REPEAT))]
     return F.array_compact(F.array(*found))
 
 
+MOST_BEFORE, MOST_VERIFIED = 300, 600
+
+
+def correction_text(text: Column, previous: Column) -> Column:
+    """What is classified: the assistant's last words, cut, and the user's.
+
+    Fixed values: the two labels."""
+    before = F.concat(F.lit("AI şunu yaptı: "), F.substring(previous, 1, MOST_BEFORE), F.lit("\n"))
+    return F.concat(F.coalesce(F.when(previous != "", before), F.lit("")), F.lit("Kullanıcı düzeltmesi: "), F.coalesce(text, F.lit("")))
+
+
+def verified(scanned: DataFrame, model: Model | None) -> DataFrame:
+    """scan()'s corrections that a model confirms (all without a model, and where it gave no answer), with text to classify."""
+    found = scanned.where("correction").withColumn("raw", correction_text(F.col("text"), F.col("previous")))
+    if model is None:
+        return found.withColumn("verified", F.lit(True))
+    cut = lambda c: F.substring(scrub(c), 1, MOST_VERIFIED)
+    prompt = F.concat(cut(F.coalesce("previous", F.lit(""))), F.lit("\n\n"), cut(F.coalesce("text", F.lit(""))))
+    asked = ask(found, "Does the user correct the assistant's last answer? Say YES or NO.", prompt, model)
+    return asked.withColumn("verified", F.coalesce(confirms(F.col("reply")), F.lit(True))).where("verified").drop("reply")
+
+
 def scan(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, text. Each user turn with the latest assistant text before it, its signals and score."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)

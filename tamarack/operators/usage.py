@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import hmac_sha256
+
+from .folds import in_order
+
 #: Plan, operations, memories, price with tax, in rising order.
 PLANS = [
     ("free", 2_000, 1_000, 0),
@@ -64,36 +68,15 @@ def storage(memories: DataFrame, tenants: DataFrame) -> DataFrame:
     return t.select("tenant_id", "plan", "used", F.col("mem_limit").alias("limit"), F.coalesce(F.col("used") < F.col("mem_limit"), F.lit(True)).alias("allowed"))
 
 
-def _in_order(rows: DataFrame, keys: list[str], order: list[str], step: Callable) -> DataFrame:
-    """accepted per row, by a fold over each key's rows in order. Rows stream through sorted partitions: a key's group is
-    never held, only its state."""
-    columns = [*keys, *order, *[c for c in rows.columns if c not in (*keys, *order)]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = state = None
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                k = tuple(row[c] for c in keys)
-                if k != key:
-                    key, state = k, None
-                ok, state = step(row, state)
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*columns, "accepted"])
-
-    schema = rows.select(*columns).withColumn("accepted", F.lit(True)).schema
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
-
-
 def consume(requests: DataFrame, limit: float | None) -> DataFrame:
-    """requests: tenant_id, period, seq, cost. Accepted while the accepted costs stay within the limit; others don't count."""
+    """requests: tenant_id, period, seq, cost (null: free). Accepted while the accepted costs stay within the limit; others don't count."""
 
     def step(row, used):
-        total = (used or 0.0) + row["cost"]
+        total = (used or 0.0) + (row["cost"] or 0.0)
         ok = limit is None or total <= limit
         return ok, total if ok else used
 
-    return _in_order(requests, ["tenant_id", "period"], ["seq"], step)
+    return in_order(requests, ["tenant_id", "period"], ["seq"], step)
 
 
 def rate_limited(requests: DataFrame, most: int = 120, seconds: float = 60.0) -> DataFrame:
@@ -109,7 +92,54 @@ def rate_limited(requests: DataFrame, most: int = 120, seconds: float = 60.0) ->
             recent.append(row["at"])
         return ok, recent
 
-    return _in_order(requests, ["tenant_id"], ["at", "seq"], step)
+    return in_order(requests, ["tenant_id"], ["at", "seq"], step)
+
+
+def reserved(operations: DataFrame) -> DataFrame:
+    """operations: op, n. Adds cost, as consume() takes it; unknown operations cost 1."""
+    cost = F.create_map(*[F.lit(x) for kv in OPERATION_COST.items() for x in kv])
+    return operations.withColumn("cost", F.coalesce(F.try_element_at(cost, F.col("op")), F.lit(1.0)) * F.greatest(F.lit(1), F.col("n")))
+
+
+def charge(operations: DataFrame, limit: float | None) -> tuple[DataFrame, DataFrame]:
+    """operations: tenant_id, period, seq, op, n. (each with accepted, and what is then used and left of each quota)."""
+    done = consume(reserved(operations).select("tenant_id", "period", "seq", "cost"), limit)
+    used = done.groupBy("tenant_id", "period").agg(F.round(F.coalesce(F.sum(F.when(F.col("accepted"), F.col("cost"))), F.lit(0.0)), 6).alias("used"))
+    left = F.greatest(F.lit(0.0), F.lit(limit) - F.col("used")) if limit is not None else F.lit(None).cast("double")
+    return done, used.withColumn("remaining", left).withColumn("allowed", F.coalesce(F.col("used") < F.lit(limit).cast("double"), F.lit(True)))
+
+
+def upgrade_hint(tenants: DataFrame) -> DataFrame:
+    """Each tenant's next plan (null after the last), and what an overage costs."""
+    return with_plan(tenants).withColumn("overage_per_1000", F.lit(OVERAGE_PER_1000))
+
+
+def period(at: Column) -> Column:
+    """The month of an epoch time in UTC, as 2024-01."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(at), F.current_timezone()), "yyyy-MM")
+
+
+def consume_tokens(tokens: DataFrame, uses: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """tokens: token_hash, tenant_id, purpose, expires_at, used_at; uses: key (their order), token_hash, purpose. (tokens, those
+    used now marked; key and tenant_id of the uses that hold: the first of an unused token that fits and has not expired)."""
+    fit = uses.join(tokens.where(F.col("used_at").isNull() & (F.col("expires_at") > now)).select("token_hash", "purpose", "tenant_id"), ["token_hash", "purpose"])
+    first = fit.groupBy("token_hash").agg(F.min("key").alias("key"), F.min_by("tenant_id", "key").alias("tenant_id"))
+    spent = first.select("token_hash", F.lit(True).alias("_hit"))
+    left = tokens.join(spent, "token_hash", "left").withColumn("used_at", F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("used_at"))).drop("_hit")
+    return left, first.select("key", "tenant_id")
+
+
+#: Seconds that a signature holds.
+MOST_SKEW = 300
+
+
+def verify(deliveries: DataFrame, secret: str, now: float) -> DataFrame:
+    """deliveries: body, signature, timestamp. Adds valid: HMAC-SHA256 of timestamp.body under the secret, not older or newer than
+    MOST_SKEW; without a secret or a whole timestamp none is."""
+    at = F.col("timestamp").try_cast("long")
+    mac = hmac_sha256(secret or "-", F.concat(at.cast("string"), F.lit("."), F.coalesce("body", F.lit(""))))
+    fresh = F.abs(F.lit(now) - at) <= MOST_SKEW
+    return deliveries.withColumn("valid", F.coalesce(F.lit(bool(secret)) & fresh & (mac == F.col("signature")), F.lit(False)))
 
 
 def first_deliveries(events: DataFrame) -> DataFrame:
@@ -126,9 +156,27 @@ def plan_changes(events: DataFrame, links: DataFrame) -> DataFrame:
     return e.groupBy("tenant_id").agg(F.max_by(plan, F.struct("at", "event_id")).alias("plan"))
 
 
-def claim(jobs: DataFrame, key: str) -> DataFrame:
-    """The oldest queued job of each key value, running, with one more attempt."""
-    first = jobs.where("status = 'queued'").groupBy(key).agg(F.min_by(F.struct(*jobs.columns), F.struct("created_at", "job_id")).alias("j")).select("j.*")
+def enqueue(jobs: DataFrame, new: DataFrame, now: float) -> DataFrame:
+    """jobs with new ones (job_id, tenant_id, kind, payload), queued."""
+    rows = new.withColumns({"status": F.lit("queued"), "attempts": F.lit(0).cast("long"), "created_at": F.lit(now), "updated_at": F.lit(now)})
+    return jobs.unionByName(rows, allowMissingColumns=True)
+
+
+def process(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Claimed jobs (job_id, tenant_id, kind, payload, attempts). A handler takes its kind's jobs and gives job_id, result, added
+    and error (null: done). (results for complete(), operations to meter: one addition was paid for when the job was queued)."""
+    none = jobs.limit(0).select("job_id", F.lit("").alias("result"), F.lit(0).cast("long").alias("added"), F.lit("").alias("error"))
+    done = [h(jobs.where(F.col("kind") == k)).select(*none.columns) for k, h in handlers.items()]
+    unknown = jobs.where(~F.col("kind").isin(*handlers)).select("job_id", F.lit(None).cast("string").alias("result"), F.lit(0).cast("long").alias("added"), F.concat(F.lit("unknown kind: "), F.col("kind")).alias("error"))
+    results = reduce(DataFrame.unionByName, [*done, unknown], none)
+    extra = results.where("error is null and added > 1").join(jobs.select("job_id", "tenant_id"), "job_id")
+    return results, extra.select("tenant_id", F.lit("memory_add").alias("op"), (F.col("added") - 1).alias("n"))
+
+
+def claim(jobs: DataFrame, key: str | None = None) -> DataFrame:
+    """The oldest queued job (of each key value, if one is given), running, with one more attempt."""
+    queued = jobs.where("status = 'queued'")
+    first = (queued.groupBy(key) if key else queued.groupBy()).agg(F.min_by(F.struct(*jobs.columns), F.struct("created_at", "job_id")).alias("j")).where("j is not null").select("j.*")
     return first.withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
 
 

@@ -1,8 +1,8 @@
 """Registered queries of the engine over the driver's tables, and the SQL that each must equal.
 
 checks: events (rule_id event_type, passed where value < 50); memories: documents (user_id source); facts: events; usage:
-events by user and month; tombstones: documents labelled toxic; search queries: benchmark items, and the first
-embedding of each label.
+events by user and month; tombstones: documents labelled toxic; search queries: benchmark items, and the embeddings
+whose id is divisible by 20.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EMAIL_PATTERN, content_hash, content_id, estimated_tokens
 from ..operators import compliance, memory, policy, retrieval
+from ..sources.tables import read_table, spread
 
 RULES = ("click", "error", "purchase", "refund", "signup", "view")
 TODAY = "2024-02-05"
@@ -32,7 +33,9 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = read_table(spark, path)
+    return spread(df, path) if name == "documents" else df
 
 
 def _checks(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +60,11 @@ def compliance_timeseries(spark, d):
     return compliance.timeseries(_checks(spark, d))
 
 
+@query(f"with {_CHECKS} select rule_id, day, count(*) as checks, cast(sum(passed) as bigint) as passed from checks where rule_id = 'error' and day > date '{TODAY}' - 14 group by rule_id, day")
+def compliance_trend(spark, d):
+    return compliance.timeseries(_checks(spark, d), TODAY, 14, "error")
+
+
 @query(f"""with {_CHECKS}, s as (select rule_id, count(*) as n, sum(passed) as p, max(day) as last from checks group by rule_id)
 select r.rule_id, coalesce(n, 0) as checks, cast(coalesce(p, 0) as bigint) as passed, n is null as never, cast(date_diff('day', last, date '{TODAY}') as integer) as idle_days, coalesce(date_diff('day', last, date '{TODAY}') >= 7, true) as stale
 from (select unnest({list(RULES)}) as rule_id) r left join s using (rule_id)""")
@@ -66,11 +74,12 @@ def rule_health(spark, d):
 
 
 @query("""with j as (
-select case when regexp_matches(text, '[A-Z]{4,}!!') or regexp_matches(text, '(idiot|moron|worthless|clown)') then 1 else 0 end as p, toxic as t from documents join labels using (doc_id)),
-c as (select count(*) filter (t = 1 and p = 1) as tp, count(*) filter (t <> 1 and p = 1) as fp, count(*) filter (t = 1 and p <> 1) as fn, count(*) filter (t <> 1 and p <> 1) as tn from j)
-select tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 9) as accuracy, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 9) as "precision", round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 9) as recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 9) as f1 from c""")
+select case when doc_id % 50 = 7 then 1 when regexp_matches(text, '[A-Z]{4,}!!') or regexp_matches(text, '(idiot|moron|worthless|clown)') then 1 else 0 end as p, doc_id % 50 = 7 as x, toxic as t from documents join labels using (doc_id)),
+c as (select count(*) filter (x) as failed, count(*) filter (t = 1 and p = 1) as tp, count(*) filter (t <> 1 and p = 1) as fp, count(*) filter (t = 1 and p <> 1) as fn, count(*) filter (t <> 1 and p <> 1) as tn from j)
+select tp, fp, fn, tn, failed, round(case when fp + tn > 0 then fp / (fp + tn) else 0 end, 9) as fp_rate, round((tp + tn) / (tp + fp + fn + tn), 9) as accuracy, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 9) as "precision", round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 9) as recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 9) as f1 from c""")
 def enforcement_confusion(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", (F.col("text").rlike("[A-Z]{4,}!!") | F.col("text").rlike("(idiot|moron|worthless|clown)")).cast("int").alias("predicted"))
+    hit = F.col("text").rlike("[A-Z]{4,}!!") | F.col("text").rlike("(idiot|moron|worthless|clown)")
+    rows = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 50 != 7, hit.cast("int")).alias("predicted"))
     return compliance.confusion(rows.join(_t(spark, d, "labels").select("doc_id", "toxic"), "doc_id"), "toxic", "predicted")
 
 
@@ -100,9 +109,12 @@ def tombstone_guard(spark, d):
     return memory.without_tombstones(m, m.join(toxic, "id").select(content_hash(F.col("content")).alias("content_hash"))).select("id", "content_hash")
 
 
-@query("select source as user_id, count(*) as n, max(doc_id) as last_id, cast(sum(length(text)) as bigint) as total_size from documents group by 1")
+@query("""select source as user_id, count(*) as n, max(coalesce(case when doc_id % 2 = 0 then doc_id + 5 end, doc_id))::double as last, min(coalesce(case when doc_id % 3 = 0 then doc_id - 3 end, doc_id))::double as first,
+sum(doc_id % 5)::double as salience from documents where doc_id % 7 <> 0 group by 1""")
 def list_users(spark, d):
-    return memory.users(_memories(spark, d).withColumn("size", F.length("content").cast("long")))
+    times = {"updated_at": F.when(F.col("id") % 2 == 0, F.col("id") + 5.0), "valid_at": F.col("id").cast("double"), "created_at": F.when(F.col("id") % 3 == 0, F.col("id") - 3.0)}
+    m = _memories(spark, d).withColumns(times | {"salience": (F.col("id") % 5).cast("double"), "invalid_at": F.when(F.col("id") % 7 == 0, 1.0)})
+    return memory.users(m)
 
 
 @query("select doc_id as id, 'mem-' || substr(sha1('t1|' || source || '|' || trim(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', ' ', 'g'))), 1, 16) as mem_id from documents")
@@ -139,14 +151,18 @@ def usage_quota(spark, d):
     return memory.quota(u, 60)
 
 
-@query("""with q as (select label, embedding as qv from (select *, row_number() over (partition by label order by vec_id) as r from embeddings) where r = 1),
-s as (select label as query_id, vec_id as id, round(list_cosine_similarity(embedding::double[], qv::double[]), 6) as score from embeddings, q),
+@query("""with s as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)
-select query_id, id, score, cast(rank as integer) as rank from r where rank <= 5""".replace("embedding, q)", "embedding, q)").replace("select label as query_id", "select q.label as query_id"))
+select query_id, id, score, cast(rank as integer) as rank from r where rank <= 5""")
 def dense_top_k(spark, d):
-    e = _t(spark, d, "embeddings")
-    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_vec")).withColumnRenamed("label", "query_id")
-    return retrieval.dense_candidates(e.select(F.col("vec_id").alias("id"), "embedding"), q, 5)
+    e, q = _vectors(spark, d)
+    return retrieval.dense_candidates(e, q, 5)
+
+
+def _vectors(spark, d):
+    """All vectors (id, embedding, label), and the query set: those whose id is divisible by 20."""
+    e = _t(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 _TERMS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 2)"
@@ -184,4 +200,4 @@ def prune_telemetry(spark, d):
     return _checks(spark, d).where("day < date '2024-01-10'").groupBy("rule_id").agg(F.count("*").alias("pruned"))
 
 
-from . import extended, lookups, search  # noqa: E402, F401  (they register their queries)
+from . import agents, extended, lookups, scalars, search, tenant, writes  # noqa: E402, F401  (they register their queries)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pii, text
 from ..operators import evaluation, graph, memory, retrieval, rules, transcripts, usage
-from .catalog import _memories, _t, query
+from .catalog import _memories, _t, _vectors, query
 
 _SCRUBBED = "text"
 for _p in text.SECRET_PATTERNS:
@@ -92,16 +92,24 @@ def _seconds(ts: str = "ts"):
     return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
 
 
-@query()
+@query("""with recursive o as (select user_id as tenant_id, strftime(ts, '%Y-%m') as period, event_id as seq, case when event_type = 'purchase' then 5 else 1 end::double as cost, row_number() over (partition by user_id, strftime(ts, '%Y-%m') order by event_id) as n from events),
+r as (select *, cost <= 40 as accepted, case when cost <= 40 then cost else 0 end as used from o where n = 1
+union all select o.*, r.used + o.cost <= 40, case when r.used + o.cost <= 40 then r.used + o.cost else r.used end from r join o on o.tenant_id = r.tenant_id and o.period = r.period and o.n = r.n + 1)
+select tenant_id, period, seq, cost, accepted from r""")
 def quota_consume(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", 5.0).otherwise(1.0).alias("cost"))
     return usage.consume(e, 40.0)
 
 
-@query()
+@query("""with recursive o as (select user_id as tenant_id, epoch_us(ts) / 1e6 as at, event_id as seq, row_number() over (partition by user_id order by ts, event_id) as n from events),
+r as (select *, true as accepted, [at] as recent from o where n = 1
+union all select o.*, len(list_filter(recent, lambda x: o.at - x < 172800)) < 2, case when len(list_filter(recent, lambda x: o.at - x < 172800)) < 2 then list_append(list_filter(recent, lambda x: o.at - x < 172800), o.at) else list_filter(recent, lambda x: o.at - x < 172800) end
+  from r join o on o.tenant_id = r.tenant_id and o.n = r.n + 1)
+select tenant_id, at, seq, accepted from r""".replace(" at,", ' "at",').replace("as at,", 'as "at",').replace("[at]", '["at"]').replace("o.at", 'o."at"'))
 def rate_limit(spark, d):
-    e = _t(spark, d, "events").select(F.col("event_type").alias("tenant_id"), _seconds().alias("at"), F.col("event_id").alias("seq"))
-    return usage.rate_limited(e, 3, 3600.0)
+    """Two requests in two days for each user."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("tenant_id"), _seconds().alias("at"), F.col("event_id").alias("seq"))
+    return usage.rate_limited(e, 2, 172800.0)
 
 
 @query("""with e as (select user_id as subscription, event_id, ts, case when event_type = 'error' then 'canceled' else 'updated' end as kind, event_type as plan from events)
@@ -133,26 +141,39 @@ def job_reclaim(spark, d):
 _COS = "round(list_cosine_similarity(m.embedding::double[], e.embedding::double[]), 6)"
 
 
-@query(f"""with m as (select * from embeddings where vec_id % 20 = 0), e as (select * from embeddings where vec_id % 20 <> 0),
-s as (select m.vec_id as key, e.vec_id as id, {_COS} as score from m join e using (label)),
-b as (select key, id from (select *, row_number() over (partition by key order by score desc, id) as r from s where score >= 0.2) where r = 1)
-select m.vec_id as key, b.id as entity_id, case when b.id is null then 'new' else 'vector' end as how from m left join b on key = m.vec_id""")
+@query(f"""with recursive m as (select *, case when vec_id % 3 = 0 then '' else 'K' || label end as kind from embeddings where vec_id % 20 = 0), e as (select *, case when vec_id % 7 = 0 then null else ' k' || label end as kind from embeddings where vec_id % 20 <> 0 and vec_id <= 100),
+s as (select m.vec_id as key, e.vec_id as id, {_COS} as score from m, e where m.kind = '' or coalesce(e.kind, '') = '' or lower(trim(m.kind)) = lower(trim(e.kind))),
+b as (select key, id from (select *, row_number() over (partition by key order by score desc, id) as r from s where score >= 0.3) where r = 1),
+f as (select m.*, row_number() over (order by m.vec_id) as n from m left join b on key = m.vec_id where id is null),
+p as (select m.vec_id as later, e.vec_id as earlier, m.n, {_COS} as score from f m join f e on e.n < m.n where (m.kind = '' or e.kind = '' or m.kind = e.kind) and {_COS} >= 0.3),
+nr as (select f.vec_id as key, f.n, coalesce(list(earlier) filter (earlier is not null), []) as near from f left join p on later = f.vec_id group by 1, 2),
+g as (select 0::bigint as n, []::bigint[] as led union all select nr.n, case when len(list_intersect(near, led)) = 0 then list_append(led, key) else led end from g join nr on nr.n = g.n + 1),
+l as (select unnest(led) as key from (select led from g order by n desc limit 1)),
+w as (select later as key, arg_min(earlier, (-score, earlier)) as leader from p join l on l.key = earlier where later not in (select key from l) group by 1)
+select m.vec_id as key, coalesce(b.id::varchar, 'ent-' || substr(sha1('|m' || coalesce(w.leader, m.vec_id)), 1, 16)) as entity_id, case when b.id is not null then 'vector' when w.leader is not null then 'batch' else 'new' end as how
+from m left join b on b.key = m.vec_id left join w on w.key = m.vec_id""")
 def entity_resolution(spark, d):
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("e"), F.col("vec_id")).alias("name"), F.col("label").alias("kind"), "embedding")
-    return graph.resolve(e.where("id % 20 = 0").withColumnRenamed("id", "key"), e.where("id % 20 != 0"), 0.2)
+    """Kinds in other case, blank and null; mentions that are near each other only."""
+    e = _t(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    kind = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("K"), "label"))
+    m = e.where("id % 20 = 0").select(F.col("id").alias("key"), F.concat(F.lit("m"), "id").alias("name"), kind.alias("kind"), "embedding")
+    have = e.where("id % 20 != 0 and id <= 100").select("id", F.concat(F.lit("e"), "id").alias("name"), F.when(F.col("id") % 7 != 0, F.concat(F.lit(" k"), "label")).alias("kind"), "embedding")
+    return graph.resolve(m, have, 0.3)
 
 
-@query("""with q as (select label, embedding as qv from (select *, row_number() over (partition by label order by vec_id) as r from embeddings) where r = 1),
-s as (select q.label as query_id, vec_id as id, embeddings.label = q.label as gold, round(list_cosine_similarity(embedding::double[], qv::double[]), 6) as score from embeddings, q),
+@query("""with s as (select q.vec_id as query_id, e.vec_id as id, e.label = q.label as gold, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score
+  from embeddings e, embeddings q where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s),
 p as (select query_id, min(rank) filter (rank <= 20) as first, sum(case when rank <= 10 then 1 / log2(rank + 1) else 0 end) as dcg, least(10, count(*)) as n from r where gold group by 1),
 i as (select p.*, (select sum(1 / log2(x + 1)) from range(1, 11) t(x) where x <= n) as ideal from p)
 select count(*) as queries, round(avg(case when first <= 1 then 1 else 0 end), 6) as recall_1, round(avg(case when first <= 5 then 1 else 0 end), 6) as recall_5, round(avg(case when first <= 10 then 1 else 0 end), 6) as recall_10, round(avg(coalesce(1 / first, 0)), 6) as mrr, round(avg(dcg / ideal), 6) as ndcg_10 from i""")
 def retrieval_quality(spark, d):
-    e = _t(spark, d, "embeddings")
-    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_vec")).withColumnRenamed("label", "query_id")
-    ranked = retrieval.dense_candidates(e.select(F.col("vec_id").alias("id"), "embedding"), q, 20)
-    return evaluation.ranking_quality(ranked, e.select(F.col("label").alias("query_id"), F.col("vec_id").alias("id")))
+    """Each query's gold rows are the others of its label; the query itself is neither ranked nor gold."""
+    e, q = _vectors(spark, d)
+    ranked = retrieval.dense_candidates(e, q, 21).where("id != query_id")
+    again = retrieval.top_k(ranked.drop("rank"), "query_id", "score", "id", 20)
+    gold = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label").join(e.select("id", "label"), "label").where("id != query_id")
+    return evaluation.ranking_quality(again, gold.select("query_id", "id"))
 
 
 _ROOTS = "list_distinct(list_transform(list_filter(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+'), lambda t: length(t) > 2), lambda t: lower(trim(translate(t, 'İIı', 'iii')))), lambda t: length(t) >= 3), lambda t: substr(t, 1, 4)))"
@@ -170,7 +191,13 @@ def label_assignment(spark, d):
     return memory.assign_labels(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("label")), 45)
 
 
-@query()
+@query(rf"""with m as (select doc_id as id, source as user_id, sha1(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g'))) as h from documents where doc_id % 2 = 0),
+have as (select user_id, h, min(id) as have from m group by 1, 2), t as (select sha1(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g'))) as h from documents join labels using (doc_id) where toxic = 1),
+f as (select doc_id as key, source as user_id, regexp_replace({_SCRUBBED}, '^\s+|\s+$', '', 'g') as c from documents where doc_id % 2 = 1),
+n as (select *, trim(regexp_replace(lower(c), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from f), g as (select *, sha1(norm) as h from n),
+o as (select g.*, have, g.h in (select h from t) as barred, row_number() over (partition by g.user_id, g.h order by key) as n from g left join have using (user_id, h))
+select key, case when c = '' then 'skipped' when barred then 'blocked' when have is not null or n > 1 then 'reinforced' else 'added' end as outcome,
+case when c <> '' and not barred then coalesce(have::varchar, 'mem-' || substr(sha1('|' || user_id || '|' || norm), 1, 16)) end as id from o""")
 def memory_ingest(spark, d):
     m = _memories(spark, d)
     old = m.where("id % 2 = 0").withColumn("invalid_at", F.lit(None).cast("double")).withColumn("subject_party", F.lit("self"))

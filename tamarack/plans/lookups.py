@@ -73,11 +73,30 @@ def note_parse(spark, d):
     return n.select("title", "folder", F.array_join("links", ",").alias("links"), F.array_join("tags", ",").alias("tags"), F.try_element_at("props", F.lit("kind")).alias("kind"), F.sha1("content").alias("content"))
 
 
-@query("with t as (select source as x from documents union select lang from documents) select (select count(distinct doc_id) from documents) + (select count(*) from t) as entities, (select count(distinct doc_id) from documents) * 4 as edges")
-def note_import(spark, d):
+_ENT = "'ent-' || substr(sha1('t1|' || {}), 1, 16)"
+
+
+@query(f"""with e as (select unnest([{{'s': 'n' || doc_id, 'p': 'links_to', 'o': source}}, {{'s': 'n' || doc_id, 'p': 'links_to', 'o': lang}}, {{'s': 'n' || doc_id, 'p': 'tagged', 'o': lang}}, {{'s': 'n' || doc_id, 'p': 'tagged', 'o': source}}]) as e from documents),
+i as (select {_ENT.format('e.s')} as subject_id, e.p as predicate, {_ENT.format('e.o')} as object_id from e) select *, 'edg-' || substr(sha1('t1|' || subject_id || '|' || predicate || '|' || object_id), 1, 16) as id from i""")
+def note_edges(spark, d):
+    none = spark.createDataFrame([], "content_hash string")
+    return notes.import_notes(notes.parse_notes(_noted(spark, d)), "t1", none)[2]
+
+
+@query(f"with t as (select 'n' || doc_id as x, 'note' as kind from documents union all select source, 'note' from documents union all select lang, 'note' from documents) select distinct {_ENT.format('x')} as id, x as name, kind from t")
+def note_entities(spark, d):
     none = spark.createDataFrame([], "content_hash string")
-    _, entities, edges = notes.import_notes(notes.parse_notes(_noted(spark, d)), "t1", none)
-    return entities.agg(F.count("*").alias("entities")).crossJoin(edges.agg(F.count("*").alias("edges")))
+    return notes.import_notes(notes.parse_notes(_noted(spark, d)), "t1", none)[1]
+
+
+@query(r"""with c as (select 'vault/' || source || '/n' || doc_id || '.md' as path, substr(regexp_replace(regexp_replace(text, '[\[#]', '', 'g') || ' [[' || source || '|alias]]', '^[\t\n\v\f\r ]+', ''), 1, 6000) as content, coalesce(toxic, 0) as toxic from documents left join labels using (doc_id)),
+h as (select *, sha1(trim(regexp_replace(lower(content), '[\x20\x09-\x0D]+', ' ', 'g'))) as h from c) select 'mem-' || substr(sha1('t1|' || h), 1, 16) as id, min(path) as path from h where h not in (select h from h where toxic = 1) group by h""")
+def note_import(spark, d):
+    """A memory per distinct content, but for those of toxic notes, which are tombstones."""
+    n = notes.parse_notes(_noted(spark, d))
+    toxic = _t(spark, d, "labels").where("toxic = 1").select(F.concat(F.lit("n"), "doc_id").alias("title"))
+    dead = n.join(toxic, "title", "left_semi").select(content_hash(F.col("content")).alias("content_hash"))
+    return notes.import_notes(n, "t1", dead)[0].select("id", "path")
 
 
 @query("select doc_id as id, case when toxic = 1 then '' else text end = '' as erased, toxic = 1 as ended from documents left join (select distinct doc_id, 1 as toxic from labels where toxic = 1) using (doc_id)".replace("toxic = 1 as ended", "coalesce(toxic = 1, false) as ended"))
@@ -168,5 +187,5 @@ def bundle_import(spark, d):
     toxic = m.join(_t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id").select(content_hash(F.col("content")).alias("content_hash"), "embedding")
     r = spark.createDataFrame([], "rule_id string, rule_type string, severity string, patterns array<string>, status string, message string")
     c = spark.createDataFrame([], "id string, raw string")
-    out = bundles.load({"tombstones": toxic.limit(0), "memories": old, "rules": r, "corrections": c}, {"tombstones": toxic, "memories": m.where("id % 2 = 1"), "rules": r, "corrections": c})
+    out = bundles.load({"tombstones": toxic.limit(0), "memories": old, "rules": r, "corrections": c}, {"tombstones": toxic, "memories": m.where("id % 2 = 1"), "rules": r, "corrections": c}, per_table=None, total=None)
     return out["memories"].select("user_id", content_hash(F.col("content")).alias("content_hash"), "id")
