@@ -155,16 +155,3 @@ def vector_index(vectors: DataFrame, bits: int = 8) -> DataFrame:
     """id and bucket of each vector: the signs of its first `bits` components. A table to write out by bucket."""
     signs = F.transform(F.slice("embedding", 1, bits), lambda x: F.when(x > 0, "1").otherwise("0"))
     return vectors.select("id", F.array_join(signs, "").alias("bucket"))
-
-
-def pack_hash(items: DataFrame, partition: str, order: str, columns: list[str]) -> DataFrame:
-    """16 hex digits for each pack: of its rows as JSON, keys in the order given, rows by `order`. A pack is bounded by its budget."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
-    return items.groupBy(partition).agg(F.count("*").alias("items"), F.substring(F.sha2(F.to_json(rows), 256), 1, 16).alias("hash"))
-
-
-def render_pack(items: DataFrame, partition: str, order: str, text: str, heading: str) -> DataFrame:
-    """Markdown of each pack: the heading and one list line per row, by `order`."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"))))
-    lines = F.transform(rows, lambda r: F.concat(F.lit("- "), F.regexp_replace(r["t"], r"\s*\n\s*", " ")))
-    return items.groupBy(partition).agg(F.concat(F.lit(f"## {heading}\n"), F.array_join(lines, "\n")).alias("markdown"))

@@ -1,6 +1,7 @@
 """Operators without SQL against brute force, and scalars on small rows."""
 
 import hashlib
+import json
 import hmac
 import zlib
 from collections import defaultdict, deque
@@ -8,7 +9,7 @@ from collections import defaultdict, deque
 from pyspark.sql import functions as F
 
 from tamarack.functions import pii, text
-from tamarack.operators import enforcement, graph, memory, retrieval, rules, usage
+from tamarack.operators import enforcement, graph, memory, packs, retrieval, rules, usage
 
 
 def one(spark, column, **values):
@@ -62,7 +63,7 @@ def test_ingest_and_forget(spark):
     dead = spark.createDataFrame([(hashlib.sha1(b"dead").hexdigest(), None), ("x", [1.0, 0.0])], "content_hash string, embedding array<double>")
     got = {r.key: r.outcome for r in memory.ingest(m, facts, dead).collect()}
     close = facts.where("key = 4")
-    assert [tuple(r) for r in memory.ingest(m, close, dead.where("content_hash is null")).collect()] == [(4, "reinforced", 1)]
+    assert [tuple(r) for r in memory.ingest(m, close, dead.where("content_hash is null")).collect()] == [(4, "reinforced", "1")]
     assert got == {1: "reinforced", 2: "added", 3: "reinforced", 4: "blocked", 5: "blocked", 6: "skipped", 7: "blocked"}
     left, stones = memory.forget(m, spark.createDataFrame([(1,), (2,)], "id int"), F.lit(9.0))
     assert {(r.id, r.content, r.invalid_at) for r in left.collect()} == {(1, "", 9.0), (2, "old", 5.0), (3, "c", None)}
@@ -108,7 +109,8 @@ def test_enforcement(spark):
 def test_prefix_bm25(spark):
     c = spark.createDataFrame([(1, 1, "raporlar hazır"), (1, 2, "başka bir şey"), (1, 3, None), (2, 1, "x")], "query_id int, id int, text string")
     q = spark.createDataFrame([(1, "rapor"), (2, "")], "query_id int, text string")
-    got = {(r.query_id, r.id): r.score for r in retrieval.bm25_candidates(c, q).collect()}
+    docs = c.select("id", "text").dropDuplicates(["id"]).where("id != 1").union(spark.createDataFrame([(1, "raporlar hazır")], "id int, text string"))
+    got = {(r.query_id, r.id): r.score for r in retrieval.bm25_candidates(c.select("query_id", "id"), docs, q).collect()}
     assert got[1, 1] > 0 and [got[k] for k in ((1, 2), (1, 3), (2, 1))] == [0, 0, 0]
 
 
@@ -121,7 +123,10 @@ def test_edge_search_names_anchors(spark):
 
 
 def test_packs(spark):
-    p = spark.createDataFrame([("u", 2, "b\n c"), ("u", 1, "a"), ("v", 1, None)], "user_id string, position int, text string")
-    assert {r.user_id: r.markdown for r in retrieval.render_pack(p, "user_id", "position", "text", "Memory").collect()} == {"u": "## Memory\n- a\n- b c", "v": "## Memory\n- "}
-    h = {r.user_id: (r.items, r.hash) for r in retrieval.pack_hash(p.repartition(3), "user_id", "position", ["position", "text"]).collect()}
-    assert h["u"] == (2, hashlib.sha256(b'[{"position":1,"text":"a"},{"position":2,"text":"b\\n c"}]').hexdigest()[:16])
+    r = spark.createDataFrame([(f"r{i}", None, "soft", "high" if i == 2 else "low", "m" * 40, "", ["p"], [], "active") for i in range(4)], "rule_id string, project string, rule_type string, severity string, message string, rule string, forbid array<string>, require array<string>, status string")
+    m = spark.createDataFrame([("u", 1, "a" * 400, 1.0, 1.0, None, None, "s"), ("u", 2, "token: abc", 2.0, 1.0, None, None, None), ("v", 3, "gone", 1.0, 1.0, 5.0, None, "s")], "user_id string, id int, content string, salience double, valid_at double, invalid_at double, subject_party string, source string")
+    (p,) = packs.finish_packs(packs.build_packs(r, m, budget=40)).collect()
+    assert [x.id for x in p.rules] == ["r2"] and [x.content for x in p.memories] == ["[REDACTED_SECRET]"] and p.truncated and p.rules_total == 4
+    body = {"memories": [{"content": "[REDACTED_SECRET]", "salience": 2.0, "score": None, "source": ""}], "project": None, "rules": [{"forbid_patterns": ["p"], "id": "r2", "message": "m" * 40, "project": "", "require_patterns": [], "rule": "", "severity": "high", "type": "soft"}]}
+    assert p.hash == hashlib.sha256(json.dumps(body, ensure_ascii=False, sort_keys=True).encode()).hexdigest()[:16]
+    assert p.markdown.startswith("# Context Pack\n\n## Bilinen") and "    yasak: p" in p.markdown and p.token_estimate == len(p.markdown) // 4
