@@ -6,15 +6,17 @@ in full. Spark's text writer writes the files, with a record's closing CR LF CR
 system that Spark reaches will do.
 
 Reading. Spark's text reader splits each archive at the version line, wherever its splits fall; the pieces tile the file,
-so prefix sums of their lengths give offsets. Each piece with a header is a candidate: its Content-Length points to the
-record that must follow. Payloads may hold the version line or whole fake records, so a candidate counts only if it is
-reachable from its file's start: within a split the pointers are followed locally and shortened to where they leave the
-split; across splits pointer jumping doubles the reach each round. A payload that was cut at a version line inside it is
-put together again from its pieces.
+so prefix sums of their lengths give offsets. Each piece with a header is a candidate: its Content-Length points to its
+successor, which must be another candidate or the end of the file. Payloads may hold the version line or whole fake
+records, so a candidate counts only if it is reachable from its file's start: within a split the pointers are followed
+locally and shortened to where they leave the split; across splits pointer jumping doubles the reach each round. A
+payload that was cut at a version line inside it is put together again from its pieces.
 
 Defined cases: a null or empty payload has length 0; a null page_id counts as smaller than any other; repeated rows each
 get a record, all with the largest page_id being responses; CR, LF and blanks in URLs are percent-encoded; an empty table
-gives an empty result; extra columns are ignored. A file that doesn't start with a record yields none.
+gives an empty result; extra columns are ignored. A file that doesn't start with a record yields none. A record that is
+cut off by the file's end, claims more bytes than there are, or is followed by something else than a record is not
+returned, nor is what comes after it.
 """
 
 from __future__ import annotations
@@ -51,9 +53,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies before, between and after version lines: file, block (the split's start), at (order in it), size, value."""
+    """What lies before, between and after version lines: file, end (the file's size), block (the split's start), at (order in it), size, value."""
     raw = spark.read.option("lineSep", VERSION).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.octet_length("value").cast("long").alias("size"), "value")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("end"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.octet_length("value").cast("long").alias("size"), "value")
 
 
 def _offsets(p: DataFrame) -> DataFrame:
@@ -98,29 +100,37 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     length = _field("Content-Length")
     p = p.withColumn("content", F.when(F.expr(f"start <= size") & length.rlike("^[0-9]{1,18}$"), length.cast("long")))
     p = p.withColumn("whole", F.col("content").isNotNull() & (F.col("start") + F.col("content") <= F.col("size")))
-    p = p.withColumn("sha1", F.when(F.col("whole"), F.sha1(F.substring(F.col("value").cast("binary"), F.col("start") + 1, F.col("content").cast("int")))))
+    p = p.withColumn("sha1", F.when(F.col("whole"), F.sha1(F.substring(F.col("value").cast("binary"), F.col("start") + 1, F.expr("try_cast(content as int)")))))
     known = F.col("content").isNotNull()
     meta = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to_id": "WARC-Refers-To", "uri": "WARC-Target-URI", "said_digest": "WARC-Payload-Digest", "said_bytes": "X-Payload-Length"}
-    p = materialize(p.select("file", "block", "at", "size", "start", "content", "whole", "sha1", *[F.when(known, _field(v)).alias(k) for k, v in meta.items()]), "warc-pieces")
+    p = materialize(p.select("file", "end", "block", "at", "size", "start", "content", "whole", "sha1", *[F.when(known, _field(v)).alias(k) for k, v in meta.items()]), "warc-pieces")
     p2 = materialize(_offsets(p).withColumn("nxt", F.col("off") + n + F.col("start") + F.col("content") + len(END)), "warc-offsets")
     remove(p)
     p = p2
     stop = p.groupBy("file", "block").agg(F.max(F.col("off") + F.col("size") + n).alias("stop"))
-    cand = p.where("content is not null and off >= 0").select("file", "block", "off", "nxt").join(stop, ["file", "block"])
+    named = p.where("content is not null and off >= 0").select("file", "block", "off", "nxt", "end")
+    follows = named.select("file", F.col("off").alias("nxt")).withColumn("follows", F.lit(True))
+    cand = named.join(follows, ["file", "nxt"], "left").where("follows or nxt = end").select("file", "block", "off", "nxt").join(stop, ["file", "block"])
     jump = materialize(cand.groupBy("file", "block").applyInPandas(_leave, "file string, off long, leave long"), "warc-pointers")
     ends = jump.select("file", F.col("leave").alias("off")).distinct()
+    links = cand.select("file", "off", "nxt")
     hop = materialize(jump.join(ends.union(jump.where("off = 0").select("file", "off")).distinct(), ["file", "off"]), "warc-hops")
     reach = materialize(hop.where("off = 0").select("file", "off"), "warc-reach")
     while True:
         more = reach.join(hop, ["file", "off"]).select("file", F.col("leave").alias("off")).join(hop.select("file", "off"), ["file", "off"], "left_semi")
         wider = materialize(reach.union(more).distinct(), "warc-reach")
         if wider.count() == reach.count():
+            remove(wider)
             break
         twice = hop.join(hop.select("file", F.col("off").alias("leave"), F.col("leave").alias("further")), ["file", "leave"], "left").select("file", "off", F.coalesce("further", "leave").alias("leave"))
-        hop, reach = materialize(twice, "warc-hops"), wider
-    entry = p.select("file", "block", "off", "nxt").join(reach.withColumn("entry", F.lit(True)), ["file", "off"], "left").select("file", "block", "off", "nxt", F.coalesce("entry", F.lit(False)).alias("entry"))
+        twice = materialize(twice, "warc-hops")
+        remove(hop, reach)
+        hop, reach = twice, wider
+    entry = p.select("file", "block", "off").join(links, ["file", "off"], "left").join(reach.withColumn("entry", F.lit(True)), ["file", "off"], "left")
+    entry = entry.select("file", "block", "off", "nxt", F.coalesce("entry", F.lit(False)).alias("entry"))
     marked = entry.groupBy("file", "block").applyInPandas(_mark, "file string, block long, off long, owner long")
     marked = materialize(marked, "warc-owners")
+    remove(jump, hop, reach)
     records = marked.where("owner = off").select("file", "off").join(p, ["file", "off"])
     split = materialize(records.where("not whole").select("file", F.col("off").alias("owner"), "start", "content"), "warc-split")
     records = records.drop("block", "at", "size")
@@ -128,7 +138,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         whole = payloads(spark, path, marked, split).select("file", F.col("owner").alias("off"), F.sha1("payload").alias("joined"))
         records = records.join(whole, ["file", "off"], "left").withColumn("sha1", F.coalesce("sha1", "joined"))
     revisit = F.col("type") == "revisit"
-    return records.select("file", "off", "nxt", "type", "record_id", F.when(revisit, F.col("refers_to_id")).alias("refers_to_id"), "uri", F.when(revisit, F.col("said_bytes").cast("long")).otherwise(F.col("content")).alias("payload_bytes"), F.when(revisit, F.regexp_replace("said_digest", "^sha1:", "")).otherwise(F.col("sha1")).alias("payload_digest"))
+    out = records.select("file", "off", "nxt", "type", "record_id", F.when(revisit, F.col("refers_to_id")).alias("refers_to_id"), "uri", F.when(revisit, F.col("said_bytes").cast("long")).otherwise(F.col("content")).alias("payload_bytes"), F.when(revisit, F.regexp_replace("said_digest", "^sha1:", "")).otherwise(F.col("sha1")).alias("payload_digest"))
+    out = materialize(out, "warc-records")
+    remove(p, marked, split)
+    return out
 
 
 def payloads(spark: SparkSession, path: str, marked: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -137,9 +150,9 @@ def payloads(spark: SparkSession, path: str, marked: DataFrame, wanted: DataFram
     carried = marked.groupBy("file", "block").agg(F.max("owner").alias("top")).withColumn("carried", F.max("top").over(before)).drop("top")
     owned = marked.join(carried, ["file", "block"]).select("file", "off", F.coalesce("owner", "carried").alias("owner")).join(wanted, ["file", "owner"])
     parts = _offsets(materialize(pieces(spark, path).join(wanted.select("file").distinct(), "file", "left_semi"), "warc-values")).join(owned, ["file", "off"])
-    joined = parts.groupBy("file", "owner", "start", "content").agg(F.array_sort(F.collect_list(F.struct("off", F.col("value").cast("binary").alias("value")))).alias("parts"))
-    text = F.aggregate("parts", F.lit(None).cast("binary"), lambda acc, x: F.when(acc.isNull(), x["value"]).otherwise(F.concat(acc, F.lit(VERSION).cast("binary"), x["value"])))
-    return joined.withColumn("text", text).select("file", "owner", F.substring(F.col("text"), F.col("start") + 1, F.col("content").cast("int")).alias("payload"))
+    joined = parts.groupBy("file", "owner", "start", "content").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["value"]), VERSION).cast("binary")
+    return joined.select("file", "owner", F.substring(text, F.col("start") + 1, F.expr("try_cast(content as int)")).alias("payload"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +160,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(table(spark, sf_dir, "pages"), path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    r = materialize(read_warc(spark, path), "warc-records")
+    r = read_warc(spark, path)
     remove_path(spark, path)
     return r.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to_id").alias("refers_to"))
 
