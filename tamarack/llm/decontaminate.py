@@ -3,14 +3,16 @@
 Items and documents are sets of `k`-word shingles of lower-cased words. A document contains an item if it has at least
 the share `threshold` of the item's distinct shingles.
 
-1. Items are partitioned by size into classes of a power of two. An item's signature is its bottom MinHash values: as
-   many of its smallest shingle hashes as an item of its class can miss and still be contained, plus one. So a document
-   that contains an item shares at least one signature value, however long the document is: no miss is possible.
-2. Documents are scanned once. Their shingle hashes pass a bit table of all items' shingles (a constant of at most
-   BIT_WORDS longs, whatever the benchmark's size; a fuller table only lets more through), and the few that pass are
-   kept with their words.
-3. Search: kept hashes are joined with the signatures, which gives candidate pairs.
-4. Verification: the candidates' shingles are compared as strings, and their exact containment decides.
+1. Items are partitioned by size into classes of a power of two. An item's signature is its bottom MinHash values: twice
+   as many as an item of its class can miss and still be contained, plus two (all, of a short item). So a document that
+   contains an item holds at least the signature's size less the item's own allowance of misses, however long the
+   document is: that is the class's threshold, and no miss is possible.
+2. Documents are scanned once, and only signature values are looked for: by a bit table of them, a constant that grows
+   with the benchmark up to BIT_WORDS longs. A benchmark that would fill a table of that size is met by a hash join
+   with all shingle hashes of the documents instead.
+3. Search: hits are counted per document and item, and pairs below the class's threshold go.
+4. Verification: the candidates' texts alone are read again; their shingles are compared as strings with the items', and
+   the exact containment decides.
 
 Defined cases: texts that are null or shorter than k words have no shingles, so they contain nothing, and such items are
 contained in nothing; documents with a null doc_id are not reported; rows that share a doc_id or item_id are judged as
@@ -22,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, remove, table
+from .common import materialize, remove, small, table
 
 K, THRESHOLD = 5, 0.8
-#: The bit table has at most so many 64-bit words (512 KB), and at least LEAST_WORDS.
-BIT_WORDS, LEAST_WORDS = 1 << 16, 1 << 10
+#: The bit table has at least LEAST_WORDS 64-bit words, 32 bits or more for each signature value, and at most BIT_WORDS (2 MB).
+LEAST_WORDS, BIT_WORDS = 1 << 10, 1 << 18
 
 
 def _words(text: str) -> Column:
@@ -49,20 +51,24 @@ def _shingle(i: Column, k: int) -> Column:
 
 
 def item_shingles(items: DataFrame, k: int, threshold: float) -> DataFrame:
-    """item_id, h, shingle, n (distinct shingles), signature (whether h is one of its bottom MinHash values)."""
+    """item_id, h, shingle, n (distinct shingles), signature (whether h is one of its bottom MinHash values), at_least (of them in a document that contains the item)."""
     rows = _with_hashes(items, "item_id", k)
     each = rows.select("item_id", F.explode_outer(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), _shingle(i, k).alias("shingle")))).alias("x")).select("item_id", "x.h", "x.shingle").where("h is not null").distinct()
     item = Window.partitionBy("item_id")
     each = each.withColumn("n", F.count("*").over(item)).withColumn("rank", F.row_number().over(item.orderBy("h", "shingle")))
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
-    return each.withColumn("signature", F.col("rank") <= F.floor((1 - threshold) * largest + 1e-9) + 1).drop("rank")
+    size = F.least(F.col("n"), 2 * (F.floor((1 - threshold) * largest + 1e-9) + 1))
+    misses = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)
+    return each.withColumn("signature", F.col("rank") <= size).withColumn("at_least", size - misses).drop("rank")
 
 
-def _bit_table(hashes: DataFrame) -> tuple[Column, int]:
-    """A constant array of longs with a bit for each hash."""
+def _bit_table(hashes: DataFrame, most: int) -> tuple[Column, int] | None:
+    """A constant array of longs with a bit for each hash, and its length; None if that would be over `most`."""
     count, words = hashes.count(), LEAST_WORDS
-    while words < min(BIT_WORDS, 2 * count):
+    while 64 * words < 32 * count:
         words *= 2
+    if words > most:
+        return None
     rows = hashes.select(F.shiftright("h", 6).bitwiseAND(words - 1).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     bits = [0] * words
     for r in rows:
@@ -70,20 +76,35 @@ def _bit_table(hashes: DataFrame) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>"), words
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = K, threshold: float = THRESHOLD, key: str = "doc_id", kind: str = "long") -> DataFrame:
+def _signature_hits(docs: DataFrame, signatures: DataFrame, key: str, k: int, kind: str, most: int) -> DataFrame:
+    """key, h: hashes of a document's shingles that may be signature values."""
+    d, found = _with_hashes(docs, key, k, kind), _bit_table(signatures.select("h").distinct(), most)
+    if not found:
+        return d.select(key, F.explode_outer(F.array_distinct("hashes")).alias("h")).where("h is not null")
+    bits, words = found
+    is_set = lambda h: F.getbit(F.get(bits, F.shiftright(h, 6).bitwiseAND(words - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+    hit = F.array_distinct(F.filter("hashes", is_set))
+    return materialize(d.select(key, F.explode_outer(hit).alias("h")).where("h is not null"), "leak-hits")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, k: int = K, threshold: float = THRESHOLD, key: str = "doc_id", kind: str = "long", bit_words: int = BIT_WORDS) -> DataFrame:
     """One row per document and item that it contains: `key`, item_id, matched, item_shingles, containment. `key` (of type `kind`) tells documents apart."""
     shingles = materialize(item_shingles(items, k, threshold), "leak-items")
-    bits, words = _bit_table(shingles.select("h").distinct())
-    d = _with_hashes(docs, key, k, kind)
-    is_set = lambda h: F.getbit(F.get(bits, F.shiftright(h, 6).bitwiseAND(words - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-    at = F.filter(F.transform("hashes", lambda h, i: F.when(is_set(h), i)), lambda i: i.isNotNull())
-    hit = F.array_distinct(F.transform(at, lambda i: F.struct(F.get("hashes", i).alias("h"), _shingle(i, k).alias("shingle"))))
-    hits = materialize(d.select(key, F.explode_outer(hit).alias("x")).select(key, "x.h", "x.shingle").where("h is not null"), "leak-hits")
-    found = materialize(hits.select(key, "h").join(shingles.where("signature").select("h", "item_id"), "h").select(key, "item_id").distinct(), "leak-candidates")
-    same = hits.select(key, "shingle").distinct().join(shingles.select("item_id", "shingle", "n"), "shingle").join(found, [key, "item_id"], "left_semi")
+    signatures = shingles.where("signature").select("h", "item_id", "at_least").distinct()
+    hits = _signature_hits(docs, signatures, key, k, kind, bit_words)
+    # Items whose shingles share a hash count it once on either side, so such an item asks for one hit less.
+    wanted = shingles.where("signature").groupBy("item_id").agg(F.min("at_least").alias("least"), (F.count("*") - F.count_distinct("h")).alias("twins"))
+    found = hits.distinct().join(signatures, "h").groupBy(key, "item_id").agg(F.count("*").alias("hits")).join(small(wanted), "item_id").where("hits >= least - twins")
+    found = materialize(found.select(key, "item_id"), "leak-candidates")
+    some = docs.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias(key), "text").join(small(found.select(key).distinct()), key)
+    held = _with_hashes(some, key, k, kind)
+    held = held.select(key, F.explode_outer(F.array_distinct(F.transform("hashes", lambda h, i: _shingle(i, k)))).alias("shingle")).where("shingle is not null").distinct()
+    same = held.join(shingles.select("item_id", "shingle", "n"), "shingle").join(found, [key, "item_id"], "left_semi")
     out = materialize(same.groupBy(key, "item_id").agg(F.count("*").alias("matched"), F.max("n").alias("item_shingles")).where(F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9)), "leaks")
     remove(shingles, hits, found)
-    return out.withColumn("containment", F.col("matched") / F.col("item_shingles"))
+    share = out.withColumn("containment", F.col("matched") / F.col("item_shingles"))
+    share.tamarack_path = out.tamarack_path
+    return share
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
