@@ -1,11 +1,12 @@
 """Sequence packing by non-negative least squares (operator 3).
 
 Documents are tokenized once and written with their ids. A document of n ids gives floor(n / size) full sequences and a
-tail of n mod size ids. The tails' histogram (size - 1 counts, whatever the input) goes to the driver. There, shallow
-combinations (two lengths, then three) that exactly fill a sequence are enumerated, their repeat counts are solved
-against the histogram by non-negative least squares (cyclic coordinate descent, pairs first, which keeps the solution
-sparse), rounded down, and the residual is packed greedily: the longest tail, then whatever fits best, and where nothing
+tail of n mod size ids. The tails' histogram (size - 1 counts, whatever the input) goes to the driver. There, all shallow
+combinations (two or three lengths) that exactly fill a sequence are enumerated, their repeat counts are solved against
+the histogram by non-negative least squares (cyclic coordinate descent until the optimality conditions hold to
+TOLERANCE), rounded, and the residual is packed greedily: the longest tail, then whatever fits best, and where nothing
 fits, a longer tail is cut. So only the last sequence can have padding.
+Sequences of four or more tails come from the greedy step alone.
 
 The plan assigns ranges of ranks among the tails of one length. Ranks are counted within each written part and offset
 by prefix sums over the parts' counts, so that no length, however frequent, meets in one task.
@@ -34,8 +35,8 @@ from .common import documents, materialize, slices, table, tune
 
 SIZE = 1024
 END_ID = 0
-#: Lengths from which triples are enumerated.
-TRIPLE_LENGTHS = 96
+#: How far, as a share of the largest count, the gradient of the squares may miss its optimality conditions.
+TOLERANCE = 1e-3
 #: Rows of part offsets (24 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 1_000_000
 _encoders: dict = {}
@@ -90,29 +91,42 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID, size: int
     return documents(docs).mapInArrow(run, "doc_id long, n long, ids binary, part long, full_rank long, tail_rank long")
 
 
-def combinations(lengths: list[int], size: int) -> list[tuple[int, ...]]:
-    """Two lengths that fill a sequence, then three."""
-    have = set(lengths)
-    pairs = [(a, size - a) for a in sorted(have) if a <= size - a and size - a in have]
-    few = sorted(lengths[:TRIPLE_LENGTHS])
-    triples = [(a, b, size - a - b) for i, a in enumerate(few) for b in few[i:] if size - a - b >= b and size - a - b in have]
-    return pairs + triples
-
-
-def nnls(combos: list[tuple[int, ...]], hist: np.ndarray, sweeps: int = 4) -> np.ndarray:
-    """x >= 0 that minimizes |A x - hist|^2, column j of A counting combos[j]'s lengths; cyclic coordinate descent."""
-    x, left = np.zeros(len(combos)), hist.astype(float).tolist()
-    for _ in range(sweeps):
-        for j, c in enumerate(combos):
-            uses = defaultdict(int)
-            for r in c:
-                uses[r] += 1
-            step = max(-x[j], sum(u * left[r] for r, u in uses.items()) / sum(u * u for u in uses.values()))
-            if step:
-                x[j] += step
-                for r, u in uses.items():
-                    left[r] -= u * step
-    return x
+def combinations(lengths: list[int], size: int) -> np.ndarray:
+    """Rows (a, b, c) of lengths that fill a sequence, ascending: pairs first (a is 0), then triples."""
+    have = np.zeros(size + 1, bool)
+    have[lengths] = True
+    a, b = np.meshgrid(np.arange(size + 1), np.arange(size + 1), indexing="ij")
+    c = size - a - b
+    ok = (a <= b) & (b <= c) & have[b] & have[np.maximum(c, 0)] & ((a == 0) | have[a]) & (b > 0)
+    return np.stack([a[ok], b[ok], c[ok]], 1)
+
+
+def nnls(combos: np.ndarray, hist: np.ndarray, tolerance: float = TOLERANCE, rounds: int = 10_000) -> np.ndarray:
+    """x >= 0 that minimizes |A x - hist|^2, column j of A counting combos[j]'s lengths; cyclic coordinate descent over
+    the columns that miss the optimality conditions, until none does by more than `tolerance` of the largest count."""
+    x, left = np.zeros(len(combos)), hist.astype(float)
+    left[0] = 0
+    rows = combos.tolist()
+    norm = np.array([sum((c == r).sum() for r in c if r) for c in combos], float)
+    bound = tolerance * max(1.0, hist.max(initial=0))
+    for _ in range(rounds):
+        gradient = left[combos].sum(1)
+        miss = np.where(x > 0, np.abs(gradient), gradient)
+        todo = np.flatnonzero(miss > bound)
+        if not len(todo):
+            return x
+        work = left.tolist()
+        for j in todo.tolist():
+            a, b, c = rows[j]
+            step = (work[a] + work[b] + work[c]) / norm[j]
+            step = max(-x[j], step)
+            x[j] += step
+            work[b] -= step
+            work[c] -= step
+            if a:
+                work[a] -= step
+        left = np.array(work)
+    raise RuntimeError("non-negative least squares did not converge")
 
 
 def plan(hist: np.ndarray, size: int = SIZE) -> tuple[dict[int, list[tuple]], int]:
@@ -143,15 +157,17 @@ def plan(hist: np.ndarray, size: int = SIZE) -> tuple[dict[int, list[tuple]], in
     lengths = sorted(count, key=lambda r: (-count[r], r))
     combos = combinations(lengths, size)
     solved = nnls(combos, hist)
-    for j in np.argsort(-solved, kind="stable"):
-        uses = defaultdict(int)
-        for r in combos[j]:
+    # Fractions are carried on to the next combination, which mostly shares a length: the rounded counts keep the total.
+    repeats = np.diff(np.floor(np.cumsum(solved) + 1e-6), prepend=0).astype(np.int64)
+    for j in np.flatnonzero(repeats):
+        combo, uses = [r for r in combos[j].tolist() if r], defaultdict(int)
+        for r in combo:
             uses[r] += 1
-        m = min([int(solved[j] + 1e-9), *(count[r] // u for r, u in uses.items())])
+        m = min([int(repeats[j]), *(count[r] // u for r, u in uses.items())])
         if m <= 0:
             continue
         offset = 0
-        for r in combos[j]:
+        for r in combo:
             place(r, m, sequences, offset)
             offset += r
         sequences += m
@@ -196,6 +212,8 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int | None = END_
     rows = tokens.withColumn("tail", (F.col("n") % size).cast("int")).join(side(base.where("tail > 0").select("part", "tail", "base")), ["part", "tail"], "left").join(side(base.where("tail = 0").select("part", F.col("base").alias("full_base"))), "part")
     rows = rows.select("doc_id", "n", "ids", F.col("full_base") + F.col("full_rank"), F.coalesce("base", F.lit(0)) + F.col("tail_rank"))
 
+    table = {r: np.array(x, np.int64) for r, x in records.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "ids"):
@@ -203,10 +221,12 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int | None = END_
                 for doc, n, ids, seq, rank in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     whole = n // size * size
                     out += [(doc, i, size, ids[4 * i : 4 * (i + size)], n, seq + i // size, 0) for i in range(0, whole, size)]
-                    for lo, hi, start, length, first, offset in records.get(n - whole, ()):
-                        if lo <= rank < hi:
-                            at = whole + start
-                            out.append((doc, at, length, ids[4 * at : 4 * (at + length)], n, full + first + rank - lo, offset))
+                    ranges = table.get(n - whole)
+                    if ranges is None:
+                        continue
+                    for lo, _, start, length, first, offset in ranges[(ranges[:, 0] <= rank) & (rank < ranges[:, 1])].tolist():
+                        at = whole + start
+                        out.append((doc, at, length, ids[4 * at : 4 * (at + length)], n, full + first + rank - lo, offset))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 3 else pa.int64()) for i in range(7)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
