@@ -116,11 +116,12 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About `bound` rows of df, at most 5/4 of it, chosen by a hash of `key`: the same rows whatever the partitioning."""
+    """The `bound` rows of df of the smallest hashes of `key` (narrow rows with distinct keys): the same whatever the partitioning."""
     n = df.count()
     if n <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(bound / n * (1 << 30))).limit(bound + bound // 4)
+    some = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1.5 * bound + 100) / n * (1 << 30))
+    return df.where(some).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(bound)
 
 
 #: Rows of narrow tables (a few numbers each) up to which they are broadcast: tens of MB at most.

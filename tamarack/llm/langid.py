@@ -2,8 +2,9 @@
 
 A text's bytes are cut into windows of WINDOW bytes (all of them, the last padded and masked). Two GRUs read each window,
 one from either end; a linear layer labels every position from both states, and a document's probabilities are the mean
-over all its positions. The network is trained here, in numpy, by backpropagation through time and Adam, on windows of
-at most TRAIN_DOCS documents (chosen by a hash of doc_id, then balanced over languages).
+over all its positions. The network is trained here, in numpy, by backpropagation through time and Adam, on PER_DOC
+windows of each of about TRAIN_DOCS documents: of every language as many, at least one, those of the smallest hash of
+doc_id and text. The windows are cut on the executors.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; without training rows everything is `und`;
 repeated rows and null doc_id are predicted alike (a null is not held out); an empty table gives an empty result; extra
@@ -17,20 +18,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, documents, table
+from .common import arrow_map, documents, materialize, remove, small, table
 from .textkit import text_buffer
 
 WINDOW, HIDDEN = 32, 8
-TRAIN_DOCS, STEPS, BATCH = 1500, 400, 256
+TRAIN_DOCS, PER_DOC, STEPS, BATCH = 1500, 48, 400, 256
 #: Windows that are labelled at once.
 AT_ONCE = 8192
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 f4 = np.float32
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter; number signs such as a half or a superscript are none."""
+    return text is not None and any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return f4(0.5) * np.tanh(f4(0.5) * x) + f4(0.5)
 
@@ -109,11 +115,18 @@ class Network:
         return out / np.maximum(1, size)[:, None]
 
 
-def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -> Network:
-    names = sorted(set(langs))
+def cut(text: str, key: int) -> list[bytes]:
+    """PER_DOC windows of a text at places drawn by `key`, shorter ones of a shorter text."""
+    data = text.encode()
+    starts = np.random.default_rng(key & 0xFFFFFFFFFFFFFFFF).integers(max(1, len(data) - WINDOW + 1), size=PER_DOC)
+    return [data[s : s + WINDOW] for s in starts]
+
+
+def train(rows: list[tuple[str, list[bytes]]], steps: int = STEPS, seed: int = 7) -> Network:
+    """rows: each training document's language and windows."""
+    names = sorted({lang for lang, _ in rows})
     rng = np.random.default_rng(seed)
-    rows = [(t.encode(), names.index(x)) for t, x in zip(texts, langs, strict=True) if t]
-    by = [[t for t, y in rows if y == k] for k in range(len(names))]
+    by = [[w for lang, cuts in rows if lang == k for w in cuts if w] for k in names]
     full = [k for k in range(len(names)) if by[k]]
     p: dict = {"out": (rng.normal(size=(2 * HIDDEN + 1, len(names))) * 0.1).astype(f4)}
     for d in "fb":
@@ -124,9 +137,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
         x = np.zeros((WINDOW, BATCH), np.int64)
         real = np.zeros((WINDOW, BATCH), f4)
         for i, k in enumerate(y):
-            t = by[k][rng.integers(len(by[k]))]
-            s = rng.integers(max(1, len(t) - WINDOW + 1))
-            piece = np.frombuffer(t[s : s + WINDOW], np.uint8)
+            piece = np.frombuffer(by[k][rng.integers(len(by[k]))], np.uint8)
             x[: len(piece), i], real[: len(piece), i] = piece, 1
         hf, sf = gru_forward(p, "f", x)
         hb, sb = gru_forward(p, "b", x[::-1])
@@ -152,7 +163,7 @@ def predict_language(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def fn(b: pa.RecordBatch) -> dict:
         texts = b.column(1)
-        some = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+        some = np.array([has_letter(t) for t in texts.to_pylist()], bool)
         if net is None or not some.any():
             return {"doc_id": b.column(0), "lang_pred": ["und"] * len(texts), "score": np.zeros(len(texts))}
         q = net.pooled(texts)
@@ -162,13 +173,33 @@ def predict_language(docs: DataFrame, net: Network | None) -> DataFrame:
     return arrow_map(documents(docs), fn, "doc_id long, lang_pred string, score double")
 
 
+def training_rows(docs: DataFrame, bound: int) -> list[tuple[str, list[bytes]]]:
+    """Language and windows of the sampled documents, in a fixed order."""
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    known = documents(docs, F.col("lang").cast("string").alias("known")).where((part != 2) & F.col("known").isNotNull())
+    known = known.select("known", "text", F.xxhash64("doc_id", "text").alias("key"))
+    count = materialize(known.groupBy("known").agg(F.count_distinct("key").alias("count")), "language-counts")
+    quota = max(1, bound // max(1, count.count()))
+    # Twice the quota by hash in expectation, then exactly the quota: few rows meet in the ranking, however large a language is.
+    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(quota * 2.0 + 50) / F.col("count") * (1 << 30)
+    drawn = known.join(small(count), "known").where(draw).select("known", "text", "key")
+
+    def fn(b: pa.RecordBatch) -> dict:
+        texts, keys = b.column(1).to_pylist(), b.column(2).to_pylist()
+        return {"known": b.column(0), "key": b.column(2), "cuts": [cut(t or "", k) for t, k in zip(texts, keys, strict=True)]}
+
+    cuts = arrow_map(drawn, fn, "known string, key long, cuts array<binary>").dropDuplicates(["known", "key"])
+    order = Window.partitionBy("known").orderBy(F.xxhash64("key"), "key")
+    got = cuts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota).collect()
+    remove(count)
+    return [(r.known, [bytes(x) for x in r.cuts]) for r in sorted(got, key=lambda r: (r.known, r.key))]
+
+
 def language_id(docs: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score. Held-out rows (fold 2 of 4) are not learned from."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    ids = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where((part != 2) & F.col("lang").isNotNull()), "doc_id", bound)
-    known = documents(docs, F.col("lang").alias("known"))
-    rows = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").where("known is not null").orderBy("doc_id").limit(2 * bound).collect()
-    net = train([r.text or "" for r in rows], [r.known for r in rows]) if rows else None
+    rows = training_rows(docs, bound)
+    net = train(rows) if rows else None
     return predict_language(docs, net).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
