@@ -262,10 +262,12 @@ def _main_parts(sets: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
     lead = sets.groupBy("family").agg(F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     lead = small(materialize(lead.select("family", "leader"), "jaccard-lead"))
     led = sets.select("node", "family", "tokens").join(lead, "family")
-    leaders = led.where("node = leader").dropDuplicates(["family"]).select("family", F.col("tokens").alias("lead"))
+    # Written out, so that the join with a large family's members is one that can be split.
+    leaders = materialize(led.where("node = leader").dropDuplicates(["family"]).select("family", F.col("tokens").alias("lead")), "jaccard-leaders")
     checked = led.where("node != leader").join(leaders, "family").select("node", "tokens", "lead").mapInArrow(_typical(pct), "node binary, main boolean")
     leading = led.select("node", (F.col("node") == F.col("leader")).alias("main"))
     main = materialize(checked.union(leading).where("main").distinct(), "jaccard-main")
+    remove(leaders)
     star = main.join(sets.select("node", "family"), "node").join(lead, "family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     return main, star
 
