@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import WORD_RE, materialize, small, table
+from tamarack.llm.common import WORD_RE, materialize, remove, small, table
 from tamarack.llm.decontaminate import contained_items
 from tamarack.llm.jaccard import ngram_jaccard_join
 from tamarack.llm.packing import pack
@@ -20,10 +20,13 @@ from tamarack.llm.secrets import redact_secrets
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows (doc_id, th), a null doc_id equal to a null."""
-    d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    taken = {c.lower() for c in docs.columns}
+    mark = next(c for c in (f"_th{i or ''}" for i in range(len(taken) + 1)) if c not in taken)
+    d = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
     g = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
     g = small(materialize(g, "pipeline-gone"))
-    return d.join(g, (d["_th"] == g["_gone_th"]) & d["doc_id"].eqNullSafe(g["_gone_id"]), "left_anti").select(*docs.columns)
+    same = (d[mark] == g["_gone_th"]) & d["doc_id"].eqNullSafe(g["_gone_id"])
+    return d.join(g, same, "left_anti").select(*[d[c] for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,25 +36,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of 5-word Jaccard similarity of at least 0.8 stays: the smallest doc_id, or of a component without doc_id any one. Documents without words stay."""
+    """One document of each component of 5-word Jaccard similarity of at least 0.8 stays: the smallest doc_id, or of a
+    component without doc_id any one. Documents without words stay, repeated ones too."""
     rows = materialize(ngram_jaccard_join(docs, k=5, pct=80), "pipeline-groups")
     grouped = rows.where("n_shingles > 0")
-    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")).alias("first")).select("component", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
-    first = materialize(first, "pipeline-first")
+    order = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")
+    first = grouped.groupBy("component").agg(F.min(order).alias("first"))
+    first = materialize(first.select("component", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th")), "pipeline-first")
     gone = grouped.join(first, "component").where("not (doc_id <=> first_id) or th != first_th")
     out = _without(docs, gone)
+    remove(first)
     if grouped.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
         worded = F.coalesce(F.col("text").cast("string").rlike(WORD_RE), F.lit(False))
         out = out.where(worded).dropDuplicates(["doc_id", "text"]).union(out.where(~worded))
+    remove(rows)
     return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go, each row judged on its own text, also without doc_id."""
-    rows = docs.select("text", F.concat_ws(":", F.xxhash64(F.col("text").cast("string")).cast("string"), F.col("doc_id").cast("string")).alias("row"))
+    row = F.concat_ws(":", F.xxhash64(F.col("text").cast("string")).cast("string"), F.col("doc_id").cast("string"))
+    leaks = contained_items(docs.select("text", row.alias("row")), table(spark, sf_dir, "benchmark"), key="row", kind="string")
     part = F.split("row", ":")
-    leaks = contained_items(rows, table(spark, sf_dir, "benchmark"), key="row", kind="string")
-    return _without(docs, leaks.select(F.get(part, 1).cast("long").alias("doc_id"), F.get(part, 0).cast("long").alias("th")))
+    out = _without(docs, leaks.select(F.get(part, 1).cast("long").alias("doc_id"), F.get(part, 0).cast("long").alias("th")))
+    remove(leaks)
+    return out
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +81,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. Each stage's documents are removed when the next ones are written, but for the last."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
