@@ -31,7 +31,7 @@ from .common import arrow_map, bounded_sample, documents, materialize, remove, t
 from .textkit import Words
 
 TRAIN_DOCS = 6000
-LEXICON = 64
+LEXICON = 256
 #: Letters, and all bytes of characters beyond ASCII, make up words here.
 BREAKS = np.ones(256, bool)
 BREAKS[65:91] = BREAKS[97:123] = BREAKS[128:] = False
