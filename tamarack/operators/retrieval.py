@@ -22,9 +22,10 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFr
 
 
 def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int | None, by: str | None = None) -> DataFrame:
-    """vectors: id, embedding; queries: query_id, query_vec (a stated query set, streamed in blocks against all vectors, or those of equal `by`). k None: all rows."""
+    """vectors: id, embedding; queries: query_id, query_vec (a stated query set, streamed in blocks against all vectors, or those of equal `by`). k None: all rows. Rows without a vector come last, with a null score."""
     v = vectors.withColumn("nv", norm(F.col("embedding")))
-    score = F.round(cosine(F.col("embedding"), F.col("query_vec"), F.col("nv"), F.col("nq")), 6).alias("score")
+    near = F.round(cosine(F.col("embedding"), F.col("query_vec"), F.col("nv"), F.col("nq")), 6)
+    score = F.when(F.size("embedding") > 0, near).alias("score")
     best = lambda scored: scored if k is None else top_k(scored, "query_id", "score", "id", k)
     each = [best((v.join(q, by) if by else v.join(q)).select("query_id", "id", score)) for q in in_blocks(queries.withColumn("nq", norm(F.col("query_vec"))), "query_id")]
     return reduce(DataFrame.unionByName, each)
