@@ -170,11 +170,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
-def carry_forward(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
-
-
 ANCHOR_COSINE, EDGE_CANDIDATES = 0.6, 256
 
 

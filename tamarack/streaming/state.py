@@ -1,10 +1,15 @@
-"""Streams: duplicate events, running usage, quotas and rate limits."""
+"""Streams: duplicate events, running usage, quotas, rate limits and job workers. A micro-batch is bounded by its source (files
+or offsets a trigger); of it, one key's rows are held at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import usage
+
 
 def first_events(events: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
     """Each event id once, within the watermark; empty ids are never duplicates of one another and are left out."""
@@ -53,3 +58,21 @@ def rate_limit_stream(requests: DataFrame, most: int = 120, seconds: float = 60.
     r = requests.select("tenant_id", F.col("at").cast("double").alias("at"), "seq")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in r.schema) + ", accepted boolean"
     return r.groupBy("tenant_id").applyInPandasWithState(step, schema, "recent array<double>", "append", "NoTimeout")
+
+
+def work(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], store: Callable[[DataFrame, DataFrame], None], checkpoint: str):
+    """A streaming query that takes each micro-batch of queued jobs (as process() takes them) to their handlers and gives finished
+    job rows and operations to meter to store(). The stream's offsets are the claims: a batch that failed is taken again."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        claimed = batch.where("status = 'queued'").withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1})
+        results, metered = usage.process(claimed, handlers)
+        store(usage.complete(claimed, results.drop("added")), metered)
+
+    return jobs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drain(stream: DataFrame, path: str) -> None:
+    """Run a stream over all that its source holds now, appended to Parquet files below `path`."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
