@@ -7,6 +7,7 @@ tenants t0, t1 and t2, and queries run as t1.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,11 +113,7 @@ _ALL = "memories rules checks violations tombstones audit entities edges taxonom
 
 
 def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
-    each = [df.agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n, df in sorted(tables.items())]
-    out = each[0]
-    for e in each[1:]:
-        out = out.union(e)
-    return out
+    return reduce(DataFrame.union, [df.agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n, df in sorted(tables.items())])
 
 
 def _left(cond: Callable[[str], str | None]) -> str:
@@ -142,6 +139,29 @@ def _recorded(s: Store) -> DataFrame:
     })
 
 
+def tenant_isolation(spark, d):
+    """What each tenant sees of the memories; without a tenant the access is refused."""
+    rows = [(t, store(spark, d, ["memories"], t)) for t in ("t0", "t1", "t2", "t9")]
+    out = [s.count_memories(active_only=False).withColumn("tenant_id", F.lit(t)) for t, s in rows]
+    try:
+        store(spark, d, ["memories"], None).count_memories()
+    except PermissionError:
+        out.append(spark.createDataFrame([(0, "refused")], "memories long, tenant_id string"))
+    return reduce(DataFrame.unionByName, out)
+
+
+QUERIES["tenant_isolation"] = tenant_isolation
+ORACLE_SQL["tenant_isolation"] = f"with {CTES['memories']} select tenant_id, count(*) as memories from memories group by 1 union all select 't9', 0 union all select 'refused', 0"
+
+# An older table lacks columns; they are null.
+add("schema_evolution", "tombstones users", f"select 'tombstones' as name, count(*) as rows, 0 as filled from tombstones where {_OWN} union all select 'users', count(*), count(approved) from users where {_OWN}", lambda s: _evolved(s))
+
+
+def _evolved(s: Store) -> DataFrame:
+    one = lambda n, c: s.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.count(c).cast("int").alias("filled"))
+    return one("tombstones", "embedding").union(one("users", "approved"))
+
+
 def tables_round_trip(spark, d):
     """The tables written to a folder, opened again as another tenant, and counted."""
     from ..sources.store import open_store

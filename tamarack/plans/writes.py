@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, memory, rules, taxonomy, usage
-from ..sources import delivery, store
+from ..sources import bundles, delivery, store
+from ..sources.tables import keep
 from .catalog import _HASH, _memories, _t, query
 
 NOW = 5000.0
@@ -59,6 +60,14 @@ def memory_add(spark, d):
     return memory.add(m.where("id % 3 != 0"), new, F.lit(NOW)).select("id", F.sha1(F.coalesce("content", F.lit(""))).alias("content"), "salience", "valid_at", "invalid_at")
 
 
+@query("""select coalesce(a.doc_id, b.doc_id) as id, case when a.doc_id is null then 1 else a.doc_id % 6 end::double as salience from (select * from documents where doc_id % 3 <> 0) a
+full join (select * from documents where doc_id % 2 = 0) b on a.doc_id = b.doc_id""")
+def memory_bulk_add(spark, d):
+    """A bulk load raises no salience."""
+    m = _rows(spark, d)
+    return memory.add(m.where("id % 3 != 0"), m.where("id % 2 = 0").select("id", "content", "embedding"), F.lit(NOW), raised=False).select("id", "salience")
+
+
 @query("select coalesce(a.h, b.h) as content_hash, case when b.h is null then a.e else b.e end as e from (select 'h' || doc_id as h, doc_id as e from labels where doc_id % 3 <> 0) a full join (select 'h' || doc_id as h, case when doc_id % 4 = 0 then null else -doc_id end as e from labels where doc_id % 2 = 0) b on a.h = b.h")
 def tombstone_upsert(spark, d):
     t = _t(spark, d, "labels").select(F.concat(F.lit("h"), "doc_id").alias("content_hash"), F.col("doc_id").alias("e"))
@@ -216,6 +225,17 @@ def token_consume(spark, d):
     return usage.consume_tokens(tokens, uses, NOW)[1]
 
 
+@query("select c_custkey::varchar as id, 'member' as role, c_custkey::varchar as tenant_id, true as fresh from customer")
+def api_key_create(spark, d):
+    """Every key is its own, and finds its tenant and role again by its hash."""
+    c = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").cast("string").alias("tenant_id"), F.col("c_name").alias("name"), F.lit("member").alias("role"))
+    keys = keep(store.create_keys(c, NOW), "keys")
+    owners = keys.limit(0).select("key_hash", "tenant_id")
+    many = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    found = store.resolve_keys(keys.select("key"), keys, owners).join(many, "key")
+    return found.select("id", "role", "tenant_id", (F.col("n") == 1).alias("fresh"))
+
+
 # Jobs.
 def _jobs(spark, d):
     e = _t(spark, d, "events")
@@ -347,3 +367,19 @@ select 'http_requests_total{method="' || m || '",path="/v1/keys/{id}",status="'
 def prometheus_lines(spark, d):
     r = _t(spark, d, "events").select(F.when(F.col("event_type") == "view", "GET").otherwise("POST").alias("method"), F.concat(F.lit("/v1/keys/"), "event_id").alias("path"), (F.col("user_id") % 3).alias("status"))
     return store.prometheus(store.route_counts(r))
+
+
+@query("""select 'memories' as name, (select count(*) from documents) as rows, (select count(*) from documents) > 500 as refused union all select 'rules', (select count(*) from part), (select count(*) from part) > 500""")
+def bundle_sizes(spark, d):
+    """Tables of a bundle, and whether a limit of 500 rows a table refuses them."""
+
+    def refused(name, rows):
+        try:
+            bundles.check_size({name: rows}, 500, None)
+        except ValueError:
+            return True
+        return False
+
+    tables = {"memories": _t(spark, d, "documents"), "rules": _t(spark, d, "part")}
+    sizes = bundles.check_size(tables, None, None)
+    return spark.createDataFrame([(n, sizes[n], refused(n, t)) for n, t in tables.items()], "name string, rows long, refused boolean")

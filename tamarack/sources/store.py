@@ -215,6 +215,12 @@ def current_edges(edges: DataFrame, now: Column) -> DataFrame:
     return edges.where(F.col("expired_at").isNull() & (F.coalesce("valid_at", now) <= now) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > now)))
 
 
+def create_keys(wanted: DataFrame, now: float) -> DataFrame:
+    """wanted: tenant_id, id, name, role. Adds key, drawn at random, to be shown once, and key_hash, which is kept."""
+    rows = wanted.withColumn("key", F.concat(F.lit("key_"), F.replace(F.uuid(), F.lit("-"), F.lit("")), F.replace(F.uuid(), F.lit("-"), F.lit(""))))
+    return rows.withColumns({"key_hash": F.sha2("key", 256), "created_at": F.lit(now), "revoked_at": F.lit(None).cast("double")})
+
+
 def resolve_keys(requests: DataFrame, keys: DataFrame, owners: DataFrame) -> DataFrame:
     """requests: key; keys: key_hash, tenant_id, role, revoked_at; owners: key_hash, tenant_id. Tenant and role of each key, an active key first, then a bootstrap key, which owns its tenant."""
     r = requests.withColumn("key_hash", F.sha2(F.col("key"), 256))
