@@ -29,6 +29,8 @@ from .common import materialize, remove, small, table
 K, THRESHOLD = 5, 0.8
 #: The bit table has at least LEAST_WORDS 64-bit words, 32 bits or more for each signature value, and at most BIT_WORDS (2 MB).
 LEAST_WORDS, BIT_WORDS = 1 << 10, 1 << 18
+#: Shingles of items (some 60 bytes each) up to which they are broadcast.
+BROADCAST_SHINGLES = 200_000
 
 
 def _words(text: str) -> Column:
@@ -98,8 +100,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = K, threshold: fl
     found = materialize(found.select(key, "item_id"), "leak-candidates")
     some = docs.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias(key), "text").join(small(found.select(key).distinct()), key)
     held = _with_hashes(some, key, k, kind)
-    held = held.select(key, F.explode_outer(F.array_distinct(F.transform("hashes", lambda h, i: _shingle(i, k)))).alias("shingle")).where("shingle is not null").distinct()
-    same = held.join(shingles.select("item_id", "shingle", "n"), "shingle").join(found, [key, "item_id"], "left_semi")
+    held = held.select(key, F.explode_outer(F.array_distinct(F.transform("hashes", lambda h, i: _shingle(i, k)))).alias("shingle")).where("shingle is not null")
+    known = small(shingles.select("item_id", "shingle", "n"), BROADCAST_SHINGLES)
+    same = held.join(known, "shingle").join(small(found), [key, "item_id"], "left_semi").distinct()
     out = materialize(same.groupBy(key, "item_id").agg(F.count("*").alias("matched"), F.max("n").alias("item_shingles")).where(F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9)), "leaks")
     remove(shingles, hits, found)
     share = out.withColumn("containment", F.col("matched") / F.col("item_shingles"))
