@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path, small, spread
+
+__all__ = ["WORD_RE", "arrow_map", "bounded_sample", "documents", "materialize", "new_path", "release", "remove", "remove_path", "slices", "small", "table", "tune"]
+
 #: Words are maximal runs of characters other than these (space, \t \n \v \f \r).
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step holds at once (a longer single text is one step).
@@ -20,7 +22,9 @@ ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, path) if name in ("documents", "pages") else df
 
 
 def tune(spark: SparkSession) -> None:
@@ -29,21 +33,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as set in spark.checkpoint.dir; a temporary one only where it is unset in local mode."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tamarack-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tamarack-{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -122,12 +111,3 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
         return df
     some = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1.5 * bound + 100) / n * (1 << 30))
     return df.where(some).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(bound)
-
-
-#: Rows of narrow tables (a few numbers each) up to which they are broadcast: tens of MB at most.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows (counted), to be joined by shuffles otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
