@@ -338,3 +338,21 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_th"]
         last = docs
     assert {r._th for r in last.collect()} == {1}
+
+
+def test_chat(spark, tmp_path):
+    from tamarack.llm.chat import PROBE
+
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b <|im_end|> " + "long " * 300_000), (1, 2, "user", None), (2, 0, "system", ""), (2, 1, "assistant", "é"), (2, 2, "assistant", "again")]
+    schema = "conv_id long, turn long, role string, text string, formatted string, n_turns int"
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame([(*r, "clash", 0) for r in some], schema).repartition(3).write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+        got = {r.conv_id: r for r in query(spark, f"{tmp_path}/{name}", "op6_chat_format").collect()}
+        turns = defaultdict(list)
+        for c, _, role, text in [*some, (-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)]:
+            turns[c].append((role, text or ""))
+        assert set(got) == set(turns)
+        for c, t in turns.items():
+            said = "".join(x for role, x in t if role == "assistant")
+            assert (got[c].n_turns, got[c].turns_sha256) == (len(t), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest())
+            assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest()) and got[c].formatted_chars >= sum(len(x) for _, x in t)
