@@ -170,6 +170,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
+#: Nodes and edges of a drawing.
+MOST_NODES, MOST_EDGES = 600, 2000
+
+
+def view(entities: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame]:
+    """A graph to draw: the first entities by id, and the first edges by id that join two of them."""
+    nodes = entities.select("id", "name", "kind").orderBy("id").limit(most_nodes)
+    ends = F.broadcast(nodes.select("id"))
+    both = edges.join(ends.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi").join(ends.withColumnRenamed("id", "object_id"), "object_id", "left_semi")
+    return nodes, both.orderBy("id").limit(most_edges).select("id", F.col("subject_id").alias("source"), F.col("object_id").alias("target"), "predicate")
+
+
 ANCHOR_COSINE, EDGE_CANDIDATES = 0.6, 256
 
 

@@ -185,6 +185,14 @@ def graph_ingest(spark, d):
     return graph.assert_facts(f, 800)
 
 
+@query("""with n as (select c_custkey as id from customer order by 1 limit 60), e as (select event_id as id, user_id as source, event_id % 150 as target, event_type as predicate from events)
+select id, source, target, predicate from e where source in (select id from n) and target in (select id from n) order by id limit 500""")
+def graph_view(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("subject_id"), (F.col("event_id") % 150).alias("object_id"), F.col("event_type").alias("predicate"))
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))
+    return graph.view(c, e, 60, 500)[1]
+
+
 # Categories.
 @query("select 't1' as tenant_id, n_name as label from nation where n_nationkey % 3 = 0 union all select 't0', n_name from nation where n_nationkey % 2 = 0")
 def taxonomy_replace(spark, d):
