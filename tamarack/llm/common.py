@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import new_path, small, spread
 
-__all__ = ["WORD_RE", "arrow_map", "bounded_sample", "documents", "materialize", "new_path", "release", "remove", "remove_path", "slices", "small", "table", "tune"]
+__all__ = [
+    "WORD_RE", "arrow_map", "bounded_sample", "documents", "materialize", "new_path", "release", "remove",
+    "remove_path", "slices", "small", "table", "tune",
+]
 
 #: Words are maximal runs of characters other than these (space, \t \n \v \f \r).
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -93,7 +96,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
         for batch in batches:
             for part in slices(batch, text):
                 cols = fn(part)
-                arrays = [pa.array(cols[f.name], type=f.type) if not isinstance(cols[f.name], (pa.Array, pa.ChunkedArray)) else cols[f.name].cast(f.type) for f in target]
+                arrays = [
+                    pa.array(cols[f.name], type=f.type) if not isinstance(
+                        cols[f.name], (pa.Array, pa.ChunkedArray),
+                    ) else cols[f.name].cast(f.type) for f in target
+                ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, struct)

@@ -55,7 +55,12 @@ def _shingle(i: Column, k: int) -> Column:
 def item_shingles(items: DataFrame, k: int, threshold: float) -> DataFrame:
     """item_id, h, shingle, n (distinct shingles), signature (whether h is one of its bottom MinHash values), at_least (of them in a document that contains the item)."""
     rows = _with_hashes(items, "item_id", k)
-    each = rows.select("item_id", F.explode_outer(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), _shingle(i, k).alias("shingle")))).alias("x")).select("item_id", "x.h", "x.shingle").where("h is not null").distinct()
+    each = rows.select(
+        "item_id",
+        F.explode_outer(
+            F.transform("hashes", lambda h, i: F.struct(h.alias("h"), _shingle(i, k).alias("shingle")))
+        ).alias("x"),
+    ).select("item_id", "x.h", "x.shingle").where("h is not null").distinct()
     item = Window.partitionBy("item_id")
     each = each.withColumn("n", F.count("*").over(item)).withColumn("rank", F.row_number().over(item.orderBy("h", "shingle")))
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
@@ -71,7 +76,10 @@ def _bit_table(hashes: DataFrame, most: int) -> tuple[Column, int] | None:
         words *= 2
     if words > most:
         return None
-    rows = hashes.select(F.shiftright("h", 6).bitwiseAND(words - 1).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    rows = hashes.select(
+        F.shiftright("h", 6).bitwiseAND(words - 1).cast("int").alias("w"),
+        F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"),
+    ).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     bits = [0] * words
     for r in rows:
         bits[r.w] = r.b
@@ -89,21 +97,35 @@ def _signature_hits(docs: DataFrame, signatures: DataFrame, key: str, k: int, ki
     return materialize(d.select(key, F.explode_outer(hit).alias("h")).where("h is not null"), "leak-hits")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = K, threshold: float = THRESHOLD, key: str = "doc_id", kind: str = "long", bit_words: int = BIT_WORDS) -> DataFrame:
+def contained_items(
+    docs: DataFrame, items: DataFrame, k: int = K, threshold: float = THRESHOLD, key: str = "doc_id",
+    kind: str = "long", bit_words: int = BIT_WORDS,
+) -> DataFrame:
     """One row per document and item that it contains: `key`, item_id, matched, item_shingles, containment. `key` (of type `kind`) tells documents apart."""
     shingles = materialize(item_shingles(items, k, threshold), "leak-items")
     signatures = shingles.where("signature").select("h", "item_id", "at_least").distinct()
     hits = _signature_hits(docs, signatures, key, k, kind, bit_words)
     # Items whose shingles share a hash count it once on either side, so such an item asks for one hit less.
-    wanted = shingles.where("signature").groupBy("item_id").agg(F.min("at_least").alias("least"), (F.count("*") - F.count_distinct("h")).alias("twins"))
-    found = hits.distinct().join(signatures, "h").groupBy(key, "item_id").agg(F.count("*").alias("hits")).join(small(wanted), "item_id").where("hits >= least - twins")
+    wanted = shingles.where("signature").groupBy("item_id").agg(
+        F.min("at_least").alias("least"), (F.count("*") - F.count_distinct("h")).alias("twins"),
+    )
+    found = hits.distinct().join(signatures, "h").groupBy(key, "item_id").agg(
+        F.count("*").alias("hits")
+    ).join(small(wanted), "item_id").where("hits >= least - twins")
     found = materialize(found.select(key, "item_id"), "leak-candidates")
     some = docs.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias(key), "text").join(small(found.select(key).distinct()), key)
     held = _with_hashes(some, key, k, kind)
-    held = held.select(key, F.explode_outer(F.array_distinct(F.transform("hashes", lambda h, i: _shingle(i, k)))).alias("shingle")).where("shingle is not null")
+    held = held.select(
+        key, F.explode_outer(F.array_distinct(F.transform("hashes", lambda h, i: _shingle(i, k)))).alias("shingle"),
+    ).where("shingle is not null")
     known = small(shingles.select("item_id", "shingle", "n"), BROADCAST_SHINGLES)
     same = held.join(known, "shingle").join(small(found), [key, "item_id"], "left_semi").distinct()
-    out = materialize(same.groupBy(key, "item_id").agg(F.count("*").alias("matched"), F.max("n").alias("item_shingles")).where(F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9)), "leaks")
+    out = materialize(
+        same.groupBy(key, "item_id").agg(F.count("*").alias("matched"), F.max("n").alias("item_shingles")).where(
+            F.col("matched") >= F.ceil(F.col("item_shingles") * threshold - 1e-9)
+        ),
+        "leaks",
+    )
     remove(shingles, hits, found)
     share = out.withColumn("containment", F.col("matched") / F.col("item_shingles"))
     share.tamarack_path = out.tamarack_path

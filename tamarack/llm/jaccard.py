@@ -116,7 +116,10 @@ def _signatures(docs: DataFrame, k: int, pct: int, filt, load: float) -> DataFra
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
         sets, names = named_sets(_col(batch, "text"), k)
-        return {"node": names, "rep": _col(batch, "rep"), "family": _col(batch, "family"), "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
+        return {
+            "node": names, "rep": _col(batch, "rep"), "family": _col(batch, "family"),
+            "popular": _col(batch, "popular"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]
+        }
 
     return arrow_map(docs, fn, "node binary, rep long, family long, popular double, n long, tokens binary")
 
@@ -131,7 +134,13 @@ def _typical(pct: int):
     def run(batches):
         for b in batches:
             t, lead = _col(b, "tokens").to_pylist(), _col(b, "lead").to_pylist()
-            yield pa.RecordBatch.from_arrays([_col(b, "node"), pa.array([jaccard_at_least(x, y, pct) for x, y in zip(t, lead, strict=True)], pa.bool_())], names=["node", "main"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    _col(b, "node"),
+                    pa.array([jaccard_at_least(x, y, pct) for x, y in zip(t, lead, strict=True)], pa.bool_())
+                ],
+                names=["node", "main"],
+            )
 
     return run
 
@@ -234,7 +243,9 @@ def _frequencies(docs: DataFrame, k: int) -> tuple[cms.Sketch, float]:
 
 def _postings(signed: DataFrame, pct: int) -> DataFrame:
     """token, rep, df of the prefix tokens that stand in other nodes' prefixes of a fitting size."""
-    nodes = signed.where("n > 0").groupBy(F.xxhash64("node").alias("rep"), "node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    nodes = signed.where("n > 0").groupBy(F.xxhash64("node").alias("rep"), "node").agg(
+        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"),
+    )
     each = materialize(nodes.select("rep", "n", F.explode("prefix").alias("token")), "jaccard-tokens")
     remove(signed)
     shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -248,10 +259,17 @@ def _node_sets(docs: DataFrame, sigs: DataFrame, alive: DataFrame, k: int) -> Da
     """The set of each node that can link, from its first row's text; rows equal to that in doc_id and text count once."""
     ident = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")
     first = sigs.where("n > 0").groupBy("node").agg(F.min(ident).alias("x"), F.count("*").alias("copies"))
-    first = first.select(F.xxhash64("node").alias("rep"), F.col("x.doc_id").alias("first_id"), F.col("x.th").alias("first_th"), (F.col("copies") > 1).alias("copied"))
+    first = first.select(
+        F.xxhash64("node").alias("rep"), F.col("x.doc_id").alias("first_id"), F.col("x.th").alias("first_th"),
+        (F.col("copies") > 1).alias("copied"),
+    )
     first = materialize(first.join(alive, "rep"), "jaccard-first")
     same = (F.col("th") == F.col("first_th")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    texts = [docs.join(small(first.where(cond)), same).select("doc_id", "th", "text", "rep", "family", "popular") for cond in ("not copied", "copied")]
+    texts = [
+        docs.join(small(first.where(cond)), same).select(
+            "doc_id", "th", "text", "rep", "family", "popular",
+        ) for cond in ("not copied", "copied")
+    ]
     sets = materialize(_token_sets(texts[0].union(texts[1].dropDuplicates(["doc_id", "th", "rep"])), k), "jaccard-sets")
     remove(first)
     return sets
@@ -259,12 +277,16 @@ def _node_sets(docs: DataFrame, sigs: DataFrame, alive: DataFrame, k: int) -> Da
 
 def _main_parts(sets: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
     """node, main: the nodes that link with their family's most typical one; and these links."""
-    lead = sets.groupBy("family").agg(F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    lead = sets.groupBy("family").agg(
+        F.max(F.struct("popular", "node")).getField("node").alias("leader"), F.count("*").alias("size"),
+    ).where("size > 1")
     lead = small(materialize(lead.select("family", "leader"), "jaccard-lead"))
     led = sets.select("node", "family", "tokens").join(lead, "family")
     # Written out, so that the join with a large family's members is one that can be split.
     leaders = materialize(led.where("node = leader").dropDuplicates(["family"]).select("family", F.col("tokens").alias("lead")), "jaccard-leaders")
-    checked = led.where("node != leader").join(leaders, "family").select("node", "tokens", "lead").mapInArrow(_typical(pct), "node binary, main boolean")
+    checked = led.where("node != leader").join(leaders, "family").select("node", "tokens", "lead").mapInArrow(
+        _typical(pct), "node binary, main boolean",
+    )
     leading = led.select("node", (F.col("node") == F.col("leader")).alias("main"))
     main = materialize(checked.union(leading).where("main").distinct(), "jaccard-main")
     remove(leaders)
@@ -309,7 +331,12 @@ def _calls(posts: DataFrame, place: DataFrame, kin: DataFrame, pct: int) -> Data
     """node, l, r, side: which node takes part in which meeting of two groups."""
     groups = place.groupBy("gid", "family", "main").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     fits = f"100 * y.high >= {pct} * x.low and 100 * x.high >= {pct} * y.low"
-    inner = groups.alias("x").join(groups.alias("y"), F.expr(f"x.family = y.family and not (x.main and y.main) and (x.gid < y.gid or x.gid = y.gid and x.members > 1) and {fits}"))
+    inner = groups.alias("x").join(
+        groups.alias("y"),
+        F.expr(
+            f"x.family = y.family and not (x.main and y.main) and (x.gid < y.gid or x.gid = y.gid and x.members > 1) and {fits}"
+        ),
+    )
     pairs = materialize(inner.select(F.col("x.gid").alias("l"), F.col("y.gid").alias("r")).distinct(), "jaccard-pairs")
     meets = pairs.withColumn("side", F.lit(0)).withColumn("gid", F.col("l"))
     meets = meets.union(pairs.where("l != r").withColumn("side", F.lit(1)).withColumn("gid", F.col("r")))

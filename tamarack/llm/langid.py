@@ -130,7 +130,11 @@ def train(rows: list[tuple[str, list[bytes]]], steps: int = STEPS, seed: int = 7
     full = [k for k in range(len(names)) if by[k]]
     p: dict = {"out": (rng.normal(size=(2 * HIDDEN + 1, len(names))) * 0.1).astype(f4)}
     for d in "fb":
-        p |= {"in" + d: (rng.normal(size=(256, 3 * HIDDEN)) * 0.3).astype(f4), "u" + d: (rng.normal(size=(HIDDEN, 2 * HIDDEN)) * 0.3).astype(f4), "c" + d: (rng.normal(size=(HIDDEN, HIDDEN)) * 0.3).astype(f4)}
+        p |= {
+            "in" + d: (rng.normal(size=(256, 3 * HIDDEN)) * 0.3).astype(f4),
+            "u" + d: (rng.normal(size=(HIDDEN, 2 * HIDDEN)) * 0.3).astype(f4),
+            "c" + d: (rng.normal(size=(HIDDEN, HIDDEN)) * 0.3).astype(f4),
+        }
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     for step in range(1, steps + 1 if len(full) > 1 else 1):
         y = rng.choice(full, BATCH)
@@ -168,7 +172,10 @@ def predict_language(docs: DataFrame, net: Network | None) -> DataFrame:
             return {"doc_id": b.column(0), "lang_pred": ["und"] * len(texts), "score": np.zeros(len(texts))}
         q = net.pooled(texts)
         best = q.argmax(1)
-        return {"doc_id": b.column(0), "lang_pred": [net.langs[k] if s else "und" for k, s in zip(best, some, strict=True)], "score": np.where(some, np.minimum(1.0, q.max(1)), 0.0)}
+        return {
+            "doc_id": b.column(0), "lang_pred": [net.langs[k] if s else "und" for k, s in zip(best, some, strict=True)],
+            "score": np.where(some, np.minimum(1.0, q.max(1)), 0.0),
+        }
 
     return arrow_map(documents(docs), fn, "doc_id long, lang_pred string, score double")
 

@@ -64,7 +64,11 @@ def encoder(path: str):
         fast, slow = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path)
 
         def encode(texts: list[str]) -> list[np.ndarray]:
-            return [np.asarray(slow.encode(t, add_special_tokens=False).ids, np.uint32) if any(s in t for s in special) else fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            return [
+                np.asarray(
+                    slow.encode(t, add_special_tokens=False).ids, np.uint32,
+                ) if any(s in t for s in special) else fast.encode_to_numpy(t, disallowed_special=()) for t in texts
+            ]
 
         _encoders[path] = encode
     return _encoders[path]
@@ -86,7 +90,15 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID, size: int
                     full += len(x) // size
                     ranks.append(tails[len(x) % size])
                     tails[len(x) % size] += 1
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([part] * len(ids), pa.int64()), pa.array(fulls, pa.int64()), pa.array(ranks, pa.int64())], names=["doc_id", "n", "ids", "part", "full_rank", "tail_rank"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                        pa.array([part] * len(ids), pa.int64()), pa.array(fulls, pa.int64()),
+                        pa.array(ranks, pa.int64()),
+                    ],
+                    names=["doc_id", "n", "ids", "part", "full_rank", "tail_rank"],
+                )
 
     return documents(docs).mapInArrow(run, "doc_id long, n long, ids binary, part long, full_rank long, tail_rank long")
 
@@ -198,9 +210,25 @@ def plan(hist: np.ndarray, size: int = SIZE) -> tuple[dict[int, list[tuple]], in
 def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int | None = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
     tokens = materialize(tokenize(docs, path, end_id, size), "packing-tokens")
-    counts = materialize(tokens.groupBy("part", (F.col("n") % size).cast("int").alias("tail")).agg(F.count("*").alias("c"), F.sum(F.expr(f"n div {size}")).alias("f")), "packing-counts")
-    by = counts.where("tail > 0").select("part", "tail", "c").union(counts.groupBy("part").agg(F.lit(0).alias("tail"), F.sum("f").alias("c")).select("part", "tail", "c"))
-    base = materialize(by.withColumn("base", F.coalesce(F.sum("c").over(Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "tail", "base", "c"), "packing-offsets")
+    counts = materialize(
+        tokens.groupBy("part", (F.col("n") % size).cast("int").alias("tail")).agg(
+            F.count("*").alias("c"), F.sum(F.expr(f"n div {size}")).alias("f"),
+        ),
+        "packing-counts",
+    )
+    by = counts.where("tail > 0").select("part", "tail", "c").union(
+        counts.groupBy("part").agg(F.lit(0).alias("tail"), F.sum("f").alias("c")).select("part", "tail", "c")
+    )
+    base = materialize(
+        by.withColumn(
+            "base",
+            F.coalesce(
+                F.sum("c").over(Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
+                F.lit(0),
+            ),
+        ).select("part", "tail", "base", "c"),
+        "packing-offsets",
+    )
     hist, full = np.zeros(size, np.int64), 0
     for r in base.groupBy("tail").agg(F.sum("c").alias("c")).collect():
         if r.tail:
@@ -209,7 +237,9 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int | None = END_
             full = int(r.c)
     records, _ = plan(hist, size)
     side = F.broadcast if base.count() <= BROADCAST_ROWS else (lambda x: x)
-    rows = tokens.withColumn("tail", (F.col("n") % size).cast("int")).join(side(base.where("tail > 0").select("part", "tail", "base")), ["part", "tail"], "left").join(side(base.where("tail = 0").select("part", F.col("base").alias("full_base"))), "part")
+    rows = tokens.withColumn("tail", (F.col("n") % size).cast("int")).join(
+        side(base.where("tail > 0").select("part", "tail", "base")), ["part", "tail"], "left",
+    ).join(side(base.where("tail = 0").select("part", F.col("base").alias("full_base"))), "part")
     rows = rows.select("doc_id", "n", "ids", F.col("full_base") + F.col("full_rank"), F.coalesce("base", F.lit(0)) + F.col("tail_rank"))
 
     table = {r: np.array(x, np.int64) for r, x in records.items()}
@@ -227,7 +257,10 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int | None = END_
                     for lo, _, start, length, first, offset in ranges[(ranges[:, 0] <= rank) & (rank < ranges[:, 1])].tolist():
                         at = whole + start
                         out.append((doc, at, length, ids[4 * at : 4 * (at + length)], n, full + first + rank - lo, offset))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 3 else pa.int64()) for i in range(7)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[i] for x in out], pa.binary() if i == 3 else pa.int64()) for i in range(7)],
+                    names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                )
 
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

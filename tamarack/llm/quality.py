@@ -80,7 +80,9 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
             covered[hit + j] = True
         repeat = _per_text(covered, w.first)
     return {
-        "n_words": w.counts, "word_chars": _per_text(w.inside & ((data & 0xC0) != 0x80), off), "n_symbols": _per_text(_SYM[data], off), "n_dup_lines": np.array(n_dup, np.int64), "n_repeat_words": repeat,
+        "n_words": w.counts, "word_chars": _per_text(
+            w.inside & ((data & 0xC0) != 0x80), off,
+        ), "n_symbols": _per_text(_SYM[data], off), "n_dup_lines": np.array(n_dup, np.int64), "n_repeat_words": repeat,
         "n_lines": np.array(n_lines, np.int64), "n_upper": _per_text(_UPPER[data], off), "n_alpha": _per_text(_ALPHA[data], off),
     }
 
@@ -102,7 +104,10 @@ def base_failed() -> F.Column:
 
 def signals() -> dict[str, F.Column]:
     ratio = lambda a, b: F.when(F.col(b) > 0, F.least(F.lit(1.0), F.col(a) / F.col(b))).otherwise(F.lit(0.0))
-    return {"symbol_ratio": ratio("n_symbols", "word_chars"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"), "repeat_ratio": ratio("n_repeat_words", "n_words"), "upper_ratio": ratio("n_upper", "n_alpha")}
+    return {
+        "symbol_ratio": ratio("n_symbols", "word_chars"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "repeat_ratio": ratio("n_repeat_words", "n_words"), "upper_ratio": ratio("n_upper", "n_alpha"),
+    }
 
 
 def log_binom_cdf(k: int, n: int, p: float) -> float:
@@ -153,7 +158,9 @@ def _stratum(stratum: str) -> F.Column:
 
 def learn_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> DataFrame:
     """s, and for each signal the bin from which on documents of that stratum are rejected (null: none)."""
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).where("doc_id is not null and q in (0, 1)").groupBy("doc_id").agg(F.max("q").alias("q"))
+    lab = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"),
+    ).where("doc_id is not null and q in (0, 1)").groupBy("doc_id").agg(F.max("q").alias("q"))
     rows = stats.where(~base_failed()).join(lab, "doc_id").select(_stratum(stratum).alias("s"), "q", F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.floor(v * GRID).cast("int").alias("bin")) for k, v in signals().items()])).alias("x"))
     got = materialize(rows.groupBy("s", "q", "x.signal", "x.bin").count(), "quality-counts")
     tests = got.select("s", "signal").distinct().count()
@@ -167,10 +174,19 @@ def learn_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, risk: float
                 for x in listed:
                     c[x["q"], min(GRID, x["bin"])] += x["count"]
             found = choose_cutoffs(counts, risk, delta, tests)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array([round(c * GRID) for c in found.values()], pa.int32())], names=["s", "signal", "cut"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()),
+                    pa.array([round(c * GRID) for c in found.values()], pa.int32())
+                ],
+                names=["s", "signal", "cut"],
+            )
 
     cuts = each.select("s", "signal", "counts").mapInArrow(run, "s string, signal string, cut int")
-    return materialize(cuts.groupBy("s").agg(*[F.max(F.when(F.col("signal") == k, F.col("cut"))).alias(f"_cut_{k}") for k in SIGNALS]), "quality-cutoffs")
+    return materialize(
+        cuts.groupBy("s").agg(*[F.max(F.when(F.col("signal") == k, F.col("cut"))).alias(f"_cut_{k}") for k in SIGNALS]),
+        "quality-cutoffs",
+    )
 
 
 def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
@@ -178,7 +194,9 @@ def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     sig = signals()
     both = stats.withColumn("_s", _stratum(stratum)).join(small(cutoffs.withColumnRenamed("s", "_s")), "_s", "left")
     failed = F.array_compact(F.array(*[F.when(F.floor(sig[k] * GRID) >= F.col(f"_cut_{k}"), F.lit(k)) for k in sorted(SIGNALS)]))
-    both = both.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    both = both.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn(
+        "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0),
+    )
     return both.select(*stats.columns, "base_failed", "failed_rules", "kept")
 
 
@@ -190,7 +208,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed_rules", ",").alias("failed_rules"),
+    )
 
 
 OP9_SQL = r"""

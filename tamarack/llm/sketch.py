@@ -77,7 +77,13 @@ def build(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], width:
                 if len(used):
                     sparse = 3 * len(used) < BLOCK
                     data = used.astype(np.uint16).tobytes() + block[used].tobytes() if sparse else block.tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([r * (width // BLOCK) + b // BLOCK], pa.int64()), pa.array([sparse]), pa.array([data], pa.binary())], names=["block", "sparse", "data"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([r * (width // BLOCK) + b // BLOCK], pa.int64()), pa.array([sparse]),
+                            pa.array([data], pa.binary()),
+                        ],
+                        names=["block", "sparse", "data"],
+                    )
 
     def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BLOCK, np.int64)

@@ -62,7 +62,10 @@ def _digests(docs: DataFrame) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
         text = _col(batch, "text")
         words = [b.split() for b in (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in text.cast(pa.large_binary()))]
-        return {"doc_id": _col(batch, "doc_id"), "th": _col(batch, "th"), "n_words": [len(x) for x in words], "digest": [hashlib.sha256(b" ".join(x)).hexdigest() for x in words]}
+        return {
+            "doc_id": _col(batch, "doc_id"), "th": _col(batch, "th"), "n_words": [len(x) for x in words],
+            "digest": [hashlib.sha256(b" ".join(x)).hexdigest() for x in words]
+        }
 
     return arrow_map(docs, fn, "doc_id long, th long, n_words long, digest string")
 
@@ -143,7 +146,10 @@ def _hashed(found: DataFrame, window: int) -> DataFrame:
         doc = np.repeat(np.arange(len(n)), n)
         start = positions.flatten().to_numpy()
         i = np.searchsorted(at, start + w.first[doc])
-        return {"doc_id": _col(batch, "doc_id").take(pa.array(doc)), "th": _col(batch, "th").take(pa.array(doc)), "at": start, "h1": h1[i].view(np.int64), "h2": h2[i].view(np.int64)}
+        return {
+            "doc_id": _col(batch, "doc_id").take(pa.array(doc)), "th": _col(batch, "th").take(pa.array(doc)),
+            "at": start, "h1": h1[i].view(np.int64), "h2": h2[i].view(np.int64),
+        }
 
     return arrow_map(found, fn, "doc_id long, th long, at int, h1 long, h2 long")
 
@@ -170,16 +176,33 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, most_cells: int = MOS
     d = documents(docs).withColumn("th", F.xxhash64("text"))
     base = materialize(_digests(d), "substring-base")
     long_enough = base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    first = materialize(long_enough.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"), "substring-copies")
-    marked = materialize(base.join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False))).drop("rep"), "substring-marked")
+    first = materialize(
+        long_enough.groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"),
+        ).where("rep < last").drop("last"),
+        "substring-copies",
+    )
+    marked = materialize(
+        base.join(first, "digest", "left").withColumn(
+            "copy", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False)),
+        ).drop("rep"),
+        "substring-marked",
+    )
     remove(base, first)
     copies = materialize(marked.where("copy").select("doc_id", "th").distinct(), "substring-gone")
     searched = d.where(F.col("doc_id").isNotNull()).join(small(copies), ["doc_id", "th"], "left_anti")
     words = marked.agg(F.sum("n_words")).first()[0] or 0
     cells = cms.width_for(4 * words * 2 / (window - GRAM + 2), most=None)
-    found = materialize(_suspects(searched, window, cells), "substring-suspects") if cells <= most_cells else _suspects_by_cells(searched, window, cells)
+    found = materialize(
+        _suspects(searched, window, cells), "substring-suspects",
+    ) if cells <= most_cells else _suspects_by_cells(searched, window, cells)
     rows = _hashed(found, window)
-    least = materialize(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "substring-windows")
+    least = materialize(
+        rows.groupBy("h1", "h2").agg(
+            F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
+        ).where("least < most").drop("most"),
+        "substring-windows",
+    )
     release(d.sparkSession)
     starts = rows.join(least, ["h1", "h2"]).where("least < doc_id").groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"))
     part = _rebuild(found.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"]).join(starts, ["doc_id", "th"]), window)
@@ -192,7 +215,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, most_cells: int = MOS
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = substring_dedup(table(spark, sf_dir, "documents"))
-    sha = F.when(F.col("n_removed") == 0, F.col("digest")).when(F.col("n_removed") == F.col("n_words"), F.lit(EMPTY)).otherwise(F.sha2(F.col("kept_text").cast("binary"), 256))
+    sha = F.when(F.col("n_removed") == 0, F.col("digest")).when(
+        F.col("n_removed") == F.col("n_words"), F.lit(EMPTY),
+    ).otherwise(F.sha2(F.col("kept_text").cast("binary"), 256))
     return r.select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))
 
 

@@ -162,7 +162,13 @@ def features(hits: np.ndarray, words: np.ndarray, other: np.ndarray) -> np.ndarr
     if not hits.shape[1]:
         return np.concatenate([patterns(other), other], 1)
     n, kinds = hits.sum(1), (hits > 0).sum(1)
-    return np.concatenate([np.minimum(hits, 3), np.stack([np.log1p(n), np.log1p(kinds), np.minimum(1, 20 * n / np.maximum(1, words)), n == 0], 1), other], 1)
+    return np.concatenate(
+        [
+            np.minimum(hits, 3),
+            np.stack([np.log1p(n), np.log1p(kinds), np.minimum(1, 20 * n / np.maximum(1, words)), n == 0], 1), other,
+        ],
+        1,
+    )
 
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 40) -> np.ndarray:
@@ -207,7 +213,9 @@ def train(sample: DataFrame, share: float, n: int) -> Model:
 
     rows = arrow_map(sample.select("text", "y", "key"), fn, "key long, y int, hits array<float>, words long, other array<double>").collect()
     rows.sort(key=lambda r: r.key)
-    got = np.array([r.hits for r in rows], np.float32).reshape(len(rows), len(hashes)), np.array([r.words for r in rows]), np.array([r.other for r in rows])
+    got = np.array(
+        [r.hits for r in rows], np.float32,
+    ).reshape(len(rows), len(hashes)), np.array([r.words for r in rows]), np.array([r.other for r in rows])
     toxic, found = np.array([r.y for r in rows], bool), patterns(got[2])
     alone = [j for j in range(found.shape[1]) if raised(int(found[toxic, j].sum()), int(found[:, j].sum()), prior)]
     if not lexicon and not alone:
@@ -228,16 +236,23 @@ def fold(column: str, n: int) -> F.Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, score, predicted. Labels of held-out rows (fold 0 of 5) are not read."""
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where((fold("doc_id", 5) != 0) & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    lab = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"),
+    ).where((fold("doc_id", 5) != 0) & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = bounded_sample(lab, "doc_id", bound)
-    keyed = documents(docs).join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", F.xxhash64("doc_id", "text").alias("key"))
+    keyed = documents(docs).join(F.broadcast(chosen), "doc_id").select(
+        F.coalesce("text", F.lit("")).alias("text"), "y", F.xxhash64("doc_id", "text").alias("key"),
+    )
     keys = bounded_sample(keyed.select("key").distinct(), "key", 2 * bound)
     sample = materialize(keyed.join(F.broadcast(keys), "key").dropDuplicates(["key"]), "toxicity-sample")
     size = sample.agg(F.count("*").alias("n"), F.avg("y").alias("share")).first()
     model = train(sample, float(size.share or 0), size.n)
     remove(sample)
     s = score_toxicity(docs, model)
-    return s.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return s.select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

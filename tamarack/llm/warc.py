@@ -34,19 +34,36 @@ MIN_BYTES = 1000
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     """pages: page_id, url, html."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    p = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+    )
     p = p.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha1("html"))
-    keep = p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("c")).where("c > 1 and keep is not null").drop("c")
+    keep = p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(
+        F.max("page_id").alias("keep"), F.count("*").alias("c"),
+    ).where("c > 1 and keep is not null").drop("c")
     keep = materialize(keep, "warc-copies")
-    p = p.join(keep, "digest", "left").withColumn("revisit", F.expr(f"keep is not null and bytes >= {min_bytes} and (page_id is null or page_id < keep)"))
+    p = p.join(keep, "digest", "left").withColumn(
+        "revisit", F.expr(f"keep is not null and bytes >= {min_bytes} and (page_id is null or page_id < keep)"),
+    )
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     uri = F.replace(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
     body = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))
     record = F.concat(
-        F.lit(VERSION), line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", urn(F.col("page_id"))), line("WARC-Date", F.lit("2024-01-01T00:00:00Z")), line("WARC-Target-URI", uri),
-        F.when(F.col("revisit"), F.concat(line("WARC-Refers-To", urn(F.col("keep"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("X-Payload-Length", F.col("bytes").cast("string")), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
+        F.lit(VERSION), line(
+            "WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")),
+        ), line("WARC-Record-ID", urn(F.col("page_id"))), line("WARC-Date", F.lit("2024-01-01T00:00:00Z")), line("WARC-Target-URI", uri),
+        F.when(
+            F.col("revisit"),
+            F.concat(
+                line("WARC-Refers-To", urn(F.col("keep"))),
+                line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+            ),
+        ).otherwise(F.lit("")),
+        line(
+            "WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")),
+        ), line("X-Payload-Length", F.col("bytes").cast("string")), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
     )
     p.select(record.alias("value")).write.option("lineSep", END).option("compression", "none").text(path)
     remove(keep)
@@ -55,7 +72,11 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """What lies before, between and after version lines: file, end (the file's size), block (the split's start), at (order in it), size, value."""
     raw = spark.read.option("lineSep", VERSION).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("end"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.octet_length("value").cast("long").alias("size"), "value")
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("end"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.octet_length("value").cast("long").alias("size"), "value",
+    )
 
 
 def _offsets(p: DataFrame) -> DataFrame:
@@ -63,8 +84,12 @@ def _offsets(p: DataFrame) -> DataFrame:
     n = len(VERSION)
     own = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = p.groupBy("file", "block").agg(F.sum(F.col("size") + n).alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)) - n).drop("total")
-    return p.withColumn("inner", F.coalesce(F.sum(F.col("size") + n).over(own), F.lit(0))).join(base, ["file", "block"]).withColumn("off", F.col("base") + F.col("inner")).drop("base", "inner")
+    base = p.groupBy("file", "block").agg(F.sum(F.col("size") + n).alias("total")).withColumn(
+        "base", F.coalesce(F.sum("total").over(before), F.lit(0)) - n,
+    ).drop("total")
+    return p.withColumn(
+        "inner", F.coalesce(F.sum(F.col("size") + n).over(own), F.lit(0)),
+    ).join(base, ["file", "block"]).withColumn("off", F.col("base") + F.col("inner")).drop("base", "inner")
 
 
 def _leave(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,33 +125,56 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     length = _field("Content-Length")
     p = p.withColumn("content", F.when(F.expr(f"start <= size") & length.rlike("^[0-9]{1,18}$"), length.cast("long")))
     p = p.withColumn("whole", F.col("content").isNotNull() & (F.col("start") + F.col("content") <= F.col("size")))
-    p = p.withColumn("sha1", F.when(F.col("whole"), F.sha1(F.substring(F.col("value").cast("binary"), F.col("start") + 1, F.expr("try_cast(content as int)")))))
+    p = p.withColumn(
+        "sha1",
+        F.when(
+            F.col("whole"),
+            F.sha1(F.substring(F.col("value").cast("binary"), F.col("start") + 1, F.expr("try_cast(content as int)"))),
+        ),
+    )
     known = F.col("content").isNotNull()
-    meta = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to_id": "WARC-Refers-To", "uri": "WARC-Target-URI", "said_digest": "WARC-Payload-Digest", "said_bytes": "X-Payload-Length"}
-    p = materialize(p.select("file", "end", "block", "at", "size", "start", "content", "whole", "sha1", *[F.when(known, _field(v)).alias(k) for k, v in meta.items()]), "warc-pieces")
+    meta = {
+        "type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to_id": "WARC-Refers-To", "uri": "WARC-Target-URI",
+        "said_digest": "WARC-Payload-Digest", "said_bytes": "X-Payload-Length",
+    }
+    p = materialize(
+        p.select(
+            "file", "end", "block", "at", "size", "start", "content", "whole", "sha1",
+            *[F.when(known, _field(v)).alias(k) for k, v in meta.items()]
+        ),
+        "warc-pieces",
+    )
     p2 = materialize(_offsets(p).withColumn("nxt", F.col("off") + n + F.col("start") + F.col("content") + len(END)), "warc-offsets")
     remove(p)
     p = p2
     stop = p.groupBy("file", "block").agg(F.max(F.col("off") + F.col("size") + n).alias("stop"))
     named = p.where("content is not null and off >= 0").select("file", "block", "off", "nxt", "end")
     follows = named.select("file", F.col("off").alias("nxt")).withColumn("follows", F.lit(True))
-    cand = named.join(follows, ["file", "nxt"], "left").where("follows or nxt = end").select("file", "block", "off", "nxt").join(stop, ["file", "block"])
+    cand = named.join(
+        follows, ["file", "nxt"], "left",
+    ).where("follows or nxt = end").select("file", "block", "off", "nxt").join(stop, ["file", "block"])
     jump = materialize(cand.groupBy("file", "block").applyInPandas(_leave, "file string, off long, leave long"), "warc-pointers")
     ends = jump.select("file", F.col("leave").alias("off")).distinct()
     links = cand.select("file", "off", "nxt")
     hop = materialize(jump.join(ends.union(jump.where("off = 0").select("file", "off")).distinct(), ["file", "off"]), "warc-hops")
     reach = materialize(hop.where("off = 0").select("file", "off"), "warc-reach")
     while True:
-        more = reach.join(hop, ["file", "off"]).select("file", F.col("leave").alias("off")).join(hop.select("file", "off"), ["file", "off"], "left_semi")
+        more = reach.join(hop, ["file", "off"]).select("file", F.col("leave").alias("off")).join(
+            hop.select("file", "off"), ["file", "off"], "left_semi",
+        )
         wider = materialize(reach.union(more).distinct(), "warc-reach")
         if wider.count() == reach.count():
             remove(wider)
             break
-        twice = hop.join(hop.select("file", F.col("off").alias("leave"), F.col("leave").alias("further")), ["file", "leave"], "left").select("file", "off", F.coalesce("further", "leave").alias("leave"))
+        twice = hop.join(
+            hop.select("file", F.col("off").alias("leave"), F.col("leave").alias("further")), ["file", "leave"], "left",
+        ).select("file", "off", F.coalesce("further", "leave").alias("leave"))
         twice = materialize(twice, "warc-hops")
         remove(hop, reach)
         hop, reach = twice, wider
-    entry = p.select("file", "block", "off").join(links, ["file", "off"], "left").join(reach.withColumn("entry", F.lit(True)), ["file", "off"], "left")
+    entry = p.select("file", "block", "off").join(links, ["file", "off"], "left").join(
+        reach.withColumn("entry", F.lit(True)), ["file", "off"], "left",
+    )
     entry = entry.select("file", "block", "off", "nxt", F.coalesce("entry", F.lit(False)).alias("entry"))
     marked = entry.groupBy("file", "block").applyInPandas(_mark, "file string, block long, off long, owner long")
     marked = materialize(marked, "warc-owners")
@@ -138,7 +186,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         whole = payloads(spark, path, marked, split).select("file", F.col("owner").alias("off"), F.sha1("payload").alias("joined"))
         records = records.join(whole, ["file", "off"], "left").withColumn("sha1", F.coalesce("sha1", "joined"))
     revisit = F.col("type") == "revisit"
-    out = records.select("file", "off", "nxt", "type", "record_id", F.when(revisit, F.col("refers_to_id")).alias("refers_to_id"), "uri", F.when(revisit, F.col("said_bytes").cast("long")).otherwise(F.col("content")).alias("payload_bytes"), F.when(revisit, F.regexp_replace("said_digest", "^sha1:", "")).otherwise(F.col("sha1")).alias("payload_digest"))
+    out = records.select(
+        "file", "off", "nxt", "type", "record_id", F.when(revisit, F.col("refers_to_id")).alias("refers_to_id"), "uri",
+        F.when(revisit, F.col("said_bytes").cast("long")).otherwise(F.col("content")).alias("payload_bytes"),
+        F.when(revisit, F.regexp_replace("said_digest", "^sha1:", "")).otherwise(F.col("sha1")).alias("payload_digest"),
+    )
     out = materialize(out, "warc-records")
     remove(p, marked, split)
     return out
@@ -148,8 +200,12 @@ def payloads(spark: SparkSession, path: str, marked: DataFrame, wanted: DataFram
     """file, owner, payload of the wanted records (file, owner, start, content), joined from all their pieces."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = marked.groupBy("file", "block").agg(F.max("owner").alias("top")).withColumn("carried", F.max("top").over(before)).drop("top")
-    owned = marked.join(carried, ["file", "block"]).select("file", "off", F.coalesce("owner", "carried").alias("owner")).join(wanted, ["file", "owner"])
-    parts = _offsets(materialize(pieces(spark, path).join(wanted.select("file").distinct(), "file", "left_semi"), "warc-values")).join(owned, ["file", "off"])
+    owned = marked.join(carried, ["file", "block"]).select(
+        "file", "off", F.coalesce("owner", "carried").alias("owner"),
+    ).join(wanted, ["file", "owner"])
+    parts = _offsets(
+        materialize(pieces(spark, path).join(wanted.select("file").distinct(), "file", "left_semi"), "warc-values")
+    ).join(owned, ["file", "off"])
     joined = parts.groupBy("file", "owner", "start", "content").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda x: x["value"]), VERSION).cast("binary")
     return joined.select("file", "owner", F.substring(text, F.col("start") + 1, F.expr("try_cast(content as int)")).alias("payload"))
@@ -162,7 +218,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     r = read_warc(spark, path)
     remove_path(spark, path)
-    return r.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to_id").alias("refers_to"))
+    return r.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        number("refers_to_id").alias("refers_to"),
+    )
 
 
 OP1_SQL = """
