@@ -74,7 +74,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontaminate), ("secret_scan", secrets), ("packing", packing)]
+STAGES = [
+    ("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontaminate),
+    ("secret_scan", secrets), ("packing", packing),
+]
 
 #: SQL can't express the stages; tests compare run() with a brute-force version.
 ORACLE_SQL = None

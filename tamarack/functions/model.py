@@ -107,7 +107,13 @@ def claims(reply: Column, cites: Column) -> Column:
     repaired = F.from_json(F.concat(F.regexp_extract(chunk, r"(?s)\[.*\}", 0), F.lit("]")), kind)
     said = F.filter(F.coalesce(whole, repaired, F.array().cast(kind)), lambda x: F.coalesce(x["text"], F.lit("")) != "")
     low = lambda x: F.lower(F.trim(x["type"]))
-    return F.transform(said, lambda x: F.struct(stripped(x["text"]).alias("text"), F.when(low(x).isin(*CLAIMS), low(x)).otherwise("prior").alias("type"), F.when(x["source"] >= 1, F.get(cites, x["source"] - 1)["url"]).alias("source")))
+    return F.transform(
+        said,
+        lambda x: F.struct(
+            stripped(x["text"]).alias("text"), F.when(low(x).isin(*CLAIMS), low(x)).otherwise("prior").alias("type"),
+            F.when(x["source"] >= 1, F.get(cites, x["source"] - 1)["url"]).alias("source"),
+        ),
+    )
 
 
 def confirms(reply: Column) -> Column:
@@ -148,7 +154,9 @@ def labelled(replies: str | None, n: int, labels: Sequence[str]) -> list[str]:
 def label_texts(rows: DataFrame, text: str, labels: Sequence[str], model: Model, name: str = "label") -> DataFrame:
     """rows with one of the labels, or NO_LABEL; LABEL_ROWS numbered texts a call."""
     labels = [x.strip() for x in labels if x.strip()][:50]
-    system = "Put each numbered text into the one category that fits best, or DIGER. Answer with a JSON array of {n, k}. Categories: " + ", ".join(labels)
+    system = "Put each numbered text into the one category that fits best, or DIGER. Answer with a JSON array of {n, k}. Categories: " + ", ".join(
+        labels
+    )
     schema = StructType([*rows.schema, StructField(name, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

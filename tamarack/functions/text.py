@@ -125,7 +125,10 @@ def slug(text: Column) -> Column:
 def rule_id(project: Column, rule_type: Column, message: Column) -> Column:
     base = F.replace(fold(F.coalesce(F.when(project != "", project), F.lit("global"))), F.lit(" "), F.lit("-"))
     s = slug(message)
-    return F.concat_ws("-", base, F.when(s == "", "rule").otherwise(s), F.substring(F.sha1(F.concat_ws("|", base, rule_type, normalized(message))), 1, 8))
+    return F.concat_ws(
+        "-", base, F.when(s == "", "rule").otherwise(s),
+        F.substring(F.sha1(F.concat_ws("|", base, rule_type, normalized(message))), 1, 8),
+    )
 
 
 #: Severities from low to high.
@@ -215,7 +218,13 @@ def scrub_json(text: Column) -> Column:
     both can't match across them."""
     quoted = r'"(?:[^"\\]|\\.)*"'
     strings, gaps = F.regexp_extract_all(text, F.lit(quoted), 0), F.split(text, quoted)
-    pairs = F.zip_with(gaps, F.transform(strings, lambda s: F.concat(F.lit('"'), scrub(F.substring(s, F.lit(2), F.length(s) - 2)), F.lit('"'))), lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit(""))))
+    pairs = F.zip_with(
+        gaps,
+        F.transform(
+            strings, lambda s: F.concat(F.lit('"'), scrub(F.substring(s, F.lit(2), F.length(s) - 2)), F.lit('"')),
+        ),
+        lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit(""))),
+    )
     return F.array_join(pairs, "")
 
 

@@ -10,10 +10,18 @@ def ranking_quality(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """ranked: query_id, id, rank; gold: query_id, id. Recall at 1, 5 and 10 (a gold row found), MRR and NDCG at 10, averaged over the queries with gold."""
     hits = gold.select("query_id", "id").distinct().join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
     gain = lambda r: 1 / F.log2(r + 1)
-    per = hits.groupBy("query_id").agg(F.min("rank").alias("first"), F.coalesce(F.sum(F.when(F.col("rank") <= 10, gain(F.col("rank")))), F.lit(0.0)).alias("dcg"), F.least(F.count("*"), F.lit(10)).cast("int").alias("n"))
+    per = hits.groupBy("query_id").agg(
+        F.min("rank").alias("first"),
+        F.coalesce(F.sum(F.when(F.col("rank") <= 10, gain(F.col("rank")))), F.lit(0.0)).alias("dcg"),
+        F.least(F.count("*"), F.lit(10)).cast("int").alias("n"),
+    )
     ideal = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, r: a + gain(r))
     at = lambda k: F.round(F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))), 6)
-    return per.agg(F.count("*").alias("queries"), at(1).alias("recall_1"), at(5).alias("recall_5"), at(10).alias("recall_10"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("dcg") / ideal), 6).alias("ndcg_10"))
+    return per.agg(
+        F.count("*").alias("queries"), at(1).alias("recall_1"), at(5).alias("recall_5"), at(10).alias("recall_10"),
+        F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
+        F.round(F.avg(F.col("dcg") / ideal), 6).alias("ndcg_10"),
+    )
 
 
 #: The ratio of held-out cases, and how far it may lie below that of known ones.
@@ -23,7 +31,10 @@ HELD_OUT, GAP = 0.6, 0.3
 def run(cases: DataFrame) -> DataFrame:
     """cases: bucket, violations (rule ids; null: skipped). Totals and ratio of each bucket."""
     cases = cases.where("violations is not null")
-    return cases.groupBy("bucket").agg(F.count("*").alias("total"), F.count_if(F.size("violations") == 0).alias("passed"), F.round(F.avg((F.size("violations") == 0).cast("int")), 9).alias("ratio"))
+    return cases.groupBy("bucket").agg(
+        F.count("*").alias("total"), F.count_if(F.size("violations") == 0).alias("passed"),
+        F.round(F.avg((F.size("violations") == 0).cast("int")), 9).alias("ratio"),
+    )
 
 
 def notes(buckets: DataFrame) -> DataFrame:
@@ -57,7 +68,11 @@ def load_report(spark: SparkSession, path: str) -> DataFrame:
 def extraction_quality(rows: DataFrame) -> DataFrame:
     """rows as anchor_coverage() takes them: recall over all gold entries, noise that leaked, and what was found where nothing is."""
     c = anchor_coverage(rows)
-    out = c.agg(F.sum("covered").alias("covered"), F.sum(F.size("gold")).alias("gold"), F.sum("leaked").alias("leaked"), F.sum(F.when(F.size("gold") == 0, F.size("found")).otherwise(0)).alias("extra"), F.sum(F.size("found")).alias("found"))
+    out = c.agg(
+        F.sum("covered").alias("covered"), F.sum(F.size("gold")).alias("gold"), F.sum("leaked").alias("leaked"),
+        F.sum(F.when(F.size("gold") == 0, F.size("found")).otherwise(0)).alias("extra"),
+        F.sum(F.size("found")).alias("found"),
+    )
     return out.withColumn("recall", F.round(F.when(F.col("gold") > 0, F.col("covered") / F.col("gold")).otherwise(F.lit(0.0)), 9))
 
 
@@ -67,7 +82,9 @@ def violations_by_rule(cases: DataFrame) -> DataFrame:
 
 def gate(buckets: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """One row, ok: no bucket dropped and no rule is broken more often. Rules absent before count 0."""
-    worse = after.withColumnRenamed("violations", "now").join(before.withColumnRenamed("violations", "then"), "rule_id", "left").where("now > coalesce(then, 0)")
+    worse = after.withColumnRenamed("violations", "now").join(
+        before.withColumnRenamed("violations", "then"), "rule_id", "left",
+    ).where("now > coalesce(then, 0)")
     bad = buckets.where("dropped").select("bucket").union(worse.select("rule_id"))
     return bad.agg((F.count("*") == 0).alias("ok"))
 
@@ -78,4 +95,7 @@ def anchor_coverage(rows: DataFrame) -> DataFrame:
 
     blob = fold(F.array_join("found", " "))
     has = lambda a: F.contains(F.col("_blob"), fold(a))
-    return rows.withColumn("_blob", blob).select("*", F.size(F.filter("gold", lambda g: F.exists(g, has))).alias("covered"), F.size(F.filter("noise", has)).alias("leaked")).drop("_blob")
+    return rows.withColumn("_blob", blob).select(
+        "*", F.size(F.filter("gold", lambda g: F.exists(g, has))).alias("covered"),
+        F.size(F.filter("noise", has)).alias("leaked"),
+    ).drop("_blob")

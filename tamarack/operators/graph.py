@@ -28,7 +28,11 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, also: Column | No
     fits = (F.col("_k1") == "") | (F.col("_k2") == "") | (F.col("_k1") == F.col("_k2"))
     score = F.round(cosine(F.col("embedding"), F.col("_e"), F.col("_nm"), F.col("_ne")), 6)
     test = fits if also is None else fits & also
-    each = [e.where("_e is not null").join(b, test).select("key", "id", score.alias("score")).where(F.col("score") >= threshold) for b in in_blocks(m, "key")]
+    each = [
+        e.where("_e is not null").join(b, test).select(
+            "key", "id", score.alias("score"),
+        ).where(F.col("score") >= threshold) for b in in_blocks(m, "key")
+    ]
     return reduce(DataFrame.union, each)
 
 
@@ -63,7 +67,12 @@ def leaders(pairs: DataFrame) -> DataFrame:
     """pairs: later, earlier, score, of rows that are taken in order. A row with an earlier leader near it follows the nearest
     such (ties: the earliest); others lead. later, leader of the followers. Each round settles all rows whose earlier ones are
     settled, so the rounds grow with the longest chain of near rows."""
-    open_, lead = keep(pairs.select("later").distinct(), "undecided"), keep(pairs.select(F.col("earlier").alias("leader")).distinct().join(pairs.select(F.col("later").alias("leader")), "leader", "left_anti"), "leaders")
+    open_, lead = keep(pairs.select("later").distinct(), "undecided"), keep(
+        pairs.select(F.col("earlier").alias("leader")).distinct().join(
+            pairs.select(F.col("later").alias("leader")), "leader", "left_anti",
+        ),
+        "leaders",
+    )
     while open_.limit(1).count():
         following = pairs.join(lead, F.col("earlier") == F.col("leader"), "left_semi").select("later").distinct()
         rest = open_.join(following, "later", "left_anti")
@@ -121,7 +130,10 @@ def neighbours(edges: DataFrame, entities: DataFrame, names: DataFrame) -> DataF
 
 
 #: Predicates of which a subject has several objects at once (compared folded).
-MULTI_VALUED = ("likes", "knows", "owns", "has", "related_to", "mentions", "met", "visited", "uses", "sever", "biliyor", "kullanir", "kullanıyor", "links_to", "links", "references", "tagged")
+MULTI_VALUED = (
+    "likes", "knows", "owns", "has", "related_to", "mentions", "met", "visited", "uses", "sever", "biliyor", "kullanir",
+    "kullanıyor", "links_to", "links", "references", "tagged",
+)
 
 
 def many_valued(predicate: Column) -> Column:
@@ -160,9 +172,13 @@ def assert_facts(facts: DataFrame, now: float) -> DataFrame:
     at = at.withColumn("_break", breaks.cast("int")).withColumn("_run", F.sum("_break").over(line))
     later = Window.partitionBy(*key).orderBy("_run").rangeBetween(1, Window.unboundedFollowing)
     at = at.withColumn("_end", F.min("valid_at").over(later)).select(*key, "valid_at", "_first", "_end")
-    ended = single.join(at, [*key, "valid_at"]).withColumn("invalid_at", F.when(F.col("object") == F.col("_first"), F.col("_end")).otherwise(F.col("valid_at")))
+    ended = single.join(at, [*key, "valid_at"]).withColumn(
+        "invalid_at", F.when(F.col("object") == F.col("_first"), F.col("_end")).otherwise(F.col("valid_at")),
+    )
     columns = ["arrival", *key, "object", "valid_at", "invalid_at"]
-    return ended.select(*columns).unionByName(several.withColumn("invalid_at", F.lit(None).cast(ended.schema["invalid_at"].dataType)).select(*columns))
+    return ended.select(*columns).unionByName(
+        several.withColumn("invalid_at", F.lit(None).cast(ended.schema["invalid_at"].dataType)).select(*columns)
+    )
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -178,15 +194,24 @@ def view(entities: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES, mo
     """A graph to draw: the first entities by id, and the first edges by id that join two of them."""
     nodes = entities.select("id", "name", "kind").orderBy("id").limit(most_nodes)
     ends = F.broadcast(nodes.select("id"))
-    both = edges.join(ends.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi").join(ends.withColumnRenamed("id", "object_id"), "object_id", "left_semi")
-    return nodes, both.orderBy("id").limit(most_edges).select("id", F.col("subject_id").alias("source"), F.col("object_id").alias("target"), "predicate")
+    both = edges.join(
+        ends.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi",
+    ).join(ends.withColumnRenamed("id", "object_id"), "object_id", "left_semi")
+    return nodes, both.orderBy("id").limit(most_edges).select(
+        "id", F.col("subject_id").alias("source"), F.col("object_id").alias("target"), "predicate",
+    )
 
 
 ANCHOR_COSINE, EDGE_CANDIDATES = 0.6, 256
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0), lambda t: F.length(t) > 2))
+    return F.array_distinct(
+        F.filter(
+            F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0),
+            lambda t: F.length(t) > 2,
+        )
+    )
 
 
 def anchors(queries: DataFrame, entities: DataFrame, threshold: float = ANCHOR_COSINE) -> DataFrame:
@@ -203,8 +228,12 @@ def search_edges(edges: DataFrame, entities: DataFrame, queries: DataFrame, k: i
     Each query's dense candidates (None: all edges, as for a search of a point in time), ranked by reciprocal ranks of cosine and word overlap, with a small boost beside an anchor."""
     from .retrieval import dense_candidates, reciprocal_rank, top_k
 
-    c = dense_candidates(edges.select("id", "embedding"), queries, candidates).select("query_id", "id", F.greatest("score", F.lit(0.0)).alias("dense"))
-    c = c.join(edges.select("id", "subject_id", "object_id", "fact"), "id").join(queries.select("query_id", _words(F.col("text")).alias("_q")), "query_id")
+    c = dense_candidates(edges.select("id", "embedding"), queries, candidates).select(
+        "query_id", "id", F.greatest("score", F.lit(0.0)).alias("dense"),
+    )
+    c = c.join(edges.select("id", "subject_id", "object_id", "fact"), "id").join(
+        queries.select("query_id", _words(F.col("text")).alias("_q")), "query_id",
+    )
     c = c.withColumn("sparse", F.round(jaccard(_words(F.col("fact")), F.col("_q")), 9)).drop("_q", "fact")
     a = anchors(queries, entities).withColumn("_hit", F.lit(True))
     for end in ("subject_id", "object_id"):
@@ -212,5 +241,7 @@ def search_edges(edges: DataFrame, entities: DataFrame, queries: DataFrame, k: i
     graph = F.coalesce("_a_subject_id", "_a_object_id", F.lit(False))
     fused = reciprocal_rank(c.withColumn("anchored", graph), "query_id", "id", {"dense": 1.0, "sparse": 1.0})
     scored = fused.withColumn("score", F.round(F.col("rrf") + F.when(F.col("anchored"), ANCHOR_BOOST).otherwise(0.0), 9))
-    return top_k(scored, "query_id", "score", "id", k).select("query_id", "id", "subject_id", "object_id", "dense", "sparse", "anchored", "score", "rank")
+    return top_k(scored, "query_id", "score", "id", k).select(
+        "query_id", "id", "subject_id", "object_id", "dense", "sparse", "anchored", "score", "rank",
+    )
 

@@ -18,18 +18,25 @@ MOST_SALIENCE = 5.0
 def merge_by_content(memories: DataFrame) -> DataFrame:
     """One row per user and content: the first id, how often it came, and the salience that repeated adds give."""
     m = memories.withColumn("content_hash", content_hash(F.col("content")))
-    return m.groupBy("user_id", "content_hash").agg(F.min("id").alias("id"), F.count("*").alias("times")).withColumn("salience", F.least(F.lit(MOST_SALIENCE), 1 + 0.5 * (F.col("times") - 1)))
+    return m.groupBy("user_id", "content_hash").agg(F.min("id").alias("id"), F.count("*").alias("times")).withColumn(
+        "salience", F.least(F.lit(MOST_SALIENCE), 1 + 0.5 * (F.col("times") - 1)),
+    )
 
 
 def without_tombstones(memories: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Rows whose content hash has no tombstone."""
-    return memories.withColumn("content_hash", content_hash(F.col("content"))).join(tombstones.select("content_hash").distinct(), "content_hash", "left_anti")
+    return memories.withColumn("content_hash", content_hash(F.col("content"))).join(
+        tombstones.select("content_hash").distinct(), "content_hash", "left_anti",
+    )
 
 
 def users(memories: DataFrame) -> DataFrame:
     """Per user of active memories: how many, the last and first time, and the salience."""
     last, first = F.coalesce("updated_at", "valid_at", "created_at"), F.coalesce("created_at", "valid_at")
-    return active(memories).groupBy("user_id").agg(F.count("*").alias("n"), F.max(last).alias("last"), F.min(first).alias("first"), F.sum("salience").alias("salience"))
+    return active(memories).groupBy("user_id").agg(
+        F.count("*").alias("n"), F.max(last).alias("last"), F.min(first).alias("first"),
+        F.sum("salience").alias("salience"),
+    )
 
 
 def add(memories: DataFrame, new: DataFrame, now: Column, raised: bool = True) -> DataFrame:
@@ -41,14 +48,26 @@ def add(memories: DataFrame, new: DataFrame, now: Column, raised: bool = True) -
     o = memories.select("id", *[F.col(c).alias(f"_o_{c}") for c in columns if c != "id"], F.lit(True).alias("_old"))
     both = o.join(new.select("id", "content", "embedding", F.lit(True).alias("_new")), "id", "full")
     step = F.least(F.lit(MOST_SALIENCE), F.col("_o_salience") + (SALIENCE_STEP if raised else 0.0))
-    taken = {"content": F.col("content"), "embedding": F.col("embedding"), "salience": F.when(F.col("_old"), step).otherwise(1.0), "valid_at": now, "updated_at": now}
-    return both.select("id", *[F.when(F.col("_new"), taken.get(c, F.col(f"_o_{c}"))).otherwise(F.col(f"_o_{c}")).alias(c) for c in columns if c != "id"])
+    taken = {
+        "content": F.col("content"), "embedding": F.col("embedding"),
+        "salience": F.when(F.col("_old"), step).otherwise(1.0), "valid_at": now, "updated_at": now,
+    }
+    return both.select(
+        "id",
+        *[
+            F.when(
+                F.col("_new"), taken.get(c, F.col(f"_o_{c}")),
+            ).otherwise(F.col(f"_o_{c}")).alias(c) for c in columns if c != "id"
+        ]
+    )
 
 
 def supersede(facts: DataFrame, order: list[Column]) -> DataFrame:
     """Single-valued facts (subject, predicate, object, valid_at): a fact ends when the next one of its key begins; repeats of the current object add nothing."""
     key = Window.partitionBy("subject", "predicate").orderBy(*order)
-    changed = facts.withColumn("_before", F.lag("object").over(key)).where(F.col("_before").isNull() | (F.col("_before") != F.col("object"))).drop("_before")
+    changed = facts.withColumn("_before", F.lag("object").over(key)).where(
+        F.col("_before").isNull() | (F.col("_before") != F.col("object"))
+    ).drop("_before")
     return changed.withColumn("invalid_at", F.lead("valid_at").over(key))
 
 
@@ -60,7 +79,11 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str]) -> D
     """new replaces old by key; columns in `keep` stay as they were where they were set."""
     o = old.select(*key, *[F.col(c).alias(f"_o_{c}") for c in old.columns if c not in key], F.lit(True).alias("_old"))
     n = new.withColumn("_new", F.lit(True))
-    out = [F.coalesce(f"_o_{c}", c).alias(c) if c in keep else F.when(F.col("_new"), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c) for c in old.columns if c not in key]
+    out = [
+        F.coalesce(f"_o_{c}", c).alias(c) if c in keep else F.when(
+            F.col("_new"), F.col(c),
+        ).otherwise(F.col(f"_o_{c}")).alias(c) for c in old.columns if c not in key
+    ]
     return o.join(n, key, "full").select(*key, *out)
 
 
@@ -85,7 +108,12 @@ def reinforce(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     n = ids.groupBy("id").agg(F.count("*").alias("_n"))
     hit = F.col("_n").isNotNull() & F.col("invalid_at").isNull()
     m = memories.join(n, "id", "left")
-    return m.withColumn("salience", F.when(hit, F.least(F.lit(MOST_SALIENCE), F.col("salience") + SALIENCE_STEP * F.col("_n"))).otherwise(F.col("salience"))).withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).drop("_n")
+    return m.withColumn(
+        "salience",
+        F.when(
+            hit, F.least(F.lit(MOST_SALIENCE), F.col("salience") + SALIENCE_STEP * F.col("_n")),
+        ).otherwise(F.col("salience")),
+    ).withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).drop("_n")
 
 
 def touch(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
@@ -93,7 +121,9 @@ def touch(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     n = ids.groupBy("id").agg(F.count("*").alias("_n"))
     m = memories.join(n, "id", "left")
     count = F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))
-    return m.withColumn("access_count", count).withColumn("last_accessed", F.when(F.col("_n").isNotNull(), now).otherwise(F.col("last_accessed"))).drop("_n")
+    return m.withColumn("access_count", count).withColumn(
+        "last_accessed", F.when(F.col("_n").isNotNull(), now).otherwise(F.col("last_accessed")),
+    ).drop("_n")
 
 
 def forget(memories: DataFrame, doomed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +132,9 @@ def forget(memories: DataFrame, doomed: DataFrame, now: Column) -> tuple[DataFra
     hit = doomed.select("id", F.lit(True).alias("_hit")).distinct()
     m = memories.join(hit, "id", "left")
     hit = F.col("_hit").isNotNull() & F.col("invalid_at").isNull()
-    out = m.withColumn("content", F.when(hit, "").otherwise(F.col("content"))).withColumn("embedding", F.when(~hit, F.col("embedding"))).withColumn("invalid_at", F.when(hit, now).otherwise(F.col("invalid_at"))).drop("_hit")
+    out = m.withColumn("content", F.when(hit, "").otherwise(F.col("content"))).withColumn("embedding", F.when(~hit, F.col("embedding"))).withColumn(
+        "invalid_at", F.when(hit, now).otherwise(F.col("invalid_at")),
+    ).drop("_hit")
     return out, gone.select(content_hash(F.col("content")).alias("content_hash"), "embedding")
 
 
@@ -133,7 +165,11 @@ def _near(facts: DataFrame, others: DataFrame, threshold: float, also: str = "tr
     f = facts.where("embedding is not null").select("key", "user_id", F.col("embedding").alias("_f"), norm(F.col("embedding")).alias("_nf"))
     m = others.where("embedding is not null").select("id", "user_id", F.col("embedding").alias("_m"), norm(F.col("embedding")).alias("_nm"))
     score = F.round(cosine(F.col("_m"), F.col("_f"), F.col("_nm"), F.col("_nf")), 6)
-    each = [m.join(b, "user_id").where(also).select("key", "id", score.alias("score")).where(F.col("score") >= threshold) for b in in_blocks(f, "key", BATCH)]
+    each = [
+        m.join(b, "user_id").where(also).select(
+            "key", "id", score.alias("score"),
+        ).where(F.col("score") >= threshold) for b in in_blocks(f, "key", BATCH)
+    ]
     return reduce(DataFrame.union, each)
 
 
@@ -154,7 +190,12 @@ def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame, tenant:
     skipped: no content; blocked: by a tombstone; reinforced: the user's active memory `id` has a vector at or above 0.95 or the
     content, or a memory that an earlier fact of the batch added does; added: what is left, as the memory `id`.
     """
-    f = keep(facts.withColumn("content", stripped(scrub(F.coalesce("content", F.lit(""))))).withColumn("content_hash", content_hash(F.col("content"))), "facts")
+    f = keep(
+        facts.withColumn(
+            "content", stripped(scrub(F.coalesce("content", F.lit("")))),
+        ).withColumn("content_hash", content_hash(F.col("content"))),
+        "facts",
+    )
     said = f.where("content != ''")
     barred = blocked(said.drop("content_hash"), tombstones).select("key").distinct().withColumn("_barred", F.lit(True))
     have = active(memories).groupBy("user_id", content_hash(F.col("content")).alias("content_hash")).agg(F.min("id").alias("_have"))
@@ -162,7 +203,9 @@ def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame, tenant:
     f = f.join(barred, "key", "left").join(have, ["user_id", "content_hash"], "left").join(near, "key", "left")
     f = keep(f.withColumn("id", F.coalesce("_near", "_have")), "facts-met")
     fresh = f.where("content != '' and _barred is null and id is null")
-    first = fresh.groupBy("user_id", "content_hash").agg(F.min_by(F.struct("key", "embedding"), "key").alias("x")).select("user_id", "content_hash", "x.*")
+    first = fresh.groupBy("user_id", "content_hash").agg(
+        F.min_by(F.struct("key", "embedding"), "key").alias("x")
+    ).select("user_id", "content_hash", "x.*")
     pairs = _near(first, first.withColumnRenamed("key", "id"), SAME_FACT, "id < key")
     led = leaders(keep(pairs.select(F.col("key").alias("later"), F.col("id").alias("earlier"), "score"), "facts-near"))
     first = first.join(led, F.col("key") == F.col("later"), "left").select("user_id", "content_hash", F.coalesce("leader", "key").alias("_lead"))
@@ -171,11 +214,20 @@ def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame, tenant:
     state = F.when(F.col("content") == "", "skipped").when(F.col("_barred"), "blocked")
     state = state.when(F.col("id").isNotNull() | (F.col("_lead") < F.col("key")), "reinforced").otherwise("added")
     out = out.withColumn("outcome", state)
-    return out.select("key", "outcome", F.when(F.col("outcome").isin("added", "reinforced"), F.coalesce(F.col("id").cast("string"), "_new")).alias("id"))
+    return out.select(
+        "key", "outcome",
+        F.when(
+            F.col("outcome").isin("added", "reinforced"), F.coalesce(F.col("id").cast("string"), "_new"),
+        ).alias("id"),
+    )
 
 
 def personal_summary(memories: DataFrame) -> DataFrame:
-    return memories.agg(F.count_if(F.coalesce("subject_party", F.lit("self")) == "self").alias("own"), F.count_if(F.col("subject_party") == "third_party").alias("third_party"), F.count_if(F.size("pii_flags") > 0).alias("with_personal_data"))
+    return memories.agg(
+        F.count_if(F.coalesce("subject_party", F.lit("self")) == "self").alias("own"),
+        F.count_if(F.col("subject_party") == "third_party").alias("third_party"),
+        F.count_if(F.size("pii_flags") > 0).alias("with_personal_data"),
+    )
 
 
 def assign_labels(rows: DataFrame, least: int = 3) -> DataFrame:

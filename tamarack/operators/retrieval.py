@@ -27,7 +27,11 @@ def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int | None, by:
     near = F.round(cosine(F.col("embedding"), F.col("query_vec"), F.col("nv"), F.col("nq")), 6)
     score = F.when(F.size("embedding") > 0, near).alias("score")
     best = lambda scored: scored if k is None else top_k(scored, "query_id", "score", "id", k)
-    each = [best((v.join(q, by) if by else v.join(q)).select("query_id", "id", score)) for q in in_blocks(queries.withColumn("nq", norm(F.col("query_vec"))), "query_id")]
+    each = [
+        best(
+            (v.join(q, by) if by else v.join(q)).select("query_id", "id", score)
+        ) for q in in_blocks(queries.withColumn("nq", norm(F.col("query_vec"))), "query_id")
+    ]
     return reduce(DataFrame.unionByName, each)
 
 
@@ -77,7 +81,10 @@ def within_budget(items: DataFrame, partition: str, order: list[Column], cost: s
     return first.withColumn("running", running).where((F.col("running") <= budget) | (F.col("position") == 1))
 
 
-def lexical_candidates(docs: DataFrame, queries: DataFrame, k: int, by: list[str] | None = None, index: Callable[[Column], Column] = lexical_roots) -> DataFrame:
+def lexical_candidates(
+    docs: DataFrame, queries: DataFrame, k: int, by: list[str] | None = None,
+    index: Callable[[Column], Column] = lexical_roots,
+) -> DataFrame:
     """docs: id, text; queries: query_id, text. The k documents (of equal `by`) that share most token roots with each query;
     only roots of queries reach the join. `index` may be blind_roots, so that no root is seen."""
     by = by or []
@@ -105,7 +112,10 @@ def hybrid(dense: DataFrame, sparse: DataFrame, memories: DataFrame, k: int) ->
     weighted reciprocal ranks of both scores, recency and salience."""
     signal = lambda d, n: d.select("query_id", "id", F.greatest("score", F.lit(0.0)).alias(n))
     both = signal(dense, "dense").join(signal(sparse, "sparse"), ["query_id", "id"], "full").na.fill(0.0, ["dense", "sparse"])
-    m = memories.select("id", F.exp(-F.greatest("age_days", F.lit(0.0)) / TAU_DAYS).alias("recency"), F.least(F.coalesce(F.nullif("salience", F.lit(0.0)), F.lit(1.0)) / 5, F.lit(1.0)).alias("salience"))
+    m = memories.select(
+        "id", F.exp(-F.greatest("age_days", F.lit(0.0)) / TAU_DAYS).alias("recency"),
+        F.least(F.coalesce(F.nullif("salience", F.lit(0.0)), F.lit(1.0)) / 5, F.lit(1.0)).alias("salience"),
+    )
     return top_k(reciprocal_rank(both.join(m, "id"), "query_id", "id", WEIGHTS), "query_id", "rrf", "id", k)
 
 
@@ -124,7 +134,9 @@ def bm25_candidates(candidates: DataFrame, docs: DataFrame, queries: DataFrame,
     tf = met.groupBy("query_id", "id", "q").agg(F.sum("tf").alias("tf"), F.greatest(F.lit(1), F.first("size")).alias("dl"))
     df = tf.groupBy("query_id", "q").agg(F.count("*").alias("df"))
     scored = tf.join(df, ["query_id", "q"]).join(stats, "query_id").groupBy("query_id", "id").agg(F.round(F.sum(_bm25_part(k1, b)), 6).alias("score"))
-    return sized.select("query_id", "id").join(scored, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return sized.select("query_id", "id").join(scored, ["query_id", "id"], "left").select(
+        "query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"),
+    )
 
 
 def recall(memories: DataFrame, queries: DataFrame, k: int, now: float, candidates: int = 256, include_third: bool = False) -> DataFrame:
@@ -134,7 +146,10 @@ def recall(memories: DataFrame, queries: DataFrame, k: int, now: float, candidat
     from .memory import active
 
     own = active(memories, exclude_third=not include_third)
-    dense = dense_candidates(own.select("id", "user_id", "embedding"), queries.where("query_vec is not null").select("query_id", "user_id", "query_vec"), candidates, by="user_id")
+    dense = dense_candidates(
+        own.select("id", "user_id", "embedding"),
+        queries.where("query_vec is not null").select("query_id", "user_id", "query_vec"), candidates, by="user_id",
+    )
     every = own.select("id", "user_id").join(small(queries.where("query_vec is null").select("query_id", "user_id")), "user_id")
     docs = own.select("id", "user_id", F.col("content").alias("text"))
     lexical = lexical_candidates(docs, queries, candidates, ["user_id"])
@@ -142,14 +157,22 @@ def recall(memories: DataFrame, queries: DataFrame, k: int, now: float, candidat
     both = keep(both.distinct(), "recall-candidates")
     sparse = bm25_candidates(both, docs.select("id", "text"), queries.select("query_id", "text")).withColumnRenamed("score", "sparse")
     near = both.join(own.select("id", "embedding"), "id").join(small(queries.select("query_id", "query_vec")), "query_id")
-    dense = F.when(F.col("embedding").isNotNull() & F.col("query_vec").isNotNull(), F.greatest(F.lit(0.0), F.round(cosine(F.col("embedding"), F.col("query_vec")), 6)))
+    dense = F.when(
+        F.col("embedding").isNotNull() & F.col("query_vec").isNotNull(),
+        F.greatest(F.lit(0.0), F.round(cosine(F.col("embedding"), F.col("query_vec")), 6)),
+    )
     near = near.select("query_id", "id", dense.alias("_dense"))
     age = F.greatest(F.lit(0.0), (now - F.coalesce("valid_at", F.lit(now))) / 86400)
     weight = F.least(F.coalesce(F.nullif("salience", F.lit(0.0)), F.lit(1.0)) / 5, F.lit(1.0))
-    items = near.join(sparse, ["query_id", "id"]).join(own.select("id", F.exp(-age / TAU_DAYS).alias("recency"), weight.alias("salience")), "id").withColumn("dense", F.coalesce("_dense", F.lit(0.0)))
+    items = near.join(sparse, ["query_id", "id"]).join(
+        own.select("id", F.exp(-age / TAU_DAYS).alias("recency"), weight.alias("salience")), "id",
+    ).withColumn("dense", F.coalesce("_dense", F.lit(0.0)))
     best = top_k(reciprocal_rank(items, "query_id", "id", WEIGHTS), "query_id", "rrf", "id", k)
     semantic = F.coalesce("_dense", F.when(F.col("sparse") > 0, 1.0).otherwise(0.0))
-    return best.select("query_id", "id", F.round("rrf", 4).alias("score"), F.round(semantic, 4).alias("semantic"), F.round("sparse", 3).alias("sparse"), "rank")
+    return best.select(
+        "query_id", "id", F.round("rrf", 4).alias("score"), F.round(semantic, 4).alias("semantic"),
+        F.round("sparse", 3).alias("sparse"), "rank",
+    )
 
 
 def vector_index(vectors: DataFrame, bits: int = 8) -> DataFrame:

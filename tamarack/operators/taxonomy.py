@@ -16,7 +16,9 @@ UNSORTED = "Sınıflandırılmamış"
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """rows with their position (0 on) by `order`: counted within sorted ranges, and offset by the ranges' sizes."""
-    r = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    r = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn(
+        "_at", F.monotonically_increasing_id(),
+    )
     r = keep(r, "numbered")
     within = Window.partitionBy("_part").orderBy("_at")
     sizes = r.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -33,7 +35,10 @@ def systematic(rows: DataFrame, order: str, most: int = SAMPLE) -> DataFrame:
     return numbered(rows, order).where((F.col("position") % step == 0) & (F.col("position") < step * most))
 
 
-def induce(memories: DataFrame, propose: Callable[[list[str]], Sequence[str]], assign: Callable[[DataFrame, Sequence[str]], DataFrame], tenant: str) -> tuple[DataFrame, DataFrame] | None:
+def induce(
+    memories: DataFrame, propose: Callable[[list[str]], Sequence[str]],
+    assign: Callable[[DataFrame, Sequence[str]], DataFrame], tenant: str,
+) -> tuple[DataFrame, DataFrame] | None:
     """memories: id, content (active). propose(texts) names labels; assign(rows, labels) gives rows a column label (null or
     another word: none). (nodes: id, label, path, member_count; routing: id, node_id, path, confidence), or None with fewer
     than LEAST_ROWS memories or no label.
@@ -51,7 +56,13 @@ def induce(memories: DataFrame, propose: Callable[[list[str]], Sequence[str]], a
 
     def labelled(rows: DataFrame, names: Sequence[str]) -> DataFrame:
         got = assign(rows.select(*m.columns), names)
-        return keep(got.select("id", "content", *[c for c in m.columns if c not in ("id", "content")], F.when(F.col("label").isin(*names), F.col("label")).alias("label")), "labelled")
+        return keep(
+            got.select(
+                "id", "content", *[c for c in m.columns if c not in ("id", "content")],
+                F.when(F.col("label").isin(*names), F.col("label")).alias("label"),
+            ),
+            "labelled",
+        )
 
     rows = labelled(m, labels)
     left = rows.where("label is null")
@@ -67,7 +78,10 @@ def induce(memories: DataFrame, propose: Callable[[list[str]], Sequence[str]], a
     named = rows.where("label is not null").groupBy("label").agg(F.count("*").alias("member_count"))
     nodes = named.select(node_id(tenant, F.col("label")).alias("id"), "label", F.col("label").alias("path"), "member_count")
     routed = rows.join(small(nodes.select("label", F.col("id").alias("node_id"))), "label", "left")
-    return nodes, routed.select("id", "node_id", F.coalesce("label", F.lit(UNSORTED)).alias("path"), F.col("node_id").isNotNull().cast("double").alias("confidence"))
+    return nodes, routed.select(
+        "id", "node_id", F.coalesce("label", F.lit(UNSORTED)).alias("path"),
+        F.col("node_id").isNotNull().cast("double").alias("confidence"),
+    )
 
 
 def _once(labels: Sequence[str]) -> list[str]:
@@ -84,7 +98,9 @@ def replace_nodes(taxonomy: DataFrame, nodes: DataFrame, tenant: str) -> DataFra
 def route(memories: DataFrame, routing: DataFrame) -> DataFrame:
     """memories with node_id of those rows that routing (id, node_id) names."""
     r = routing.select("id", F.col("node_id").alias("_node"), F.lit(True).alias("_hit"))
-    return memories.join(r, "id", "left").withColumn("node_id", F.when(F.col("_hit"), F.col("_node")).otherwise(F.col("node_id"))).drop("_node", "_hit")
+    return memories.join(r, "id", "left").withColumn(
+        "node_id", F.when(F.col("_hit"), F.col("_node")).otherwise(F.col("node_id")),
+    ).drop("_node", "_hit")
 
 
 def node_id(tenant: str, label: Column) -> Column:

@@ -43,7 +43,9 @@ def with_plan(tenants: DataFrame) -> DataFrame:
 def meter(operations: DataFrame) -> DataFrame:
     """operations: tenant_id, period, op, n. Adds up cost per tenant and period."""
     cost = F.create_map(*[F.lit(x) for kv in OPERATION_COST.items() for x in kv])
-    return operations.groupBy("tenant_id", "period").agg(F.round(F.sum(F.coalesce(F.try_element_at(cost, F.col("op")), F.lit(1.0)) * F.col("n")), 6).alias("ops"))
+    return operations.groupBy("tenant_id", "period").agg(
+        F.round(F.sum(F.coalesce(F.try_element_at(cost, F.col("op")), F.lit(1.0)) * F.col("n")), 6).alias("ops")
+    )
 
 
 def invoices(usage: DataFrame) -> DataFrame:
@@ -59,13 +61,19 @@ def invoices(usage: DataFrame) -> DataFrame:
 def breakeven(rows: DataFrame) -> DataFrame:
     """Exchange rate at which a plan that is used in full earns nothing; null for free and unlimited plans."""
     price, ops, mem = F.nullif("price", F.lit(0)), F.col("ops_limit"), F.col("mem_limit")
-    return rows.withColumn("breakeven", F.round((price / (1 + TAX) - (price * FEE_SHARE + FEE)) / (ops * USD_PER_OPERATION + mem * USD_PER_MEMORY), 1))
+    return rows.withColumn(
+        "breakeven",
+        F.round((price / (1 + TAX) - (price * FEE_SHARE + FEE)) / (ops * USD_PER_OPERATION + mem * USD_PER_MEMORY), 1),
+    )
 
 
 def storage(memories: DataFrame, tenants: DataFrame) -> DataFrame:
     used = memories.where("invalid_at is null").groupBy("tenant_id").agg(F.count("*").alias("used"))
     t = with_plan(tenants).join(used, "tenant_id", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    return t.select("tenant_id", "plan", "used", F.col("mem_limit").alias("limit"), F.coalesce(F.col("used") < F.col("mem_limit"), F.lit(True)).alias("allowed"))
+    return t.select(
+        "tenant_id", "plan", "used", F.col("mem_limit").alias("limit"),
+        F.coalesce(F.col("used") < F.col("mem_limit"), F.lit(True)).alias("allowed"),
+    )
 
 
 def consume(requests: DataFrame, limit: float | None) -> DataFrame:
@@ -122,7 +130,12 @@ def period(at: Column) -> Column:
 def consume_tokens(tokens: DataFrame, uses: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
     """tokens: token_hash, tenant_id, purpose, expires_at, used_at; uses: key (their order), token_hash, purpose. (tokens, those
     used now marked; key and tenant_id of the uses that hold: the first of an unused token that fits and has not expired)."""
-    fit = uses.join(tokens.where(F.col("used_at").isNull() & (F.col("expires_at") > now)).select("token_hash", "purpose", "tenant_id"), ["token_hash", "purpose"])
+    fit = uses.join(
+        tokens.where(
+            F.col("used_at").isNull() & (F.col("expires_at") > now)
+        ).select("token_hash", "purpose", "tenant_id"),
+        ["token_hash", "purpose"],
+    )
     first = fit.groupBy("token_hash").agg(F.min("key").alias("key"), F.min_by("tenant_id", "key").alias("tenant_id"))
     spent = first.select("token_hash", F.lit(True).alias("_hit"))
     left = tokens.join(spent, "token_hash", "left").withColumn("used_at", F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("used_at"))).drop("_hit")
@@ -167,7 +180,10 @@ def process(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame
     and error (null: done). (results for complete(), operations to meter: one addition was paid for when the job was queued)."""
     none = jobs.limit(0).select("job_id", F.lit("").alias("result"), F.lit(0).cast("long").alias("added"), F.lit("").alias("error"))
     done = [h(jobs.where(F.col("kind") == k)).select(*none.columns) for k, h in handlers.items()]
-    unknown = jobs.where(~F.col("kind").isin(*handlers)).select("job_id", F.lit(None).cast("string").alias("result"), F.lit(0).cast("long").alias("added"), F.concat(F.lit("unknown kind: "), F.col("kind")).alias("error"))
+    unknown = jobs.where(~F.col("kind").isin(*handlers)).select(
+        "job_id", F.lit(None).cast("string").alias("result"), F.lit(0).cast("long").alias("added"),
+        F.concat(F.lit("unknown kind: "), F.col("kind")).alias("error"),
+    )
     results = reduce(DataFrame.unionByName, [*done, unknown], none)
     extra = results.where("error is null and added > 1").join(jobs.select("job_id", "tenant_id"), "job_id")
     return results, extra.select("tenant_id", F.lit("memory_add").alias("op"), (F.col("added") - 1).alias("n"))
@@ -176,7 +192,9 @@ def process(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame
 def claim(jobs: DataFrame, key: str | None = None) -> DataFrame:
     """The oldest queued job (of each key value, if one is given), running, with one more attempt."""
     queued = jobs.where("status = 'queued'")
-    first = (queued.groupBy(key) if key else queued.groupBy()).agg(F.min_by(F.struct(*jobs.columns), F.struct("created_at", "job_id")).alias("j")).where("j is not null").select("j.*")
+    first = (queued.groupBy(key) if key else queued.groupBy()).agg(
+        F.min_by(F.struct(*jobs.columns), F.struct("created_at", "job_id")).alias("j")
+    ).where("j is not null").select("j.*")
     return first.withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
 
 
@@ -193,5 +211,7 @@ def reclaim(jobs: DataFrame, now: Column) -> DataFrame:
 def complete(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """results: job_id, result, error. A null error ends the job; else it is tried again or fails. Messages keep 500 characters."""
     r = results.select("job_id", "result", F.substring("error", 1, 500).alias("error"), F.lit(True).alias("_done"))
-    status = F.when(F.col("_done") & F.col("error").isNull(), "done").when(F.col("_done"), after_failure(F.col("attempts"))).otherwise(F.col("status"))
+    status = F.when(
+        F.col("_done") & F.col("error").isNull(), "done",
+    ).when(F.col("_done"), after_failure(F.col("attempts"))).otherwise(F.col("status"))
     return jobs.join(r, "job_id", "left").withColumn("status", status).drop("_done")

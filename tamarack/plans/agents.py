@@ -38,15 +38,25 @@ def _turn(spark, d):
 
 @query("select conv_id, turn, case conv_id % 4 when 0 then role || '|b' when 1 then role when 2 then '' else '' end as facts from conversations")
 def fact_extraction(spark, d):
-    reply = F.when(F.col("k") == 0, F.concat(F.lit('Sure: ["'), "role", F.lit(' ", "", "b"] done'))).when(F.col("k") == 1, F.concat(F.lit('["'), "role", F.lit('"]'))).when(F.col("k") == 2, "none").otherwise('["cut')
+    reply = F.when(
+        F.col("k") == 0, F.concat(F.lit('Sure: ["'), "role", F.lit(' ", "", "b"] done')),
+    ).when(F.col("k") == 1, F.concat(F.lit('["'), "role", F.lit('"]'))).when(F.col("k") == 2, "none").otherwise('["cut')
     return _turn(spark, d).select("conv_id", "turn", F.array_join(model.facts(reply), "|").alias("facts"))
 
 
 @query("select conv_id, turn, case when conv_id % 4 < 2 then role || ' is x' else '' end as triples from conversations")
 def triple_extraction(spark, d):
-    full = F.concat(F.lit('[{"subject":"'), "role", F.lit('","predicate":"is","object":"x","object_type":"literal"},{"subject":" ","predicate":"p","object":"o"}]'))
+    full = F.concat(
+        F.lit('[{"subject":"'), "role",
+        F.lit('","predicate":"is","object":"x","object_type":"literal"},{"subject":" ","predicate":"p","object":"o"}]'),
+    )
     got = model.triples(F.when(F.col("k") < 2, full).when(F.col("k") == 2, "[]").otherwise(F.lit(None).cast("string")))
-    return _turn(spark, d).select("conv_id", "turn", F.array_join(F.transform(got, lambda x: F.concat_ws(" ", x["subject"], x["predicate"], x["object"])), "|").alias("triples"))
+    return _turn(spark, d).select(
+        "conv_id", "turn",
+        F.array_join(
+            F.transform(got, lambda x: F.concat_ws(" ", x["subject"], x["predicate"], x["object"])), "|",
+        ).alias("triples"),
+    )
 
 
 _SAID = "[{{\"text\": \"a\", \"type\": \"OLGU\", \"source\": 1}}, {{\"text\": \"b\", \"type\": \"guess\", \"source\": 9}}, {{\"text\": \"\"}}{}"
@@ -54,17 +64,27 @@ _SAID = "[{{\"text\": \"a\", \"type\": \"OLGU\", \"source\": 1}}, {{\"text\": \"
 
 def _answers(spark, d):
     whole, cut = _SAID.format("]"), _SAID.format(', {"text": "lost')
-    reply = F.when(F.col("k") == 0, F.concat(F.lit("```"), F.lit(whole.replace("{{", "{").replace("}}", "}")))).when(F.col("k") == 1, cut.replace("{{", "{").replace("}}", "}")).otherwise("nothing")
+    reply = F.when(
+        F.col("k") == 0, F.concat(F.lit("```"), F.lit(whole.replace("{{", "{").replace("}}", "}"))),
+    ).when(F.col("k") == 1, cut.replace("{{", "{").replace("}}", "}")).otherwise("nothing")
     cites = F.array(F.struct(F.concat(F.lit("http://x/"), "conv_id").alias("url")))
     t = _turn(spark, d).where("role = 'assistant'")
-    return t.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("answer"), reply.alias("reply"), cites.alias("cites"), "conv_id")
+    return t.select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("answer"), reply.alias("reply"),
+        cites.alias("cites"), "conv_id",
+    )
 
 
 @query("select conv_id || '-' || turn as id, case when conv_id % 4 < 2 then 'a/olgu/http://x/' || conv_id || '|b/prior/' else '' end as claims from conversations where role = 'assistant'")
 def claim_tags(spark, d):
     """Whole and cut replies; an unknown type, a source out of range, a claim without text."""
     got = model.claims(F.col("reply"), F.col("cites"))
-    return _answers(spark, d).select("id", F.array_join(F.transform(got, lambda c: F.concat_ws("/", c["text"], c["type"], F.coalesce(c["source"], F.lit("")))), "|").alias("claims"))
+    return _answers(spark, d).select(
+        "id",
+        F.array_join(
+            F.transform(got, lambda c: F.concat_ws("/", c["text"], c["type"], F.coalesce(c["source"], F.lit("")))), "|",
+        ).alias("claims"),
+    )
 
 
 _MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
@@ -197,9 +217,20 @@ t as (select *, row_number() over (partition by query_id order by round(rrf, 9)
 def _recalled(spark, d):
     e, q = _vectors(spark, d)
     m = _memories(spark, d).join(e.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "id", "left")
-    m = m.withColumns({"salience": (F.col("id") % 6).cast("double"), "valid_at": F.col("id") * 3600.0, "invalid_at": F.when(F.col("id") % 7 == 0, 1.0), "subject_party": F.when(F.col("id") % 4 == 0, "third_party")})
+    m = m.withColumns(
+        {
+            "salience": (F.col("id") % 6).cast("double"), "valid_at": F.col("id") * 3600.0,
+            "invalid_at": F.when(F.col("id") % 7 == 0, 1.0),
+            "subject_party": F.when(F.col("id") % 4 == 0, "third_party"),
+        }
+    )
     b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"), "text")
-    queries = b.join(q.select(F.expr("query_id div 20").alias("query_id"), F.col("query_vec").cast("array<double>").alias("query_vec")), "query_id", "left")
+    queries = b.join(
+        q.select(
+            F.expr("query_id div 20").alias("query_id"), F.col("query_vec").cast("array<double>").alias("query_vec"),
+        ),
+        "query_id", "left",
+    )
     return m, retrieval.recall(m, queries, 5, 4_000_000.0, candidates=24)
 
 
@@ -226,7 +257,12 @@ def edge_candidates(spark, d):
     from ..sources.store import current_edges
 
     e, q = _vectors(spark, d)
-    e = e.withColumns({"expired_at": F.when(F.col("id") % 3 == 0, 1.0), "valid_at": F.col("id") - 150.0, "invalid_at": F.when(F.col("id") % 5 == 0, F.col("id") + 100.0)})
+    e = e.withColumns(
+        {
+            "expired_at": F.when(F.col("id") % 3 == 0, 1.0), "valid_at": F.col("id") - 150.0,
+            "invalid_at": F.when(F.col("id") % 5 == 0, F.col("id") + 100.0),
+        }
+    )
     return retrieval.dense_candidates(current_edges(e, F.lit(250.0)), q.withColumn("query_id", F.expr("query_id div 20")), 10)
 
 
@@ -247,9 +283,14 @@ r as (select *, row_number() over (partition by query_id order by round(round(f,
 def edge_search_as_of(spark, d):
     """The edges that held at 300, all of them ranked; no entity is near or named."""
     e, q = _vectors(spark, d)
-    q = q.withColumn("query_id", F.expr("query_id div 20")).join(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    q = q.withColumn("query_id", F.expr("query_id div 20")).join(
+        _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id",
+    )
     none = e.limit(0).select("id", F.lit("").alias("name"), "embedding")
-    edges = _t(spark, d, "documents").join(e, F.col("doc_id") == F.col("id")).select("id", F.col("label").alias("subject_id"), ((F.col("label") + 1) % 10).alias("object_id"), F.col("text").alias("fact"), "embedding")
+    edges = _t(spark, d, "documents").join(e, F.col("doc_id") == F.col("id")).select(
+        "id", F.col("label").alias("subject_id"), ((F.col("label") + 1) % 10).alias("object_id"),
+        F.col("text").alias("fact"), "embedding",
+    )
     edges = edges.withColumns({"valid_at": F.col("id").cast("double"), "invalid_at": F.when(F.col("id") % 3 == 0, F.col("id") + 50.0)})
     return graph.search_edges(memory.as_of(edges, F.lit(300.0)), none, q, 5, None).select("query_id", "id", "score", "rank")
 
@@ -268,9 +309,21 @@ ms as (select * from mc, used where p = 1 or c <= 600 - u)"""
 
 def _packs(spark, d):
     s = F.element_at(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical", "odd")]), F.col("p_size") % 5 + 1)
-    r = _t(spark, d, "part").select(F.concat(F.lit("r"), "p_partkey").alias("rule_id"), F.lit(None).cast("string").alias("project"), F.when(F.col("p_size") % 2 == 0, "hard").otherwise("soft").alias("rule_type"), s.alias("severity"), F.col("p_name").alias("message"), F.col("p_type").alias("rule"), F.array("p_brand").alias("forbid"), F.array().cast("array<string>").alias("require"), F.when(F.col("p_size") == 50, "disabled").otherwise("active").alias("status"))
+    r = _t(spark, d, "part").select(
+        F.concat(F.lit("r"), "p_partkey").alias("rule_id"), F.lit(None).cast("string").alias("project"),
+        F.when(F.col("p_size") % 2 == 0, "hard").otherwise("soft").alias("rule_type"), s.alias("severity"),
+        F.col("p_name").alias("message"), F.col("p_type").alias("rule"), F.array("p_brand").alias("forbid"),
+        F.array().cast("array<string>").alias("require"),
+        F.when(F.col("p_size") == 50, "disabled").otherwise("active").alias("status"),
+    )
     m = _memories(spark, d).join(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source")), "id")
-    m = m.withColumns({"salience": (F.col("id") % 6).cast("double"), "valid_at": F.col("id").cast("double"), "invalid_at": F.when(F.col("id") % 7 == 0, 1.0), "subject_party": F.when(F.col("id") % 4 == 0, "third_party")})
+    m = m.withColumns(
+        {
+            "salience": (F.col("id") % 6).cast("double"), "valid_at": F.col("id").cast("double"),
+            "invalid_at": F.when(F.col("id") % 7 == 0, 1.0),
+            "subject_party": F.when(F.col("id") % 4 == 0, "third_party"),
+        }
+    )
     return packs.build_packs(r, m, budget=600)
 
 
@@ -283,7 +336,10 @@ def _pack_sql() -> str:
 @query(f"with {_pack_sql()} select mt.user_id, (select rules from used) as rules, (select rules_total from tot) as rules_total, count(ms.id) as memories, any_value(memories_total) as memories_total, (select rules from used) < (select rules_total from tot) or count(ms.id) < any_value(memories_total) as truncated from mt left join ms using (user_id) group by 1")
 def context_packs(spark, d):
     """Rules take half of 600 tokens first, memories the rest."""
-    return _packs(spark, d).select("user_id", F.size("rules").cast("long").alias("rules"), F.col("rules_total").cast("long").alias("rules_total"), F.size("memories").cast("long").alias("memories"), "memories_total", "truncated")
+    return _packs(spark, d).select(
+        "user_id", F.size("rules").cast("long").alias("rules"), F.col("rules_total").cast("long").alias("rules_total"),
+        F.size("memories").cast("long").alias("memories"), "memories_total", "truncated",
+    )
 
 
 _LINES = """'- [' || upper(rule_type) || '/' || severity || '] ' || p_name || chr(10) || '    niyet: ' || p_type || chr(10) || '    yasak: ' || p_brand"""
@@ -302,11 +358,18 @@ def pack_rendering(spark, d):
 def _sessions(spark, d):
     """Every user turn is a fact of its conversation; ten users; conversation 3's session is known already."""
     t = _t(spark, d, "conversations")
-    facts = t.where("role = 'user'").select(F.expr("conv_id * 1000 + turn").alias("key"), F.concat(F.lit("u"), F.col("conv_id") % 10).alias("user_id"), F.col("text").alias("content"), F.lit(None).cast("array<double>").alias("embedding"), F.concat(F.lit("s"), "conv_id").alias("session_id"))
+    facts = t.where("role = 'user'").select(
+        F.expr("conv_id * 1000 + turn").alias("key"), F.concat(F.lit("u"), F.col("conv_id") % 10).alias("user_id"),
+        F.col("text").alias("content"), F.lit(None).cast("array<double>").alias("embedding"),
+        F.concat(F.lit("s"), "conv_id").alias("session_id"),
+    )
     none = spark.createDataFrame([], "id string, user_id string, content string, embedding array<double>, invalid_at double, subject_party string")
     stones = spark.createDataFrame([], "content_hash string, embedding array<double>")
     done = keep(memory.ingest(none, facts.drop("session_id"), stones, T), "outcomes")
-    old = spark.createDataFrame([("s3", "u3", "before", [], 1.0, 1.0), ("old", "u9", "kept", ["f"], 2.0, 2.0)], "session_id string, user_id string, summary string, fact_ids array<string>, created_at double, updated_at double")
+    old = spark.createDataFrame(
+        [("s3", "u3", "before", [], 1.0, 1.0), ("old", "u9", "kept", ["f"], 2.0, 2.0)],
+        "session_id string, user_id string, summary string, fact_ids array<string>, created_at double, updated_at double",
+    )
     sessions = facts.select("session_id", "user_id", F.concat(F.lit("sum "), "session_id").alias("summary")).distinct()
     return facts, done, packs.snapshot(old, sessions, facts, done, 50.0)
 
@@ -346,7 +409,10 @@ def session_resume(spark, d):
 @query("select c_custkey as id, 'r' || (c_custkey % 3) as rule_id, 2 * (case when c_nationkey % 2 = 0 then 1 else 0 end + case when c_nationkey % 3 = 0 then 1 else 0 end) >= 2 as violated from customer")
 def judge_panel(spark, d):
     """Two votes a case; a tie blocks."""
-    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("r"), F.col("c_custkey") % 3).alias("rule_id"), F.explode(F.array(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") % 3 == 0)).alias("violated"))
+    c = _t(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("r"), F.col("c_custkey") % 3).alias("rule_id"),
+        F.explode(F.array(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") % 3 == 0)).alias("violated"),
+    )
     return enforcement.panel(c)
 
 
@@ -394,7 +460,11 @@ def rule_relevance(spark, d):
 @query("""with c as (select count(*) filter (doc_id % 3 = 0 and b) as caught, count(*) filter (doc_id % 3 = 0) as violating, count(*) filter (doc_id % 3 <> 0 and not b) as passed, count(*) filter (doc_id % 3 <> 0) as clean from (select *, lang = 'en' as b from documents)),
 r as (select *, caught / violating as re, passed / clean as sp from c) select caught, violating, passed, clean, round(re, 9) as recall, round(sp, 9) as specificity, round(2 * re * sp / (re + sp), 9) as f1 from r""")
 def correction_eval(spark, d):
-    return compliance.correction_quality(_t(spark, d, "documents").select((F.col("doc_id") % 3 == 0).alias("violating"), (F.col("lang") == "en").alias("blocked")))
+    return compliance.correction_quality(
+        _t(spark, d, "documents").select(
+            (F.col("doc_id") % 3 == 0).alias("violating"), (F.col("lang") == "en").alias("blocked"),
+        )
+    )
 
 
 @query("""with c as (select case when doc_id % 4 = 0 then [] else [lang, source] end as found, case when doc_id % 3 = 0 then [] else [1, 2] end as gold, lang, source, doc_id from documents),
@@ -404,9 +474,18 @@ def extraction_eval(spark, d):
     """Two gold entries, one of two anchors; noise is French."""
     t = _t(spark, d, "documents")
     found = F.when(F.col("doc_id") % 4 != 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
-    gold = F.when(F.col("doc_id") % 3 != 0, F.array(F.array(F.lit("SRC3 "), F.lit("none such")), F.array(F.lit("EN"), F.lit("DE")))).otherwise(F.array().cast("array<array<string>>"))
+    gold = F.when(
+        F.col("doc_id") % 3 != 0,
+        F.array(F.array(F.lit("SRC3 "), F.lit("none such")), F.array(F.lit("EN"), F.lit("DE"))),
+    ).otherwise(F.array().cast("array<array<string>>"))
     gold = F.transform(gold, lambda g: F.filter(g, lambda a: a != "SRC3 "))
-    gold = F.when(F.size(gold) > 0, F.array(F.when(F.col("source") == "src3", F.array(F.lit("src3"))).otherwise(F.array(F.lit("none such"))), F.array(F.lit("EN"), F.lit("DE")))).otherwise(gold)
+    gold = F.when(
+        F.size(gold) > 0,
+        F.array(
+            F.when(F.col("source") == "src3", F.array(F.lit("src3"))).otherwise(F.array(F.lit("none such"))),
+            F.array(F.lit("EN"), F.lit("DE")),
+        ),
+    ).otherwise(gold)
     return evaluation.extraction_quality(t.select(found.alias("found"), gold.alias("gold"), F.array(F.lit("FR")).alias("noise")))
 
 
@@ -439,7 +518,10 @@ def eval_notes(spark, d):
 def vault_read(spark, d):
     """Notes in folders, some of them no Markdown, read back."""
     path = new_path(spark, "vault")
-    n = _t(spark, d, "nation").select("n_nationkey", "n_regionkey", F.concat(F.lit("---\ntags: [r"), "n_regionkey", F.lit("]\n---\ntext of "), "n_name").alias("value"))
+    n = _t(spark, d, "nation").select(
+        "n_nationkey", "n_regionkey",
+        F.concat(F.lit("---\ntags: [r"), "n_regionkey", F.lit("]\n---\ntext of "), "n_name").alias("value"),
+    )
     _write_files(spark, {f"{path}/f{r.n_regionkey}/{r.n_nationkey}.{'txt' if r.n_nationkey % 4 == 0 else 'md'}": r.value for r in n.collect()})
     return notes.read_notes(spark, path).select(F.col("title").alias("name"), "content", F.array_join("tags", ",").alias("tags"))
 
@@ -452,7 +534,9 @@ def trap_cases(spark, d):
     for r in _t(spark, d, "nation").collect():
         head = f"# case\nInput: in {r.n_name}\n  more\n" if r.n_nationkey % 5 else "Input:\n"
         said = "Output: said\n" if r.n_regionkey == 1 else ""
-        files[f"{path}/{'held' if r.n_nationkey % 2 == 0 else 'known'}/{r.n_nationkey}.md"] = f"{head}Expected behavior: x\nPass criteria:\n must {r.n_regionkey}\n{said}"
+        files[
+            f"{path}/{'held' if r.n_nationkey % 2 == 0 else 'known'}/{r.n_nationkey}.md"
+        ] = f"{head}Expected behavior: x\nPass criteria:\n must {r.n_regionkey}\n{said}"
     _write_files(spark, files)
     got = notes.read_traps(spark, {"held-out": f"{path}/held", "known": f"{path}/known"})
     return got.select("name", "bucket", "input", "pass", "output")
@@ -462,7 +546,11 @@ def _yaml(spark, d):
     path = new_path(spark, "rules") + "/rules.yaml"
     lines = ["# rules", "rules:"]
     for r in _t(spark, d, "nation").collect():
-        lines += [f"  - id: r{r.n_nationkey}", f"    project: {f'P{r.n_regionkey}' if r.n_regionkey else 'null'}", "    type: soft", "    severity: high", f"    message: 'say: {r.n_name}'", "    rule: x", f"    forbid_patterns: {['a', 'b'] if r.n_nationkey % 2 else []}"]
+        lines += [
+            f"  - id: r{r.n_nationkey}", f"    project: {f'P{r.n_regionkey}' if r.n_regionkey else 'null'}",
+            "    type: soft", "    severity: high", f"    message: 'say: {r.n_name}'", "    rule: x",
+            f"    forbid_patterns: {['a', 'b'] if r.n_nationkey % 2 else []}",
+        ]
     _write_files(spark, {path: "\n".join(lines)})
     return rules.from_yaml(spark, path)
 
@@ -476,7 +564,10 @@ def yaml_rules(spark, d):
 @query("select 'r' || n_nationkey as rule_id, case when n_nationkey % 2 = 1 then 'hard' else 'soft' end as rule_type, case when n_nationkey = 1 then 'critical' else 'high' end as severity, case when n_nationkey = 1 then 'a,b,c' when n_nationkey % 2 = 1 then 'a,b' else '' end as patterns, case when n_nationkey = 1 then 2 else 1 end::bigint as version from nation")
 def yaml_seed(spark, d):
     """A file's rules written over a table that has one of them."""
-    old = spark.createDataFrame([("r1", "soft", "critical", ["c"], "active", "old")], "rule_id string, rule_type string, severity string, patterns array<string>, status string, message string")
+    old = spark.createDataFrame(
+        [("r1", "soft", "critical", ["c"], "active", "old")],
+        "rule_id string, rule_type string, severity string, patterns array<string>, status string, message string",
+    )
     return rules.seed(old, _yaml(spark, d)).select("rule_id", "rule_type", "severity", F.array_join("patterns", ",").alias("patterns"), "version")
 
 

@@ -17,7 +17,10 @@ from ..sources.tables import read_table, spread
 RULES = ("click", "error", "purchase", "refund", "signup", "view")
 TODAY = "2024-02-05"
 AS_OF = "2024-01-15 00:00:00"
-TEXT_RULES = (policy.Rule("no-email", forbid=(EMAIL_PATTERN,)), policy.Rule("no-shouting", forbid=(r"[A-Z]{4,}!!",)), policy.Rule("ends-with-stop", require=(r"\.\s*$",)))
+TEXT_RULES = (
+    policy.Rule("no-email", forbid=(EMAIL_PATTERN,)), policy.Rule("no-shouting", forbid=(r"[A-Z]{4,}!!",)),
+    policy.Rule("ends-with-stop", require=(r"\.\s*$",)),
+)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -39,7 +42,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checks(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").select(F.col("event_type").alias("rule_id"), F.when(F.col("value") < 50, 1).otherwise(0).alias("passed"), F.to_date("ts").alias("day"))
+    return _t(spark, d, "events").select(
+        F.col("event_type").alias("rule_id"), F.when(F.col("value") < 50, 1).otherwise(0).alias("passed"),
+        F.to_date("ts").alias("day"),
+    )
 
 
 def _memories(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +118,10 @@ def tombstone_guard(spark, d):
 @query("""select source as user_id, count(*) as n, max(coalesce(case when doc_id % 2 = 0 then doc_id + 5 end, doc_id))::double as last, min(coalesce(case when doc_id % 3 = 0 then doc_id - 3 end, doc_id))::double as first,
 sum(doc_id % 5)::double as salience from documents where doc_id % 7 <> 0 group by 1""")
 def list_users(spark, d):
-    times = {"updated_at": F.when(F.col("id") % 2 == 0, F.col("id") + 5.0), "valid_at": F.col("id").cast("double"), "created_at": F.when(F.col("id") % 3 == 0, F.col("id") - 3.0)}
+    times = {
+        "updated_at": F.when(F.col("id") % 2 == 0, F.col("id") + 5.0), "valid_at": F.col("id").cast("double"),
+        "created_at": F.when(F.col("id") % 3 == 0, F.col("id") - 3.0),
+    }
     m = _memories(spark, d).withColumns(times | {"salience": (F.col("id") % 5).cast("double"), "invalid_at": F.when(F.col("id") % 7 == 0, 1.0)})
     return memory.users(m)
 
@@ -130,14 +139,20 @@ e as (select subject, predicate, object, valid_at, event_id, lead(valid_at) over
 
 
 def _edges(spark, d):
-    facts = _t(spark, d, "events").select(F.col("user_id").alias("subject"), F.lit("last_action").alias("predicate"), F.col("event_type").alias("object"), F.col("ts").alias("valid_at"), "event_id")
+    facts = _t(spark, d, "events").select(
+        F.col("user_id").alias("subject"), F.lit("last_action").alias("predicate"), F.col("event_type").alias("object"),
+        F.col("ts").alias("valid_at"), "event_id",
+    )
     return memory.supersede(facts, [F.col("valid_at"), F.col("event_id")])
 
 
 @query(f"with {_FACTS} select subject, predicate, object, event_id, cast(valid_at as varchar) as valid_at, cast(invalid_at as varchar) as invalid_at from e where valid_at <= timestamp '{AS_OF}' and (invalid_at is null or invalid_at > timestamp '{AS_OF}')")
 def graph_as_of(spark, d):
     e = memory.as_of(_edges(spark, d), F.lit(AS_OF).cast("timestamp_ntz"))
-    return e.select("subject", "predicate", "object", "event_id", F.col("valid_at").cast("string").alias("valid_at"), F.col("invalid_at").cast("string").alias("invalid_at"))
+    return e.select(
+        "subject", "predicate", "object", "event_id", F.col("valid_at").cast("string").alias("valid_at"),
+        F.col("invalid_at").cast("string").alias("invalid_at"),
+    )
 
 
 @query(f"with {_FACTS} select object, count(*) as edges, count(invalid_at) as ended from e group by object")
@@ -147,7 +162,10 @@ def graph_history(spark, d):
 
 @query("select user_id as tenant_id, strftime(ts, '%Y-%m') as period, count(*) as used, greatest(0, 60 - count(*)) as remaining, count(*) < 60 as allowed from events group by 1, 2")
 def usage_quota(spark, d):
-    u = _t(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period"), F.lit(1).cast("long").alias("ops"))
+    u = _t(spark, d, "events").select(
+        F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period"),
+        F.lit(1).cast("long").alias("ops"),
+    )
     return memory.quota(u, 60)
 
 
@@ -175,7 +193,10 @@ s as (select query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)
 select query_id, id, score, cast(rank as integer) as rank from r where rank <= 10""")
 def bm25_search(spark, d):
-    return retrieval.bm25(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return retrieval.bm25(
+        _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"),
+        _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10,
+    )
 
 
 @query("""with i as (select source as user_id, doc_id as id, cast(coalesce(quality, 0) as double) as salience, cast(n_chars as double) as size from documents left join (select doc_id, max(quality) as quality from labels group by 1) using (doc_id)),
@@ -183,7 +204,10 @@ r as (select *, row_number() over (partition by user_id, salience > 0 order by s
 select user_id, id, round(case when salience > 0 then 1.0::double / (60 + r1) else 0 end + case when size > 0 then 0.5::double / (60 + r2) else 0 end, 9) as rrf from r""")
 def fused_ranking(spark, d):
     lab = _t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    i = _t(spark, d, "documents").join(lab, "doc_id", "left").select(F.col("source").alias("user_id"), F.col("doc_id").alias("id"), F.coalesce("quality", F.lit(0)).cast("double").alias("salience"), F.col("n_chars").cast("double").alias("size"))
+    i = _t(spark, d, "documents").join(lab, "doc_id", "left").select(
+        F.col("source").alias("user_id"), F.col("doc_id").alias("id"),
+        F.coalesce("quality", F.lit(0)).cast("double").alias("salience"), F.col("n_chars").cast("double").alias("size"),
+    )
     return retrieval.reciprocal_rank(i, "user_id", "id", {"salience": 1.0, "size": 0.5}).select("user_id", "id", "rrf")
 
 

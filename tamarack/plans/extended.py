@@ -44,9 +44,15 @@ def pii_detect(spark, d):
 
 #: Sentences and whose data they hold: a phone's neighbours, a checked and an unchecked id, an IBAN, addresses, far words.
 _SAID = (
-    ("Müşterinin numarası 0532 123 45 67", "third_party"), ("benim telefonum 0532 123 45 67", "self"), ("0532 123 45 67", "third_party"), ("mailim a@b.co", "self"),
-    ("Ayşe'nin adresi a@b.co", "third_party"), ("10000000146 kimlik numaram", "self"), ("12345678901", "self"), ("ibanım TR33 0006 1005 1978 6457 8413 26", "self"),
-    ("numaram 0532 123 45 67 ve annem", "third_party"), ("annem " + "x" * 60 + " numaram 0532 123 45 67", "self"), ("numaram 0532 123 45 67 " + "y " * 40 + "0533 123 45 67 avukatım", "third_party"), ("", "self"),
+    (
+        "Müşterinin numarası 0532 123 45 67", "third_party",
+    ), ("benim telefonum 0532 123 45 67", "self"), ("0532 123 45 67", "third_party"), ("mailim a@b.co", "self"),
+    ("Ayşe'nin adresi a@b.co", "third_party"), ("10000000146 kimlik numaram", "self"), ("12345678901", "self"), (
+        "ibanım TR33 0006 1005 1978 6457 8413 26", "self",
+    ),
+    ("numaram 0532 123 45 67 ve annem", "third_party"), ("annem " + "x" * 60 + " numaram 0532 123 45 67", "self"), (
+        "numaram 0532 123 45 67 " + "y " * 40 + "0533 123 45 67 avukatım", "third_party",
+    ), ("", "self"),
 )
 
 
@@ -70,7 +76,9 @@ _Q = lambda p: p.replace("'", "''")
 s as (select conv_id, turn, sha1(coalesce(previous, '')) as previous, cast(regexp_matches(coalesce(text, ''), '(?i){_Q(transcripts.NEGATION)}') as int) + cast(regexp_matches(coalesce(text, ''), '(?i){_Q(transcripts.DIRECTIVE)}') as int) + cast(regexp_matches(coalesce(text, ''), '(?i){_Q(transcripts.REPEAT)}') as int) as n from t where role = 'user')
 select conv_id, turn, previous, least(1.0::double, 0.5::double * n) as score, n > 0 as correction from s""")
 def transcript_scan(spark, d):
-    return transcripts.scan(_t(spark, d, "conversations")).select("conv_id", "turn", F.sha1(F.coalesce("previous", F.lit(""))).alias("previous"), "score", "correction")
+    return transcripts.scan(_t(spark, d, "conversations")).select(
+        "conv_id", "turn", F.sha1(F.coalesce("previous", F.lit(""))).alias("previous"), "score", "correction",
+    )
 
 
 @query("""with w as (select p_brand as rule_id, p_partkey as pk, p_name as message, p_size % 4 as s, p_size = 50 as off, p_size % 3 = 0 as has, p_type as pattern from part)
@@ -80,13 +88,22 @@ def rule_upsert(spark, d):
     p = _t(spark, d, "part")
     level = F.element_at(F.array(*[F.lit(s) for s in text.SEVERITIES]), F.col("p_size") % 4 + 1)
     patterns = F.when(F.col("p_size") % 3 == 0, F.array("p_type")).otherwise(F.array().cast("array<string>"))
-    w = p.select(F.col("p_brand").alias("rule_id"), F.lit("soft").alias("rule_type"), level.alias("severity"), patterns.alias("patterns"), F.when(F.col("p_size") == 50, "disabled").otherwise("active").alias("status"), F.col("p_name").alias("message"), F.col("p_partkey").alias("at"))
+    w = p.select(
+        F.col("p_brand").alias("rule_id"), F.lit("soft").alias("rule_type"), level.alias("severity"),
+        patterns.alias("patterns"), F.when(F.col("p_size") == 50, "disabled").otherwise("active").alias("status"),
+        F.col("p_name").alias("message"), F.col("p_partkey").alias("at"),
+    )
     return rules.merge_writes(w, F.col("at")).withColumn("patterns", F.array_join("patterns", "|"))
 
 
 @query("select p_brand as project, count(*) as rules, count(*) filter (p_size % 7 = 0) as hard, count(*) - count(*) filter (p_size % 7 = 0) as soft, max(p_partkey) as updated_at from part where p_size <> 50 group by 1")
 def list_projects(spark, d):
-    p = _t(spark, d, "part").select(F.col("p_brand").alias("project"), F.when(F.col("p_size") % 7 == 0, "hard").otherwise("soft").alias("rule_type"), F.when(F.col("p_size") == 50, "disabled").otherwise("active").alias("status"), F.col("p_partkey").alias("updated_at"))
+    p = _t(spark, d, "part").select(
+        F.col("p_brand").alias("project"),
+        F.when(F.col("p_size") % 7 == 0, "hard").otherwise("soft").alias("rule_type"),
+        F.when(F.col("p_size") == 50, "disabled").otherwise("active").alias("status"),
+        F.col("p_partkey").alias("updated_at"),
+    )
     return rules.by_project(p)
 
 
@@ -100,7 +117,9 @@ b as (select *, round(base + overage, 2) as net from a), c as (select *, round(n
 select tenant_id, period, plan, ops, base, overage, net, tax, round(net + tax, 2) as total from c""")
 def invoice(spark, d):
     plan = F.element_at(F.array(*[F.lit(x) for x in ("free", "solo", "growth", "enterprise", "other")]), (F.col("tenant_id") % 5 + 1).cast("int"))
-    u = _t(spark, d, "events").groupBy(F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period")).agg((F.count("*") * 500).cast("double").alias("ops"))
+    u = _t(spark, d, "events").groupBy(
+        F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period"),
+    ).agg((F.count("*") * 500).cast("double").alias("ops"))
     return usage.invoices(u.withColumn("plan", plan))
 
 
@@ -113,7 +132,10 @@ r as (select *, cost <= 40 as accepted, case when cost <= 40 then cost else 0 en
 union all select o.*, r.used + o.cost <= 40, case when r.used + o.cost <= 40 then r.used + o.cost else r.used end from r join o on o.tenant_id = r.tenant_id and o.period = r.period and o.n = r.n + 1)
 select tenant_id, period, seq, cost, accepted from r""")
 def quota_consume(spark, d):
-    e = _t(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", 5.0).otherwise(1.0).alias("cost"))
+    e = _t(spark, d, "events").select(
+        F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period"),
+        F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", 5.0).otherwise(1.0).alias("cost"),
+    )
     return usage.consume(e, 40.0)
 
 
@@ -131,14 +153,21 @@ def rate_limit(spark, d):
 @query("""with e as (select user_id as subscription, event_id, ts, case when event_type = 'error' then 'canceled' else 'updated' end as kind, event_type as plan from events)
 select subscription % 50 as tenant_id, arg_max(case when kind = 'canceled' then 'free' else plan end, (ts, event_id)) as plan from e group by 1""")
 def plan_changes(spark, d):
-    e = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "error", "canceled").otherwise("updated").alias("kind"), F.col("user_id").alias("subscription"), F.col("event_type").alias("plan"))
+    e = _t(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("event_id"), F.struct("ts", "event_id").alias("at"),
+        F.when(F.col("event_type") == "error", "canceled").otherwise("updated").alias("kind"),
+        F.col("user_id").alias("subscription"), F.col("event_type").alias("plan"),
+    )
     links = _t(spark, d, "events").select(F.col("user_id").alias("subscription"), (F.col("user_id") % 50).alias("tenant_id")).distinct()
     return usage.plan_changes(e, links)
 
 
 def _jobs(spark, d):
     status = F.when(F.col("event_id") % 3 == 0, "running").otherwise("queued")
-    return _t(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("event_type").alias("kind"), status.alias("status"), (F.col("event_id") % 6).alias("attempts"), F.col("ts").alias("created_at"), _seconds().alias("updated_at"))
+    return _t(spark, d, "events").select(
+        F.col("event_id").alias("job_id"), F.col("event_type").alias("kind"), status.alias("status"),
+        (F.col("event_id") % 6).alias("attempts"), F.col("ts").alias("created_at"), _seconds().alias("updated_at"),
+    )
 
 
 _JOBS = "j as (select event_id as job_id, event_type as kind, case when event_id % 3 = 0 then 'running' else 'queued' end as status, event_id % 6 as attempts, ts as created_at, epoch_us(ts) / 1e6 as updated_at from events)"
@@ -173,7 +202,10 @@ def entity_resolution(spark, d):
     e = _t(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
     kind = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("K"), "label"))
     m = e.where("id % 20 = 0").select(F.col("id").alias("key"), F.concat(F.lit("m"), "id").alias("name"), kind.alias("kind"), "embedding")
-    have = e.where("id % 20 != 0 and id <= 100").select("id", F.concat(F.lit("e"), "id").alias("name"), F.when(F.col("id") % 7 != 0, F.concat(F.lit(" k"), "label")).alias("kind"), "embedding")
+    have = e.where("id % 20 != 0 and id <= 100").select(
+        "id", F.concat(F.lit("e"), "id").alias("name"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit(" k"), "label")).alias("kind"), "embedding",
+    )
     return graph.resolve(m, have, 0.3)
 
 
@@ -199,7 +231,10 @@ _ROOTS = "list_distinct(list_transform(list_filter(list_transform(list_filter(re
 s as (select query_id, id, count(*) as overlap from q join w using (root) group by 1, 2), r as (select *, row_number() over (partition by query_id order by overlap desc, id) as rank from s)
 select query_id, id, overlap, cast(rank as int) as rank from r where rank <= 10""")
 def lexical_candidates(spark, d):
-    return retrieval.lexical_candidates(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return retrieval.lexical_candidates(
+        _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"),
+        _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10,
+    )
 
 
 @query("with b as (select source as label, count(*) as members from documents group by 1) select doc_id as id, case when members >= 45 then source end as label, case when members >= 45 then members end as members from documents join b on label = source")
@@ -217,7 +252,9 @@ case when c <> '' and not barred then coalesce(have::varchar, 'mem-' || substr(s
 def memory_ingest(spark, d):
     m = _memories(spark, d)
     old = m.where("id % 2 = 0").withColumn("invalid_at", F.lit(None).cast("double")).withColumn("subject_party", F.lit("self"))
-    facts = m.where("id % 2 = 1").select(F.col("id").alias("key"), "user_id", "content").join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), "key", "left")
+    facts = m.where("id % 2 = 1").select(F.col("id").alias("key"), "user_id", "content").join(
+        _t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), "key", "left",
+    )
     toxic = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     dead = m.join(toxic, "id").select(text.content_hash(F.col("content")).alias("content_hash"), F.lit(None).cast("array<float>").alias("embedding"))
     old = old.join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")

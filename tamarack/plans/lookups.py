@@ -26,7 +26,10 @@ def current_edges(spark, d):
 def edge_neighbours(spark, d):
     c = _t(spark, d, "customer")
     entities = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    e = _edges(spark, d).select(F.col("subject").alias("subject_id"), F.lit(None).cast("long").alias("object_id"), F.col("object").alias("object_value"), F.col("event_id").alias("id"))
+    e = _edges(spark, d).select(
+        F.col("subject").alias("subject_id"), F.lit(None).cast("long").alias("object_id"),
+        F.col("object").alias("object_value"), F.col("event_id").alias("id"),
+    )
     out = graph.neighbours(e, entities, c.where("c_nationkey = 3").select(F.upper("c_name").alias("name")))
     return out.join(entities.select(F.col("id").alias("subject_id"), "name"), "subject_id").select("name", "object_name", "id")
 
@@ -40,7 +43,11 @@ def event_deduplication(spark, d):
 @query("select case event_type when 'view' then 'GET' else 'POST' end as method, '/v1/rules/{id}' as route, cast(user_id % 3 as int) as status, count(*) as requests from events group by all")
 def route_metrics(spark, d):
     e = _t(spark, d, "events")
-    r = e.select(F.when(F.col("event_type") == "view", "GET").otherwise("POST").alias("method"), F.concat(F.lit("/v1/rules/"), F.col("event_id")).alias("path"), (F.col("user_id") % 3).cast("int").alias("status"))
+    r = e.select(
+        F.when(F.col("event_type") == "view", "GET").otherwise("POST").alias("method"),
+        F.concat(F.lit("/v1/rules/"), F.col("event_id")).alias("path"),
+        (F.col("user_id") % 3).cast("int").alias("status"),
+    )
     return store.route_counts(r)
 
 
@@ -48,7 +55,10 @@ def route_metrics(spark, d):
 def key_lookup(spark, d):
     e = _t(spark, d, "events")
     key = F.concat(F.lit("key-"), F.col("event_id"))
-    keys = e.where("event_id % 3 != 1").select(F.sha2(key, 256).alias("key_hash"), F.concat(F.lit("t"), F.col("user_id")).alias("tenant_id"), F.col("event_type").alias("role"), F.when(F.col("event_id") % 3 == 2, 1.0).alias("revoked_at"))
+    keys = e.where("event_id % 3 != 1").select(
+        F.sha2(key, 256).alias("key_hash"), F.concat(F.lit("t"), F.col("user_id")).alias("tenant_id"),
+        F.col("event_type").alias("role"), F.when(F.col("event_id") % 3 == 2, 1.0).alias("revoked_at"),
+    )
     owners = e.where("event_id % 3 != 2").select(F.sha2(key, 256).alias("key_hash"), F.concat(F.lit("o"), F.col("user_id")).alias("tenant_id"))
     out = store.resolve_keys(e.select(key.alias("key")), keys, owners)
     return out.select(F.substring_index("key", "-", -1).cast("long").alias("id"), "tenant_id", "role")
@@ -57,20 +67,34 @@ def key_lookup(spark, d):
 @query("select s_suppkey as id from supplier where s_suppkey % 4 <> 0 and s_nationkey % 3 in (0, 1)")
 def hooks_for_event(spark, d):
     kinds = F.when(F.col("s_nationkey") % 3 == 0, "").when(F.col("s_nationkey") % 3 == 1, "rule.added,memory.added").otherwise("memory.forgotten")
-    h = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), notes.as_list(kinds).alias("events"), (F.col("s_suppkey") % 4 != 0).alias("active"))
+    h = _t(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), notes.as_list(kinds).alias("events"),
+        (F.col("s_suppkey") % 4 != 0).alias("active"),
+    )
     return store.hooks_for(h, "memory.added").select("id")
 
 
 def _noted(spark, d):
-    head = F.concat(F.lit("---\ntags: ["), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]\nkind: doc\nrelated:\n- x/"), F.col("lang"), F.lit("\n---\n"))
-    return _t(spark, d, "documents").select(F.concat(F.lit("vault/"), F.col("source"), F.lit("/n"), F.col("doc_id"), F.lit(".md")).alias("path"), F.concat(head, F.regexp_replace("text", r"[\[#]", ""), F.lit(" [["), F.col("source"), F.lit("|alias]]")).alias("text"))
+    head = F.concat(
+        F.lit("---\ntags: ["), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]\nkind: doc\nrelated:\n- x/"),
+        F.col("lang"), F.lit("\n---\n"),
+    )
+    return _t(spark, d, "documents").select(
+        F.concat(F.lit("vault/"), F.col("source"), F.lit("/n"), F.col("doc_id"), F.lit(".md")).alias("path"),
+        F.concat(
+            head, F.regexp_replace("text", r"[\[#]", ""), F.lit(" [["), F.col("source"), F.lit("|alias]]"),
+        ).alias("text"),
+    )
 
 
 @query(r"""select 'n' || doc_id as title, 'vault/' || source as folder, source || ',' || lang as links, lang || ',' || source as tags, 'doc' as kind,
 sha1(substr(regexp_replace(regexp_replace(text, '[\[#]', '', 'g') || ' [[' || source || '|alias]]', '^[\t\n\v\f\r ]+', ''), 1, 6000)) as content from documents""")
 def note_parse(spark, d):
     n = notes.parse_notes(_noted(spark, d))
-    return n.select("title", "folder", F.array_join("links", ",").alias("links"), F.array_join("tags", ",").alias("tags"), F.try_element_at("props", F.lit("kind")).alias("kind"), F.sha1("content").alias("content"))
+    return n.select(
+        "title", "folder", F.array_join("links", ",").alias("links"), F.array_join("tags", ",").alias("tags"),
+        F.try_element_at("props", F.lit("kind")).alias("kind"), F.sha1("content").alias("content"),
+    )
 
 
 _ENT = "'ent-' || substr(sha1('t1|' || {}), 1, 16)"
@@ -125,7 +149,10 @@ def insert_ignore(spark, d):
 def rules_in_scope(spark, d):
     p = _t(spark, d, "part")
     first = p.agg(F.min("p_brand")).first()[0]
-    r = p.select(F.col("p_partkey").alias("rule_id"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("project"), F.when(F.col("p_size") % 6 == 0, "disabled").otherwise("active").alias("status"))
+    r = p.select(
+        F.col("p_partkey").alias("rule_id"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("project"),
+        F.when(F.col("p_size") % 6 == 0, "disabled").otherwise("active").alias("status"),
+    )
     return rules.in_scope(r, first.upper()).select("rule_id")
 
 
@@ -134,7 +161,11 @@ x as (select *, sum(cost) over w as running, row_number() over w as position fro
 select project, id, cast(running as bigint) as running, cast(position as int) as position from x where running <= 60 or position = 1""")
 def rule_pack(spark, d):
     s = F.element_at(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical", "odd")]), F.col("p_size") % 5 + 1)
-    r = _t(spark, d, "part").select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("rule_id"), s.alias("severity"), F.when(F.col("p_size") % 2 == 0, "HARD").otherwise("soft").alias("rule_type"), (F.greatest(F.lit(1), F.floor(F.length("p_name") / 4)) + 6).alias("cost"))
+    r = _t(spark, d, "part").select(
+        F.col("p_brand").alias("project"), F.col("p_partkey").alias("rule_id"), s.alias("severity"),
+        F.when(F.col("p_size") % 2 == 0, "HARD").otherwise("soft").alias("rule_type"),
+        (F.greatest(F.lit(1), F.floor(F.length("p_name") / 4)) + 6).alias("cost"),
+    )
     return retrieval.within_budget(r, "project", rules.ranked(r), "cost", 60).select("project", F.col("rule_id").alias("id"), "running", "position")
 
 
@@ -142,7 +173,12 @@ def rule_pack(spark, d):
 select user_id as tenant_id, strftime(ts, '%Y-%m') as period, round(sum(cost), 6) as ops from c group by 1, 2""")
 def usage_meter(spark, d):
     op = F.when(F.col("event_type").isin("view", "click"), "memory_search").when(F.col("event_type") == "error", "correct").otherwise("unknown")
-    return usage.meter(_t(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period"), op.alias("op"), F.lit(1).alias("n")))
+    return usage.meter(
+        _t(spark, d, "events").select(
+            F.col("user_id").alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("period"), op.alias("op"),
+            F.lit(1).alias("n"),
+        )
+    )
 
 
 @query("""with p(plan, price, o, m) as (values ('free', 0, 2000, 1000), ('solo', 349, 25000, 60000), ('starter', 990, 90000, 225000), ('growth', 3990, 300000, 900000), ('pro', 12990, 800000, 2400000))
@@ -159,7 +195,12 @@ def storage_quota(spark, d):
 
 @query("select count(*) filter (lang <> 'fr') as own, count(*) filter (lang = 'fr') as third_party, count(*) filter (lang = 'de') as with_personal_data from documents")
 def personal_data_summary(spark, d):
-    m = _t(spark, d, "documents").select(F.when(F.col("lang") == "fr", "third_party").when(F.col("lang") == "en", "self").alias("subject_party"), F.when(F.col("lang") == "de", F.array(F.lit("email"))).otherwise(F.array().cast("array<string>")).alias("pii_flags"))
+    m = _t(spark, d, "documents").select(
+        F.when(F.col("lang") == "fr", "third_party").when(F.col("lang") == "en", "self").alias("subject_party"),
+        F.when(
+            F.col("lang") == "de", F.array(F.lit("email")),
+        ).otherwise(F.array().cast("array<string>")).alias("pii_flags"),
+    )
     return memory.personal_summary(m)
 
 
@@ -183,9 +224,17 @@ _IMPORTED = _HASH.replace("lower(text)", f"lower({_SCRUBBED})")
 @query(f"with h as (select source as user_id, case when doc_id % 2 = 1 then {_IMPORTED} else {_HASH} end as k, doc_id as id from documents), t as (select {_HASH} as k from documents join labels using (doc_id) where toxic = 1), a as (select user_id, k, min(id) filter (id % 2 = 0) as old, max(id) filter (id % 2 = 1 and k not in (select k from t)) as new from h group by 1, 2) select user_id, k as content_hash, coalesce(old, new) as id from a where coalesce(old, new) is not null")
 def bundle_import(spark, d):
     m = _memories(spark, d).withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("salience", F.lit(1.0))
-    old = m.where("id % 2 = 0").groupBy("user_id", content_hash(F.col("content")).alias("_h")).agg(F.min_by(F.struct(*m.columns), "id").alias("m")).select("m.*")
-    toxic = m.join(_t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id").select(content_hash(F.col("content")).alias("content_hash"), "embedding")
+    old = m.where("id % 2 = 0").groupBy(
+        "user_id", content_hash(F.col("content")).alias("_h"),
+    ).agg(F.min_by(F.struct(*m.columns), "id").alias("m")).select("m.*")
+    toxic = m.join(
+        _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id",
+    ).select(content_hash(F.col("content")).alias("content_hash"), "embedding")
     r = spark.createDataFrame([], "rule_id string, rule_type string, severity string, patterns array<string>, status string, message string")
     c = spark.createDataFrame([], "id string, raw string")
-    out = bundles.load({"tombstones": toxic.limit(0), "memories": old, "rules": r, "corrections": c}, {"tombstones": toxic, "memories": m.where("id % 2 = 1"), "rules": r, "corrections": c}, per_table=None, total=None)
+    out = bundles.load(
+        {"tombstones": toxic.limit(0), "memories": old, "rules": r, "corrections": c},
+        {"tombstones": toxic, "memories": m.where("id % 2 = 1"), "rules": r, "corrections": c}, per_table=None,
+        total=None,
+    )
     return out["memories"].select("user_id", content_hash(F.col("content")).alias("content_hash"), "id")

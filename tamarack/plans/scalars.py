@@ -22,7 +22,9 @@ def _blind(term: str) -> str:
 select id, case when lower(trim(p)) in ('none', 'yok', '') then null else trim(p) end as project from c""")
 def clean_projects(spark, d):
     k = F.col("c_custkey")
-    raw = F.when(k % 5 == 0, " None ").when(k % 5 == 1, "YOK").when(k % 5 == 2, F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).when(k % 5 == 3, "").otherwise(F.col("c_name"))
+    raw = F.when(k % 5 == 0, " None ").when(k % 5 == 1, "YOK").when(
+        k % 5 == 2, F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")),
+    ).when(k % 5 == 3, "").otherwise(F.col("c_name"))
     return _t(spark, d, "customer").select(k.alias("id"), text.clean_project(raw).alias("project"))
 
 
@@ -35,7 +37,12 @@ def clean_terms(spark, d):
 @query("select p_partkey as id, case p_size % 3 when 0 then lower(case p_size % 4 when 0 then 'LOW' when 1 then 'Medium' when 2 then 'high' else 'critical' end) else 'high' end as severity from part")
 def clean_severities(spark, d):
     s = F.element_at(F.array(*[F.lit(x) for x in ("LOW", " Medium ", "high", "critical")]), F.col("p_size") % 4 + 1)
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), text.severity(F.when(F.col("p_size") % 3 == 0, s).when(F.col("p_size") % 3 == 1, "urgent"), "high").alias("severity"))
+    return _t(spark, d, "part").select(
+        F.col("p_partkey").alias("id"),
+        text.severity(
+            F.when(F.col("p_size") % 3 == 0, s).when(F.col("p_size") % 3 == 1, "urgent"), "high",
+        ).alias("severity"),
+    )
 
 
 @query("select event_id as id, case event_id % 5 when 0 then 1 when 1 then 1 when 2 then 1 when 3 then least(5, greatest(0, value - 40)) else 0 end::double as salience from events")
@@ -49,8 +56,12 @@ def safe_saliences(spark, d):
 def safe_embeddings(spark, d):
     v = F.col("embedding").cast("array<double>")
     k = F.col("vec_id") % 4
-    raw = F.when(k == 0, v).when(k == 1, F.concat(v, F.array(F.lit(float("nan"))))).when(k == 2, F.concat(v, F.array(F.lit(float("inf"))))).otherwise(F.array().cast("array<double>"))
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.size(text.safe_embedding(raw)).alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
+    raw = F.when(k == 0, v).when(
+        k == 1, F.concat(v, F.array(F.lit(float("nan")))),
+    ).when(k == 2, F.concat(v, F.array(F.lit(float("inf"))))).otherwise(F.array().cast("array<double>"))
+    return _t(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.size(text.safe_embedding(raw)).alias("n"),
+    ).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
 
 
 @query("select event_id as id, case event_id % 3 when 0 then event_type when 1 then null else 'x' end as a from events")
@@ -67,7 +78,13 @@ def personal_hints(spark, d):
     from ..operators import rules
 
     s = F.col("p_size") % 4
-    c = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(s == 0, "hide the IBAN").otherwise(F.col("p_name")).alias("reusable_rule"), F.lit("").alias("what_was_wrong"), F.lit(None).cast("string").alias("correct_behavior"), F.array(F.when(s == 1, "pii").otherwise("piision")).alias("tags"), F.lit("low").alias("severity"), F.array().cast("array<string>").alias("forbid_terms"))
+    c = _t(spark, d, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.when(s == 0, "hide the IBAN").otherwise(F.col("p_name")).alias("reusable_rule"),
+        F.lit("").alias("what_was_wrong"), F.lit(None).cast("string").alias("correct_behavior"),
+        F.array(F.when(s == 1, "pii").otherwise("piision")).alias("tags"), F.lit("low").alias("severity"),
+        F.array().cast("array<string>").alias("forbid_terms"),
+    )
     return rules.compile_corrections(c).select("id", (F.col("rule_type") == "hard").alias("personal"))
 
 
@@ -101,16 +118,26 @@ def sealed_round_trip(spark, d):
     """Texts sealed and opened; without a key they stay plain; another key leaves them sealed."""
     t = F.col("text")
     rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), t, text.encrypt(t, _KEY).alias("s"))
-    return rows.select("id", F.sha1(text.decrypt(F.col("s"), _KEY)).alias("opened"), (F.col("s").startswith(text.SEALED) & (text.decrypt(F.col("s"), "other") == F.col("s"))).alias("sealed"), F.sha1(text.encrypt(t, None)).alias("plain"))
+    return rows.select(
+        "id", F.sha1(text.decrypt(F.col("s"), _KEY)).alias("opened"),
+        (F.col("s").startswith(text.SEALED) & (text.decrypt(F.col("s"), "other") == F.col("s"))).alias("sealed"),
+        F.sha1(text.encrypt(t, None)).alias("plain"),
+    )
 
 
 @query(f"select doc_id as id, sha1({_SCRUBBED}) as a, sha1({_SCRUBBED}) as b, sha1({_SCRUBBED}) as c, n_chars as n from documents")
 def nested_scrub(spark, d):
     """A text in a list of structs, as a map's value, and in a list of lists."""
     t = F.col("text")
-    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array(F.struct(t.alias("x"), F.lit(1).alias("y"))).alias("a"), F.create_map(F.lit("k"), F.array(t)).alias("b"), F.array(F.array(t)).alias("c"), F.struct("n_chars").alias("n"))
+    rows = _t(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.array(F.struct(t.alias("x"), F.lit(1).alias("y"))).alias("a"),
+        F.create_map(F.lit("k"), F.array(t)).alias("b"), F.array(F.array(t)).alias("c"), F.struct("n_chars").alias("n"),
+    )
     out = bundles.scrubbed(rows)
-    return out.select("id", F.sha1(F.col("a")[0]["x"]).alias("a"), F.sha1(F.col("b")["k"][0]).alias("b"), F.sha1(F.col("c")[0][0]).alias("c"), F.col("n.n_chars").alias("n"))
+    return out.select(
+        "id", F.sha1(F.col("a")[0]["x"]).alias("a"), F.sha1(F.col("b")["k"][0]).alias("b"),
+        F.sha1(F.col("c")[0][0]).alias("c"), F.col("n.n_chars").alias("n"),
+    )
 
 
 @query("select event_id as id, strftime(make_timestamp((1704067200 + event_id * 5000) * 1000000), '%Y-%m') as period from events")
@@ -122,27 +149,41 @@ def usage_periods(spark, d):
 def edge_ids(spark, d):
     at = F.lit(1700000000.0) + F.col("event_id") + (F.col("event_id") % 4) / 4
     subject, target = F.concat(F.lit("e"), "user_id"), F.concat(F.lit("lit:"), text.fold(F.upper("event_type")))
-    return _t(spark, d, "events").select(F.col("event_id").alias("id"), graph.edge_id(F.lit("t1"), subject, F.lit("last_action"), target, at).alias("edge_id"))
+    return _t(spark, d, "events").select(
+        F.col("event_id").alias("id"),
+        graph.edge_id(F.lit("t1"), subject, F.lit("last_action"), target, at).alias("edge_id"),
+    )
 
 
 @query("select c_custkey as id, 'ent-' || substr(sha1('t1|' || lower(c_name)), 1, 16) as entity_id from customer")
 def entity_ids(spark, d):
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), graph.entity_id(F.lit("t1"), F.concat(F.lit(" "), "c_name")).alias("entity_id"))
+    return _t(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), graph.entity_id(F.lit("t1"), F.concat(F.lit(" "), "c_name")).alias("entity_id"),
+    )
 
 
 @query("select p_partkey as id, regexp_replace(lower(p_type), '\\s+', '_', 'g') as predicate from part")
 def predicate_names(spark, d):
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), text.predicate_name(F.concat(F.lit(" _"), F.upper("p_type"), F.lit(" "))).alias("predicate"))
+    return _t(spark, d, "part").select(
+        F.col("p_partkey").alias("id"),
+        text.predicate_name(F.concat(F.lit(" _"), F.upper("p_type"), F.lit(" "))).alias("predicate"),
+    )
 
 
 @query("select n_nationkey as id, 'tax-' || substr(sha1('t1|' || lower(n_name)), 1, 12) as node_id from nation")
 def taxonomy_ids(spark, d):
-    return _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), taxonomy.node_id("t1", F.concat(F.col("n_name"), F.lit(" "))).alias("node_id"))
+    return _t(spark, d, "nation").select(
+        F.col("n_nationkey").alias("id"),
+        taxonomy.node_id("t1", F.concat(F.col("n_name"), F.lit(" "))).alias("node_id"),
+    )
 
 
 @query("select p_partkey as rule_id, greatest(1, length(p_name || ' ' || p_type || ' ' || p_brand || ' x ' || p_brand) // 4) + 6 as cost from part")
 def rule_costs(spark, d):
-    p = _t(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("message"), F.col("p_type").alias("rule"), F.array(F.col("p_brand"), F.lit("x")).alias("forbid"), F.array("p_brand").alias("require"))
+    p = _t(spark, d, "part").select(
+        F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("message"), F.col("p_type").alias("rule"),
+        F.array(F.col("p_brand"), F.lit("x")).alias("forbid"), F.array("p_brand").alias("require"),
+    )
     return p.select("rule_id", packs.rule_tokens(p).alias("cost"))
 
 
@@ -156,7 +197,10 @@ s as (select id, string_agg(v::varchar, ',' order by b) as v from j group by 1)
 select doc_id as id, s.v as embedding from documents left join s on id = doc_id where doc_id % 20 = 0""")
 def embed_texts(spark, d):
     rows = model.embed(_t(spark, d, "documents").where("doc_id % 20 = 0"), "text")
-    return rows.select(F.col("doc_id").alias("id"), F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("embedding"))
+    return rows.select(
+        F.col("doc_id").alias("id"),
+        F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("embedding"),
+    )
 
 
 @query("select item_id as id, case when item_id % 4 <> 0 then length(text)::double end as e from benchmark")
@@ -176,7 +220,9 @@ def vector_buckets(spark, d):
 def forbidden_formats(spark, d):
     """The canonical patterns of personal data, in this order."""
     k = F.col("event_id") % 5
-    said = F.when(k == 0, "pay 4111 1111 1111 1111 now").when(k == 1, "id 12345678901.").when(k == 2, "to TR12 3456 7890 1234 5678 9012 34").when(k == 3, "call 0532 123 45 67").otherwise("nothing 123")
+    said = F.when(k == 0, "pay 4111 1111 1111 1111 now").when(k == 1, "id 12345678901.").when(
+        k == 2, "to TR12 3456 7890 1234 5678 9012 34",
+    ).when(k == 3, "call 0532 123 45 67").otherwise("nothing 123")
     found = [F.when(said.rlike(p), n) for n, p in zip(("iban", "card", "phone", "id"), (pii.IBAN, pii.CARD, pii.PHONE, pii.NATIONAL_ID), strict=True)]
     return _t(spark, d, "events").select(F.col("event_id").alias("id"), F.coalesce(*found, F.lit("")).alias("found"))
 
@@ -185,12 +231,17 @@ def forbidden_formats(spark, d):
 def front_matter_values(spark, d):
     """YAML scalars and lists, cut to their sizes."""
     k = F.col("c_custkey") % 4
-    value = F.when(k == 0, "yes").when(k == 1, "2.5").when(k == 2, "\n  - a\n  - 'b'").otherwise(F.concat(F.lit("'"), F.repeat(F.concat("c_name", F.lit(" ")), 20), F.lit("'")))
+    value = F.when(k == 0, "yes").when(k == 1, "2.5").when(k == 2, "\n  - a\n  - 'b'").otherwise(
+        F.concat(F.lit("'"), F.repeat(F.concat("c_name", F.lit(" ")), 20), F.lit("'"))
+    )
     block = F.concat(F.lit("---\nkey: "), value, F.lit("\nother: {x: 1}\n---\nbody"))
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), notes.front_matter(block)["key"].alias("v"))
 
 
 @query("select event_id as id, '{\"event\": \"[REDACTED_SECRET]\", \"n\": ' || event_id || ', \"t\": \"a\\\\\"b\"}' as body from events")
 def json_scrub(spark, d):
-    raw = F.concat(F.lit('{"event": "AKIA'), F.lpad(F.col("event_id").cast("string"), 16, "0"), F.lit('", "n": '), "event_id", F.lit(', "t": "a\\\\"b"}'))
+    raw = F.concat(
+        F.lit('{"event": "AKIA'), F.lpad(F.col("event_id").cast("string"), 16, "0"), F.lit('", "n": '), "event_id",
+        F.lit(', "t": "a\\\\"b"}'),
+    )
     return _t(spark, d, "events").select(F.col("event_id").alias("id"), text.scrub_json(raw).alias("body"))

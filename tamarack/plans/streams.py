@@ -62,7 +62,12 @@ def stream_rate_limit(spark, d):
 @query("""select case when event_type = 'click' then 'done' when event_id % 6 + 1 < 5 then 'queued' else 'error' end as status, count(*) as jobs, count(*) filter (event_type = 'click') as metered from events where event_id % 3 = 0 group by 1""")
 def stream_worker(spark, d):
     """Queued jobs taken to their handlers batch by batch; clicks end and are metered, other kinds fail."""
-    jobs = _events(spark, d).select(F.col("event_id").alias("job_id"), F.col("user_id").cast("string").alias("tenant_id"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 3 == 0, "queued").otherwise("done").alias("status"), (F.col("event_id") % 6).alias("attempts"))
+    jobs = _events(spark, d).select(
+        F.col("event_id").alias("job_id"), F.col("user_id").cast("string").alias("tenant_id"),
+        F.col("event_type").alias("kind"),
+        F.when(F.col("event_id") % 3 == 0, "queued").otherwise("done").alias("status"),
+        (F.col("event_id") % 6).alias("attempts"),
+    )
     path = new_path(spark, "worker")
 
     def store(done: DataFrame, metered: DataFrame) -> None:

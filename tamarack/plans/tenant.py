@@ -17,23 +17,120 @@ from .catalog import ORACLE_SQL, QUERIES, _t
 
 T = "t1"
 ROWS: dict[str, tuple[str, list[str]]] = {
-    "memories": ("documents", ["concat('t', doc_id % 3) as tenant_id", "concat('m', doc_id) as id", "source as user_id", "text as content", "cast(doc_id % 5 as double) as salience", "cast(doc_id as double) as valid_at", "case when doc_id % 7 = 0 then cast(doc_id as double) end as invalid_at", "case doc_id % 4 when 0 then 'third_party' when 1 then 'self' when 2 then 'unknown' end as subject_party"]),
-    "rules": ("part", ["concat('t', p_partkey % 3) as tenant_id", "concat('r', p_partkey) as rule_id", "case when p_size % 5 <> 0 then p_brand end as project", "case when p_size % 7 = 0 then 'hard' else 'soft' end as rule_type", "p_name as message", "case when p_size % 10 = 0 then 'disabled' else 'active' end as status", "concat('[\"', p_type, '\"]') as patterns"]),
-    "rule_history": ("part", ["concat('t', p_partkey % 3) as tenant_id", "concat('r', p_size) as rule_id", "cast(p_partkey as bigint) as version", "p_name as snapshot", "cast(p_partkey % 10 as double) as created_at"]),
-    "audit": ("events", ["concat('t', event_id % 3) as tenant_id", "event_type as action", "concat('x', event_id) as target", "cast(event_id % 50 as double) as created_at"]),
-    "corrections": ("conversations", ["concat('t', conv_id % 3) as tenant_id", "concat(conv_id, '-', turn) as id", "text as raw", "case turn % 3 when 0 then '[\"a\",\"b\"]' when 1 then '[broken' end as tags"]),
-    "handoffs": ("customer", ["concat('t', c_custkey % 3) as tenant_id", "concat('s', c_custkey) as session_id", "c_name as summary", "concat('[\"f', c_custkey, '\"]') as fact_ids", "concat('{\"n\":\"', c_nationkey, '\"}') as metadata", "cast(c_custkey % 20 as double) as updated_at"]),
-    "taxonomy": ("nation", ["concat('t', n_nationkey % 2) as tenant_id", "concat('n', n_nationkey) as id", "n_name as label", "cast(n_regionkey as bigint) as member_count", "n_nationkey % 5 <> 0 as active"]),
-    "entities": ("customer", ["concat('t', c_custkey % 3) as tenant_id", "concat('e', c_custkey) as id", "c_name as name", "c_mktsegment as kind", "concat('{\"n\":\"', c_nationkey, '\"}') as attributes"]),
-    "edges": ("events", ["concat('t', event_id % 3) as tenant_id", "concat('x', event_id) as id", "concat('e', user_id) as subject_id", "event_type as predicate", "event_type as fact", "cast(event_id as double) as valid_at", "case when event_id % 4 = 0 then cast(event_id + 90 as double) end as invalid_at", "case when event_id % 11 = 0 then 1.0e0 end as expired_at"]),
-    "api_keys": ("supplier", ["concat('t', s_suppkey % 3) as tenant_id", "concat('k', s_suppkey) as id", "s_name as name", "case when s_suppkey % 2 = 0 then 'member' else 'owner' end as role", "cast(s_suppkey % 4 as double) as created_at", "case when s_suppkey % 5 = 0 then 9.0e0 end as revoked_at"]),
-    "hooks": ("supplier", ["concat('t', s_suppkey % 3) as tenant_id", "concat('h', s_suppkey) as id", "s_name as url", "case when s_suppkey % 2 = 0 then 'rule.added, memory.added' else '' end as events", "s_suppkey % 4 <> 0 as active"]),
-    "users": ("customer", ["concat('t', c_custkey % 3) as tenant_id", "concat(lower(c_name), '@x.org') as email", "cast(c_custkey % 9 as double) as created_at", "case when c_custkey % 4 <> 0 then 1 end as approved"]),
+    "memories": (
+        "documents",
+        [
+            "concat('t', doc_id % 3) as tenant_id", "concat('m', doc_id) as id", "source as user_id", "text as content",
+            "cast(doc_id % 5 as double) as salience", "cast(doc_id as double) as valid_at",
+            "case when doc_id % 7 = 0 then cast(doc_id as double) end as invalid_at",
+            "case doc_id % 4 when 0 then 'third_party' when 1 then 'self' when 2 then 'unknown' end as subject_party",
+        ],
+    ),
+    "rules": (
+        "part",
+        [
+            "concat('t', p_partkey % 3) as tenant_id", "concat('r', p_partkey) as rule_id",
+            "case when p_size % 5 <> 0 then p_brand end as project",
+            "case when p_size % 7 = 0 then 'hard' else 'soft' end as rule_type", "p_name as message",
+            "case when p_size % 10 = 0 then 'disabled' else 'active' end as status",
+            "concat('[\"', p_type, '\"]') as patterns",
+        ],
+    ),
+    "rule_history": (
+        "part",
+        [
+            "concat('t', p_partkey % 3) as tenant_id", "concat('r', p_size) as rule_id",
+            "cast(p_partkey as bigint) as version", "p_name as snapshot",
+            "cast(p_partkey % 10 as double) as created_at",
+        ],
+    ),
+    "audit": (
+        "events",
+        [
+            "concat('t', event_id % 3) as tenant_id", "event_type as action", "concat('x', event_id) as target",
+            "cast(event_id % 50 as double) as created_at",
+        ],
+    ),
+    "corrections": (
+        "conversations",
+        [
+            "concat('t', conv_id % 3) as tenant_id", "concat(conv_id, '-', turn) as id", "text as raw",
+            "case turn % 3 when 0 then '[\"a\",\"b\"]' when 1 then '[broken' end as tags",
+        ],
+    ),
+    "handoffs": (
+        "customer",
+        [
+            "concat('t', c_custkey % 3) as tenant_id", "concat('s', c_custkey) as session_id", "c_name as summary",
+            "concat('[\"f', c_custkey, '\"]') as fact_ids", "concat('{\"n\":\"', c_nationkey, '\"}') as metadata",
+            "cast(c_custkey % 20 as double) as updated_at",
+        ],
+    ),
+    "taxonomy": (
+        "nation",
+        [
+            "concat('t', n_nationkey % 2) as tenant_id", "concat('n', n_nationkey) as id", "n_name as label",
+            "cast(n_regionkey as bigint) as member_count", "n_nationkey % 5 <> 0 as active",
+        ],
+    ),
+    "entities": (
+        "customer",
+        [
+            "concat('t', c_custkey % 3) as tenant_id", "concat('e', c_custkey) as id", "c_name as name",
+            "c_mktsegment as kind", "concat('{\"n\":\"', c_nationkey, '\"}') as attributes",
+        ],
+    ),
+    "edges": (
+        "events",
+        [
+            "concat('t', event_id % 3) as tenant_id", "concat('x', event_id) as id",
+            "concat('e', user_id) as subject_id", "event_type as predicate", "event_type as fact",
+            "cast(event_id as double) as valid_at",
+            "case when event_id % 4 = 0 then cast(event_id + 90 as double) end as invalid_at",
+            "case when event_id % 11 = 0 then 1.0e0 end as expired_at",
+        ],
+    ),
+    "api_keys": (
+        "supplier",
+        [
+            "concat('t', s_suppkey % 3) as tenant_id", "concat('k', s_suppkey) as id", "s_name as name",
+            "case when s_suppkey % 2 = 0 then 'member' else 'owner' end as role",
+            "cast(s_suppkey % 4 as double) as created_at", "case when s_suppkey % 5 = 0 then 9.0e0 end as revoked_at",
+        ],
+    ),
+    "hooks": (
+        "supplier",
+        [
+            "concat('t', s_suppkey % 3) as tenant_id", "concat('h', s_suppkey) as id", "s_name as url",
+            "case when s_suppkey % 2 = 0 then 'rule.added, memory.added' else '' end as events",
+            "s_suppkey % 4 <> 0 as active",
+        ],
+    ),
+    "users": (
+        "customer",
+        [
+            "concat('t', c_custkey % 3) as tenant_id", "concat(lower(c_name), '@x.org') as email",
+            "cast(c_custkey % 9 as double) as created_at", "case when c_custkey % 4 <> 0 then 1 end as approved",
+        ],
+    ),
     "tenants": ("region", ["concat('t', r_regionkey) as tenant_id", "case when r_regionkey = 1 then 'solo' end as plan"]),
     "usage": ("events", ["concat('t', user_id % 3) as tenant_id", "concat('p', event_id % 4) as period", "1.0e0 as ops"]),
     "subscriptions": ("customer", ["concat('t', c_custkey % 3) as tenant_id", "concat('sub-', c_custkey) as provider_ref"]),
-    "jobs": ("events", ["concat('t', event_id % 3) as tenant_id", "concat('j', event_id) as job_id", "event_type as kind", "case event_id % 5 when 0 then 'queued' when 1 then 'running' when 2 then 'error' else 'done' end as status", "concat('{\"n\":\"', user_id, '\"}') as result", "cast(event_id % 70 as double) as created_at"]),
-    "checks": ("events", ["concat('t', event_id % 3) as tenant_id", "event_type as rule_id", "case when value < 50 then 1 else 0 end as passed", "cast(event_id as double) as created_at"]),
+    "jobs": (
+        "events",
+        [
+            "concat('t', event_id % 3) as tenant_id", "concat('j', event_id) as job_id", "event_type as kind",
+            "case event_id % 5 when 0 then 'queued' when 1 then 'running' when 2 then 'error' else 'done' end as status",
+            "concat('{\"n\":\"', user_id, '\"}') as result", "cast(event_id % 70 as double) as created_at",
+        ],
+    ),
+    "checks": (
+        "events",
+        [
+            "concat('t', event_id % 3) as tenant_id", "event_type as rule_id",
+            "case when value < 50 then 1 else 0 end as passed", "cast(event_id as double) as created_at",
+        ],
+    ),
     "violations": ("events", ["concat('t', user_id % 3) as tenant_id", "event_type as rule_id", "cast(event_id as double) as created_at"]),
     "tombstones": ("labels", ["concat('t', doc_id % 3) as tenant_id", "concat('h', doc_id) as content_hash"]),
 }
@@ -151,7 +248,9 @@ def tenant_isolation(spark, d):
 
 
 QUERIES["tenant_isolation"] = tenant_isolation
-ORACLE_SQL["tenant_isolation"] = f"with {CTES['memories']} select tenant_id, count(*) as memories from memories group by 1 union all select 't9', 0 union all select 'refused', 0"
+ORACLE_SQL[
+    "tenant_isolation"
+] = f"with {CTES['memories']} select tenant_id, count(*) as memories from memories group by 1 union all select 't9', 0 union all select 'refused', 0"
 
 # An older table lacks columns; they are null.
 add("schema_evolution", "tombstones users", f"select 'tombstones' as name, count(*) as rows, 0 as filled from tombstones where {_OWN} union all select 'users', count(*), count(approved) from users where {_OWN}", lambda s: _evolved(s))
@@ -174,4 +273,6 @@ def tables_round_trip(spark, d):
 
 
 QUERIES["tables_round_trip"] = tables_round_trip
-ORACLE_SQL["tables_round_trip"] = f"with {', '.join(CTES[n] for n in ('memories', 'edges', 'users'))} " + " union all ".join(f"select '{n}' as name, count(*) as rows from {n} where tenant_id = 't2'" for n in ("memories", "edges", "users"))
+ORACLE_SQL["tables_round_trip"] = f"with {', '.join(CTES[n] for n in ('memories', 'edges', 'users'))} " + " union all ".join(
+    f"select '{n}' as name, count(*) as rows from {n} where tenant_id = 't2'" for n in ("memories", "edges", "users")
+)

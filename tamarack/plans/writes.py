@@ -19,7 +19,16 @@ NOW = 5000.0
 def _rows(spark, d):
     """Documents as whole memory rows."""
     m = _memories(spark, d)
-    return m.withColumns({"embedding": F.array(F.col("id").cast("double")), "salience": (F.col("id") % 6).cast("double"), "valid_at": F.col("id").cast("double"), "updated_at": F.col("id").cast("double"), "invalid_at": F.when(F.col("id") % 7 == 0, 1.0), "access_count": (F.col("id") % 2).cast("long"), "last_accessed": F.lit(None).cast("double"), "subject_party": F.when(F.col("id") % 3 == 0, "third_party").when(F.col("id") % 3 == 1, "self"), "node_id": F.when(F.col("id") % 2 == 0, "old")})
+    return m.withColumns(
+        {
+            "embedding": F.array(F.col("id").cast("double")), "salience": (F.col("id") % 6).cast("double"),
+            "valid_at": F.col("id").cast("double"), "updated_at": F.col("id").cast("double"),
+            "invalid_at": F.when(F.col("id") % 7 == 0, 1.0), "access_count": (F.col("id") % 2).cast("long"),
+            "last_accessed": F.lit(None).cast("double"),
+            "subject_party": F.when(F.col("id") % 3 == 0, "third_party").when(F.col("id") % 3 == 1, "self"),
+            "node_id": F.when(F.col("id") % 2 == 0, "old"),
+        }
+    )
 
 
 def _picked(spark, d):
@@ -48,7 +57,9 @@ def forget_subject(spark, d):
     m = _rows(spark, d)
     left, stones = memory.forget(m, memory.of_subject(m, "self"), F.lit(NOW))
     gone = left.where("content = '' and invalid_at = 5000").select("id")
-    return gone.join(m.select("id", text.content_hash(F.col("content")).alias("content_hash")), "id").join(stones.select("content_hash").distinct(), "content_hash", "left_semi").select("id", "content_hash")
+    return gone.join(
+        m.select("id", text.content_hash(F.col("content")).alias("content_hash")), "id",
+    ).join(stones.select("content_hash").distinct(), "content_hash", "left_semi").select("id", "content_hash")
 
 
 @query("""select coalesce(a.doc_id, b.doc_id) as id, sha1(coalesce(b.text, a.text, '')) as content, case when b.doc_id is null then a.doc_id % 6 when a.doc_id is null then 1 else least(5, a.doc_id % 6 + 0.5::double) end::double as salience,
@@ -56,8 +67,13 @@ case when b.doc_id is null then a.doc_id else 5000 end::double as valid_at, case
 from (select * from documents where doc_id % 3 <> 0) a full join (select doc_id, 'new ' || lang as text from documents where doc_id % 2 = 0) b on a.doc_id = b.doc_id""")
 def memory_add(spark, d):
     m = _rows(spark, d)
-    new = _t(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("new "), "lang").alias("content"), F.lit(None).cast("array<double>").alias("embedding"))
-    return memory.add(m.where("id % 3 != 0"), new, F.lit(NOW)).select("id", F.sha1(F.coalesce("content", F.lit(""))).alias("content"), "salience", "valid_at", "invalid_at")
+    new = _t(spark, d, "documents").where("doc_id % 2 = 0").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("new "), "lang").alias("content"),
+        F.lit(None).cast("array<double>").alias("embedding"),
+    )
+    return memory.add(m.where("id % 3 != 0"), new, F.lit(NOW)).select(
+        "id", F.sha1(F.coalesce("content", F.lit(""))).alias("content"), "salience", "valid_at", "invalid_at",
+    )
 
 
 @query("""select coalesce(a.doc_id, b.doc_id) as id, case when a.doc_id is null then 1 else a.doc_id % 6 end::double as salience from (select * from documents where doc_id % 3 <> 0) a
@@ -65,7 +81,9 @@ full join (select * from documents where doc_id % 2 = 0) b on a.doc_id = b.doc_i
 def memory_bulk_add(spark, d):
     """A bulk load raises no salience."""
     m = _rows(spark, d)
-    return memory.add(m.where("id % 3 != 0"), m.where("id % 2 = 0").select("id", "content", "embedding"), F.lit(NOW), raised=False).select("id", "salience")
+    return memory.add(
+        m.where("id % 3 != 0"), m.where("id % 2 = 0").select("id", "content", "embedding"), F.lit(NOW), raised=False,
+    ).select("id", "salience")
 
 
 @query("select coalesce(a.h, b.h) as content_hash, case when b.h is null then a.e else b.e end as e from (select 'h' || doc_id as h, doc_id as e from labels where doc_id % 3 <> 0) a full join (select 'h' || doc_id as h, case when doc_id % 4 = 0 then null else -doc_id end as e from labels where doc_id % 2 = 0) b on a.h = b.h")
@@ -76,7 +94,11 @@ def tombstone_upsert(spark, d):
 
 
 def _rules(spark, d):
-    return _t(spark, d, "part").select(F.concat(F.lit("r"), "p_partkey").alias("rule_id"), F.col("p_brand").alias("project"), F.lit("soft").alias("rule_type"), F.col("p_name").alias("message"), F.when(F.col("p_size") % 10 == 0, "disabled").otherwise("active").alias("status"), "p_partkey", "p_size")
+    return _t(spark, d, "part").select(
+        F.concat(F.lit("r"), "p_partkey").alias("rule_id"), F.col("p_brand").alias("project"),
+        F.lit("soft").alias("rule_type"), F.col("p_name").alias("message"),
+        F.when(F.col("p_size") % 10 == 0, "disabled").otherwise("active").alias("status"), "p_partkey", "p_size",
+    )
 
 
 @query("select 'r' || p_partkey as rule_id, case when p_size % 10 = 0 or p_partkey % 4 = 0 then 'disabled' else 'active' end as status from part")
@@ -97,7 +119,10 @@ select p_partkey as key, a.rule_id from part left join a on lower(p_brand) = p a
 def rule_match(spark, d):
     """Each part's rule in capitals and with blanks doubled: the first active one that says the same."""
     r = _rules(spark, d)
-    wanted = r.select(F.col("p_partkey").alias("key"), F.upper("project").alias("project"), "rule_type", F.concat(F.lit("  "), F.replace(F.upper("message"), F.lit(" "), F.lit("  "))).alias("message"))
+    wanted = r.select(
+        F.col("p_partkey").alias("key"), F.upper("project").alias("project"), "rule_type",
+        F.concat(F.lit("  "), F.replace(F.upper("message"), F.lit(" "), F.lit("  "))).alias("message"),
+    )
     return rules.existing(r, wanted)
 
 
@@ -109,15 +134,22 @@ k as (select *, case when lower(project) = 'none' then null else project end as
 def _corrections(spark, d):
     s = F.col("p_size")
     return _t(spark, d, "part").select(
-        F.col("p_partkey").alias("key"), F.when(s % 3 == 0, "None").when(s % 3 == 1, F.col("p_brand")).alias("project"), F.when(s % 7 == 0, "skill-fix").otherwise("procedure").alias("category"),
-        F.col("p_name").alias("reusable_rule"), F.col("p_type").alias("what_was_wrong"), F.lit("").alias("correct_behavior"), F.when(s % 5 == 0, " HIGH ").when(s % 5 == 1, "low").otherwise("odd").alias("severity"),
+        F.col("p_partkey").alias("key"), F.when(s % 3 == 0, "None").when(
+            s % 3 == 1, F.col("p_brand"),
+        ).alias("project"), F.when(s % 7 == 0, "skill-fix").otherwise("procedure").alias("category"),
+        F.col("p_name").alias("reusable_rule"), F.col("p_type").alias("what_was_wrong"), F.lit("").alias("correct_behavior"), F.when(
+            s % 5 == 0, " HIGH ",
+        ).when(s % 5 == 1, "low").otherwise("odd").alias("severity"),
         F.array(F.when(s % 6 == 0, "iban").otherwise("style")).alias("tags"), F.array(F.lit(" abc "), F.lit("a b"), F.lit("lo.ng")).alias("forbid_terms"))
 
 
 @query(f"with {_CORRECTIONS} select key, case when pii then 'hard' else 'soft' end as rule_type, sev as severity, case when pii then 4 else 2 end as patterns, case when pii then '' else 'a\\ b|lo\\.ng' end as terms from k")
 def correction_compile(spark, d):
     c = rules.compile_corrections(_corrections(spark, d))
-    return c.select("key", "rule_type", "severity", F.size("forbid").alias("patterns"), F.when(F.col("rule_type") == "soft", F.array_join("forbid", "|")).otherwise("").alias("terms"))
+    return c.select(
+        "key", "rule_type", "severity", F.size("forbid").alias("patterns"),
+        F.when(F.col("rule_type") == "soft", F.array_join("forbid", "|")).otherwise("").alias("terms"),
+    )
 
 
 _SLUG = "trim(substr(regexp_replace(lower(rule), '[^a-z0-9]+', '-', 'g'), 1, 40), '-')"
@@ -132,14 +164,22 @@ def correction_ingest(spark, d):
     """Half of the rules are there already, under ids of their own."""
     c = _corrections(spark, d)
     project = F.when(F.lower("project") != "none", F.col("project"))
-    old = c.join(_t(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("key")), "key").select(F.concat(F.lit("r"), "key").alias("rule_id"), project.alias("project"), F.when(F.col("tags")[0] == "iban", "hard").otherwise("soft").alias("rule_type"), F.col("reusable_rule").alias("message"), F.lit("active").alias("status"))
+    old = c.join(_t(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("key")), "key").select(
+        F.concat(F.lit("r"), "key").alias("rule_id"), project.alias("project"),
+        F.when(F.col("tags")[0] == "iban", "hard").otherwise("soft").alias("rule_type"),
+        F.col("reusable_rule").alias("message"), F.lit("active").alias("status"),
+    )
     rows, written = rules.learn(old, c, "t1")
     return rows.select("key", F.col("id").alias("correction_id")).join(written.select("key", "rule_id"), "key", "left")
 
 
 def _edges(spark, d):
     e = _t(spark, d, "events")
-    return e.select(F.col("event_id").alias("edge_id"), "user_id", F.when(F.col("event_id") % 4 == 0, F.col("event_id") + 50.0).alias("invalid_at"), F.when(F.col("event_id") % 9 == 0, 1.0).alias("expired_at"))
+    return e.select(
+        F.col("event_id").alias("edge_id"), "user_id",
+        F.when(F.col("event_id") % 4 == 0, F.col("event_id") + 50.0).alias("invalid_at"),
+        F.when(F.col("event_id") % 9 == 0, 1.0).alias("expired_at"),
+    )
 
 
 @query("""with e as (select event_id as edge_id, case when event_id % 4 = 0 then event_id + 50 end as i, event_id % 9 = 0 as x from events where event_id % 5 <> 0),
@@ -161,8 +201,14 @@ def edge_expire(spark, d):
 @query("""select coalesce(a.c_custkey, b.c_custkey) as id, coalesce(b.name, a.c_name) as name, case when b.c_custkey is null or b.e is null then a.c_acctbal else b.e end as e
 from (select * from customer where c_custkey % 3 <> 0) a full join (select c_custkey, upper(c_name) as name, case when c_custkey % 4 = 0 then c_acctbal + 1 end as e from customer where c_custkey % 2 = 0) b on a.c_custkey = b.c_custkey""")
 def entity_upsert(spark, d):
-    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), F.array("c_acctbal").alias("embedding"))
-    new = c.where("id % 2 = 0").select("id", F.upper("name").alias("name"), "kind", F.when(F.col("id") % 4 == 0, F.transform("embedding", lambda x: x + 1)).alias("embedding"))
+    c = _t(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"),
+        F.array("c_acctbal").alias("embedding"),
+    )
+    new = c.where("id % 2 = 0").select(
+        "id", F.upper("name").alias("name"), "kind",
+        F.when(F.col("id") % 4 == 0, F.transform("embedding", lambda x: x + 1)).alias("embedding"),
+    )
     return graph.upsert_entities(c.where("id % 3 != 0"), new).select("id", "name", F.get("embedding", 0).alias("e"))
 
 
@@ -181,14 +227,20 @@ union all select arrival, subject, 'kullanir', object, valid_at, null from u""")
 def graph_ingest(spark, d):
     """Facts out of order, some after the present (800), single- and multi-valued."""
     predicate = F.when(F.col("event_id") % 4 == 0, "kullanir").otherwise("last_action")
-    f = _t(spark, d, "events").select(F.col("event_id").alias("arrival"), (F.col("user_id") % 40).alias("subject"), predicate.alias("predicate"), F.col("event_type").alias("object"), ((F.col("event_id") * 7919) % 1000).alias("valid_at"))
+    f = _t(spark, d, "events").select(
+        F.col("event_id").alias("arrival"), (F.col("user_id") % 40).alias("subject"), predicate.alias("predicate"),
+        F.col("event_type").alias("object"), ((F.col("event_id") * 7919) % 1000).alias("valid_at"),
+    )
     return graph.assert_facts(f, 800)
 
 
 @query("""with n as (select c_custkey as id from customer order by 1 limit 60), e as (select event_id as id, user_id as source, event_id % 150 as target, event_type as predicate from events)
 select id, source, target, predicate from e where source in (select id from n) and target in (select id from n) order by id limit 500""")
 def graph_view(spark, d):
-    e = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("subject_id"), (F.col("event_id") % 150).alias("object_id"), F.col("event_type").alias("predicate"))
+    e = _t(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("subject_id"),
+        (F.col("event_id") % 150).alias("object_id"), F.col("event_type").alias("predicate"),
+    )
     c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))
     return graph.view(c, e, 60, 500)[1]
 
@@ -203,7 +255,9 @@ def taxonomy_replace(spark, d):
 
 @query("select doc_id as id, case when doc_id % 5 = 0 then case when doc_id % 10 = 0 then lang end when doc_id % 2 = 0 then 'old' end as node_id from documents")
 def routing_set(spark, d):
-    r = _t(spark, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, F.col("lang")).alias("node_id"))
+    r = _t(spark, d, "documents").where("doc_id % 5 = 0").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, F.col("lang")).alias("node_id"),
+    )
     return taxonomy.route(_rows(spark, d), r).select("id", "node_id")
 
 
@@ -212,8 +266,14 @@ def routing_set(spark, d):
 from (select *, 'pro' as plan from customer where c_custkey % 3 <> 0) a full join (select c_custkey, upper(c_name) as name, sha256('key-' || c_custkey) as k from customer where c_custkey % 2 = 0) b on a.c_custkey = b.c_custkey""")
 def tenant_upsert(spark, d):
     c = _t(spark, d, "customer")
-    old = c.where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("tenant_id"), F.col("c_name").alias("name"), F.sha2(F.lit("old"), 256).alias("key_hash"), F.lit("pro").alias("plan"))
-    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("tenant_id"), F.upper("c_name").alias("name"), F.sha2(F.concat(F.lit("key-"), "c_custkey"), 256).alias("key_hash"), F.lit(None).cast("string").alias("plan"))
+    old = c.where("c_custkey % 3 != 0").select(
+        F.col("c_custkey").alias("tenant_id"), F.col("c_name").alias("name"),
+        F.sha2(F.lit("old"), 256).alias("key_hash"), F.lit("pro").alias("plan"),
+    )
+    new = c.where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("tenant_id"), F.upper("c_name").alias("name"),
+        F.sha2(F.concat(F.lit("key-"), "c_custkey"), 256).alias("key_hash"), F.lit(None).cast("string").alias("plan"),
+    )
     return memory.upsert(old, new, ["tenant_id"], ["plan"])
 
 
@@ -228,15 +288,27 @@ def subscription_link(spark, d):
 select min(key) as key, any_value(tenant_id)::varchar as tenant_id from u join t using (tok, purpose) group by tok""")
 def token_consume(spark, d):
     c = _t(spark, d, "customer")
-    tokens = c.select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("token_hash"), F.col("c_nationkey").cast("string").alias("tenant_id"), F.when(F.col("c_custkey") % 2 == 0, "click").otherwise("view").alias("purpose"), F.when(F.col("c_custkey") % 5 == 0, 1.0).otherwise(9999.0).alias("expires_at"), F.when(F.col("c_custkey") % 7 == 0, 2.0).alias("used_at"))
-    uses = _t(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("key"), F.sha2(F.col("user_id").cast("string"), 256).alias("token_hash"), F.col("event_type").alias("purpose"))
+    tokens = c.select(
+        F.sha2(F.col("c_custkey").cast("string"), 256).alias("token_hash"),
+        F.col("c_nationkey").cast("string").alias("tenant_id"),
+        F.when(F.col("c_custkey") % 2 == 0, "click").otherwise("view").alias("purpose"),
+        F.when(F.col("c_custkey") % 5 == 0, 1.0).otherwise(9999.0).alias("expires_at"),
+        F.when(F.col("c_custkey") % 7 == 0, 2.0).alias("used_at"),
+    )
+    uses = _t(spark, d, "events").where("event_id % 3 = 0").select(
+        F.col("event_id").alias("key"), F.sha2(F.col("user_id").cast("string"), 256).alias("token_hash"),
+        F.col("event_type").alias("purpose"),
+    )
     return usage.consume_tokens(tokens, uses, NOW)[1]
 
 
 @query("select c_custkey::varchar as id, 'member' as role, c_custkey::varchar as tenant_id, true as fresh from customer")
 def api_key_create(spark, d):
     """Every key is its own, and finds its tenant and role again by its hash."""
-    c = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").cast("string").alias("tenant_id"), F.col("c_name").alias("name"), F.lit("member").alias("role"))
+    c = _t(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").cast("string").alias("tenant_id"),
+        F.col("c_name").alias("name"), F.lit("member").alias("role"),
+    )
     keys = keep(store.create_keys(c, NOW), "keys")
     owners = keys.limit(0).select("key_hash", "tenant_id")
     many = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
@@ -248,12 +320,19 @@ def api_key_create(spark, d):
 def _jobs(spark, d):
     e = _t(spark, d, "events")
     status = F.when(F.col("event_id") % 3 == 0, "running").otherwise("queued")
-    return e.select(F.col("event_id").alias("job_id"), F.col("user_id").cast("string").alias("tenant_id"), F.col("event_type").alias("kind"), status.alias("status"), (F.col("event_id") % 6).alias("attempts"), (F.col("event_id") * 13 % 997).cast("double").alias("created_at"), F.lit(1.0).alias("updated_at"))
+    return e.select(
+        F.col("event_id").alias("job_id"), F.col("user_id").cast("string").alias("tenant_id"),
+        F.col("event_type").alias("kind"), status.alias("status"), (F.col("event_id") % 6).alias("attempts"),
+        (F.col("event_id") * 13 % 997).cast("double").alias("created_at"), F.lit(1.0).alias("updated_at"),
+    )
 
 
 @query("select status, count(*) as jobs, sum(attempts)::bigint as attempts from (select case when event_id % 3 = 0 then 'running' else 'queued' end as status, event_id % 6 as attempts from events union all select 'queued', 0 from orders where o_orderkey % 10 = 0) group by 1")
 def job_enqueue(spark, d):
-    new = _t(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("job_id"), F.lit("t1").alias("tenant_id"), F.lit("memory").alias("kind"), F.lit("{}").alias("payload"))
+    new = _t(spark, d, "orders").where("o_orderkey % 10 = 0").select(
+        F.col("o_orderkey").alias("job_id"), F.lit("t1").alias("tenant_id"), F.lit("memory").alias("kind"),
+        F.lit("{}").alias("payload"),
+    )
     return usage.enqueue(_jobs(spark, d), new, NOW).groupBy("status").agg(F.count("*").alias("jobs"), F.sum("attempts").alias("attempts"))
 
 
@@ -289,7 +368,10 @@ union all select o.k, o.seq, o.cost, o.n, r.used + o.cost <= {limit}, case when
 def quota_charge(spark, d):
     op = F.when(F.col("event_type").isin("view", "click"), "memory_search").when(F.col("event_type") == "error", "correct").otherwise("other")
     n = F.when(F.col("event_type") == "error", 2).otherwise(1)
-    ops = _t(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.lit("p").alias("period"), F.col("event_id").alias("seq"), op.alias("op"), n.alias("n"))
+    ops = _t(spark, d, "events").select(
+        F.col("user_id").alias("tenant_id"), F.lit("p").alias("period"), F.col("event_id").alias("seq"), op.alias("op"),
+        n.alias("n"),
+    )
     done, left = usage.charge(ops, 25.0)
     refused = done.groupBy("tenant_id").agg(F.count_if(~F.col("accepted")).alias("refused"))
     return left.join(refused, "tenant_id").select("tenant_id", "used", F.round("remaining", 6).alias("remaining"), "refused")
@@ -299,7 +381,9 @@ def quota_charge(spark, d):
 join (values ('free', 'solo'), ('pro', 'enterprise'), ('enterprise', null)) x(p, n) using (p)""")
 def upgrade_hints(spark, d):
     plan = F.when(F.col("c_mktsegment") == "BUILDING", "pro").when(F.col("c_mktsegment") == "MACHINERY", "enterprise").otherwise("lapsed")
-    return usage.upgrade_hint(_t(spark, d, "customer").select(F.col("c_custkey").alias("tenant_id"), plan.alias("plan"))).select("tenant_id", "plan", "next_plan", "overage_per_1000")
+    return usage.upgrade_hint(
+        _t(spark, d, "customer").select(F.col("c_custkey").alias("tenant_id"), plan.alias("plan"))
+    ).select("tenant_id", "plan", "next_plan", "overage_per_1000")
 
 
 # Hooks.
@@ -318,7 +402,9 @@ def webhook_verify(spark, d):
     ts = F.when(F.col("event_id") % 4 == 0, "x").when(F.col("event_id") % 9 == 0, None).otherwise((1000 + F.col("event_id") % 800).cast("string"))
     w = _t(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("body"), ts.alias("timestamp"))
     signed = text.hmac_sha256("whsec", F.concat("timestamp", F.lit("."), "body"))
-    return usage.verify(w.withColumn("signature", F.when(F.col("event_id") % 5 == 0, "no").otherwise(signed)), "whsec", 1300.0).select("event_id", "valid")
+    return usage.verify(
+        w.withColumn("signature", F.when(F.col("event_id") % 5 == 0, "no").otherwise(signed)), "whsec", 1300.0,
+    ).select("event_id", "valid")
 
 
 def _hooks(spark, d):
@@ -342,7 +428,10 @@ def _sent(spark, d):
     h = _hooks(spark, d).withColumn("events", text.listed(F.col("events")))
     e = _t(spark, d, "events").where("event_type in ('click', 'error') and event_id % 10 = 0")
     data = F.concat(F.lit('{"n":"'), F.col("user_id"), F.lit('","k":"sk-ant-abcdefghijklmnopqrstuvwxyz"}'))
-    e = e.select("event_id", F.when(F.col("event_type") == "click", "ping").otherwise("kg.updated").alias("event"), data.alias("data"), F.col("event_id").alias("ts"))
+    e = e.select(
+        "event_id", F.when(F.col("event_type") == "click", "ping").otherwise("kg.updated").alias("event"),
+        data.alias("data"), F.col("event_id").alias("ts"),
+    )
     return delivery.deliveries(h, e, _KEY, F.array(F.lit("93.184.216.34")))
 
 
@@ -366,14 +455,19 @@ select event_id, event_id % 6 <> 0 and not (a in (0, 10, 127) or a >= 224 or (a
 def safe_urls(spark, d):
     e = F.col("event_id")
     ip = F.concat_ws(".", e % 256, e % 200, F.lit("3"), F.lit("4"))
-    url = F.when(e % 6 == 0, F.concat(F.lit("ftp://"), ip)).when(e % 3 == 0, F.concat(F.lit("https://user@"), ip, F.lit(":8080/p?q"))).otherwise("http://host.org/")
+    url = F.when(e % 6 == 0, F.concat(F.lit("ftp://"), ip)).when(
+        e % 3 == 0, F.concat(F.lit("https://user@"), ip, F.lit(":8080/p?q")),
+    ).otherwise("http://host.org/")
     return _t(spark, d, "events").select("event_id", text.safe_url(url, F.array(ip)).alias("safe"))
 
 
 @query("""with c as (select case event_type when 'view' then 'GET' else 'POST' end as m, user_id % 3 as s, count(*) as n from events group by 1, 2)
 select 'http_requests_total{method="' || m || '",path="/v1/keys/{id}",status="' || s || '"} ' || n as line from c""")
 def prometheus_lines(spark, d):
-    r = _t(spark, d, "events").select(F.when(F.col("event_type") == "view", "GET").otherwise("POST").alias("method"), F.concat(F.lit("/v1/keys/"), "event_id").alias("path"), (F.col("user_id") % 3).alias("status"))
+    r = _t(spark, d, "events").select(
+        F.when(F.col("event_type") == "view", "GET").otherwise("POST").alias("method"),
+        F.concat(F.lit("/v1/keys/"), "event_id").alias("path"), (F.col("user_id") % 3).alias("status"),
+    )
     return store.prometheus(store.route_counts(r))
 
 

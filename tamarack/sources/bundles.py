@@ -25,7 +25,12 @@ def masked(value: Column, kind: DataType, depth: int = 0) -> Column | None:
         return F.transform(value, lambda x: masked(x, kind.elementType, depth + 1)) if _has_text(kind.elementType, depth + 1) else None
     if isinstance(kind, MapType):
         one = lambda x, t: masked(x, t, depth + 1) if _has_text(t, depth + 1) else x
-        entries = F.transform(F.map_entries(value), lambda e: F.struct(one(e["key"], kind.keyType).alias("key"), one(e["value"], kind.valueType).alias("value")))
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(
+                one(e["key"], kind.keyType).alias("key"), one(e["value"], kind.valueType).alias("value"),
+            ),
+        )
         keys = F.transform(entries, lambda e: e["key"])
         last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.lit(0), F.size(keys) - i - 1)), e["key"]))
         return F.map_from_entries(last)
@@ -38,7 +43,9 @@ def masked(value: Column, kind: DataType, depth: int = 0) -> Column | None:
 def _has_text(kind: DataType, depth: int) -> bool:
     if depth > MOST_DEPTH:
         return False
-    inner = [kind.elementType] if isinstance(kind, ArrayType) else [kind.keyType, kind.valueType] if isinstance(kind, MapType) else [f.dataType for f in kind] if isinstance(kind, StructType) else []
+    inner = [kind.elementType] if isinstance(kind, ArrayType) else [
+        kind.keyType, kind.valueType,
+    ] if isinstance(kind, MapType) else [f.dataType for f in kind] if isinstance(kind, StructType) else []
     return isinstance(kind, StringType) or any(_has_text(t, depth + 1) for t in inner)
 
 
@@ -75,7 +82,10 @@ def check_size(bundle: dict[str, DataFrame], per_table: int | None = MOST_PER_TA
     return counts
 
 
-def load(current: dict[str, DataFrame], bundle: dict[str, DataFrame], mode: str = "merge", version: int = VERSION, per_table: int | None = MOST_PER_TABLE, total: int | None = MOST_ROWS) -> dict[str, DataFrame]:
+def load(
+    current: dict[str, DataFrame], bundle: dict[str, DataFrame], mode: str = "merge", version: int = VERSION,
+    per_table: int | None = MOST_PER_TABLE, total: int | None = MOST_ROWS,
+) -> dict[str, DataFrame]:
     """The tables after an import, in this order: tombstones, memories that none of them bars, rules, corrections. A ValueError
     for another mode or version, or beyond the limits (None: no limit, for bulk loads).
 
@@ -93,7 +103,9 @@ def load(current: dict[str, DataFrame], bundle: dict[str, DataFrame], mode: str
     new = bundle["tombstones"].groupBy("content_hash").agg(F.max("embedding").alias("embedding"))
     stones = keep(memory.upsert(now["tombstones"].select("content_hash", "embedding"), new, ["content_hash"], []), "tombstones")
     fit = F.when(F.size("embedding") <= MOST_DIMENSIONS, safe_embedding(F.col("embedding")))
-    m = scrubbed(bundle["memories"]).where(F.trim(F.coalesce("content", F.lit(""))) != "").withColumn("embedding", fit).withColumn("salience", safe_salience(F.col("salience")))
+    m = scrubbed(bundle["memories"]).where(
+        F.trim(F.coalesce("content", F.lit(""))) != ""
+    ).withColumn("embedding", fit).withColumn("salience", safe_salience(F.col("salience")))
     m = keep(m, "imported")
     barred = memory.blocked(m, stones).select("id").distinct()
     m = m.join(small(barred), "id", "left_anti").withColumn("_k", normalized(F.col("content")))

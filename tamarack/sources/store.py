@@ -212,7 +212,11 @@ class Store:
 
 def current_edges(edges: DataFrame, now: Column) -> DataFrame:
     """Not retracted, begun, and not ended at `now`; a null start counts as begun."""
-    return edges.where(F.col("expired_at").isNull() & (F.coalesce("valid_at", now) <= now) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > now)))
+    return edges.where(
+        F.col("expired_at").isNull() & (F.coalesce("valid_at", now) <= now) & (
+            F.col("invalid_at").isNull() | (F.col("invalid_at") > now)
+        )
+    )
 
 
 def create_keys(wanted: DataFrame, now: float) -> DataFrame:
@@ -227,13 +231,22 @@ def resolve_keys(requests: DataFrame, keys: DataFrame, owners: DataFrame) -> Dat
     k = keys.where("revoked_at is null").select("key_hash", F.col("tenant_id").alias("_kt"), "role")
     o = owners.select("key_hash", F.col("tenant_id").alias("_ot"))
     out = r.join(k, "key_hash", "left").join(o, "key_hash", "left")
-    return out.select("key", F.coalesce("_kt", "_ot").alias("tenant_id"), F.when(F.col("_kt").isNotNull(), F.col("role")).when(F.col("_ot").isNotNull(), "owner").alias("role"))
+    return out.select(
+        "key", F.coalesce("_kt", "_ot").alias("tenant_id"),
+        F.when(F.col("_kt").isNotNull(), F.col("role")).when(F.col("_ot").isNotNull(), "owner").alias("role"),
+    )
 
 
 def hooks_for(hooks: DataFrame, event: Column | str) -> DataFrame:
     """Active hooks that take the event; a hook without a list takes all."""
     event = F.lit(event) if isinstance(event, str) else event
-    return hooks.where(F.col("active") & ((F.size(F.coalesce("events", F.array().cast("array<string>"))) == 0) | F.array_contains(F.col("events"), event)))
+    return hooks.where(
+        F.col("active") & (
+            (
+                F.size(F.coalesce("events", F.array().cast("array<string>"))) == 0
+            ) | F.array_contains(F.col("events"), event)
+        )
+    )
 
 
 def route_counts(requests: DataFrame) -> DataFrame:

@@ -74,5 +74,7 @@ def work(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]],
 
 def drain(stream: DataFrame, path: str) -> None:
     """Run a stream over all that its source holds now, appended to Parquet files below `path`."""
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option(
+        "checkpointLocation", f"{path}/checkpoint",
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
