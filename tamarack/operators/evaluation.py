@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 
 def ranking_quality(ranked: DataFrame, gold: DataFrame) -> DataFrame:
-    """ranked: query_id, id, rank; gold: query_id, id. Recall at 1, 5 and 10 (a gold row found), MRR and NDCG at 10, averaged over the queries with gold."""
+    """ranked: query_id, id, rank; gold: query_id, id. Averages over the queries with gold: whether the first row is gold, the share
+    of gold rows among the first 5 and 10, MRR, and NDCG at 10."""
     hits = gold.select("query_id", "id").distinct().join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
     gain = lambda r: 1 / F.log2(r + 1)
     per = hits.groupBy("query_id").agg(
-        F.min("rank").alias("first"),
+        F.min("rank").alias("first"), F.count("*").alias("gold"),
+        F.count_if(F.col("rank") <= 5).alias("in_5"), F.count_if(F.col("rank") <= 10).alias("in_10"),
         F.coalesce(F.sum(F.when(F.col("rank") <= 10, gain(F.col("rank")))), F.lit(0.0)).alias("dcg"),
         F.least(F.count("*"), F.lit(10)).cast("int").alias("n"),
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, r: a + gain(r))
-    at = lambda k: F.round(F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))), 6)
+    first = F.avg(F.coalesce((F.col("first") <= 1).cast("int"), F.lit(0)))
     return per.agg(
-        F.count("*").alias("queries"), at(1).alias("recall_1"), at(5).alias("recall_5"), at(10).alias("recall_10"),
+        F.count("*").alias("queries"), F.round(first, 6).alias("recall_1"),
+        F.round(F.avg(F.col("in_5") / F.col("gold")), 6).alias("recall_5"),
+        F.round(F.avg(F.col("in_10") / F.col("gold")), 6).alias("recall_10"),
         F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
         F.round(F.avg(F.col("dcg") / ideal), 6).alias("ndcg_10"),
     )

@@ -212,9 +212,9 @@ def entity_resolution(spark, d):
 @query("""with s as (select q.vec_id as query_id, e.vec_id as id, e.label = q.label as gold, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score
   from embeddings e, embeddings q where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s),
-p as (select query_id, min(rank) filter (rank <= 20) as first, sum(case when rank <= 10 then 1 / log2(rank + 1) else 0 end) as dcg, least(10, count(*)) as n from r where gold group by 1),
+p as (select query_id, count(*) as g, count(*) filter (rank <= 5) as g5, count(*) filter (rank <= 10) as g10, min(rank) filter (rank <= 20) as first, sum(case when rank <= 10 then 1 / log2(rank + 1) else 0 end) as dcg, least(10, count(*)) as n from r where gold group by 1),
 i as (select p.*, (select sum(1 / log2(x + 1)) from range(1, 11) t(x) where x <= n) as ideal from p)
-select count(*) as queries, round(avg(case when first <= 1 then 1 else 0 end), 6) as recall_1, round(avg(case when first <= 5 then 1 else 0 end), 6) as recall_5, round(avg(case when first <= 10 then 1 else 0 end), 6) as recall_10, round(avg(coalesce(1 / first, 0)), 6) as mrr, round(avg(dcg / ideal), 6) as ndcg_10 from i""")
+select count(*) as queries, round(avg(case when first <= 1 then 1 else 0 end), 6) as recall_1, round(avg(g5 / g), 6) as recall_5, round(avg(g10 / g), 6) as recall_10, round(avg(coalesce(1 / first, 0)), 6) as mrr, round(avg(dcg / ideal), 6) as ndcg_10 from i""")
 def retrieval_quality(spark, d):
     """Each query's gold rows are the others of its label; the query itself is neither ranked nor gold."""
     e, q = _vectors(spark, d)
