@@ -195,6 +195,6 @@ def test_pipeline(spark, docs, tmp_path):
         assert new.columns == d.columns
         d = new
         left.append(sorted((r.doc_id for r in d.collect()), key=str))
-    assert left[0] == sorted([1, 2, 2, 3, 4, 5, None, 12], key=str)[: len(left[0])] or 13 not in left[0]
+    assert {1, 2, 3, 4, 5, None} <= set(left[0]) and left[0].count(2) == 2 and not {6, 7, 8, 9, 10, 13} & set(left[0])
     assert 2 not in left[1] and 3 not in left[1] and 1 in left[1] and not {1, 4, 5} & set(left[2])
     assert {r.doc_id for r in c.run(spark, sf).collect()} == set(left[3])
