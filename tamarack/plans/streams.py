@@ -78,4 +78,4 @@ def stream_worker(spark, d):
     state.work(jobs, {"click": ok}, store, f"{path}/checkpoint").awaitTermination()
     metered = spark.read.parquet(f"{path}/metered").agg(F.sum("n")).first()[0] or 0
     done = spark.read.parquet(f"{path}/jobs").groupBy("status").agg(F.count("*").alias("jobs"))
-    return done.withColumn("metered", F.when(F.col("status") == "done", F.lit(metered)).otherwise(0))
+    return done.withColumn("metered", F.when(F.col("status") == "done", F.lit(metered)).otherwise(0).cast("long"))

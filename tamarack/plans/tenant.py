@@ -257,7 +257,7 @@ add("schema_evolution", "tombstones users", f"select 'tombstones' as name, count
 
 
 def _evolved(s: Store) -> DataFrame:
-    one = lambda n, c: s.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.count(c).cast("int").alias("filled"))
+    one = lambda n, c: s.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.count(c).alias("filled"))
     return one("tombstones", "embedding").union(one("users", "approved"))
 
 

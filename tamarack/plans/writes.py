@@ -349,7 +349,7 @@ def job_processing(spark, d):
     bad = lambda j: j.select("job_id", F.lit(None).cast("string").alias("result"), F.lit(0).cast("long").alias("added"), F.repeat(F.lit("x"), 600).alias("error"))
     jobs = _jobs(spark, d)
     results, _ = usage.process(jobs.where("status = 'running'"), {"click": ok, "error": ok, "view": bad})
-    return usage.complete(jobs, results.drop("added")).select("job_id", "status", F.length("error").alias("message"))
+    return usage.complete(jobs, results.drop("added")).select("job_id", "status", F.length("error").cast("long").alias("message"))
 
 
 @query("select user_id::varchar as tenant_id, 'memory_add' as op, sum(event_id % 4 - 1)::bigint as n from events where event_id % 3 = 0 and event_id % 4 > 1 group by 1")
