@@ -19,9 +19,9 @@ __all__ = [
 #: Words are maximal runs of characters other than these (space, \t \n \v \f \r).
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step holds at once (a longer single text is one step).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Rows and bytes per Arrow batch (a row of more bytes is a batch of its own).
-ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
