@@ -6,14 +6,14 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import new_path, small, spread
 
 __all__ = [
-    "WORD_RE", "arrow_map", "bounded_sample", "documents", "materialize", "new_path", "release", "remove",
-    "remove_path", "slices", "small", "table", "tune",
+    "WORD_RE", "arrow_map", "bounded_sample", "documents", "materialize", "new_path", "offsets", "ordered", "release",
+    "remove", "remove_path", "slices", "small", "table", "tune",
 ]
 
 #: Words are maximal runs of characters other than these (space, \t \n \v \f \r).
@@ -118,3 +118,22 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
         return df
     some = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1.5 * bound + 100) / n * (1 << 30))
     return df.where(some).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(bound)
+
+
+#: A row's place within its sorted range is the lower part of Spark's increasing id, the range's number the upper part.
+PLACE_BITS = 33
+
+
+def ordered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df written in the order of `keys`, with part (the sorted range) and at (the place in it). Ranges are balanced however
+    the first key is spread, if the keys together are."""
+    r = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.monotonically_increasing_id())
+    return materialize(
+        r.withColumn("at", F.col("part").bitwiseAND((1 << PLACE_BITS) - 1)).withColumn("part", F.shiftright("part", PLACE_BITS)), name,
+    )
+
+
+def offsets(counts: DataFrame, part: str = "part", n: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
+    """counts with base: the sum of n over the parts before (of the same `by`). One row for each part (and `by`)."""
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("base", F.coalesce(F.sum(n).over(before), F.lit(0)))

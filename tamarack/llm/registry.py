@@ -2,6 +2,7 @@
 
 from .chat import OP6_SQL, op6_chat_format
 from .decontaminate import OP2_SQL, op2_decontamination
+from .importance import OP11_SQL, op11_importance_resampling
 from .jaccard import OP5_SQL, op5_ngram_jaccard_join
 from .langid import op10_language_id
 from .packing import op3_nnls_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
 }
