@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, offsets, ordered, remove, table
+from .textkit import CRC_SQL, CRC_TABLE_SQL
 
 #: Words after lower-casing: maximal runs of a-z, 0-9 and characters beyond ASCII.
 FEATURE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -105,13 +106,6 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-#: A string's CRC-32 in SQL: bytes from its hex form, and the table of the reflected polynomial.
-CRC_TABLE_SQL = """(select list_transform(range(256), lambda i: list_reduce(range(8),
-    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as tab)"""
-CRC_SQL = """xor(list_reduce(list_transform(range(octet_length(encode({x}))),
-    lambda i: cast('0x' || substr(hex(encode({x})), 2 * i + 1, 2) as bigint)),
-    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), cast(4294967295 as bigint)), 4294967295)"""
-
 OP11_SQL = rf"""
 with rows_ as (
   select 0 as aim, doc_id, row_number() over () as row_id, text from documents

@@ -5,6 +5,7 @@ from .decontaminate import OP2_SQL, op2_decontamination
 from .importance import OP11_SQL, op11_importance_resampling
 from .jaccard import OP5_SQL, op5_ngram_jaccard_join
 from .langid import op10_language_id
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .packing import op3_nnls_packing
 from .quality import OP9_SQL, op9_quality_rules
 from .secrets import OP4_SQL, op4_secret_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
