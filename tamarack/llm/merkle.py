@@ -247,9 +247,9 @@ sib as (
     coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') as after
   from up a join up b on a.tree = b.tree and a.lvl = b.lvl and a.pos // 3 = b.pos // 3 where a.m > 1 group by all),
 subroots as (
-  select tree, h as subroot, row_number() over (order by encode(tree)) - 1 as at, count(*) over () as trees from up where m = 1),
+  select tree, h as subroot, row_number() over (order by encode(tree)) - 1 as spot, count(*) over () as trees from up where m = 1),
 up2 as (
-  select 0 as lvl, at as pos, subroot as h, trees as m from subroots
+  select 0 as lvl, spot as pos, subroot as h, trees as m from subroots
   union all select lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (m + 2) // 3 from up2 where m > 1
   group by lvl, m, pos // 3),
 sib2 as (
@@ -261,7 +261,7 @@ walk as (
   union all select doc_id, leaf, w.tree, w.lvl + 1, w.pos // 3, (m + 2) // 3, proof || before || after, sha256(before || folded || after)
   from walk w join sib s on s.tree = w.tree and s.lvl = w.lvl and s.pos = w.pos where m > 1),
 walk2 as (
-  select doc_id, leaf, subroot, 0 as lvl, at as pos, trees as m, proof, folded from walk join subroots using (tree) where m = 1
+  select doc_id, leaf, subroot, 0 as lvl, spot as pos, trees as m, proof, folded from walk join subroots using (tree) where m = 1
   union all select doc_id, leaf, subroot, w.lvl + 1, w.pos // 3, (m + 2) // 3, proof || before || after, sha256(before || folded || after)
   from walk2 w join sib2 s on s.lvl = w.lvl and s.pos = w.pos where m > 1)
 select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, folded as folded_root, folded = r.h as verified

@@ -14,13 +14,11 @@ by prefix sums over the parts' counts, so that no length, however frequent, meet
 Defined cases: null or empty text has just the end id; repeated rows and null doc_id are packed as rows of their own;
 extra columns are ignored; an empty table gives an empty result.
 
-Ids are those of the tokenizer file's byte-level BPE. They are computed by tiktoken from that file's vocabulary, which
-gives the same ids several times faster; texts that hold a special token's string go through the tokenizers library.
+Ids are those of the tokenizer file's byte-level BPE (see tokens).
 """
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, slices, table, tune
+from .tokens import encoder
 
 SIZE = 1024
 END_ID = 0
@@ -39,39 +38,6 @@ END_ID = 0
 TOLERANCE = 1e-3
 #: Rows of part offsets (24 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 1_000_000
-_encoders: dict = {}
-
-
-def _byte_alphabet() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def encoder(path: str):
-    """texts -> list of uint32 arrays, by the tokenizer file at `path`."""
-    if path not in _encoders:
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = [x["content"] for x in spec.get("added_tokens", [])]
-        alphabet = _byte_alphabet()
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        fast, slow = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path)
-
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            return [
-                np.asarray(
-                    slow.encode(t, add_special_tokens=False).ids, np.uint32,
-                ) if any(s in t for s in special) else fast.encode_to_numpy(t, disallowed_special=()) for t in texts
-            ]
-
-        _encoders[path] = encode
-    return _encoders[path]
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID, size: int = SIZE) -> DataFrame:

@@ -10,6 +10,7 @@ from .packing import op3_nnls_packing
 from .quality import OP9_SQL, op9_quality_rules
 from .secrets import OP4_SQL, op4_secret_scan
 from .substring import OP7_SQL, op7_substring_dedup
+from .token_file import op13_token_file
 from .toxicity import op8_toxicity
 from .warc import OP1_SQL, op1_warc
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_file": op13_token_file,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
