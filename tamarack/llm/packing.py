@@ -2,11 +2,12 @@
 
 Documents are tokenized once and written with their ids. A document of n ids gives floor(n / size) full sequences and a
 tail of n mod size ids. The tails' histogram (size - 1 counts, whatever the input) goes to the driver. There, all shallow
-combinations (two or three lengths) that exactly fill a sequence are enumerated, their repeat counts are solved against
-the histogram by non-negative least squares (cyclic coordinate descent until the optimality conditions hold to
-TOLERANCE), rounded, and the residual is packed greedily: the longest tail, then whatever fits best, and where nothing
-fits, a longer tail is cut. So only the last sequence can have padding.
-Sequences of four or more tails come from the greedy step alone.
+combinations (two or three lengths) that exactly fill a sequence are enumerated and their repeat counts are solved against
+the histogram by non-negative least squares (cyclic coordinate descent until the optimality conditions hold to TOLERANCE).
+Of each length the EACH most repeated combinations are kept, solved again without the others, and rounded. The residual is
+packed greedily: the longest tail, then whatever fits best, up to GREEDY_TAILS tails. Lengths that fill no sequence so go
+to a stream of tails, which is cut at every sequence's end: a tail's place in it is a formula of its rank, so the plan has
+O(lengths) records whatever the counts. Only the last sequence can have padding.
 
 The plan assigns ranges of ranks among the tails of one length. Ranks are counted within each written part and offset
 by prefix sums over the parts' counts, so that no length, however frequent, meets in one task.
@@ -20,7 +21,7 @@ Ids are those of the tokenizer file's byte-level BPE (see tokens).
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,10 @@ SIZE = 1024
 END_ID = 0
 #: How far, as a share of the largest count, the gradient of the squares may miss its optimality conditions.
 TOLERANCE = 1e-3
+#: Steps of the descent, at most; what is then uncovered is left to the residual.
+UPDATES = 2_000_000
+#: Combinations kept of each length, and tails of a greedy fill.
+EACH, GREEDY_TAILS = 2, 6
 #: Rows of part offsets (24 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -79,20 +84,22 @@ def combinations(lengths: list[int], size: int) -> np.ndarray:
     return np.stack([a[ok], b[ok], c[ok]], 1)
 
 
-def nnls(combos: np.ndarray, hist: np.ndarray, tolerance: float = TOLERANCE, rounds: int = 10_000) -> np.ndarray:
+def nnls(combos: np.ndarray, hist: np.ndarray, tolerance: float = TOLERANCE, updates: int = UPDATES) -> np.ndarray:
     """x >= 0 that minimizes |A x - hist|^2, column j of A counting combos[j]'s lengths; cyclic coordinate descent over
-    the columns that miss the optimality conditions, until none does by more than `tolerance` of the largest count."""
+    the columns that miss the optimality conditions, until none does by more than `tolerance` of the largest count, or
+    after so many updates (what x then leaves uncovered is the residual's)."""
     x, left = np.zeros(len(combos)), hist.astype(float)
     left[0] = 0
     rows = combos.tolist()
     norm = np.array([sum((c == r).sum() for r in c if r) for c in combos], float)
     bound = tolerance * max(1.0, hist.max(initial=0))
-    for _ in range(rounds):
+    while updates > 0:
         gradient = left[combos].sum(1)
         miss = np.where(x > 0, np.abs(gradient), gradient)
         todo = np.flatnonzero(miss > bound)
         if not len(todo):
-            return x
+            break
+        updates -= len(todo)
         work = left.tolist()
         for j in todo.tolist():
             a, b, c = rows[j]
@@ -104,73 +111,85 @@ def nnls(combos: np.ndarray, hist: np.ndarray, tolerance: float = TOLERANCE, rou
             if a:
                 work[a] -= step
         left = np.array(work)
-    raise RuntimeError("non-negative least squares did not converge")
+    return x
 
 
-def plan(hist: np.ndarray, size: int = SIZE) -> tuple[dict[int, list[tuple]], int]:
-    """Records (lo, hi, start, length, sequence, offset) by tail length: ids start:start+length of the tails of ranks lo..hi-1 go
-    to sequences sequence, sequence + 1, ... at that offset. Also the number of sequences."""
-    pool: dict[int, list[list[int]]] = {r: [[r, 0, int(c), 0]] for r, c in enumerate(hist) if r and c}
+def support(combos: np.ndarray, x: np.ndarray, each: int = EACH) -> np.ndarray:
+    """Of each length the `each` combinations that x repeats most: O(lengths) rows of combos, ascending."""
+    order = np.argsort(-x, kind="stable")
+    order = order[x[order] > 0]
+    uses = np.concatenate([np.stack([combos[order, i], np.arange(len(order)), order], 1) for i in range(3)])
+    uses = uses[uses[:, 0] > 0]
+    uses = uses[np.lexsort((uses[:, 1], uses[:, 0]))]
+    first = np.searchsorted(uses[:, 0], uses[:, 0])
+    return np.unique(uses[np.arange(len(uses)) - first < each, 2])
+
+
+def plan(hist: np.ndarray, size: int = SIZE) -> tuple[dict[int, list[tuple]], dict[int, tuple[int, int]], int]:
+    """Where tails go, in O(lengths) records whatever the counts:
+
+    - by tail length, (lo, hi, sequence, offset): tails of ranks lo..hi-1 go whole to sequences sequence, sequence + 1, ...
+    - by tail length, (rank, position): tails from this rank on follow each other in a stream, the first one at position;
+    - the number of sequences before the stream."""
     count = {r: int(c) for r, c in enumerate(hist) if r and c}
+    used = dict.fromkeys(count, 0)
     out: dict[int, list[tuple]] = defaultdict(list)
     sequences = 0
 
-    def place(length: int, m: int, seq: int, offset: int, cut: int | None = None) -> None:
-        """Take m pieces of this length; with `cut` only their first ids, and the rest goes back."""
-        count[length] -= m
-        while m:
-            item = pool[length][-1]
-            r, lo, hi, start = item
-            take = min(m, hi - lo)
-            out[r].append((lo, lo + take, start, cut or length, seq, offset))
-            if cut:
-                rest = length - cut
-                pool.setdefault(rest, []).insert(0, [r, lo, lo + take, start + cut])
-                count[rest] = count.get(rest, 0) + take
-            item[1] += take
-            if item[1] == hi:
-                pool[length].pop()
-            m, seq = m - take, seq + take
-
-    lengths = sorted(count, key=lambda r: (-count[r], r))
-    combos = combinations(lengths, size)
+    def fill(combo: list[int], most: int) -> bool:
+        """Up to `most` sequences of these lengths."""
+        nonlocal sequences
+        uses = Counter(combo)
+        m = min([most, *((count[r] - used[r]) // u for r, u in uses.items())])
+        if m > 0:
+            offset = 0
+            for r in combo:
+                out[r].append((used[r], used[r] + m, sequences, offset))
+                used[r] += m
+                offset += r
+            sequences += m
+        return m > 0
+
+    combos = combinations(sorted(count), size)
+    combos = combos[support(combos, nnls(combos, hist))]
     solved = nnls(combos, hist)
     # Fractions are carried on to the next combination, which mostly shares a length: the rounded counts keep the total.
     repeats = np.diff(np.floor(np.cumsum(solved) + 1e-6), prepend=0).astype(np.int64)
     for j in np.flatnonzero(repeats):
-        combo, uses = [r for r in combos[j].tolist() if r], defaultdict(int)
-        for r in combo:
-            uses[r] += 1
-        m = min([int(repeats[j]), *(count[r] // u for r, u in uses.items())])
-        if m <= 0:
-            continue
-        offset = 0
-        for r in combo:
-            place(r, m, sequences, offset)
-            offset += r
-        sequences += m
-    while left := sorted(r for r, c in count.items() if c):
+        fill([r for r in combos[j].tolist() if r], int(repeats[j]))
+    left = sorted(r for r in count if count[r] > used[r])
+    while left:  # the longest tail, then whatever fits best; each round uses a length up, or nearly
         chosen, uses, free = [], defaultdict(int), size
-        while free:
+        while free and len(chosen) < GREEDY_TAILS:
             i = bisect_right(left, free)
-            r = next((left[k] for k in range(i - 1, -1, -1) if count[left[k]] > uses[left[k]]), None)
+            r = next((left[k] for k in range(i - 1, -1, -1) if count[left[k]] - used[left[k]] > uses[left[k]]), None)
             if r is None:
                 break
             chosen.append(r)
             uses[r] += 1
             free -= r
-        cut = next((r for r in left if r > free and count[r] > uses[r]), None) if free else None
-        if cut is not None:
-            uses[cut] += 1
-        m = min(count[r] // u for r, u in uses.items())
-        offset = 0
-        for r in chosen:
-            place(r, m, sequences, offset)
-            offset += r
-        if cut is not None:
-            place(cut, m, sequences, offset, free)
-        sequences += m
-    return dict(out), sequences
+        if free:
+            left.pop()  # no exact fill: this length's rest is for the stream
+        else:
+            fill(chosen, size * max(count.values()))
+            left = [r for r in left if count[r] > used[r]]
+    stream, position = {}, 0
+    for r in sorted(count, reverse=True):
+        stream[r] = (used[r], position)
+        position += (count[r] - used[r]) * r
+    return dict(out), stream, sequences
+
+
+def pieces(rank: int, length: int, ranges: np.ndarray, stream: tuple[int, int], after: int, size: int) -> list[tuple[int, int, int, int]]:
+    """(start, length, sequence, offset) of the pieces of the tail of this rank; the stream's first sequence is `after`."""
+    first, position = stream
+    if rank < first:
+        lo, _, sequence, offset = ranges[np.searchsorted(ranges[:, 0], rank, "right") - 1].tolist()
+        return [(0, length, sequence + rank - lo, offset)]
+    at = position + (rank - first) * length
+    here = min(length, size - at % size)
+    out = [(0, here, after + at // size, at % size)]
+    return out if here == length else [*out, (here, length - here, after + at // size + 1, 0)]
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int | None = END_ID) -> DataFrame:
@@ -201,14 +220,15 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int | None = END_
             hist[r.tail] = r.c
         else:
             full = int(r.c)
-    records, _ = plan(hist, size)
+    records, stream, planned = plan(hist, size)
     side = F.broadcast if base.count() <= BROADCAST_ROWS else (lambda x: x)
     rows = tokens.withColumn("tail", (F.col("n") % size).cast("int")).join(
         side(base.where("tail > 0").select("part", "tail", "base")), ["part", "tail"], "left",
     ).join(side(base.where("tail = 0").select("part", F.col("base").alias("full_base"))), "part")
     rows = rows.select("doc_id", "n", "ids", F.col("full_base") + F.col("full_rank"), F.coalesce("base", F.lit(0)) + F.col("tail_rank"))
 
-    table = {r: np.array(x, np.int64) for r, x in records.items()}
+    ranges = {r: np.array(x, np.int64) for r, x in records.items()}  # of each length, ascending without gaps
+    none = np.zeros((0, 4), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,12 +237,11 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int | None = END_
                 for doc, n, ids, seq, rank in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     whole = n // size * size
                     out += [(doc, i, size, ids[4 * i : 4 * (i + size)], n, seq + i // size, 0) for i in range(0, whole, size)]
-                    ranges = table.get(n - whole)
-                    if ranges is None:
-                        continue
-                    for lo, _, start, length, first, offset in ranges[(ranges[:, 0] <= rank) & (rank < ranges[:, 1])].tolist():
-                        at = whole + start
-                        out.append((doc, at, length, ids[4 * at : 4 * (at + length)], n, full + first + rank - lo, offset))
+                    tail = n - whole
+                    if tail:
+                        for start, length, to, offset in pieces(rank, tail, ranges.get(tail, none), stream[tail], planned, size):
+                            at = whole + start
+                            out.append((doc, at, length, ids[4 * at : 4 * (at + length)], n, full + to, offset))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i] for x in out], pa.binary() if i == 3 else pa.int64()) for i in range(7)],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
