@@ -11,6 +11,7 @@ from ..functions.text import content_id, decimal_text, fold
 from ..functions.vectors import cosine, norm
 from ..sources.tables import in_blocks, keep
 from .folds import in_order
+from .similarity import cosine_join, followers
 
 SAME_ENTITY, ENTITY_CAP, ANCHOR_BOOST = 0.92, 50_000, 0.00015
 
@@ -19,21 +20,10 @@ def entity_id(tenant: Column, name: Column) -> Column:
     return content_id("ent-", tenant, fold(name))
 
 
-def _near(left: DataFrame, right: DataFrame, threshold: float, also: Column | None = None) -> DataFrame:
-    """Rows of `left` (in blocks) with rows of `right` (id) of compatible kind and a similarity of at least the threshold:
-    key, id, score. Kinds differ only if both are named; names are compared trimmed, in lower case."""
-    kind = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
-    e = right.select("id", kind("kind").alias("_k2"), F.col("embedding").alias("_e"), norm(F.col("embedding")).alias("_ne"))
-    m = left.where("embedding is not null").select("key", kind("kind").alias("_k1"), "embedding", norm(F.col("embedding")).alias("_nm"))
-    fits = (F.col("_k1") == "") | (F.col("_k2") == "") | (F.col("_k1") == F.col("_k2"))
-    score = F.round(cosine(F.col("embedding"), F.col("_e"), F.col("_nm"), F.col("_ne")), 6)
-    test = fits if also is None else fits & also
-    each = [
-        e.where("_e is not null").join(b, test).select(
-            "key", "id", score.alias("score"),
-        ).where(F.col("score") >= threshold) for b in in_blocks(m, "key")
-    ]
-    return reduce(DataFrame.union, each)
+def _sides(df: DataFrame, key: str) -> DataFrame:
+    """key, kind and embedding: kinds are compared trimmed, in lower case."""
+    kind = F.lower(F.trim(F.coalesce(F.col("kind").cast("string"), F.lit(""))))
+    return df.select(key, kind.alias("kind"), "embedding")
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, threshold: float = SAME_ENTITY, tenant: str = "", cap: int = ENTITY_CAP) -> DataFrame:
@@ -41,17 +31,15 @@ def resolve(mentions: DataFrame, entities: DataFrame, threshold: float = SAME_EN
 
     name: the entity of the same folded name (smallest id); vector: the most similar one of a compatible kind at or above
     the threshold (ties: smallest id); batch: an earlier new one of this batch, by name or vector; new: a node of its own,
-    named by its folded name; none: a blank name, or no room below `cap` entities. Mentions are a batch, met in blocks.
+    named by its folded name; none: a blank name, or no room below `cap` entities. Vectors meet by a cosine-threshold join.
     """
     names = entities.groupBy(fold(F.col("name")).alias("_n")).agg(F.min(F.col("id").cast("string")).alias("by_name"))
     m = keep(mentions.withColumn("_n", fold(F.col("name"))).join(names, "_n", "left"), "mentions")
-    best = _near(m.where("by_name is null and _n != ''"), entities, threshold)
-    best = best.groupBy("key").agg(F.min_by(F.col("id").cast("string"), F.struct(-F.col("score"), F.col("id"))).alias("by_vector"))
-    m = keep(m.join(best, "key", "left"), "mentions-met")
+    near = cosine_join(_sides(m.where("by_name is null and _n != ''"), "key"), _sides(entities, "id"), threshold, best=True)
+    m = keep(m.join(near.select("key", F.col("id").cast("string").alias("by_vector")), "key", "left"), "mentions-met")
     fresh = m.where("by_name is null and by_vector is null and _n != ''")
     first = fresh.groupBy("_n").agg(F.min_by(F.struct("key", "kind", "embedding"), "key").alias("x")).select("_n", "x.*")
-    pairs = _near(first, first.withColumnRenamed("key", "id"), threshold, F.col("id") < F.col("key"))
-    led = leaders(keep(pairs.select(F.col("key").alias("later"), F.col("id").alias("earlier"), "score"), "mentions-near"))
+    led = followers(_sides(keep(first, "mentions-first"), "key"), threshold)
     first = first.join(led, F.col("key") == F.col("later"), "left").select("_n", F.coalesce("leader", "key").alias("leader"))
     opened, space = first.select("leader").distinct(), max(0, cap - entities.count())
     opened = (opened if opened.count() <= space else opened.orderBy("leader").limit(space)).withColumn("_room", F.lit(True))
@@ -63,27 +51,6 @@ def resolve(mentions: DataFrame, entities: DataFrame, threshold: float = SAME_EN
     return out.select("key", F.coalesce("by_name", "by_vector", new).alias("entity_id"), how.alias("how"))
 
 
-def leaders(pairs: DataFrame) -> DataFrame:
-    """pairs: later, earlier, score, of rows that are taken in order. A row with an earlier leader near it follows the nearest
-    such (ties: the earliest); others lead. later, leader of the followers. Each round settles all rows whose earlier ones are
-    settled, so the rounds grow with the longest chain of near rows."""
-    open_, lead = keep(pairs.select("later").distinct(), "undecided"), keep(
-        pairs.select(F.col("earlier").alias("leader")).distinct().join(
-            pairs.select(F.col("later").alias("leader")), "leader", "left_anti",
-        ),
-        "leaders",
-    )
-    while open_.limit(1).count():
-        following = pairs.join(lead, F.col("earlier") == F.col("leader"), "left_semi").select("later").distinct()
-        rest = open_.join(following, "later", "left_anti")
-        waits = pairs.join(rest.select(F.col("later").alias("earlier")), "earlier", "left_semi").select("later").distinct()
-        settled = rest.join(waits, "later", "left_anti")
-        lead = keep(lead.union(settled.select("later")), "leaders")
-        open_ = keep(rest.join(lead, F.col("later") == F.col("leader"), "left_anti"), "undecided")
-    near = pairs.join(lead, F.col("earlier") == F.col("leader")).join(lead.select(F.col("leader").alias("later")), "later", "left_anti")
-    return near.groupBy("later").agg(F.min_by("leader", F.struct(-F.col("score"), F.col("leader"))).alias("leader"))
-
-
 def insert_new(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """table with those rows whose key it lacks; among equal keys one is kept."""
     return table.unionByName(rows.dropDuplicates(key).join(table.select(*key), key, "left_anti"), allowMissingColumns=True)

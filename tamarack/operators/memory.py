@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, content_id, normalized, scrub, stripped
-from ..functions.vectors import cosine, norm
-from ..sources.tables import in_blocks, keep
-from .graph import leaders
+from ..sources.tables import keep
+from .similarity import cosine_join, followers
 
 MOST_SALIENCE = 5.0
 
@@ -145,43 +142,26 @@ def of_subject(memories: DataFrame, party: str) -> DataFrame:
 
 def blocked(facts: DataFrame, tombstones: DataFrame, threshold: float = SAME_FACT) -> DataFrame:
     """facts (content, embedding) that tombstones bar: the same content, a vector at or above the threshold, or no vector while a
-    tombstone has one. Vectors are compared in blocks of tombstones, after the cheap tests."""
+    tombstone has one. Vectors meet by a cosine-threshold join, after the cheap tests."""
     f = facts.withColumn("content_hash", content_hash(F.col("content")))
     hashes = tombstones.select("content_hash").distinct()
-    vectors = tombstones.where("embedding is not null").select("content_hash", F.col("embedding").alias("_t"))
+    vectors = tombstones.where("embedding is not null").select(F.col("content_hash").alias("id"), F.lit("").alias("kind"), "embedding")
     by_hash = f.join(hashes, "content_hash", "left_semi")
     rest = f.join(hashes, "content_hash", "left_anti")
-    unknown = rest.where("embedding is null").join(vectors.select("_t").limit(1), how="left_semi")
-    rest, out = rest.where("embedding is not null"), by_hash.unionByName(unknown)
-    for block in in_blocks(vectors, "content_hash"):
-        near = cosine(F.col("embedding"), F.col("_t")) >= threshold
-        out = out.unionByName(rest.join(block.select("_t"), near, "left_semi"))
-        rest = rest.join(block.select("_t"), near, "left_anti")
-    return out
-
-
-def _near(facts: DataFrame, others: DataFrame, threshold: float, also: str = "true") -> DataFrame:
-    """key, id, score of facts and other rows (id) of the same user at or above the threshold. The facts are a batch in blocks."""
-    f = facts.where("embedding is not null").select("key", "user_id", F.col("embedding").alias("_f"), norm(F.col("embedding")).alias("_nf"))
-    m = others.where("embedding is not null").select("id", "user_id", F.col("embedding").alias("_m"), norm(F.col("embedding")).alias("_nm"))
-    score = F.round(cosine(F.col("_m"), F.col("_f"), F.col("_nm"), F.col("_nf")), 6)
-    each = [
-        m.join(b, "user_id").where(also).select(
-            "key", "id", score.alias("score"),
-        ).where(F.col("score") >= threshold) for b in in_blocks(f, "key", BATCH)
-    ]
-    return reduce(DataFrame.union, each)
+    unknown = rest.where("embedding is null").join(vectors.select("id").limit(1), how="left_semi")
+    known = keep(rest.where("embedding is not null").withColumn("_row", F.monotonically_increasing_id()), "facts-known")
+    near = cosine_join(known.select(F.col("_row").alias("key"), F.lit("").alias("kind"), "embedding"), vectors, threshold, best=True)
+    return by_hash.unionByName(unknown).unionByName(known.join(near.select(F.col("key").alias("_row")), "_row", "left_semi").drop("_row"))
 
 
-def nearest(facts: DataFrame, memories: DataFrame, threshold: float = SAME_FACT) -> DataFrame:
-    """key, id: the user's active memory most similar to each fact, at or above the threshold (ties: the smallest id). The best is
-    kept by a map-side aggregate, so pairs are not shuffled."""
-    near = _near(facts, active(memories), threshold)
-    return near.groupBy("key").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
+def _side(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, "user_id", F.lit("").alias("kind"), "embedding")
 
 
-#: Facts of a block that is broadcast to the memories.
-BATCH = 10_000
+def nearest(facts: DataFrame, memories: DataFrame, threshold: float = SAME_FACT) -> DataFrame:
+    """key, id: the user's active memory most similar to each fact, at or above the threshold (ties: the smallest id). Vectors meet by
+    a cosine-threshold join within each user, however large."""
+    return cosine_join(_side(facts, "key"), _side(active(memories), "id"), threshold, ["user_id"], best=True).select("key", "id")
 
 
 def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame, tenant: str = "") -> DataFrame:
@@ -206,8 +186,7 @@ def ingest(memories: DataFrame, facts: DataFrame, tombstones: DataFrame, tenant:
     first = fresh.groupBy("user_id", "content_hash").agg(
         F.min_by(F.struct("key", "embedding"), "key").alias("x")
     ).select("user_id", "content_hash", "x.*")
-    pairs = _near(first, first.withColumnRenamed("key", "id"), SAME_FACT, "id < key")
-    led = leaders(keep(pairs.select(F.col("key").alias("later"), F.col("id").alias("earlier"), "score"), "facts-near"))
+    led = followers(_side(keep(first, "facts-first"), "key"), SAME_FACT, ["user_id"])
     first = first.join(led, F.col("key") == F.col("later"), "left").select("user_id", "content_hash", F.coalesce("leader", "key").alias("_lead"))
     named = f.select(F.col("key").alias("_lead"), content_id("mem-", F.lit(tenant), F.col("user_id"), normalized(F.col("content"))).alias("_new"))
     out = f.join(first.join(named, "_lead"), ["user_id", "content_hash"], "left")

@@ -186,7 +186,7 @@ def job_reclaim(spark, d):
 _COS = "round(list_cosine_similarity(m.embedding::double[], e.embedding::double[]), 6)"
 
 
-@query(f"""with recursive m as (select *, case when vec_id % 3 = 0 then '' else 'K' || label end as kind from embeddings where vec_id % 20 = 0), e as (select *, case when vec_id % 7 = 0 then null else ' k' || label end as kind from embeddings where vec_id % 20 <> 0 and vec_id <= 100),
+@query(f"""with recursive m as (select *, case when vec_id % 3 = 0 then '' else 'K' || label end as kind from embeddings where vec_id % 20 = 0), e as (select *, case when vec_id % 7 = 0 then null else ' k' || label end as kind from embeddings where vec_id % 20 <> 0),
 s as (select m.vec_id as key, e.vec_id as id, {_COS} as score from m, e where m.kind = '' or coalesce(e.kind, '') = '' or lower(trim(m.kind)) = lower(trim(e.kind))),
 b as (select key, id from (select *, row_number() over (partition by key order by score desc, id) as r from s where score >= 0.3) where r = 1),
 f as (select m.*, row_number() over (order by m.vec_id) as n from m left join b on key = m.vec_id where id is null),
@@ -202,7 +202,7 @@ def entity_resolution(spark, d):
     e = _t(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
     kind = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("K"), "label"))
     m = e.where("id % 20 = 0").select(F.col("id").alias("key"), F.concat(F.lit("m"), "id").alias("name"), kind.alias("kind"), "embedding")
-    have = e.where("id % 20 != 0 and id <= 100").select(
+    have = e.where("id % 20 != 0").select(
         "id", F.concat(F.lit("e"), "id").alias("name"),
         F.when(F.col("id") % 7 != 0, F.concat(F.lit(" k"), "label")).alias("kind"), "embedding",
     )

@@ -1,0 +1,36 @@
+"""Registered queries of the vector index and the cosine-threshold join, over all vectors; queries are those of id % 20 = 0."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import retrieval, similarity
+from .catalog import _vectors, query
+
+_COSINES = """s as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)"""
+
+
+@query(f"with {_COSINES} select query_id, id, score, cast(rank as integer) as rank from r where rank <= 10")
+def vector_search(spark, d):
+    """The index's exact search: cells that the bounds can't rule out are read in a second pass."""
+    e, q = _vectors(spark, d)
+    return similarity.search_index(spark, similarity.new_index(e), q, 10, exact=True)
+
+
+@query("select count(*) as queries, true as enough from embeddings where vec_id % 20 = 0")
+def vector_recall(spark, d):
+    """Whether the index's search by a fixed number of cells finds nine of ten rows that a full scan finds."""
+    e, q = _vectors(spark, d)
+    found = similarity.search_index(spark, similarity.new_index(e), q, 10)
+    got = similarity.index_recall(found, retrieval.dense_candidates(e, q, 10))
+    return got.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("""select a.vec_id as key, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
+from embeddings a join embeddings b on b.vec_id < a.vec_id and (a.label = b.label or a.label = 0 or b.label = 0) where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) >= 0.4""")
+def cosine_pairs(spark, d):
+    """All pairs of vectors at or above 0.4, of equal labels or one of label 0."""
+    e, _ = _vectors(spark, d)
+    side = lambda c: e.select(F.col("id").alias(c), F.when(F.col("label") != 0, F.col("label").cast("string")).otherwise("").alias("kind"), "embedding")
+    return similarity.cosine_join(side("key"), side("id"), 0.4).where("id < key")

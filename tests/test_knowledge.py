@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions import model, text, yaml
-from tamarack.operators import graph, memory, packs, rules, usage
+from tamarack.operators import graph, memory, packs, rules, similarity, usage
 from tamarack.sources import bundles, delivery, notes
 from tamarack.sources.store import SCHEMAS, Store, open_store
 
@@ -56,7 +56,7 @@ def test_facts_against_one_at_a_time(spark):
 
 def test_chains_of_near_rows(spark):
     near = spark.createDataFrame([(2, 1, 0.9), (3, 2, 0.9), (4, 3, 0.9), (4, 1, 0.8), (5, 3, 0.7)], "later int, earlier int, score double")
-    assert {r.later: r.leader for r in graph.leaders(near).collect()} == {2: 1, 4: 3, 5: 3}
+    assert {r.later: r.leader for r in similarity.leaders(near).collect()} == {2: 1, 4: 3, 5: 3}
 
 
 def test_resolution_and_room(spark):
