@@ -102,15 +102,19 @@ def hmac_sha256(key: str, message: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), inner), 256)
 
 
-def hmac_column(key: Column, message: Column) -> Column:
-    """As hmac_sha256(), under a key of each row's own."""
+def hmac_pads(key: Column) -> Column:
+    """A key's inner and outer pad (64 bytes each), to be computed once for each key and used by hmac_padded()."""
     raw = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key.cast("binary"))
     # Hex digits of the key, filled up to 64 bytes, each byte combined with the pad.
     padded = F.rpad(F.hex(raw), 128, "0")
     byte = lambda i: F.conv(F.substring(padded, 2 * i + 1, 2), 16, 10).cast("int")
     pad = lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(x))), 2, "0")), ""))
-    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
+    return F.struct(pad(0x36).alias("inner"), pad(0x5C).alias("outer"))
+
+
+def hmac_padded(pads: Column, message: Column) -> Column:
+    """As hmac_sha256(), by a key's pads."""
+    return F.sha2(F.concat(pads["outer"], F.unhex(F.sha2(F.concat(pads["inner"], message.cast("binary")), 256))), 256)
 
 
 def blind(key: str, token: Column) -> Column:

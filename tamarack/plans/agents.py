@@ -181,15 +181,15 @@ def correction_verify(spark, d):
     return found.select("conv_id", "turn", F.sha1(raw).alias("raw"))
 
 
-@query("select conv_id, turn, case when conv_id % 4 = 0 then role when conv_id % 4 = 1 then null end as category from conversations where conv_id % 4 < 3")
+@query("select conv_id, turn, case conv_id % 4 when 0 then role when 1 then null else 'c' end as category from conversations")
 def correction_classify(spark, d):
-    """A classification in a fence, a reply without any, a broken one left out."""
+    """A classification in a fence, a reply without any, a bare one."""
     from ..functions.text import first_json
 
     say = lambda system, prompts: [f'```json\n{{"category": "{p[1:]}"}}\n```' if p[0] == "0" else "no idea" if p[0] == "1" else '{"category": "c"}' for p in prompts]
-    asked = model.ask(_turn(spark, d).where("k < 3"), "classify", F.concat(F.col("k").cast("string"), "role"), say)
+    asked = model.ask(_turn(spark, d), "classify", F.concat(F.col("k").cast("string"), "role"), say)
     got = first_json(F.col("reply"), "category string")["category"]
-    return asked.select("conv_id", "turn", F.when(F.col("k") < 2, got).alias("category"))
+    return asked.select("conv_id", "turn", got.alias("category"))
 
 
 # Search.

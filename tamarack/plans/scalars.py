@@ -88,9 +88,9 @@ def personal_hints(spark, d):
     return rules.compile_corrections(c).select("id", (F.col("rule_type") == "hard").alias("personal"))
 
 
-@query(f"select doc_id as id, case when len({_ROOTS}) > 0 then sha1(array_to_string(list_sort(list_transform({_ROOTS}, lambda t: {_blind('t')})), ',')) end as hashes from documents where doc_id % 20 = 0")
+@query(f"select doc_id as id, case when len({_ROOTS}) > 0 then sha1(array_to_string(list_sort(list_transform({_ROOTS}, lambda t: {_blind('t')})), ',')) end as hashes from documents")
 def blind_terms(spark, d):
-    t = _t(spark, d, "documents").where("doc_id % 20 = 0")
+    t = _t(spark, d, "documents")
     hashes = retrieval.blind_roots(_KEY)(F.col("text"))
     return t.select(F.col("doc_id").alias("id"), F.when(F.size(hashes) > 0, F.sha1(F.array_join(F.array_sort(hashes), ","))).alias("hashes"))
 
@@ -191,12 +191,12 @@ _BUCKET = "(('0x' || substr(md5(t), 1, 4))::int % 16)"
 _TOKENS = f"list_transform(list_filter(regexp_extract_all(substr({_SCRUBBED}, 1, 8000), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2), lambda t: lower(trim(translate(t, 'İIı', 'iii'))))"
 
 
-@query(f"""with c as (select doc_id as id, unnest({_TOKENS}) as t from documents where doc_id % 20 = 0), b as (select id, {_BUCKET} as b, sum(case when substr(md5(t), 5, 1) < '8' then 1 else -1 end) as v from c group by 1, 2),
+@query(f"""with c as (select doc_id as id, unnest({_TOKENS}) as t from documents), b as (select id, {_BUCKET} as b, sum(case when substr(md5(t), 5, 1) < '8' then 1 else -1 end) as v from c group by 1, 2),
 v as (select id, unnest(range(0, 16)) as b from (select distinct id from c)), j as (select v.id, v.b, coalesce(b.v, 0) as v from v left join b using (id, b)),
 s as (select id, string_agg(v::varchar, ',' order by b) as v from j group by 1)
-select doc_id as id, s.v as embedding from documents left join s on id = doc_id where doc_id % 20 = 0""")
+select doc_id as id, s.v as embedding from documents left join s on id = doc_id""")
 def embed_texts(spark, d):
-    rows = model.embed(_t(spark, d, "documents").where("doc_id % 20 = 0"), "text")
+    rows = model.embed(_t(spark, d, "documents"), "text")
     return rows.select(
         F.col("doc_id").alias("id"),
         F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("embedding"),

@@ -327,9 +327,9 @@ def _jobs(spark, d):
     )
 
 
-@query("select status, count(*) as jobs, sum(attempts)::bigint as attempts from (select case when event_id % 3 = 0 then 'running' else 'queued' end as status, event_id % 6 as attempts from events union all select 'queued', 0 from orders where o_orderkey % 10 = 0) group by 1")
+@query("select status, count(*) as jobs, sum(attempts)::bigint as attempts from (select case when event_id % 3 = 0 then 'running' else 'queued' end as status, event_id % 6 as attempts from events union all select 'queued', 0 from orders) group by 1")
 def job_enqueue(spark, d):
-    new = _t(spark, d, "orders").where("o_orderkey % 10 = 0").select(
+    new = _t(spark, d, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.lit("t1").alias("tenant_id"), F.lit("memory").alias("kind"),
         F.lit("{}").alias("payload"),
     )
@@ -408,25 +408,25 @@ def webhook_verify(spark, d):
 
 
 def _hooks(spark, d):
-    s = _t(spark, d, "supplier").where("s_suppkey % 3 = 0")
+    s = _t(spark, d, "supplier").where("s_acctbal < 1000")
     events = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("ping"), F.lit("odd"), F.lit("rule.created"))).otherwise(F.array(F.lit("odd")))
     url = F.when(F.col("s_suppkey") % 9 == 0, "http://127.0.0.1/x").otherwise("https://x.org/in")
     return delivery.register(s.select(F.col("s_suppkey").alias("id"), url.alias("url"), events.alias("events"), F.lit("whsec").alias("secret")), _KEY)
 
 
-@query("select s_suppkey as id, case when s_suppkey % 2 = 0 then 'ping,rule.created' else '' end as events, true as sealed, true as active from supplier where s_suppkey % 3 = 0")
+@query("select s_suppkey as id, case when s_suppkey % 2 = 0 then 'ping,rule.created' else '' end as events, true as sealed, true as active from supplier where s_acctbal < 1000")
 def webhook_register(spark, d):
     return _hooks(spark, d).select("id", "events", F.col("secret").startswith(text.SEALED).alias("sealed"), "active")
 
 
 _BODY = """'{"event": "' || ev || '", "data": {"n":"' || user_id || '","k":"[REDACTED_SECRET]"}, "ts": ' || event_id || '}'"""
-_SENT = f"""e as (select event_id, user_id, case when event_type = 'click' then 'ping' else 'kg.updated' end as ev from events where event_type in ('click', 'error') and event_id % 10 = 0),
-h as (select s_suppkey as hook_id, s_suppkey % 9 <> 0 as allowed, s_suppkey % 2 = 0 as listed from supplier where s_suppkey % 3 = 0), x as (select *, {_BODY} as body from e, h where ev = 'ping' or not listed)"""
+_SENT = f"""e as (select event_id, user_id, case when event_type = 'click' then 'ping' else 'kg.updated' end as ev from events where event_type in ('click', 'error')),
+h as (select s_suppkey as hook_id, s_suppkey % 9 <> 0 as allowed, s_suppkey % 2 = 0 as listed from supplier where s_acctbal < 1000), x as (select *, {_BODY} as body from e, h where ev = 'ping' or not listed)"""
 
 
 def _sent(spark, d):
     h = _hooks(spark, d).withColumn("events", text.listed(F.col("events")))
-    e = _t(spark, d, "events").where("event_type in ('click', 'error') and event_id % 10 = 0")
+    e = _t(spark, d, "events").where("event_type in ('click', 'error')")
     data = F.concat(F.lit('{"n":"'), F.col("user_id"), F.lit('","k":"sk-ant-abcdefghijklmnopqrstuvwxyz"}'))
     e = e.select(
         "event_id", F.when(F.col("event_type") == "click", "ping").otherwise("kg.updated").alias("event"),
