@@ -2,11 +2,12 @@
 
 Ids are replaced by their rank by frequency over all documents, so that the commonest 256 take one byte and all others of
 a vocabulary of up to 65,536 take two. A group of four ranks has one control byte, two bits for each rank's number of
-bytes; control bytes and data bytes lie apart, so that a block is decoded by numpy table lookups without a loop over ids.
+bytes (a document's last group may have fewer ranks); control bytes and data bytes lie apart, so that a block is decoded by
+numpy table lookups without a loop over ids. Documents are coded before they are sorted, so the shuffle moves coded bytes.
 
 Files. `dictionary` holds the ids in order of rank. `blocks` holds files of blocks, each closed by a line feed (Spark's
 text writer writes the bytes as they are, through its own committer, to any file system that Spark reaches). A block is
-HEADER (magic, range, block in the range, documents, ids, data bytes; little-endian), the documents' ids (8 bytes each),
+HEADER (magic, range, block in the range, documents, control bytes, data bytes; little-endian), the documents' ids (8 bytes each),
 whether they are present (1 byte), their numbers of ids (8 bytes), the control bytes and the data bytes. Documents ascend
 by doc_id over ranges, blocks and rows in a block. A range is one task's; a block has about BLOCK_IDS ids, a file
 FILE_BLOCKS blocks.
@@ -49,11 +50,15 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return (four << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes(), data.tobytes()
 
 
-def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The n ranks of control and data bytes (uint8)."""
-    width = WIDTHS[control].reshape(-1)[:n]
+def decode_ranks(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ranks of documents of these lengths from their control and data bytes (uint8)."""
+    groups = -(-lengths.astype(np.int64) // 4)
+    if len(control) != groups.sum():
+        raise ValueError("token block: control bytes and lengths differ")
+    place = np.arange(4 * int(groups.sum())) - np.repeat(4 * (np.cumsum(groups) - groups), 4 * groups)
+    width = WIDTHS[control].reshape(-1)[place < np.repeat(lengths.astype(np.int64), 4 * groups)]
     start = np.cumsum(width, dtype=np.int64) - width
-    if n and int(start[-1]) + int(width[-1]) != len(data):
+    if int(width.sum(dtype=np.int64)) != len(data):
         raise ValueError("token block: data bytes and control bytes differ")
     ranks = data[start].astype(np.uint32)
     for k in range(1, 4):
@@ -62,12 +67,12 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return ranks
 
 
-def pack_block(part: int, block: int, docs: list[int | None], ids: list[np.ndarray], rank_of: np.ndarray) -> bytes:
-    control, data = encode_ranks(rank_of[np.concatenate(ids)])
-    lengths = np.array([len(x) for x in ids], "<u8")
-    keys = np.array([d or 0 for d in docs], "<i8")
-    present = np.array([d is not None for d in docs], np.uint8)
-    head = HEADER.pack(MAGIC, part, block, len(docs), int(lengths.sum()), len(data))
+def pack_block(part: int, block: int, docs: list[tuple[int | None, int, bytes, bytes]]) -> bytes:
+    """docs: doc_id, number of ids, control bytes, data bytes."""
+    keys, lengths = np.array([d[0] or 0 for d in docs], "<i8"), np.array([d[1] for d in docs], "<u8")
+    present = np.array([d[0] is not None for d in docs], np.uint8)
+    control, data = (b"".join(d[i] for d in docs) for i in (2, 3))
+    head = HEADER.pack(MAGIC, part, block, len(docs), len(control), len(data))
     return b"".join((head, keys.tobytes(), present.tobytes(), lengths.tobytes(), control, data))
 
 
@@ -77,13 +82,14 @@ def unpack_blocks(content: memoryview) -> Iterator[tuple[int, int, np.ndarray, n
     while at < len(content):
         if len(content) - at < HEADER.size:
             raise ValueError("token file: cut in a header")
-        magic, part, block, docs, n, size = HEADER.unpack_from(content, at)
+        magic, part, block, docs, groups, size = HEADER.unpack_from(content, at)
         at += HEADER.size
-        ends = np.cumsum([8 * docs, docs, 8 * docs, -(-n // 4), size]) + at
+        ends = np.cumsum([8 * docs, docs, 8 * docs, groups, size]) + at
         if magic != MAGIC or ends[-1] + 1 > len(content) or content[int(ends[-1])] != CLOSE[0]:
             raise ValueError("token file: no whole block where one should be")
         cut = lambda i, kind: np.frombuffer(content[(int(ends[i - 1]) if i else at) : int(ends[i])], kind)  # noqa: B023, E731
-        yield part, block, cut(0, "<i8"), cut(1, np.uint8), cut(2, "<u8"), decode_ranks(cut(3, np.uint8), cut(4, np.uint8), n)
+        lengths = cut(2, "<u8")
+        yield part, block, cut(0, "<i8"), cut(1, np.uint8), lengths, decode_ranks(cut(3, np.uint8), cut(4, np.uint8), lengths)
         at = int(ends[-1]) + 1
 
 
@@ -122,6 +128,21 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _coded(rank_of: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
+            codes = [encode_ranks(rank_of[x]) for x in ids]
+            columns = [pa.array([len(x) for x in ids], pa.int64()), *(pa.array([c[i] for c in codes], pa.binary()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *columns], names=["doc_id", "th", "n", "control", "data"])
+
+    return run
+
+
+def _one(value: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], names=["value"])
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS, file_blocks: int = FILE_BLOCKS) -> None:
     """docs: doc_id, text. Writes dictionary and blocks under `path`."""
     spark = docs.sparkSession
@@ -132,26 +153,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     raw = lambda df: df.select(F.col("value").cast("string").alias("value")).write.option("compression", "none")
     raw(spark.createDataFrame([(bytearray(order.tobytes()),)], "value binary").coalesce(1)).text(f"{path}/dictionary")
-    rows = tokens.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "ids")
+    coded = tokens.mapInArrow(_coded(rank_of), "doc_id long, th long, n long, control binary, data binary")
+    rows = coded.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").drop("th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, held = TaskContext.get().partitionId(), 0, 0
-        docs: list[int | None] = []
-        ids: list[np.ndarray] = []
-
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pack_block(part, block, docs, ids, rank_of)], pa.binary())], names=["value"])
-
+        docs: list[tuple] = []
         for b in batches:
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 docs.append(doc)
-                ids.append(np.frombuffer(x, "<u4"))
-                held += len(ids[-1])
+                held += doc[1]
                 if held >= block_ids or len(docs) >= block_ids:
-                    yield close()
-                    block, held, docs, ids = block + 1, 0, [], []
+                    yield _one(pack_block(part, block, docs))
+                    block, held, docs = block + 1, 0, []
         if docs:
-            yield close()
+            yield _one(pack_block(part, block, docs))
 
     out = raw(rows.mapInArrow(run, "value binary"))
     out.option("lineSep", CLOSE.decode()).option("maxRecordsPerFile", file_blocks).text(f"{path}/blocks")

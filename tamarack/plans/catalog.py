@@ -224,4 +224,4 @@ def prune_telemetry(spark, d):
     return _checks(spark, d).where("day < date '2024-01-10'").groupBy("rule_id").agg(F.count("*").alias("pruned"))
 
 
-from . import agents, extended, lookups, scalars, search, streams, tenant, vectors, writes  # noqa: E402, F401  (they register their queries)
+from . import agents, extended, indexes, lookups, scalars, search, streams, tenant, writes  # noqa: E402, F401  (they register their queries)

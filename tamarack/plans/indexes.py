@@ -1,11 +1,12 @@
-"""Registered queries of the vector index and the cosine-threshold join, over all vectors; queries are those of id % 20 = 0."""
+"""Registered queries of indexes (vectors, postings) and of joins by bounds. Search queries: vectors of id % 20 = 0, benchmark items."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, similarity
-from .catalog import _vectors, query
+from ..operators import postings, retrieval, similarity
+from ..sources.tables import new_path
+from .catalog import ORACLE_SQL, _t, _vectors, query
 
 _COSINES = """s as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)"""
@@ -34,3 +35,13 @@ def cosine_pairs(spark, d):
     e, _ = _vectors(spark, d)
     side = lambda c: e.select(F.col("id").alias(c), F.when(F.col("label") != 0, F.col("label").cast("string")).otherwise("").alias("kind"), "embedding")
     return similarity.cosine_join(side("key"), side("id"), 0.4).where("id < key")
+
+
+@query(ORACLE_SQL["bm25_search"])
+def postings_search(spark, d):
+    """As bm25_search, from an index that is written in two segments."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = new_path(spark, "postings")
+    postings.append(docs.where("id % 3 = 0"), path)
+    postings.append(docs.where("id % 3 != 0"), path)
+    return postings.search(spark, path, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
