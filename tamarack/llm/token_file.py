@@ -40,14 +40,18 @@ MAGIC, CLOSE = b"TKVB", b"\n"
 WIDTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes."""
+def encode_ranks(ranks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of these lengths, in a row: control bytes, where each document's end, data bytes, where each document's end."""
     wide = np.ascontiguousarray(ranks, "<u4")
     code = (wide >= 1 << 8).astype(np.uint8) + (wide >= 1 << 16) + (wide >= 1 << 24)
     data = wide.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    four = np.zeros((-(-len(wide) // 4), 4), np.uint8)
-    four.reshape(-1)[: len(wide)] = code
-    return (four << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes(), data.tobytes()
+    lengths = lengths.astype(np.int64)
+    groups, ends = np.cumsum(-(-lengths // 4)), np.cumsum(lengths)
+    four = np.zeros((int(groups[-1]) if len(groups) else 0, 4), np.uint8)
+    shift = 4 * np.concatenate([[0], groups[:-1]]) - (ends - lengths)  # a document's first rank begins a group
+    four.reshape(-1)[np.arange(len(wide)) + np.repeat(shift, lengths)] = code
+    sizes = np.concatenate([[0], np.cumsum(code + np.int64(1))])
+    return (four << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8), groups, data, sizes[ends]
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -128,13 +132,23 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _binary(body: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of the slices of body that end there."""
+    offsets = np.concatenate([[0], ends])
+    kind = pa.binary() if offsets[-1] < 1 << 31 else pa.large_binary()
+    offsets = offsets.astype(np.int32 if kind == pa.binary() else np.int64)
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(body.tobytes())]).cast(pa.binary())
+
+
 def _coded(rank_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
-            codes = [encode_ranks(rank_of[x]) for x in ids]
-            columns = [pa.array([len(x) for x in ids], pa.int64()), *(pa.array([c[i] for c in codes], pa.binary()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *columns], names=["doc_id", "th", "n", "control", "data"])
+        for batch in batches:
+            for b in slices(batch, "ids"):
+                values = b.column("ids").to_pylist()
+                lengths = np.array([len(x) // 4 for x in values], np.int64)
+                control, ends, data, sizes = encode_ranks(rank_of[np.frombuffer(b"".join(values), "<u4")], lengths)
+                columns = [pa.array(lengths), _binary(control, ends), _binary(data, sizes)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *columns], names=["doc_id", "th", "n", "control", "data"])
 
     return run
 
@@ -185,14 +199,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for content in b.column(0):
                 for part, block, keys, present, lengths, ranks in unpack_blocks(memoryview(content.as_buffer())):
                     ends = np.cumsum(lengths, dtype=np.int64)
-                    bounds = pa.array(np.concatenate([[0], 4 * ends]), pa.int32() if not len(ends) or 4 * ends[-1] < 1 << 31 else pa.int64())
-                    body = pa.py_buffer(id_of[ranks].astype("<u4").tobytes())
-                    kind = pa.binary() if bounds.type == pa.int32() else pa.large_binary()
-                    ids = pa.Array.from_buffers(kind, len(lengths), [None, bounds.buffers()[1], body])
+                    ids = _binary(id_of[ranks].astype("<u4"), 4 * ends)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(lengths), part), pa.int64()), pa.array(np.full(len(lengths), block), pa.int64()),
-                            pa.array(keys, pa.int64(), mask=present == 0), pa.array(ends - lengths.astype(np.int64), pa.int64()), ids.cast(pa.binary()),
+                            pa.array(keys, pa.int64(), mask=present == 0), pa.array(ends - lengths.astype(np.int64), pa.int64()), ids,
                         ],
                         names=["part", "block", "doc_id", "before", "ids"],
                     )

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id, decimal_text, fold
-from ..functions.vectors import cosine, norm
-from ..sources.tables import in_blocks, keep
+from ..sources.tables import keep
+from .containment import contained
 from .folds import in_order
 from .similarity import cosine_join, followers
 
@@ -182,12 +180,16 @@ def _words(text: Column) -> Column:
 
 
 def anchors(queries: DataFrame, entities: DataFrame, threshold: float = ANCHOR_COSINE) -> DataFrame:
-    """query_id, entity_id: entities that a query names, or whose vector is near its own. The queries are a stated set, met in blocks."""
-    q = queries.select("query_id", fold(F.col("text")).alias("_q"), "query_vec", norm(F.col("query_vec")).alias("_nq"))
-    e = entities.select(F.col("id").alias("entity_id"), fold(F.col("name")).alias("_n"), "embedding", norm(F.col("embedding")).alias("_ne"))
-    near = cosine(F.col("embedding"), F.col("query_vec"), F.col("_ne"), F.col("_nq")) >= threshold
-    named = (F.col("_n") != "") & F.contains("_q", "_n")
-    return reduce(DataFrame.union, [e.join(b, named | near).select("query_id", "entity_id") for b in in_blocks(q, "query_id")]).distinct()
+    """query_id, entity_id: entities that a query names, found by automata, or whose vector is near its own, by a cosine-threshold join."""
+    e = entities.select(F.col("id").alias("entity_id"), fold(F.col("name")).alias("name"), "embedding")
+    texts = queries.select(F.col("query_id").alias("id"), fold(F.col("text")).alias("text"))
+    named = contained(texts, e.select("name")).join(e.select("entity_id", "name"), "name").select(F.col("id").alias("query_id"), "entity_id")
+    blank = F.lit("").alias("kind")
+    near = cosine_join(
+        queries.select(F.col("query_id").alias("key"), blank, F.col("query_vec").alias("embedding")),
+        e.select(F.col("entity_id").alias("id"), blank, "embedding"), threshold, digits=None,
+    )
+    return named.unionByName(near.select(F.col("key").alias("query_id"), F.col("id").alias("entity_id"))).distinct()
 
 
 def search_edges(edges: DataFrame, entities: DataFrame, queries: DataFrame, k: int, candidates: int | None = EDGE_CANDIDATES) -> DataFrame:

@@ -150,9 +150,10 @@ def compared_packs(
 
 def cosine_join(
     left: DataFrame, right: DataFrame, threshold: float, by: list[str] | None = None, best: bool = False, cells: int | None = None,
+    digits: int | None = 6,
 ) -> DataFrame:
     """key, id, score of rows of left (key, kind, embedding) and right (id, kind, embedding) of equal `by` whose cosine, rounded to
-    six digits, is at or above the threshold (> 0). Kinds must be equal if neither is blank. With `best`, the most similar id
+    `digits` (None: as it is), is at or above the threshold (> 0). Kinds must be equal if neither is blank. With `best`, the most similar id
     of each key (ties: the smallest); equal vectors of the right are compared once.
 
     Rows meet in packs of about PACK_BYTES by one matrix product each, so no cell, however full, is one task."""
@@ -173,7 +174,7 @@ def cosine_join(
                 )
                 if x.shape[1] != y.shape[1]:
                     continue
-                score = np.round(x @ y.T, 6)
+                score = x @ y.T if digits is None else np.round(x @ y.T, digits)
                 fits = (score >= threshold) & ((kinds[:, None] == "") | (other[None] == "") | (kinds[:, None] == other[None]))
                 if best:
                     at = np.where(fits, score, -2.0).argmax(1)

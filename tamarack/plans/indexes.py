@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import postings, retrieval, similarity
+from ..operators import containment, graph, postings, retrieval, similarity
 from ..sources.tables import new_path
 from .catalog import ORACLE_SQL, _t, _vectors, query
 
@@ -45,3 +45,33 @@ def postings_search(spark, d):
     postings.append(docs.where("id % 3 = 0"), path)
     postings.append(docs.where("id % 3 != 0"), path)
     return postings.search(spark, path, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+_PAIR = "regexp_extract(text, '^([a-zA-Z]+) ([a-zA-Z]+)', {})"
+_FOLDED = "lower(trim(translate(coalesce({}, ''), 'İIı', 'iii')))"
+
+
+@query(f"""with e as (select item_id as entity_id, {_FOLDED.format(_PAIR.format(0))} as name from benchmark)
+select doc_id as query_id, entity_id from documents join e on name <> '' and contains({_FOLDED.format('text')}, name)""")
+def named_entities(spark, d):
+    """The entities (named by the first two words of benchmark items) that each document names."""
+    e = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.expr(_PAIR.format(0)).alias("name"), F.lit(None).cast("array<float>").alias("embedding"))
+    q = _t(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text", F.lit(None).cast("array<float>").alias("query_vec"))
+    return graph.anchors(q, e)
+
+
+@query(rf"""with r as (select item_id as rule_id, case when item_id % 3 = 0 then 'LOW' when item_id % 3 = 1 then 'high' else 'odd' end as severity, item_id % 5 = 0 as required,
+  {_PAIR.format(1)} || '\s+' || {_PAIR.format(2)} || case when item_id % 2 = 0 then '(s|es)?' else '' end as p from benchmark where {_PAIR.format(0)} <> ''),
+t as (select doc_id as id, substr(coalesce(text, ''), 1, 10000) as t from documents)
+select id, rule_id, case severity when 'LOW' then 'low' when 'odd' then 'critical' else severity end as severity, case when required then 'missing /' || p || '/' else regexp_extract(t, '(?i)' || p) end as evidence
+from t, r where regexp_matches(t, '(?i)' || p) <> required""")
+def rulebook_check(spark, d):
+    """Rules as a table: the first two words of each benchmark item, forbidden, or required for every fifth."""
+    n = F.col("item_id")
+    pattern = F.concat(F.expr(_PAIR.format(1)), F.lit(r"\s+"), F.expr(_PAIR.format(2)), F.when(n % 2 == 0, "(s|es)?").otherwise(""))
+    none = F.array().cast("array<string>")
+    r = _t(spark, d, "benchmark").where(F.expr(_PAIR.format(0)) != "").select(
+        n.alias("rule_id"), F.when(n % 3 == 0, "LOW").when(n % 3 == 1, "high").otherwise("odd").alias("severity"),
+        F.when(n % 5 != 0, F.array(pattern)).otherwise(none).alias("forbid"), F.when(n % 5 == 0, F.array(pattern)).otherwise(none).alias("require"),
+    )
+    return containment.check(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), r)
