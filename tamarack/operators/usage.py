@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hmac_sha256
-
+from ..sources.tables import keep, small
 from .folds import in_order
 
 #: Plan, operations, memories, price with tax, in rising order.
@@ -76,15 +76,67 @@ def storage(memories: DataFrame, tenants: DataFrame) -> DataFrame:
     )
 
 
-def consume(requests: DataFrame, limit: float | None) -> DataFrame:
-    """requests: tenant_id, period, seq, cost (null: free). Accepted while the accepted costs stay within the limit; others don't count."""
+#: Requests of a tenant and period up to which one task takes them in order.
+FOLD_ROWS = 100_000
+#: Costs that are multiples of this are summed without rounding, so in any order.
+EXACT_UNIT = 2.0**-20
+
+
+def consume(requests: DataFrame, limit: float | None, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """requests: tenant_id, period, seq, cost (null: free). Accepted while the accepted costs stay within the limit; others don't count.
+
+    Keys of up to `fold_rows` requests are folded in order, many keys a task. Larger ones without negative costs are decided by
+    prefix sums over sorted ranges (_in_rounds), spread over all tasks; only where a sum meets the limit so closely that its
+    rounding decides are they folded too."""
+    if limit is None:
+        return requests.withColumn("accepted", F.lit(True))
 
     def step(row, used):
         total = (used or 0.0) + (row["cost"] or 0.0)
-        ok = limit is None or total <= limit
+        ok = total <= limit
         return ok, total if ok else used
 
-    return in_order(requests, ["tenant_id", "period"], ["seq"], step)
+    name = F.to_json(F.struct("tenant_id", "period"))
+    cost = F.coalesce(F.col("cost").cast("double"), F.lit(0.0))
+    exact = F.bool_and(cost / EXACT_UNIT == F.floor(cost / EXACT_UNIT)) & (F.sum(cost) < 2.0**32)
+    slack = F.when(exact, 0.0).otherwise(F.count("*") * 2.0**-50 * (F.sum(cost) + limit))  # more than sums in another order can differ
+    hot = requests.groupBy(name.alias("_key")).agg(F.count("*").alias("_c"), F.min(cost).alias("_least"), F.sum(cost).alias("_sum"), slack.alias("_slack"))
+    hot = keep(hot.where((F.col("_c") > fold_rows) & (F.col("_least") >= 0) & (F.col("_sum") < 2.0**62)).select("_key", "_slack"), "hot-keys")
+    if not hot.limit(1).count():
+        return in_order(requests, ["tenant_id", "period"], ["seq"], step)
+    named = requests.withColumn("_key", name)
+    many, unsure = _in_rounds(named.join(small(hot), "_key", "left_semi").withColumn("_cost", cost), hot, float(limit))
+    few = named.join(small(hot.join(unsure, "_key", "left_anti")), "_key", "left_anti").drop("_key")
+    return in_order(few, ["tenant_id", "period"], ["seq"], step).unionByName(many.join(small(unsure), "_key", "left_anti").drop("_key", "_cost"))
+
+
+def _in_rounds(rows: DataFrame, keys: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """rows (_key, seq, _cost >= 0) with accepted, and keys for which a sum lies within _slack of the quota, so that only a fold in
+    order can tell. What is left of a quota never grows, so a cost above it is rejected for good. Of the others, those whose
+    running sum fits are accepted, up to the first that doesn't; that one is rejected in the next round, with all costs as
+    high. So there are at most as many rounds as costs, and running sums are taken range by range."""
+    ranged = rows.repartitionByRange("_key", "seq").sortWithinPartitions("_key", "seq")
+    open_ = keep(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "requests")
+    left, done, unsure = keys.withColumn("_left", F.lit(limit)), [], []
+    while True:
+        left = keep(left, "quota-left")
+        tried = open_.join(small(left), "_key")
+        able = tried.where("_cost <= _left")
+        sums = able.groupBy("_key", "_part").agg(F.sum("_cost").alias("_s"))
+        before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        base = keep(sums.select("_key", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_base")), "quota-ranges")
+        inner = F.sum("_cost").over(Window.partitionBy("_key", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+        said = keep(able.join(small(base), ["_key", "_part"]).withColumn("_total", F.col("_base") + inner).drop("_base"), "quota-said")
+        near = lambda c: (F.col("_slack") > 0) & (F.abs(F.col(c) - F.col("_left")) <= F.col("_slack"))
+        unsure += [said.where(near("_total")).select("_key"), tried.where(near("_cost")).select("_key")]
+        fits, more = said.where("_total <= _left"), said.where("_total > _left")
+        mark = lambda df, ok: df.select(*rows.columns, F.lit(ok).alias("accepted"))
+        done += [mark(tried.where("not (_cost <= _left)"), False), mark(fits, True)]
+        open_ = keep(more.select(*rows.columns, "_at", "_part"), "requests")
+        if not open_.limit(1).count():
+            return reduce(DataFrame.unionByName, done), keep(reduce(DataFrame.union, unsure).distinct(), "quota-unsure")
+        spent = fits.groupBy("_key").agg(F.sum("_cost").alias("_spent"))
+        left = left.join(spent, "_key", "left").select("_key", "_slack", (F.col("_left") - F.coalesce("_spent", F.lit(0.0))).alias("_left"))
 
 
 def rate_limited(requests: DataFrame, most: int = 120, seconds: float = 60.0) -> DataFrame:

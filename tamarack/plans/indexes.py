@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import containment, graph, postings, retrieval, similarity
+from ..operators import containment, graph, intervals, memory, postings, retrieval, similarity, usage
+from ..sources import keyed
 from ..sources.tables import new_path
 from .catalog import ORACLE_SQL, _t, _vectors, query
+from .extended import _seconds
 
 _COSINES = """s as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)"""
@@ -75,3 +77,52 @@ def rulebook_check(spark, d):
         F.when(n % 5 != 0, F.array(pattern)).otherwise(none).alias("forbid"), F.when(n % 5 == 0, F.array(pattern)).otherwise(none).alias("require"),
     )
     return containment.check(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), r)
+
+
+@query("""with f as (select user_id as subject, event_type as object, epoch_us(ts) / 1e6 as at_, event_id from events),
+g as (select *, lag(object) over (partition by subject order by at_, event_id) as b from f),
+e as (select subject, object, at_ as valid_at, lead(at_) over (partition by subject order by at_, event_id) as invalid_at from g where b is null or b <> object)
+select event_id, count(*) as others from f join e using (object) where e.valid_at <= f.at_ and (e.invalid_at is null or e.invalid_at > f.at_) group by 1""")
+def edges_at_times(spark, d):
+    """For each event, the users whose last action was the same at its time: all events' times against all edges."""
+    facts = _t(spark, d, "events").select(
+        F.col("user_id").alias("subject"), F.lit("last_action").alias("predicate"), F.col("event_type").alias("object"), _seconds().alias("valid_at"), "event_id",
+    )
+    edges = memory.supersede(facts, [F.col("valid_at"), F.col("event_id")]).select("object", "valid_at", "invalid_at")
+    points = facts.select("event_id", "object", F.col("valid_at").alias("at"))
+    return intervals.points_in_intervals(points, edges, ["object"]).groupBy("event_id").agg(F.count("*").alias("others"))
+
+
+@query("""select doc_id as id, case when l.doc_id is not null then 'labelled' else d.source end as source, case when l.doc_id is not null then coalesce(n_chars, 0) + l.q else n_chars end as n_chars
+from documents d left join (select doc_id, max(quality) as q from labels group by 1) l using (doc_id) union all select 1000000 + item_id, 'new', null from benchmark""".replace("case when l.doc_id is not null then", "case when l.q is not null then"))
+def keyed_upsert(spark, d):
+    """Documents as a keyed table; labelled ones are changed and benchmark items added by one upsert, the rest is left as it lies."""
+    path = new_path(spark, "keyed")
+    keyed.write_keyed(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars"), path, ["id"])
+    quality = _t(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("long").alias("n"))
+    added = _t(spark, d, "benchmark").select((F.lit(1_000_000) + F.col("item_id")).alias("id"), F.lit(None).cast("long").alias("n"))
+
+    def merge(old, new):
+        both = old.join(new.withColumn("_new", F.lit(True)), "id", "full")
+        source = F.when(F.col("_new") & F.col("n").isNull(), "new").when(F.col("_new"), "labelled").otherwise(F.col("source"))
+        return both.select("id", source.alias("source"), F.when(F.col("n").isNotNull(), F.coalesce("n_chars", F.lit(0)) + F.col("n")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+    known = quality.join(_t(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi").where("n is not null")
+    keyed.upsert_keyed(known.unionByName(added), path, ["id"], merge)
+    return keyed.read_keyed(spark, path)
+
+
+@query("""with recursive o as (select event_id as seq, case when event_type = 'purchase' then 5 when event_type = 'view' then 0.5 else 1 end::double as cost, row_number() over (order by event_id) as n from events),
+lim as (select floor(sum(cost) / 2)::double as lim from o),
+r as (select o.*, cost <= lim as accepted, case when cost <= lim then cost else 0 end as used, lim from o, lim where n = 1
+union all select o.*, r.used + o.cost <= lim, case when r.used + o.cost <= lim then r.used + o.cost else r.used end, lim from r join o on o.n = r.n + 1)
+select seq, cost, accepted from r""")
+def quota_hot_tenant(spark, d):
+    """One tenant that holds all rows, decided by prefix sums over ranges."""
+    kind = F.col("event_type")
+    e = _t(spark, d, "events").select(
+        F.lit("t").alias("tenant_id"), F.lit("p").alias("period"), F.col("event_id").alias("seq"),
+        F.when(kind == "purchase", 5.0).when(kind == "view", 0.5).otherwise(1.0).alias("cost"),
+    )
+    limit = e.agg(F.floor(F.sum("cost") / 2)).first()[0]
+    return usage.consume(e, float(limit), fold_rows=0).select("seq", "cost", "accepted")
