@@ -14,7 +14,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the smallest label among a node's neighbours and then its label's label, so the rounds grow with
     the logarithm of a component's diameter. Every round is written out: no lineage to recompute.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
+    # Written before it is read in both directions: a caller's edges may differ from one evaluation to the next.
+    once = materialize(edges.select("a", "b").where("a != b"), "edges")
+    both = materialize(once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    remove(once)
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

@@ -374,7 +374,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     remove(joined, kin, place, posts, alive)
 
     met = sets.select("node", "tokens").join(small(called), "node").select("l", "r", "side", "node", "tokens")
-    links = met.repartition("l", "r").sortWithinPartitions("l", "r", "side").mapInArrow(_meet(pct), "a binary, b binary")
+    links = met.repartition("l", "r").sortWithinPartitions("l", "r", "side", "node").mapInArrow(_meet(pct), "a binary, b binary")
     label = components(links.union(star))
     least = sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left")
     least = materialize(least.select("node", "rep", F.coalesce("label", "node").alias("label")), "jaccard-labels")
