@@ -200,11 +200,16 @@ def test_variable_length_coding():
     from tamarack.llm.token_file import decode_ranks, encode_ranks, pack_block, unpack_blocks
 
     rng = np.random.default_rng(2)
-    for n in (0, 1, 3, 4, 5, 1000):
-        ranks = (2 ** rng.uniform(0, 32, n)).astype(np.uint32)
-        control, data = (np.frombuffer(x, np.uint8) for x in encode_ranks(ranks))
-        assert len(control) == -(-n // 4) and (decode_ranks(control, data, n) == ranks).all()
-    block = pack_block(3, 1, [None, 5], [np.array([1, 300], np.uint32), np.array([], np.uint32)], np.arange(400, dtype=np.uint32)) + b"\n"
+    for sizes in ([0], [1], [4], [5, 0, 1000, 3, 8, 1]):
+        docs = [(2 ** rng.uniform(0, 32, n)).astype(np.uint32) for n in sizes]
+        control, ends, data, stops = encode_ranks(np.concatenate(docs), np.array(sizes))
+        assert np.diff(ends, prepend=0).tolist() == [-(-n // 4) for n in sizes] and stops[-1] == len(data)
+        assert (decode_ranks(control, data, np.array(sizes)) == np.concatenate(docs)).all()
+        for k in range(len(sizes)):
+            own = decode_ranks(np.split(control, ends)[k], np.split(data, stops)[k], np.array(sizes[k : k + 1]))
+            assert (own == docs[k]).all()
+    control, _, data, _ = encode_ranks(np.array([1, 300], np.uint32), np.array([2]))
+    block = pack_block(3, 1, [(None, 2, control.tobytes(), data.tobytes()), (5, 0, b"", b"")]) + b"\n"
     ((part, number, keys, present, lengths, ranks),) = unpack_blocks(memoryview(block))
     assert (part, number, keys[1], present.tolist(), lengths.tolist(), ranks.tolist()) == (3, 1, 5, [0, 1], [2, 0], [1, 300])
     for bad in (block[:-1], block[:20], b"X" + block[1:], block + b"rest"):
