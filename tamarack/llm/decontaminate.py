@@ -8,8 +8,8 @@ the share `threshold` of the item's distinct shingles.
    contains an item holds at least the signature's size less the item's own allowance of misses, however long the
    document is: that is the class's threshold, and no miss is possible.
 2. Documents are scanned once, and only signature values are looked for: by a bit table of them, a constant that grows
-   with the benchmark up to BIT_WORDS longs. A benchmark that would fill a table of that size is met by a hash join
-   with all shingle hashes of the documents instead.
+   with the benchmark up to BIT_WORDS longs. The signature values of a larger benchmark are broadcast in blocks of
+   BROADCAST_ROWS instead, each of which meets all documents' shingle hashes where they are; hits alone are shuffled.
 3. Search: hits are counted per document and item, and pairs below the class's threshold go.
 4. Verification: the candidates' texts alone are read again; their shingles are compared as strings with the items', and
    the exact containment decides.
@@ -21,9 +21,12 @@ one set; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import BROADCAST_ROWS, in_blocks
 from .common import materialize, remove, small, table
 
 K, THRESHOLD = 5, 0.8
@@ -86,11 +89,13 @@ def _bit_table(hashes: DataFrame, most: int) -> tuple[Column, int] | None:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>"), words
 
 
-def _signature_hits(docs: DataFrame, signatures: DataFrame, key: str, k: int, kind: str, most: int) -> DataFrame:
+def _signature_hits(docs: DataFrame, signatures: DataFrame, key: str, k: int, kind: str, most: int, block: int) -> DataFrame:
     """key, h: hashes of a document's shingles that may be signature values."""
     d, found = _with_hashes(docs, key, k, kind), _bit_table(signatures.select("h").distinct(), most)
-    if not found:
-        return d.select(key, F.explode_outer(F.array_distinct("hashes")).alias("h")).where("h is not null")
+    if not found:  # each block of signature values is broadcast to the documents: only hits are shuffled
+        each = d.select(key, F.explode_outer(F.array_distinct("hashes")).alias("h")).where("h is not null")
+        blocks = in_blocks(signatures.select("h").distinct(), "h", block)
+        return materialize(reduce(DataFrame.union, [each.join(b, "h", "left_semi").select(key, "h") for b in blocks]), "leak-hits")
     bits, words = found
     is_set = lambda h: F.getbit(F.get(bits, F.shiftright(h, 6).bitwiseAND(words - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
     hit = F.array_distinct(F.filter("hashes", is_set))
@@ -99,12 +104,12 @@ def _signature_hits(docs: DataFrame, signatures: DataFrame, key: str, k: int, ki
 
 def contained_items(
     docs: DataFrame, items: DataFrame, k: int = K, threshold: float = THRESHOLD, key: str = "doc_id",
-    kind: str = "long", bit_words: int = BIT_WORDS,
+    kind: str = "long", bit_words: int = BIT_WORDS, block: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per document and item that it contains: `key`, item_id, matched, item_shingles, containment. `key` (of type `kind`) tells documents apart."""
     shingles = materialize(item_shingles(items, k, threshold), "leak-items")
     signatures = shingles.where("signature").select("h", "item_id", "at_least").distinct()
-    hits = _signature_hits(docs, signatures, key, k, kind, bit_words)
+    hits = _signature_hits(docs, signatures, key, k, kind, bit_words, block)
     # Items whose shingles share a hash count it once on either side, so such an item asks for one hit less.
     wanted = shingles.where("signature").groupBy("item_id").agg(
         F.min("at_least").alias("least"), (F.count("*") - F.count_distinct("h")).alias("twins"),

@@ -361,7 +361,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     spark = docs.sparkSession
     d = documents(docs).withColumn("th", F.xxhash64("text"))
     filt, load = _frequencies(d, k)
-    both = materialize(_signatures(d, k, pct, spark.sparkContext.broadcast(filt), load), "jaccard-prefixes")
+    filt = spark.sparkContext.broadcast(filt)
+    both = materialize(_signatures(d, k, pct, filt, load), "jaccard-prefixes")
+    filt.unpersist()
     sigs = materialize(both.drop("prefix"), "jaccard-signatures")
     posts = _postings(both, pct)
     family = F.max(F.struct("df", "token")).getField("token")

@@ -11,15 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices, tune
 from .textkit import mix
 
 BLOCK = 1 << 16
 MAX_WIDTH = 1 << 25
+#: Tasks' blocks are summed in so many lanes first.
+LANES = 64
+_BLOCK_COLUMNS = ["block", "lane", "sparse", "data"]
+_BLOCK_SCHEMA = "block long, lane int, sparse boolean, data binary"
 _SALTS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
 
@@ -51,7 +56,7 @@ def build(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], width:
     tune(df.sparkSession)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((depth, width), np.uint8)
+        dense, lane = np.zeros((depth, width), np.uint8), TaskContext.get().partitionId() % LANES
         held, n = [], 0
 
         def flush() -> None:
@@ -79,26 +84,42 @@ def build(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], width:
                     data = used.astype(np.uint16).tobytes() + block[used].tobytes() if sparse else block.tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([r * (width // BLOCK) + b // BLOCK], pa.int64()), pa.array([sparse]),
-                            pa.array([data], pa.binary()),
+                            pa.array([r * (width // BLOCK) + b // BLOCK], pa.int64()), pa.array([lane], pa.int32()),
+                            pa.array([sparse]), pa.array([data], pa.binary()),
                         ],
-                        names=["block", "sparse", "data"],
+                        names=_BLOCK_COLUMNS,
                     )
 
-    def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BLOCK, np.int64)
-        for part in parts:
-            for sparse, data in zip(part["sparse"], part["data"], strict=True):
-                if sparse:
-                    n = len(data) // 3
-                    total[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, np.uint8, n, 2 * n)
-                else:
-                    total += np.frombuffer(data, np.uint8)
-        yield pd.DataFrame({"block": [key[0]], "data": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
-
-    blocks = df.mapInArrow(one, "block long, sparse boolean, data binary")
-    merged = blocks.groupBy("block").applyInPandas(lambda key, pdf: next(merge(key, iter([pdf]))), "block long, data binary")
+    def merged(blocks: DataFrame, *keys: str) -> DataFrame:
+        """One dense block for each of the keys, summed as its parts stream by: a task holds one block and one Arrow batch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, total = None, np.zeros(BLOCK, np.int64)
+
+            def done() -> pa.RecordBatch:
+                data = pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array(key[:1], pa.int64()), pa.array(key[1:], pa.int32()), pa.array([False]), data], names=_BLOCK_COLUMNS)
+
+            for batch in batches:
+                for block, lane, sparse, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if key != (block, lane):
+                        if key:
+                            yield done()
+                        key, total = (block, lane), np.zeros(BLOCK, np.int64)
+                    if sparse:
+                        n = len(data) // 3
+                        total[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, np.uint8, n, 2 * n)
+                    else:
+                        total += np.frombuffer(data, np.uint8)
+            if key:
+                yield done()
+
+        return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _BLOCK_SCHEMA)
+
+    # First the blocks of every LANES-th task, then these sums: no task reads the blocks of all tasks.
+    first = merged(df.mapInArrow(one, _BLOCK_SCHEMA), "block", "lane")
+    last = merged(first.withColumn("lane", F.lit(0).cast("int")), "block")
     rows = np.zeros(depth * width, np.uint8)
-    for r in merged.toLocalIterator():
+    for r in last.toLocalIterator():
         rows[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.data, np.uint8)
     return Sketch(rows.reshape(depth, width))

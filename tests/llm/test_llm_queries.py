@@ -253,7 +253,7 @@ def test_containment(spark):
     df = spark.createDataFrame([(*r, "c") for r in docs], "doc_id long, text string, words string").repartition(3)
     it = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, n int")
     for most in (1 << 18, 0):
-        got = {(r.doc_id, r.item_id, r.matched, r.item_shingles) for r in contained_items(df, it, bit_words=most).collect()}
+        got = {(r.doc_id, r.item_id, r.matched, r.item_shingles) for r in contained_items(df, it, bit_words=most, block=50).collect()}
         assert got == want and len(want) > 60
 
 
