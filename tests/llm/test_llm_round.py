@@ -289,3 +289,25 @@ def test_packed_pieces(spark):
         for k, r in enumerate(ROWS):
             ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
             assert b"".join(b for _, b in sorted(doc[k])) == ids.tobytes()
+
+
+def test_components_of_edges_that_differ_between_evaluations(spark):
+    """A task's spanning forest may be another one each time that it is computed; no node may lose its links by that."""
+    from pyspark.sql import functions as F
+
+    from tamarack.llm.graph import components
+
+    def forest(frames):
+        import random
+
+        import pandas as pd
+
+        for pdf in frames:
+            for i in pdf["id"]:
+                nodes = [f"{i}-{k}".encode() for k in range(6)]
+                random.SystemRandom().shuffle(nodes)
+                yield pd.DataFrame({"a": nodes[:-1], "b": nodes[1:]})
+
+    edges = spark.range(40).mapInPandas(forest, "a binary, b binary")
+    got = components(edges).select(F.col("node").cast("string").alias("n"), F.col("label").cast("string").alias("l")).collect()
+    assert {r.n: r.l for r in got} == {f"{i}-{k}": f"{i}-0" for i in range(40) for k in range(6)}
