@@ -46,6 +46,11 @@ def scan(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, text. Each user turn with the latest assistant text before it, its signals and score."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     t = turns.withColumn("previous", F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(before))
-    t = t.where("role = 'user'").withColumn("signals", signals(F.coalesce("text", F.lit(""))))
+    return scored(t.where("role = 'user'").select("conv_id", "turn", "text", "previous"))
+
+
+def scored(said: DataFrame) -> DataFrame:
+    """said: conv_id, turn, text and previous of user turns, with signals and score."""
+    t = said.withColumn("signals", signals(F.coalesce("text", F.lit(""))))
     score = F.least(F.lit(1.0), 0.5 * F.size("signals"))
     return t.select("conv_id", "turn", "text", "previous", "signals", score.alias("score"), (score >= THRESHOLD).alias("correction"))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import new_path
-from ..streaming import state
-from .catalog import _t, query
+from ..streaming import state, timed
+from .catalog import ORACLE_SQL, _t, query
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
     folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-    stream = spark.readStream.schema(_t(spark, d, "events").schema)
-    e = stream.parquet(f"{d}/events.parquet") if folder else stream.option("pathGlobFilter", "events.parquet").parquet(d)
-    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(_t(spark, d, name).schema)
+    return stream.parquet(f"{d}/{name}.parquet") if folder else stream.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _drained(stream: DataFrame) -> DataFrame:
@@ -59,6 +64,36 @@ def stream_rate_limit(spark, d):
     return _drained(state.rate_limit_stream(e, 2, 5000.0)).select("tenant_id", "seq", "accepted")
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """Streams that are run inside keep their state in RocksDB; the session's own provider comes back after them."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name)
+    timed.use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+@query(ORACLE_SQL["stream_rate_limit"])
+def stream_rate_limit_timed(spark, d):
+    """As stream_rate_limit, with a state that ends by an event-time timer."""
+    e = _events(spark, d).select(F.col("user_id").alias("tenant_id"), (F.col("event_id") * 10.0 + 1e6).alias("at"), F.col("event_id").alias("seq"))
+    with _rocksdb(spark):
+        return _drained(timed.rate_limit_stream(e, 2, 5000.0)).select("tenant_id", "seq", "accepted")
+
+
+@query(f"""with s as ({ORACLE_SQL["transcript_scan"]}), c as (select conv_id, max(conv_id * 60 + turn) as newest from conversations group by 1)
+select conv_id, turn, previous, score, correction from s join c using (conv_id) where newest + 600 <= (select max(newest) from c) - 600""")
+def stream_transcripts(spark, d):
+    """As transcript_scan, for the conversations that the watermark has passed; turns come at conv_id minutes and turn seconds."""
+    t = _stream(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(1_000_000 + F.col("conv_id") * 60 + F.col("turn")))
+    with _rocksdb(spark):
+        out = _drained(timed.scan_stream(t))
+    return out.select("conv_id", "turn", F.sha1(F.coalesce("previous", F.lit(""))).alias("previous"), "score", "correction")
+
+
 @query("""select case when event_type = 'click' then 'done' when event_id % 6 + 1 < 5 then 'queued' else 'error' end as status, count(*) as jobs, count(*) filter (event_type = 'click') as metered from events where event_id % 3 = 0 group by 1""")
 def stream_worker(spark, d):
     """Queued jobs taken to their handlers batch by batch; clicks end and are metered, other kinds fail."""
