@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import model
@@ -126,10 +127,21 @@ def label_batches(spark, d):
     return model.label_texts(docs, "t", ["en", " de", ""], _labeller).select("id", "label")
 
 
-@query("select * from (values ('Alpha', 'alpha'), ('Beta Two', 'b-2'), ('gamma', 'gamma')) t(label, slug)")
+@query("""select lang, source as label, case when row_number() over (partition by lang order by source) % 2 = 1 then 'a-' || source else source end as slug
+from (select distinct lang, source from documents where lang is not null and source is not null)""")
 def taxonomy_proposal(spark, d):
-    reply = 'Here: [{"slug": "", "label": "Alpha"}, {"slug": "B 2", "label": " Beta Two "}, {"label": "ALPHA"}, {"slug": "x"}, "y", {"label": "gamma"}]'
-    return spark.createDataFrame([(x["label"], x["slug"]) for x in model.proposed_labels(reply)], "label string, slug string")
+    """A reply for each language that proposes its sources: every second one without a slug, all of them twice in other case."""
+    own = _t(spark, d, "documents").where("lang is not null and source is not null").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("s"))
+    item = lambda x, i: F.struct(F.when(i % 2 == 0, F.concat(F.lit("A "), x)).otherwise("").alias("slug"), F.concat(F.lit(" "), x).alias("label"))
+    again = lambda x, i: F.struct(F.lit("").alias("slug"), F.upper(x).alias("label"))
+    reply = F.concat(F.lit("Here: "), F.to_json(F.concat(F.transform("s", item), F.transform("s", again))), F.lit("."))
+
+    def parse(frames):
+        for pdf in frames:
+            rows = [(lang, x["label"], x["slug"]) for lang, r in zip(pdf["lang"], pdf["reply"], strict=True) for x in model.proposed_labels(r)]
+            yield pd.DataFrame(rows, columns=["lang", "label", "slug"])
+
+    return own.select("lang", reply.alias("reply")).mapInPandas(parse, "lang string, label string, slug string")
 
 
 _ROUTED = "r as (select doc_id as id, case when doc_id in (1, 2) then case when lang in ('en', 'fr', 'de') then lang end when lang in ('en', 'fr', 'de') then lang end as label from documents where doc_id % 7 <> 0 and regexp_matches(text, '\\S'))"

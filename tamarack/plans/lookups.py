@@ -181,10 +181,14 @@ def usage_meter(spark, d):
     )
 
 
-@query("""with p(plan, price, o, m) as (values ('free', 0, 2000, 1000), ('solo', 349, 25000, 60000), ('starter', 990, 90000, 225000), ('growth', 3990, 300000, 900000), ('pro', 12990, 800000, 2400000))
-select plan, round(case when price > 0 then (price / 1.2::double - (price * 0.0399::double + 0.25::double)) / (o * 0.000012::double + m * 0.0000105::double) end, 1) as breakeven from p union all select 'enterprise', null""")
+@query("""with p(plan, price, o, m) as (values ('free', 0, 2000, 1000), ('solo', 349, 25000, 60000), ('starter', 990, 90000, 225000), ('growth', 3990, 300000, 900000), ('pro', 12990, 800000, 2400000)),
+t as (select distinct user_id as tenant_id, ['free', 'solo', 'starter', 'growth', 'pro', 'enterprise'][user_id % 6 + 1] as plan from events)
+select tenant_id, plan, round(case when price > 0 then (price / 1.2::double - (price * 0.0399::double + 0.25::double)) / (o * 0.000012::double + m * 0.0000105::double) end, 1) as breakeven from t left join p using (plan)""")
 def plan_breakeven(spark, d):
-    return usage.breakeven(usage.plans(spark)).select("plan", "breakeven")
+    """Of the plan of each tenant."""
+    names = F.array(*[F.lit(p[0]) for p in usage.PLANS])
+    t = _t(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.get(names, (F.col("user_id") % 6).cast("int")).alias("plan")).distinct()
+    return usage.breakeven(t.join(usage.plans(spark), "plan", "left")).select("tenant_id", "plan", "breakeven")
 
 
 @query("with u as (select source as tenant_id, count(*) as used from documents group by 1) select tenant_id, 'free' as plan, used, cast(1000 as bigint) as \"limit\", used < 1000 as allowed from u")

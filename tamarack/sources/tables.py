@@ -31,12 +31,13 @@ def spread(df: DataFrame, path: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as set in spark.checkpoint.dir; a temporary one only where it is unset in local mode."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tamarack-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tamarack-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -45,10 +46,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, and safe from lost executors."""
-    path = new_path(df.sparkSession, name)
+    """Write df to the shared folder and read it back: computed once, and safe from lost executors. The table goes when the driver
+    ends, or by drop_kept()."""
+    spark = df.sparkSession
+    path = new_path(spark, f"kept-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Delete all tables that keep() wrote to the shared folder, for sessions that run many queries and have used their results;
+    how many there were. Frames that read them can't be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "tamarack-kept-*")) or []
+    for status in found:
+        fs.delete(status.getPath(), True)
+    return len(found)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -156,3 +156,11 @@ def test_large_quotas(spark, limit, costs):
     want = {key(r): r.accepted for r in usage.consume(df, limit, fold_rows=10**9).collect()}
     assert {key(r): r.accepted for r in usage.consume(df, limit, fold_rows=100).collect()} == want
     assert len(set(want.values())) == 2
+
+
+def test_kept_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    from tamarack.sources import tables
+
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert tables.keep(spark.range(5), "x").count() == 5 == tables.keep(spark.range(5), "x").count()
+    assert tables.drop_kept(spark) == 2 and tables.drop_kept(spark) == 0
