@@ -208,7 +208,7 @@ def search_edges(edges: DataFrame, entities: DataFrame, queries: DataFrame, k: i
     for end in ("subject_id", "object_id"):
         c = c.join(a.select("query_id", F.col("entity_id").alias(end), F.col("_hit").alias(f"_a_{end}")), ["query_id", end], "left")
     graph = F.coalesce("_a_subject_id", "_a_object_id", F.lit(False))
-    fused = reciprocal_rank(c.withColumn("anchored", graph), "query_id", "id", {"dense": 1.0, "sparse": 1.0})
+    fused = reciprocal_rank(c.withColumn("anchored", graph), "query_id", "id", {"dense": 1.0, "sparse": 1.0}, spread=candidates is None)
     scored = fused.withColumn("score", F.round(F.col("rrf") + F.when(F.col("anchored"), ANCHOR_BOOST).otherwise(0.0), 9))
     return top_k(scored, "query_id", "score", "id", k).select(
         "query_id", "id", "subject_id", "object_id", "dense", "sparse", "anchored", "score", "rank",

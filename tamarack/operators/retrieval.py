@@ -62,16 +62,34 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     return top_k(scored, "query_id", "score", "id", k)
 
 
-def reciprocal_rank(items: DataFrame, partition: str, tie: str, signals: dict[str, float]) -> DataFrame:
-    """Adds rrf: the sum of weight / (60 + rank) over signals that are positive."""
+def reciprocal_rank(items: DataFrame, partition: str, tie: str, signals: dict[str, float], spread: bool = False) -> DataFrame:
+    """Adds rrf: the sum of weight / (60 + rank) over signals that are positive. With `spread`, for partitions of any size, ranks
+    are places within sorted ranges, so that no partition is one task; (partition, tie) must then tell rows apart."""
+    if spread:
+        items = keep(items, "rank-items")
     total: Column = F.lit(0.0)
     for name, weight in signals.items():
-        w = Window.partitionBy(partition, F.col(name) > 0).orderBy(F.desc(name), F.asc(tie))
-        items = items.withColumn(f"_r_{name}", F.row_number().over(w))
+        if spread:
+            items = items.join(_places(items, partition, name, tie), [partition, tie], "left")
+        else:
+            w = Window.partitionBy(partition, F.col(name) > 0).orderBy(F.desc(name), F.asc(tie))
+            items = items.withColumn(f"_r_{name}", F.row_number().over(w))
         total = total + F.when(F.col(name) > 0, F.lit(weight) / (RRF_K + F.col(f"_r_{name}"))).otherwise(F.lit(0.0))
     return items.withColumn("rrf", F.round(total, 9)).drop(*[f"_r_{n}" for n in signals])
 
 
+def _places(items: DataFrame, partition: str, signal: str, tie: str) -> DataFrame:
+    """partition, tie and the rank of each row of a positive signal: its place in its sorted range, after the ranges before."""
+    order = [F.col(partition), F.desc(signal), F.col(tie)]
+    rows = items.where(F.col(signal) > 0).select(partition, tie, signal)
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = keep(rows.withColumn("_part", F.shiftright("_at", 33)), "rank-order")
+    held = rows.groupBy(partition, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = small(keep(held.select(partition, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift")), "rank-ranges"))
+    return rows.join(base, [partition, "_part"]).select(partition, tie, (F.col("_at") + F.col("_shift")).alias(f"_r_{signal}"))
+
+
 def within_budget(items: DataFrame, partition: str, order: list[Column], cost: str, budget: int) -> DataFrame:
     """The greedy prefix whose running cost stays within the budget, at least one item each."""
     w = Window.partitionBy(partition).orderBy(*order)
@@ -167,7 +185,9 @@ def recall(memories: DataFrame, queries: DataFrame, k: int, now: float, candidat
     items = near.join(sparse, ["query_id", "id"]).join(
         own.select("id", F.exp(-age / TAU_DAYS).alias("recency"), weight.alias("salience")), "id",
     ).withColumn("dense", F.coalesce("_dense", F.lit(0.0)))
-    best = top_k(reciprocal_rank(items, "query_id", "id", WEIGHTS), "query_id", "rrf", "id", k)
+    # Without a vector all of a user's memories are candidates, so such a query's ranks are taken range by range.
+    wide = queries.where("query_vec is null").limit(1).count() > 0
+    best = top_k(reciprocal_rank(items, "query_id", "id", WEIGHTS, spread=wide), "query_id", "rrf", "id", k)
     semantic = F.coalesce("_dense", F.when(F.col("sparse") > 0, 1.0).otherwise(0.0))
     return best.select(
         "query_id", "id", F.round("rrf", 4).alias("score"), F.round(semantic, 4).alias("semantic"),

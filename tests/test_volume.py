@@ -164,3 +164,11 @@ def test_kept_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}")
     assert tables.keep(spark.range(5), "x").count() == 5 == tables.keep(spark.range(5), "x").count()
     assert tables.drop_kept(spark) == 2 and tables.drop_kept(spark) == 0
+
+
+def test_ranks_by_ranges_equal_ranks_by_windows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(q), i, float(a), float(b)) for i, (q, a, b) in enumerate(zip(rng.integers(0, 3, 600), rng.integers(-2, 9, 600), rng.random(600), strict=True))]
+    items = spark.createDataFrame(rows, "query_id int, id long, a double, b double").repartition(6)
+    got = [sorted((r.query_id, r.id, r.rrf) for r in retrieval.reciprocal_rank(items, "query_id", "id", {"a": 1.0, "b": 0.5}, spread=x).collect()) for x in (False, True)]
+    assert got[0] == got[1] and len(got[0]) == 600
