@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,25 @@ REPEAT = r"(yine|gene|demi[şs]tim|söylemi[şs]tim|again|told you|as i said)"
 THRESHOLD = 0.5
 
 
-def signals(text: Column) -> Column:
-    found = [F.when(text.rlike("(?iuU)" + p), n) for n, p in (("negation", NEGATION), ("directive", DIRECTIVE), ("repeat", REPEAT))]
+def ascii_words(pattern: str) -> str:
+    """A pattern as RE2 (SQL's dialect) reads it with (?i): word edges know ASCII letters, digits and _ only, a letter matches its
+    own case folding (so no dotless or dotted capital for i), and the dot all but the line feed."""
+    edge = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+    def one(m: re.Match) -> str:
+        c = m[0]
+        if c.startswith("\\"):
+            return edge if c == r"\b" else c
+        folded = {x for x in (c, c.lower(), c.upper(), "\u017f", "\u212a") if len(x) == 1 and x.casefold() == c.casefold()}
+        return "[" + "".join(sorted(folded)) + "]"
+
+    return "(?d)" + re.sub(r"\\.|[^\W\d_]", one, pattern)
+
+
+def signals(text: Column, ascii_only: bool = False) -> Column:
+    """The kinds of wording found. Words are Unicode's; with ascii_only they are SQL's (ascii_words), where "noñ" holds the word no."""
+    read = ascii_words if ascii_only else lambda p: "(?iuU)" + p
+    found = [F.when(text.rlike(read(p)), n) for n, p in (("negation", NEGATION), ("directive", DIRECTIVE), ("repeat", REPEAT))]
     return F.array_compact(F.array(*found))
 
 
@@ -42,15 +61,15 @@ def verified(scanned: DataFrame, model: Model | None) -> DataFrame:
     return asked.withColumn("verified", F.coalesce(confirms(F.col("reply")), F.lit(True))).where("verified").drop("reply")
 
 
-def scan(turns: DataFrame) -> DataFrame:
+def scan(turns: DataFrame, ascii_only: bool = False) -> DataFrame:
     """turns: conv_id, turn, role, text. Each user turn with the latest assistant text before it, its signals and score."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     t = turns.withColumn("previous", F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(before))
-    return scored(t.where("role = 'user'").select("conv_id", "turn", "text", "previous"))
+    return scored(t.where("role = 'user'").select("conv_id", "turn", "text", "previous"), ascii_only)
 
 
-def scored(said: DataFrame) -> DataFrame:
+def scored(said: DataFrame, ascii_only: bool = False) -> DataFrame:
     """said: conv_id, turn, text and previous of user turns, with signals and score."""
-    t = said.withColumn("signals", signals(F.coalesce("text", F.lit(""))))
+    t = said.withColumn("signals", signals(F.coalesce("text", F.lit("")), ascii_only))
     score = F.least(F.lit(1.0), 0.5 * F.size("signals"))
     return t.select("conv_id", "turn", "text", "previous", "signals", score.alias("score"), (score >= THRESHOLD).alias("correction"))

@@ -132,10 +132,10 @@ def consume_stream(requests: DataFrame, limit: float | None, delay: str = "1 hou
     return r.groupBy("tenant_id", "period").transformWithStateInPandas(_Quota(limit), schema, "Append", "EventTime")
 
 
-def scan_stream(turns: DataFrame, idle: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
+def scan_stream(turns: DataFrame, idle: str = "10 minutes", delay: str = "10 minutes", ascii_only: bool = False) -> DataFrame:
     """turns: conv_id, turn, role, text, ts (a stream, turns in any order). What transcripts.scan() tells of each conversation, once
     the watermark has passed its newest turn by `idle`, over any split of the turns into micro-batches."""
     r = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", "ts").withWatermark("ts", delay)
     millis = int(pd.Timedelta(idle).total_seconds() * 1000)
     schema = f"conv_id {dict(r.dtypes)['conv_id']}, turn long, text string, previous string"
-    return scored(r.groupBy("conv_id").transformWithStateInPandas(_Turns(millis), schema, "Append", "EventTime"))
+    return scored(r.groupBy("conv_id").transformWithStateInPandas(_Turns(millis), schema, "Append", "EventTime"), ascii_only)
