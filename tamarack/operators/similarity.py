@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..functions.vectors import cosine
 from ..sources.tables import keep, new_path, small
+from . import nearest
 from .retrieval import top_k
 
 #: Rows that the quantizer is trained on, at most, and its cells, at most.
@@ -279,24 +279,43 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, pro
     centroids, probes = np.array([r.centroid for r in facts]), probes or facts[0].probes
     q = keep(placed(queries.select("query_id", F.col("query_vec").alias("embedding")), centroids, angles=True).where("cell >= 0"), "index-queries")
     ranked = F.array_sort(F.transform("angles", lambda a, i: F.struct(a.alias("angle"), i.alias("cell"))))
-    first = q.select("query_id", "embedding", F.explode(F.slice(ranked, 1, probes)).alias("c")).select("query_id", F.col("embedding").alias("_q"), F.col("c.cell").alias("cell"))
+    kinds = queries.schema["query_id"].dataType, spark.read.parquet(f"{path}/cells").schema["id"].dataType
+    bounds = spark.read.parquet(f"{path}/bounds").where("cell >= 0")
+    sized = bounds.select("cell", F.ceil(F.col("n") / max(32, nearest.PACK_BYTES // (4 * centroids.shape[1]))).cast("int").alias("splits"))
     rows = spark.read.parquet(f"{path}/cells")
-
-    def met(pairs: DataFrame) -> DataFrame:
-        near = F.round(cosine(F.col("embedding"), F.col("_q")), 6)
-        return rows.join(small(pairs), "cell").select("query_id", "id", near.alias("score"))
-
-    best = top_k(met(first), "query_id", "score", "id", k)
+    asked = q.select("query_id", F.col("embedding").alias("query_vec"), "angles")
+
+    def probed(start: int, n: int) -> DataFrame:
+        return asked.select("query_id", "query_vec", F.explode(F.slice(ranked, start, n)["cell"]).alias("cell"))
+
+    def met(pairs: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+        """The best rows of the cells of pairs (query_id, query_vec, cell), by packs of a cell's rows and of the queries that meet it."""
+        pairs = pairs.withColumn("floor", F.lit(None).cast("double")) if floors is None else pairs.join(floors, "query_id", "left")
+        pairs = keep(pairs, "index-pairs")
+        most = pairs.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+        packs = nearest.query_packs(pairs, -(-most // nearest.QUERY_ROWS), "cell").join(F.broadcast(sized), "cell")
+        packs = packs.withColumn("_v", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
+        some = rows.join(F.broadcast(pairs.select("cell").distinct()), "cell", "left_semi")  # at most MOST_CELLS
+        own = nearest.classes(some, k, "cell").join(F.broadcast(sized), "cell").select(
+            "cell", F.pmod(F.xxhash64("embedding"), F.col("splits")).cast("int").alias("_v"), F.struct("ids", "embedding").alias("row"),
+        ).groupBy("cell", "_v").agg(F.collect_list("row").alias("v"))
+        return nearest.best_in_packs(packs.join(own, ["cell", "_v"]).withColumn("pack", F.concat_ws("-", "cell", "_pack")), k, *kinds)
+
+    # The nearest cell's k-th score is the least that counts in the others, so these pass few rows on.
+    floor = lambda best: best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    best = top_k(met(probed(1, 1)), "query_id", "score", "id", k)
+    if probes > 1:
+        best = keep(best, "index-nearest")
+        best = top_k(best.drop("rank").unionByName(met(probed(2, probes - 1), floor(best))), "query_id", "score", "id", k)
     if not exact:
         return best
     best = keep(best, "index-first")
     # With fewer than k rows found, every cell may hold one more.
-    kth = best.where(F.col("rank") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), F.col("score") - ROUNDING)).alias("_reach"))
-    bounds = spark.read.parquet(f"{path}/bounds").where("cell >= 0")
+    reach = F.acos(F.greatest(F.lit(-1.0), F.col("floor") - ROUNDING))
     own = F.element_at("angles", F.col("cell") + 1)
-    open_ = q.drop("cell", "angle").join(kth, "query_id", "left").join(F.broadcast(bounds), F.col("_reach").isNull() | own.between(F.col("lo") - F.col("_reach") - SLACK, F.col("hi") + F.col("_reach") + SLACK))
-    second = open_.select("query_id", F.col("embedding").alias("_q"), "cell").join(first.select("query_id", "cell"), ["query_id", "cell"], "left_anti")
-    return top_k(best.drop("rank").unionByName(met(second)), "query_id", "score", "id", k)
+    open_ = asked.join(floor(best), "query_id", "left").withColumn("_reach", reach).join(F.broadcast(bounds), F.col("_reach").isNull() | own.between(F.col("lo") - F.col("_reach") - SLACK, F.col("hi") + F.col("_reach") + SLACK))
+    second = open_.select("query_id", "query_vec", "cell").join(probed(1, probes).select("query_id", "cell"), ["query_id", "cell"], "left_anti")
+    return top_k(best.drop("rank").unionByName(met(second, floor(best))), "query_id", "score", "id", k)
 
 
 def index_recall(found: DataFrame, wanted: DataFrame) -> DataFrame:
