@@ -90,7 +90,7 @@ def edges_at_times(spark, d):
     )
     edges = memory.supersede(facts, [F.col("valid_at"), F.col("event_id")]).select("object", "valid_at", "invalid_at")
     points = facts.select("event_id", "object", F.col("valid_at").alias("at"))
-    return intervals.points_in_intervals(points, edges, ["object"]).groupBy("event_id").agg(F.count("*").alias("others"))
+    return intervals.counts_at(points, edges, ["object"], "others").where("others > 0").groupBy("event_id").agg(F.sum("others").alias("others"))
 
 
 @query("""select doc_id as id, case when l.doc_id is not null then 'labelled' else d.source end as source, case when l.doc_id is not null then coalesce(n_chars, 0) + l.q else n_chars end as n_chars
