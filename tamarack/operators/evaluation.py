@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ranking_quality(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+def ranking_quality(ranked: DataFrame, gold: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """ranked: query_id, id, rank; gold: query_id, id. Averages over the queries with gold: whether the first row is gold, the share
-    of gold rows among the first 5 and 10, MRR, and NDCG at 10."""
+    of gold rows among the first 5 and 10, MRR, and NDCG at 10. With sizes (query_id, gold: how many rows are gold), for large
+    gold sets, gold need only hold those rows that are ranked."""
     hits = gold.select("query_id", "id").distinct().join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
     gain = lambda r: 1 / F.log2(r + 1)
     per = hits.groupBy("query_id").agg(
         F.min("rank").alias("first"), F.count("*").alias("gold"),
         F.count_if(F.col("rank") <= 5).alias("in_5"), F.count_if(F.col("rank") <= 10).alias("in_10"),
         F.coalesce(F.sum(F.when(F.col("rank") <= 10, gain(F.col("rank")))), F.lit(0.0)).alias("dcg"),
-        F.least(F.count("*"), F.lit(10)).cast("int").alias("n"),
     )
+    if sizes is not None:
+        per = sizes.join(per.drop("gold"), "query_id", "left").na.fill(0, ["in_5", "in_10", "dcg"])
+    per = per.withColumn("n", F.least("gold", F.lit(10)).cast("int"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, r: a + gain(r))
     first = F.avg(F.coalesce((F.col("first") <= 1).cast("int"), F.lit(0)))
     return per.agg(
