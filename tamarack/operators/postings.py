@@ -12,13 +12,19 @@ bounds are opened; their k-th score is a floor, and only ranges whose bound reac
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import terms
 from ..sources.tables import keep, small
+from . import overlap
 from .retrieval import top_k
 
 RANGE_DOCS, BUCKETS, FIRST_RANGES = 256, 64, 4
@@ -28,29 +34,66 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
+def _ranged(docs: DataFrame, segment: int) -> DataFrame:
+    """docs: id, tokens (array). The lists of each range of RANGE_DOCS documents as they come, and for each range a row of null token
+    with its number of documents and their length. A range is made within one task, so that nothing is shuffled."""
+    most, kind = RANGE_DOCS, docs.schema["id"]
+    posting = StructType([kind, StructField("tf", IntegerType()), StructField("dl", IntegerType())])
+    schema = StructType([
+        StructField("token", StringType()), StructField("range", LongType()), StructField("n", LongType()), StructField("most", IntegerType()),
+        StructField("least", IntegerType()), StructField("list", ArrayType(posting)), StructField("length", LongType()),
+    ])
+
+    def lists(part: pa.Table, number: int) -> pa.RecordBatch:
+        tokens = part.column("tokens").combine_chunks()
+        found, tf, each = overlap.term_counts(tokens, None)
+        dl = np.maximum(1, pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = np.repeat(np.arange(len(part)), each)
+        names = found.unique()
+        code = pc.index_in(found, value_set=names).to_numpy(zero_copy_only=False)
+        ids = part.column("id").combine_chunks()
+        at = np.lexsort((pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy()[row], code))
+        n = np.bincount(code, minlength=len(names))
+        first = (np.cumsum(n) - n).astype(np.int64)
+        tf, long = tf[at], dl[row][at]
+        values = pa.StructArray.from_arrays([ids.take(pa.array(row[at])), pa.array(tf, pa.int32()), pa.array(long, pa.int32())], names=posting.fieldNames())
+        best = lambda f, x: f.reduceat(x, first) if len(first) else x
+        ends = pa.array([*np.r_[0, np.cumsum(n)].tolist(), len(at)], pa.int32())
+        columns = [
+            pa.concat_arrays([names.cast(pa.string()), pa.array([None], pa.string())]), pa.array(np.full(len(n) + 1, number)), pa.array(np.r_[n, len(part)], pa.int64()),
+            pa.array(np.r_[best(np.maximum, tf), 0], pa.int32()), pa.array(np.r_[best(np.minimum, long), 0], pa.int32()),
+            pa.ListArray.from_arrays(ends, values), pa.array(np.r_[np.zeros(len(n), np.int64), dl.sum()], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = (segment << 44) + (TaskContext.get().partitionId() << 20), None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            whole = len(held) - len(held) % most
+            for i in range(0, whole, most):
+                yield lists(held.slice(i, most), number)
+                number += 1
+            held = held.slice(whole)
+        if held is not None and len(held):
+            yield lists(held, number)
+
+    return docs.select("id", "tokens").mapInArrow(run, schema)
+
+
 def append(docs: DataFrame, path: str, tokens: Callable[[Column], Column] = terms) -> int:
     """Add docs (id, text) as a new segment; its number. Ids of the index must not be repeated. Each text is cut into tokens once."""
-    spark = docs.sparkSession
-    segment = len(_segments(spark, path))
-    rows = docs.select("id", tokens(F.col("text")).alias("w"))
-    counted = rows.select(
-        "id", F.greatest(F.size("w"), F.lit(1)).alias("dl"), F.explode_outer("w").alias("token"),
-    ).groupBy("id", "dl", "token").agg(F.count("*").cast("int").alias("tf"))
-    counted = keep(counted, "segment-tokens")
-    sizes = counted.select("id", "dl").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
-    n = sizes.first().n
-    ranges = max(1, -(-n // RANGE_DOCS))
-    spot = F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("long")
-    _write(counted.where("token is not null").withColumn("range", F.lit(segment).cast("long") * (1 << 32) + spot), sizes, path, segment)
+    segment = len(_segments(docs.sparkSession, path))
+    lists = keep(_ranged(docs.select("id", tokens(F.col("text")).alias("tokens")), segment), "segment-lists")
+    sizes = lists.where("token is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+    _write(lists.where("token is not null").drop("length"), sizes, path, segment)
     return segment
 
 
-def _write(rows: DataFrame, sizes: DataFrame, path: str, segment: int) -> None:
-    """A segment's postings from rows (token, range, id, tf, dl), then its sizes, which make it known. A list holds the documents of
-    one range alone; a token's lists are spread over tasks by range."""
-    lists = rows.groupBy("token", "range").agg(
-        F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("list"),
-    )
+def _write(lists: DataFrame, sizes: DataFrame, path: str, segment: int) -> None:
+    """A segment's lists, placed by token and range, then its sizes, which make it known. A list holds the documents of one range
+    alone; a token's lists are spread over tasks by range."""
     placed = lists.withColumn("segment", F.lit(segment)).withColumn("bucket", _bucket(F.col("token")))
     placed = placed.repartitionByRange("bucket", "token", "range").sortWithinPartitions("bucket", "token", "range")
     placed.write.partitionBy("segment", "bucket").mode("append").parquet(f"{path}/postings")
@@ -83,7 +126,10 @@ def compact(spark: SparkSession, path: str, to: str) -> None:
     held = keep(held if gone is None else held.join(small(gone), "id", "left_anti"), "compacted")
     sizes = held.select("id", "dl").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
     spot = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-sizes.first().n // RANGE_DOCS)))).cast("long")
-    _write(held.withColumn("range", spot), sizes, to, 0)
+    lists = held.withColumn("range", spot).groupBy("token", "range").agg(
+        F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("list"),
+    )
+    _write(lists, sizes, to, 0)
 
 
 def _part(n: int, mean: float, tf: str, dl: str, k1: float, b: float) -> Column:
