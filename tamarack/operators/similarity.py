@@ -26,8 +26,11 @@ from .retrieval import top_k
 
 #: Rows that the quantizer is trained on, at most, and its cells, at most.
 SAMPLE_ROWS, MOST_CELLS = 16_384, 1024
-#: Bytes of vectors in a pack that is compared at once.
-PACK_BYTES = 1 << 20
+#: Bytes of vectors in a pack that is compared at once, and cells of a join, at most: a row is sent to each cell it may meet, once for
+#: each pack there, so these bound how often it is sent.
+PACK_BYTES, JOIN_CELLS = 8 << 20, 64
+#: Products of a join that are held at once, and pairs that are worked out again at once.
+PRODUCTS, PAIRS = 1 << 22, 1 << 16
 #: Least recall that the number of probes is chosen for, measured over the sample.
 RECALL = 0.95
 #: Scores are rounded to six digits; the slack of the bounds, in cosine and in radians.
@@ -118,6 +121,8 @@ def compared_packs(
 ) -> DataFrame:
     """Packs of rows (key, kind, embedding, by) and (id, kind, embedding, by) that the bounds can't rule out: by, l and r, arrays of
     name, kind and embedding in the order of name. Every pair at or above the threshold is in one pack."""
+    if cells is None:
+        cells = min(JOIN_CELLS, max(1, round(right.where(F.size("embedding") > 0).count() ** 0.5)))
     centroids = train(right, cells)
     side = lambda df, name: df.where(F.size("embedding") > 0).select(F.col(name).alias("name"), "kind", "embedding", *by)
     r = keep(placed(side(right, "id"), centroids).where("cell is not null"), "near-right")
@@ -148,6 +153,31 @@ def compared_packs(
     return lefts.withColumn("pack", F.col("pack").cast("long")).join(rights, [*unit, "pack"]).select(*by, "l", "r")
 
 
+def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float, digits: int | None = 6) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of x, rows of y and scores of the pairs of unit rows whose product, rounded, is at or above the threshold, in parts of
+    whole rows of x. Products are made in single precision; what may be near is worked out again in double."""
+    low, other = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+    # The error of a single-precision product of unit rows is below (length + 2) units in the last place.
+    least = np.float32(threshold - (ROUNDING if digits is None else 10.0**-digits) - (x.shape[1] + 2) * 2.0**-23)
+    step = max(1, PRODUCTS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        rows, cols = np.nonzero(low[at : at + step] @ other >= least)
+        rows += at
+        score = np.empty(len(rows))
+        for p in range(0, len(rows), PAIRS):
+            score[p : p + PAIRS] = np.einsum("ij,ij->i", x[rows[p : p + PAIRS]], y[cols[p : p + PAIRS]])
+        score = score if digits is None else np.round(score, digits)
+        near = score >= threshold
+        yield rows[near], cols[near], score[near]
+
+
+def _codes(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both arrays of texts as numbers, equal ones (and nulls) alike, and the number of the blank one (-1: there is none)."""
+    both = pa.concat_arrays([left, right]).dictionary_encode(null_encoding="encode")
+    codes, values = both.indices.to_numpy(), both.dictionary.to_pylist()
+    return codes[: len(left)], codes[len(left) :], values.index("") if "" in values else -1
+
+
 def cosine_join(
     left: DataFrame, right: DataFrame, threshold: float, by: list[str] | None = None, best: bool = False, cells: int | None = None,
     digits: int | None = 6,
@@ -169,22 +199,22 @@ def cosine_join(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                (names, kinds, x), (others, other, y) = (
-                    (v.field("name"), np.array(v.field("kind").to_pylist(), object), matrix(v.field("embedding"))[0]) for v in (b.column(0)[i].values, b.column(1)[i].values)
-                )
+                l, r = (v[i].values for v in b.columns)  # noqa: E741
+                (x, _), (y, _) = matrix(l.field("embedding")), matrix(r.field("embedding"))
                 if x.shape[1] != y.shape[1]:
                     continue
-                score = x @ y.T if digits is None else np.round(x @ y.T, digits)
-                fits = (score >= threshold) & ((kinds[:, None] == "") | (other[None] == "") | (kinds[:, None] == other[None]))
-                if best:
-                    at = np.where(fits, score, -2.0).argmax(1)
-                    rows = np.flatnonzero(fits.any(1))
-                    cols = at[rows]
-                else:
-                    rows, cols = np.nonzero(fits)
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(rows)), others.take(pa.array(cols)), pa.array(score[rows, cols])], names=["key", "id", "score"],
-                )
+                kinds, others, blank = _codes(l.field("kind"), r.field("kind"))
+                for rows, cols, score in near_pairs(x, y, threshold, digits):
+                    mine, its = kinds[rows], others[cols]
+                    fits = (mine == blank) | (its == blank) | (mine == its)
+                    rows, cols, score = rows[fits], cols[fits], score[fits]
+                    if best:
+                        order = np.lexsort((cols, -score, rows))
+                        first = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
+                        rows, cols, score = rows[first], cols[first], score[first]
+                    yield pa.RecordBatch.from_arrays(
+                        [l.field("name").take(pa.array(rows)), r.field("name").take(pa.array(cols)), pa.array(score)], names=["key", "id", "score"],
+                    )
 
     pairs = packs.select("l", "r").mapInArrow(run, schema)
     if not best:
