@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import model, pii, text
 from ..operators import graph, packs, retrieval, taxonomy, usage
 from ..sources import bundles, notes
+from ..sources.tables import spread
 from .catalog import _t, query
 from .extended import _ROOTS, _SCRUBBED
 
@@ -235,7 +236,8 @@ def front_matter_values(spark, d):
         F.concat(F.lit("'"), F.repeat(F.concat("c_name", F.lit(" ")), 20), F.lit("'"))
     )
     block = F.concat(F.lit("---\nkey: "), value, F.lit("\nother: {x: 1}\n---\nbody"))
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), notes.front_matter(block)["key"].alias("v"))
+    c = spread(_t(spark, d, "customer").select("c_custkey", "c_name"), f"{d}/customer.parquet")
+    return c.select(F.col("c_custkey").alias("id"), notes.front_matter(block)["key"].alias("v"))
 
 
 @query("select event_id as id, '{\"event\": \"[REDACTED_SECRET]\", \"n\": ' || event_id || ', \"t\": \"a\\\\\"b\"}' as body from events")
