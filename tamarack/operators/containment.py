@@ -7,7 +7,6 @@ only the patterns whose literal a text has are matched against it. Patterns with
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import SEVERITIES
 from ..sources.tables import keep, small
-from .enforcement import SCAN_CHARS, usable
+from .enforcement import SCAN_CHARS, literals, usable
 
 BLOCK_NAMES = 50_000
 #: Least characters of a literal that is worth a lookup.
@@ -68,37 +67,7 @@ def contained(texts: DataFrame, names: DataFrame, most: int = BLOCK_NAMES) -> Da
 
 def literal(pattern: str) -> str:
     """The longest run of ASCII characters, in lower case, that every match of the pattern has; empty if none is sure."""
-    runs, run, depth, i = [], "", 0, 0
-    if re.search(r"\(\?[a-zA-Z]*x", pattern):
-        return ""
-    while i < len(pattern):
-        c, own = pattern[i], ""
-        if c == "\\" and i + 1 < len(pattern):
-            i += 1
-            own = pattern[i] if not pattern[i].isalnum() else ""
-        elif c == "[":
-            i += 2 if pattern[i + 1 : i + 2] == "^" else 1
-            i += 1  # a bracket that comes first is a member
-            while i < len(pattern) and pattern[i] != "]":
-                i += 2 if pattern[i] == "\\" else 1
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and depth == 0:
-            return ""
-        elif c not in ".^$|?*+{}":
-            own = c
-        after = pattern[i + 1 : i + 2]
-        if depth == 0 and own and own.isascii() and after not in ("?", "*", "{"):
-            run += own.lower()
-        else:
-            own = ""
-        if not own or after == "+":
-            runs.append(run)
-            run = ""
-        if c == "{":  # the numbers of a repeat are no literals
-            i = pattern.find("}", i) if "}" in pattern[i:] else len(pattern)
-        i += 1
-    best = max([*runs, run], key=len)
+    best = max(reversed(literals(pattern) or [""]), key=len)
     return best if len(best) >= LEAST_LITERAL else ""
 
 
