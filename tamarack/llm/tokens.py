@@ -11,6 +11,10 @@ import json
 
 import numpy as np
 
+#: Fixed value: how the byte-level pre-tokenizer splits. The contractions share one alternative, and the last one is a single character,
+#: as white space of two characters or more is always matched by the one before it: the same pieces, found faster.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s"
+
 _encoders: dict = {}
 
 
@@ -32,8 +36,7 @@ def encoder(path: str):
         special = [x["content"] for x in spec.get("added_tokens", [])]
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        fast, slow = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path)
+        fast, slow = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path)
 
         def one(t: str) -> np.ndarray:
             if not any(s in t for s in special):
