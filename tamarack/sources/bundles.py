@@ -84,14 +84,14 @@ def check_size(bundle: dict[str, DataFrame], per_table: int | None = MOST_PER_TA
 
 def load(
     current: dict[str, DataFrame], bundle: dict[str, DataFrame], mode: str = "merge", version: int = VERSION,
-    per_table: int | None = MOST_PER_TABLE, total: int | None = MOST_ROWS,
+    per_table: int | None = MOST_PER_TABLE, total: int | None = MOST_ROWS, blank: bool = False,
 ) -> dict[str, DataFrame]:
     """The tables after an import, in this order: tombstones, memories that none of them bars, rules, corrections. A ValueError
     for another mode or version, or beyond the limits (None: no limit, for bulk loads).
 
     Of a repeated tombstone the imported vector counts, also if it is null.
     replace drops the current memories, rules and corrections, but keeps tombstones. Memories merge by user and content
-    without a rise in salience; of repeated ones the last id stays. Rules merge as rule upserts do (current ones first).
+    without a rise in salience; of repeated ones the last id stays. Those without content are left out unless `blank`. Rules merge as rule upserts do (current ones first).
     """
     if mode not in ("merge", "replace"):
         raise ValueError(f"mode {mode}: merge or replace")
@@ -104,11 +104,12 @@ def load(
     stones = keep(memory.upsert(now["tombstones"].select("content_hash", "embedding"), new, ["content_hash"], []), "tombstones")
     fit = F.when(F.size("embedding") <= MOST_DIMENSIONS, safe_embedding(F.col("embedding")))
     m = scrubbed(bundle["memories"]).where(
-        F.trim(F.coalesce("content", F.lit(""))) != ""
+        F.lit(blank) | (F.trim(F.coalesce("content", F.lit(""))) != "")
     ).withColumn("embedding", fit).withColumn("salience", safe_salience(F.col("salience")))
-    m = keep(m, "imported")
-    barred = memory.blocked(m, stones).select("id").distinct()
-    m = m.join(small(barred), "id", "left_anti").withColumn("_k", normalized(F.col("content")))
+    # A row is barred by itself: others of its id may have another content.
+    m = keep(m.withColumn("_at", F.monotonically_increasing_id()), "imported")
+    barred = memory.blocked(m, stones).select("_at").distinct()
+    m = m.join(small(barred), "_at", "left_anti").withColumn("_k", normalized(F.col("content")))
     m = m.groupBy("user_id", "_k").agg(F.max_by(F.struct(*bundle["memories"].columns), "id").alias("m")).select("m.*")
     key = lambda d: d.withColumn("_k", F.sha1(F.concat_ws("|", "user_id", content_hash(F.col("content")))))
     memories = memory.upsert(key(now["memories"]), key(m), ["_k"], ["id"]).drop("_k")
